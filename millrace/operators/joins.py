@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Sequence
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -42,11 +43,16 @@ def equi_join(
     how: str = "inner",
     *,
     prefer: str | None = None,
+    split_hot: bool = False,
 ) -> DataFrame:
     """Join on equally named keys.
 
     A non-key column that both sides have would be ambiguous afterwards: `prefer="right"` or
     `"left"` says whose copy stays; without it such a column is an error.
+
+    Adaptive execution splits a key with very many rows in an inner join and on the preserved
+    side of an outer join, but not on the other side. `split_hot` writes an outer join as an
+    inner join plus the rows without a match, so that either side may hold such a key.
     """
     kind = join_type(how)
     if not keys:
@@ -60,9 +66,20 @@ def equi_join(
         right = right.drop(*shared)
     elif shared:
         raise ValueError(f"columns {shared} are on both sides of the join; say whose to prefer")
+    if split_hot and kind != "inner":
+        return _outer_in_parts(left, right, list(keys), kind)
     return left.join(right, list(keys), kind)
 
 
+def _outer_in_parts(left: DataFrame, right: DataFrame, keys: list[str], kind: str) -> DataFrame:
+    parts = [left.join(right, keys, "inner")]
+    if kind in ("left", "full"):
+        parts.append(left.join(right.select(*keys).distinct(), keys, "left_anti"))
+    if kind in ("right", "full"):
+        parts.append(right.join(left.select(*keys).distinct(), keys, "left_anti"))
+    return reduce(lambda a, b: a.unionByName(b, allowMissingColumns=True), parts)
+
+
 def lookup_join(
     left: DataFrame,
     right: DataFrame,
@@ -71,12 +88,14 @@ def lookup_join(
     *,
     limit_mb: float = BROADCAST_LIMIT_MB,
     prefer: str | None = None,
+    split_hot: bool = False,
 ) -> DataFrame:
     """Join whose right side is broadcast when its estimated size is within `limit_mb`.
 
     A larger right side joins by shuffle, where adaptive execution splits skewed partitions.
     """
-    return equi_join(left, broadcast_if_small(right, limit_mb), keys, how, prefer=prefer)
+    small = broadcast_if_small(right, limit_mb)
+    return equi_join(left, small, keys, how, prefer=prefer, split_hot=split_hot)
 
 
 def pick_columns(df: DataFrame, *names: str) -> DataFrame:

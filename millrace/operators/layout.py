@@ -7,7 +7,7 @@ import math
 from collections.abc import Iterator, Sequence
 from contextlib import contextmanager
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -17,6 +17,12 @@ log = logging.getLogger(__name__)
 
 MEGABYTE = 1024 * 1024
 
+# What the optimizer reports for data it knows nothing about.
+_UNKNOWN_BYTES = 2**62
+
+# A shuffle into more partitions than this costs more than larger files do.
+MOST_PARTITIONS = 50_000
+
 # Size limits of the write and join helpers.
 BROADCAST_LIMIT_MB = 10
 TARGET_FILE_MB = 128
@@ -25,11 +31,9 @@ SMALL_OUTPUT_PARTITIONS = 10
 
 def estimated_bytes(df: DataFrame) -> int | None:
     """Size the optimizer expects after pruning, None where no estimate can be had."""
-    try:
-        return int(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes().toString())
-    except Exception:  # a Connect session has no plan object
-        log.debug("no size estimate", exc_info=True)
+    if not hasattr(df, "_jdf"):  # a Connect session has no plan object
         return None
+    return int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
 
 
 def broadcast_if_small(df: DataFrame, limit_mb: float = BROADCAST_LIMIT_MB) -> DataFrame:
@@ -44,10 +48,29 @@ def broadcast_if_small(df: DataFrame, limit_mb: float = BROADCAST_LIMIT_MB) -> D
     return df
 
 
-def file_count(df: DataFrame, target_mb: float = TARGET_FILE_MB) -> int | None:
-    """Number of output files of about `target_mb`, None without an estimate."""
+def output_bytes(df: DataFrame) -> int | None:
+    """Expected size of a result for cutting it into files, None where nothing is known.
+
+    Without statistics the optimizer multiplies the sizes of the two sides of a join, which is
+    far off for equi-joins; the result is then taken to be no larger than all inputs together.
+    """
     size = estimated_bytes(df)
-    return None if size is None else max(1, math.ceil(size / (target_mb * MEGABYTE)))
+    if size is None:
+        return None
+    leaves = df._jdf.queryExecution().optimizedPlan().collectLeaves()
+    inputs = [int(str(leaves.apply(i).stats().sizeInBytes())) for i in range(leaves.size())]
+    if any(i >= _UNKNOWN_BYTES for i in inputs):
+        return None
+    return min(size, sum(inputs))
+
+
+def file_count(df: DataFrame, target_mb: float = TARGET_FILE_MB) -> int | None:
+    """Number of output files of about `target_mb`, None without an estimate. Results beyond
+    MOST_PARTITIONS times that size get larger files."""
+    size = output_bytes(df)
+    if size is None:
+        return None
+    return min(MOST_PARTITIONS, max(1, math.ceil(size / (target_mb * MEGABYTE))))
 
 
 def repartition_for_write(
@@ -59,11 +82,10 @@ def repartition_for_write(
     value that holds many rows over several tasks, where a plain hash repartition would not.
     """
     count = file_count(df, target_mb)
-    if count is None:
-        return df
     if partition_by:
-        return df.hint("rebalance", count, *[col(c) for c in partition_by])
-    return df.repartition(count)
+        keys = [col(c) for c in partition_by]
+        return df.hint("rebalance", *([] if count is None else [count]), *keys)
+    return df if count is None else df.repartition(count)
 
 
 def coalesce_small_output(df: DataFrame, max_partitions: int = SMALL_OUTPUT_PARTITIONS) -> DataFrame:
@@ -71,20 +93,9 @@ def coalesce_small_output(df: DataFrame, max_partitions: int = SMALL_OUTPUT_PART
     return df.coalesce(max_partitions)
 
 
-def cluster_rows(
-    df: DataFrame, order_by: Sequence[str] = (), target_mb: float = TARGET_FILE_MB
-) -> DataFrame:
-    """Rows in files of about `target_mb`, near values together when `order_by` is given.
-
-    The last range key is a hash of the row, so that one value of `order_by` that holds a large
-    share of the rows is cut over several files instead of filling one task.
-    """
-    count = file_count(df, target_mb) or 1
-    if not order_by:
-        return df.repartition(count)
-    keys = [col(c) for c in order_by]
-    spread = F.xxhash64(*[col(f.name) for f in df.schema.fields if _hashable(f.dataType)])
-    return df.repartitionByRange(count, *keys, spread).sortWithinPartitions(*keys)
+def row_hash(df: DataFrame) -> Column:
+    """64-bit hash of a whole row."""
+    return F.xxhash64(*[col(f.name) for f in df.schema.fields if _hashable(f.dataType)])
 
 
 def _hashable(dtype: T.DataType) -> bool:
@@ -97,6 +108,58 @@ def _hashable(dtype: T.DataType) -> bool:
     return not isinstance(dtype, T.VariantType)
 
 
+def cluster_rows(
+    df: DataFrame, order_by: Sequence[str] = (), target_mb: float = TARGET_FILE_MB
+) -> DataFrame:
+    """Rows in files of about `target_mb`, near values together when `order_by` is given.
+
+    With several columns the files follow a Z-order curve, so that a filter on any one of them
+    skips files. The last range key is a hash of the row: a value that a large share of the rows
+    has is cut over several files instead of filling one task.
+    """
+    count = file_count(df, target_mb)
+    if not order_by:
+        return repartition_for_write(df, target_mb)
+    keys = [col(c) for c in order_by]
+    lead = [z_value(df, order_by)] if len(order_by) > 1 else []
+    order = [*lead, *keys, row_hash(df)]
+    ranged = df.repartitionByRange(*([] if count is None else [count]), *order)
+    return ranged.sortWithinPartitions(*lead, *keys)
+
+
+def z_value(df: DataFrame, names: Sequence[str], bits: int = 4) -> Column:
+    """Bits of the rank classes of the columns, interleaved.
+
+    Every column is cut into 2^bits classes of about equal size. Only the class bounds, 15 numbers
+    per column, come to the driver.
+    """
+    cuts = 2**bits
+    numbers = [_as_number(df.schema[n].dataType, col(n)) for n in names]
+    steps = [i / cuts for i in range(1, cuts)]
+    bounds = df.agg(
+        *[F.percentile_approx(x, steps, 1000).alias(f"b{i}") for i, x in enumerate(numbers)]
+    ).first()
+    value = F.lit(0).cast("bigint")
+    for i, number in enumerate(numbers):
+        rank = F.lit(0)
+        for bound in sorted(set(bounds[i] or [])):
+            rank = rank + F.when(number > bound, 1).otherwise(0)
+        for bit in range(bits):
+            one = F.shiftright(rank, bit).bitwiseAND(1).cast("bigint")
+            value = value.bitwiseOR(F.shiftleft(one, bit * len(names) + i))
+    return value
+
+
+def _as_number(dtype: T.DataType, value: Column) -> Column:
+    """A double in the order of the column; for text, of its first six bytes."""
+    if isinstance(dtype, T.StringType):
+        head = F.rpad(F.hex(F.substring(F.encode(value, "UTF-8"), 1, 6)), 12, "0")
+        return F.conv(head, 16, 10).cast("double")
+    if isinstance(dtype, (T.DateType, T.TimestampType, T.TimestampNTZType)):
+        return F.unix_micros(value.cast("timestamp")).cast("double")
+    return value.cast("double")
+
+
 @contextmanager
 def cached(df: DataFrame, label: str = "unnamed") -> Iterator[DataFrame]:
     """`df` persisted for the length of the block; for a frame that feeds several actions."""

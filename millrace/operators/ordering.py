@@ -16,12 +16,16 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from millrace.functions.columns import col
+from millrace.operators.layout import file_count, row_hash
 from millrace.sources.shared import cut_lineage
 
 # Paging limits of record listings.
 DEFAULT_PAGE = 50
 LARGEST_PAGE = 200
 
+# Most rows that a sort with limit and offset may bring together.
+DEEPEST_TOP_ROWS = 100_000
+
 _SLICE = "_slice"
 
 
@@ -38,8 +42,9 @@ def sort_columns(entries: Sequence[Mapping[str, Any] | str]) -> list[Column]:
 
 
 def sort_rows(df: DataFrame, entries: Sequence[Mapping[str, Any] | str]) -> DataFrame:
-    """Globally sorted rows."""
-    return df.orderBy(*sort_columns(entries))
+    """Globally sorted rows. Rows with equal keys are further ordered by a hash of the row, so
+    that one value with very many rows is cut over several tasks."""
+    return df.orderBy(*sort_columns(entries), row_hash(df))
 
 
 def top_rows(df: DataFrame, n: int, *keys: Column) -> DataFrame:
@@ -47,9 +52,25 @@ def top_rows(df: DataFrame, n: int, *keys: Column) -> DataFrame:
     return df.orderBy(*keys).limit(n)
 
 
-def page(df: DataFrame, *keys: Column, limit: int = DEFAULT_PAGE, offset: int = 0) -> DataFrame:
-    """One page of a listing; the page size stays within 1..200."""
-    return df.orderBy(*keys).offset(max(0, offset)).limit(max(1, min(limit, LARGEST_PAGE)))
+def page(
+    df: DataFrame,
+    entries: Sequence[Mapping[str, Any] | str],
+    *,
+    limit: int = DEFAULT_PAGE,
+    offset: int = 0,
+) -> DataFrame:
+    """One page of a listing in a total order; the page size stays within 1..200.
+
+    Pages near the start are found per task; for a page deep in the listing every row gets its
+    rank instead, since the rows before it would be too many to bring together.
+    """
+    size = max(1, min(limit, LARGEST_PAGE))
+    start = max(0, offset)
+    if start + size <= DEEPEST_TOP_ROWS:
+        return df.orderBy(*sort_columns(entries)).offset(start).limit(size)
+    ranked = global_rank(df, entries, "_rank")
+    wanted = ranked.filter(F.col("_rank").between(start + 1, start + size))
+    return wanted.orderBy("_rank").drop("_rank", "_rank_total")
 
 
 def drop_duplicates(df: DataFrame, names: Sequence[str] = ()) -> DataFrame:
@@ -98,21 +119,28 @@ def latest_by(df: DataFrame, keys: Sequence[str], order_by: Sequence[str]) -> Da
 
 
 def _in_slices(df: DataFrame, *keys: Column) -> DataFrame:
-    # The slice numbers must not change between the uses below, so they are stored first.
-    ranged = df.repartitionByRange(*keys).withColumn(_SLICE, F.spark_partition_id())
-    return cut_lineage(ranged)
+    """Rows with the number of their range in the order of `keys`, about 128 MB per range.
+
+    The numbers must be the same in all uses, so the rows are stored first.
+    """
+    default = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    wanted = file_count(df) or 0
+    ranged = df.repartitionByRange(wanted, *keys) if wanted > default else df.repartitionByRange(*keys)
+    return cut_lineage(ranged.withColumn(_SLICE, F.spark_partition_id()), "ranges")
 
 
-def global_rank(df: DataFrame, order_by: Sequence[str], name: str = "rank") -> DataFrame:
+def global_rank(
+    df: DataFrame, order_by: Sequence[Mapping[str, Any] | str], name: str = "rank"
+) -> DataFrame:
     """Rank 1..n of every row in a total order, plus `<name>_total` with n.
 
     `order_by` must end in a unique column. Beyond the rows themselves only one count per range
     is brought together.
     """
-    keys = [col(c).asc() for c in order_by]
+    keys = sort_columns(order_by)
     sliced = _in_slices(df, *keys)
     sizes = sliced.groupBy(_SLICE).agg(F.count(F.lit(1)).alias("_size"))
-    # One row per range: at most the number of shuffle partitions.
+    # One row per range, so this window and the broadcast below stay small.
     before = Window.orderBy(_SLICE).rowsBetween(Window.unboundedPreceding, -1)
     offsets = sizes.select(
         _SLICE,

@@ -137,7 +137,7 @@ def add_quintile_scores(
     accuracy: int = ACCURACY,
 ) -> DataFrame:
     """Score columns `{name: (metric column, descending)}` from the quintiles of `df` itself."""
-    metrics = [metric for metric, _ in scores.values()]
+    metrics = list(dict.fromkeys(metric for metric, _ in scores.values()))
     points = quantile_points(df, metrics, exact=exact, accuracy=accuracy)
     bundle = points.select(F.struct(*[col(m) for m in metrics]).alias("points")).scalar()
     held = df.withColumn("_points", bundle)

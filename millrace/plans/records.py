@@ -145,9 +145,8 @@ def run_page(
 ) -> DataFrame:
     """One page of runs, newest submission first, of one status when given."""
     chosen = runs if status is None else runs.filter(F.col("status") == status)
-    return page(
-        chosen, F.col("submitted_at").desc(), F.col("run_id"), limit=limit, offset=offset
-    )
+    newest_first = [{"column": "submitted_at", "descending": True}, "run_id"]
+    return page(chosen, newest_first, limit=limit, offset=offset)
 
 
 def run_stats(runs: DataFrame) -> DataFrame:

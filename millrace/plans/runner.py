@@ -14,6 +14,7 @@ from millrace.operators import aggregates, checks, columns, joins, ordering
 from millrace.operators.layout import BROADCAST_LIMIT_MB, repartition_for_write
 from millrace.plans.spec import JobSpec, SpecError, Step, dataset_of
 from millrace.sources import files, versioned
+from millrace.sources.shared import cut_lineage
 
 StepFunction = Callable[[DataFrame, Mapping[str, Any], JobSpec], DataFrame]
 
@@ -42,7 +43,15 @@ def _join(df: DataFrame, p: Mapping[str, Any], job: JobSpec) -> DataFrame:
     right = files.read(df.sparkSession, dataset_of(p["right"]))
     right = apply_steps(right, replace(job, steps=tuple(p["right_steps"])))
     limit = BROADCAST_LIMIT_MB if job.broadcast_joins else 0
-    return joins.lookup_join(df, right, p["keys"], p["how"], limit_mb=limit, prefer=p["prefer"])
+    return joins.lookup_join(
+        df,
+        right,
+        p["keys"],
+        p["how"],
+        limit_mb=limit,
+        prefer=p["prefer"],
+        split_hot=p["split_hot"],
+    )
 
 
 def _dedupe(df: DataFrame, p: Mapping[str, Any], job: JobSpec) -> DataFrame:
@@ -121,8 +130,8 @@ def run(
     """Run the job and report on it.
 
     The row count and all row rules are observed while the rows are written, so the output is
-    neither computed nor read a second time. Rows that a merge puts into an existing table are
-    counted and checked before they are merged.
+    neither computed nor read a second time. A merge reads its rows several times, so they are
+    stored first; they are counted and checked as they are, not the table after the merge.
     """
     job = job.with_paths(source_path, target_path)
     if job.target is None:
@@ -136,7 +145,8 @@ def run(
     seen = Observation(job.name)
     metrics = [F.count(F.lit(1)).alias("row_count")]
     metrics += [r.bad.cast("bigint").alias(f"rule_{i}") for i, r in enumerate(rules)]
-    files.write(output.observe(seen, *metrics), job.target)
+    output = output.observe(seen, *metrics)
+    files.write(cut_lineage(output) if job.target.mode == "merge" else output, job.target)
     found = seen.get
     row_count = int(found.get("row_count") or 0)
     report = [

@@ -170,6 +170,7 @@ def _join(p: Mapping[str, Any]) -> dict[str, Any]:
         "right": {"path": location, "table": table, "format": p.get("right_format") or "parquet"},
         "keys": keys,
         "prefer": p.get("prefer"),
+        "split_hot": bool(p.get("split_hot", False)),
         "right_steps": [lower_step(s) for s in _listed(p.get("right_steps"))],
     }
     kind = p.get("join_type") or p.get("how")

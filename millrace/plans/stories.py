@@ -156,17 +156,27 @@ def campaign_story(
 def monthly_category_revenue(
     order_lines: Place, products: Place, target: Place | None = None
 ) -> dict[str, Any]:
-    """Line totals per year, month and category, one line per order and product."""
+    """Line totals per year, month and category, one line per order and product.
+
+    The lines are made unique before the join, spread by order and product: after a join on the
+    product all lines of one product would be in one task. Products are made unique as well, so
+    that the join adds no lines.
+    """
+    one_each = {
+        "operation": "dedupe",
+        "params": {"subset_cols": ["product_id"], "keep": "keep_first"},
+    }
     steps = [
-        {
-            "operation": "join",
-            "params": _right(products) | {"join_keys": ["product_id"], "join_type": "left"},
-        },
         {"operation": "fill_null", "params": {"fill_values": {"unit_price": 0.0}}},
         {
             "operation": "dedupe",
             "params": {"subset_cols": ["order_id", "product_id"], "keep": "keep_first"},
         },
+        {
+            "operation": "join",
+            "params": _right(products)
+            | {"join_keys": ["product_id"], "join_type": "left", "right_steps": [one_each]},
+        },
         {
             "operation": "aggregate",
             "params": {

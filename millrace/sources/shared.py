@@ -14,15 +14,10 @@ def shared_folder(spark: SparkSession) -> str:
     Only a local-mode session without that setting gets a temporary folder; on a cluster a
     machine-local folder would not be seen by the other machines, so that is an error.
     """
-    configured = spark.conf.get("spark.checkpoint.dir", None)
     context = spark.sparkContext
-    current = context.getCheckpointDir()
-    if configured:
-        if current is None:
-            context.setCheckpointDir(configured)
-        return configured.rstrip("/")
-    if current:
-        return current.rstrip("/")
+    folder = spark.conf.get("spark.checkpoint.dir", None) or context.getCheckpointDir()
+    if folder:
+        return folder.rstrip("/")
     if not context.master.startswith("local"):
         raise RuntimeError("set spark.checkpoint.dir to a folder that every executor can reach")
     folder = tempfile.mkdtemp(prefix="millrace-")
@@ -35,7 +30,23 @@ def fresh_path(spark: SparkSession, label: str) -> str:
     return f"{shared_folder(spark)}/millrace/{label}-{uuid.uuid4().hex}"
 
 
-def cut_lineage(df: DataFrame) -> DataFrame:
-    """`df` computed once and read back from reliable storage, so a lost executor cannot change it."""
-    shared_folder(df.sparkSession)
-    return df.checkpoint(eager=True)
+def cut_lineage(df: DataFrame, label: str = "cut") -> DataFrame:
+    """`df` computed once, written to the shared folder as Parquet and read back.
+
+    Later uses read the written rows, so a lost executor can neither recompute nor change them.
+    """
+    path = fresh_path(df.sparkSession, label)
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
+def folder_exists(spark: SparkSession, path: str) -> bool:
+    """True when the path exists on its file system."""
+    folder = spark._jvm.org.apache.hadoop.fs.Path(path)
+    return folder.getFileSystem(spark._jsc.hadoopConfiguration()).exists(folder)
+
+
+def delete_folder(spark: SparkSession, path: str) -> None:
+    """Delete a folder on its file system."""
+    folder = spark._jvm.org.apache.hadoop.fs.Path(path)
+    folder.getFileSystem(spark._jsc.hadoopConfiguration()).delete(folder, True)

@@ -16,10 +16,8 @@ from __future__ import annotations
 import json
 from collections.abc import Mapping, Sequence
 from dataclasses import dataclass
-from functools import reduce
 from typing import Any
 
-from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, Observation, Row, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -27,6 +25,7 @@ from pyspark.sql import types as T
 from millrace.functions.columns import col
 from millrace.operators import layout, mutations
 from millrace.sources.schema import conform
+from millrace.sources.shared import delete_folder, folder_exists
 
 PART = "_part"
 HISTORY_SCHEMA = (
@@ -73,15 +72,12 @@ def history(spark: SparkSession, path: str, limit: int = HISTORY_ROWS) -> DataFr
 
 
 def _latest_row(spark: SparkSession, path: str, version: int | None = None) -> Row | None:
-    try:
-        rows = full_history(spark, path)
-        if version is not None:
-            rows = rows.filter(F.col("version") == version)
-        found = rows.orderBy(F.col("version").desc()).limit(1).collect()
-    except AnalysisException as error:
-        if error.getCondition() == "PATH_NOT_FOUND":
-            return None
-        raise
+    if not folder_exists(spark, _history(path)):
+        return None
+    rows = full_history(spark, path)
+    if version is not None:
+        rows = rows.filter(F.col("version") == version)
+    found = rows.orderBy(F.col("version").desc()).limit(1).collect()
     return found[0] if found else None
 
 
@@ -166,21 +162,19 @@ def _commit(
     if partition_by:
         writer = writer.partitionBy(*partition_by)
     writer.parquet(f"{_data(path)}/{PART}={number}")
-    entry = [
-        (
-            number,
-            operation,
-            json.dumps(dict(parameters), sort_keys=True),
-            int(seen.get.get("rows", 0)),
-            [*kept, number],
-            schema.json(),
-            list(partition_by),
-        )
-    ]
-    names = "version bigint, operation string, parameters string, written_rows bigint, parts array<bigint>, schema string, partition_by array<string>"
-    record = spark.createDataFrame(entry, names).withColumn("committed_at", F.current_timestamp())
-    ordered = [f.name for f in T.StructType.fromDDL(HISTORY_SCHEMA).fields]
-    record.select(*ordered).coalesce(1).write.mode("append").parquet(_history(path))
+    entry = (
+        number,
+        operation,
+        json.dumps(dict(parameters), sort_keys=True),
+        None,
+        int(seen.get.get("rows", 0)),
+        [*kept, number],
+        schema.json(),
+        list(partition_by),
+    )
+    record = spark.createDataFrame([entry], HISTORY_SCHEMA)
+    stamped = record.withColumn("committed_at", F.current_timestamp())
+    stamped.coalesce(1).write.mode("append").parquet(_history(path))
     return number
 
 
@@ -283,13 +277,7 @@ def vacuum(
     parts = sorted(r.part for r in stale_parts(spark, path, retention_hours).collect())
     if dry_run:
         return parts
-    jvm = spark._jvm
     for number in parts:
-        folder = jvm.org.apache.hadoop.fs.Path(f"{_data(path)}/{PART}={number}")
-        folder.getFileSystem(spark._jsc.hadoopConfiguration()).delete(folder, True)
+        delete_folder(spark, f"{_data(path)}/{PART}={number}")
     return parts
 
-
-def union_of(frames: Sequence[DataFrame]) -> DataFrame:
-    """Frames stacked by column name."""
-    return reduce(mutations.append_rows, frames)

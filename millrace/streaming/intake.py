@@ -27,7 +27,7 @@ def judge(lines: DataFrame) -> DataFrame:
     message = F.from_json(
         "value", MESSAGE, {"mode": "PERMISSIVE", "columnNameOfCorruptRecord": "_bad"}
     )
-    parsed = lines.select("value", message.alias("m")).select("value", "m.*").select("*", "story.*")
+    parsed = lines.select("value", message.alias("m")).select("value", "m", "m.*").select("*", "story.*")
     told = parsed.withColumn("broken", _broken_rules()).withColumn("reason", _reason())
     return told.select(
         F.when(F.col("reason").isNull(), GOOD).otherwise(REJECTED).alias("verdict"),
@@ -46,7 +46,7 @@ def _broken_rules() -> Column:
 
 def _reason() -> Column:
     return (
-        F.when(F.col("_bad").isNotNull(), "malformed_json")
+        F.when(F.col("m").isNull() | F.col("_bad").isNotNull(), "malformed_json")
         .when(
             F.coalesce(F.col("run_id"), F.lit("")).eqNullSafe("") | F.col("story").isNull(),
             "missing_fields",

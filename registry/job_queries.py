@@ -415,7 +415,7 @@ def customer_spend(spark: SparkSession, folder: str) -> DataFrame:
     sql(
         """SELECT year, month, region, round(CAST(sum(order_amount) AS DOUBLE), 2) AS total_revenue,
           count(order_id) AS order_count,
-          round(CAST(sum(order_amount) AS DOUBLE) / count(order_amount), 4) AS avg_order_value
+          CAST(sum(order_amount) AS DOUBLE) / count(order_amount) AS avg_order_value
         FROM v_orders JOIN v_customers USING (customer_id) GROUP BY ALL""",
         "orders",
         "customers",
@@ -428,8 +428,7 @@ def monthly_region_revenue(spark: SparkSession, folder: str) -> DataFrame:
     path = fresh_path(spark, "monthly")
     job = job_of(stories.monthly_region_revenue({"table": "v_placed_orders"}, {"path": path}))
     run(spark, job)
-    df = files.read(spark, Dataset(path=path))
-    return rounded(rounded(df, 2, "total_revenue"), 4, "avg_order_value")
+    return rounded(files.read(spark, Dataset(path=path)), 2, "total_revenue")
 
 
 _LINES = """v_order_lines AS (SELECT l_orderkey AS order_id, l_partkey AS product_id,

@@ -221,9 +221,29 @@ def top_one(spark: SparkSession, folder: str) -> DataFrame:
 )
 def offset_page(spark: SparkSession, folder: str) -> DataFrame:
     df = runs(spark, folder).select("run_id", "status", "submitted_at")
-    return ordering.page(
-        df, F.col("submitted_at").desc(), F.col("run_id"), limit=1000, offset=75
+    newest_first = [{"column": "submitted_at", "descending": True}, "run_id"]
+    return ordering.page(df, newest_first, limit=1000, offset=75)
+
+
+@query(
+    "o6_deep_page",
+    """SELECT l_orderkey, l_linenumber, l_partkey, l_suppkey, l_extendedprice FROM lineitem
+    ORDER BY l_extendedprice DESC, l_orderkey, l_linenumber, l_partkey, l_suppkey
+    LIMIT 100 OFFSET 30000""",
+)
+def deep_page(spark: SparkSession, folder: str) -> DataFrame:
+    df = table(spark, folder, "lineitem").select(
+        "l_orderkey", "l_linenumber", "l_partkey", "l_suppkey", "l_extendedprice"
     )
+    order = [
+        {"column": "l_extendedprice", "descending": True},
+        "l_orderkey",
+        "l_linenumber",
+        "l_partkey",
+        "l_suppkey",
+    ]
+    ranked = ordering.global_rank(df, order)
+    return ranked.filter(F.col("rank").between(30001, 30100)).drop("rank", "rank_total")
 
 
 @query(
