@@ -27,6 +27,7 @@ LARGEST_PAGE = 200
 DEEPEST_TOP_ROWS = 100_000
 
 _SLICE = "_slice"
+_GROUP = "_group"
 
 
 def sort_columns(entries: Sequence[Mapping[str, Any] | str]) -> list[Column]:
@@ -184,36 +185,29 @@ def running_total(
     own, and the sum of the earlier ranges of the group is added. Rows that tie on `order_by`
     should be settled by its last column.
     """
-    groups = [col(c) for c in partition_by]
     order = [col(c).asc() for c in order_by]
-    sliced = _in_slices(df, *[g.asc() for g in groups], *order)
-    sums = sliced.groupBy(_SLICE, *groups).agg(
+    # As a struct, NULL groups pair up in the join below, which then shares its shuffle with the
+    # window.
+    group = F.struct(*[col(c) for c in partition_by])
+    sliced = _in_slices(df, *[col(c).asc() for c in partition_by], *order).withColumn(_GROUP, group)
+    sums = sliced.groupBy(_SLICE, _GROUP).agg(
         *[F.sum(col(source)).alias(f"_sum_{name}") for name, source in totals.items()]
     )
-    earlier = Window.partitionBy(*groups).orderBy(_SLICE).rowsBetween(Window.unboundedPreceding, -1)
+    earlier = Window.partitionBy(_GROUP).orderBy(_SLICE).rowsBetween(Window.unboundedPreceding, -1)
     carried = sums.select(
         _SLICE,
-        *groups,
+        _GROUP,
         *[
             F.coalesce(F.sum(f"_sum_{name}").over(earlier), F.lit(0)).alias(f"_carry_{name}")
             for name in totals
         ],
     )
-    here = Window.partitionBy(_SLICE, *groups).orderBy(*order)
+    here = Window.partitionBy(_SLICE, _GROUP).orderBy(*order)
     upto = here.rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    return _null_safe_join(sliced, carried, [_SLICE, *partition_by]).select(
+    return sliced.join(carried, [_SLICE, _GROUP]).select(
         *[col(c) for c in df.columns],
         *[
             (F.col(f"_carry_{name}") + F.coalesce(F.sum(col(source)).over(upto), F.lit(0))).alias(name)
             for name, source in totals.items()
         ],
     )
-
-
-def _null_safe_join(left: DataFrame, right: DataFrame, keys: Sequence[str]) -> DataFrame:
-    """Inner join that also pairs NULL keys; the keys of the left side stay."""
-    renamed = right.withColumnsRenamed({k: f"_r_{k}" for k in keys})
-    condition = F.lit(True)
-    for k in keys:
-        condition = condition & col(k).eqNullSafe(col(f"_r_{k}"))
-    return left.join(renamed, condition).drop(*[f"_r_{k}" for k in keys])

@@ -91,19 +91,17 @@ def _counted_values(
             inside = inside | value.between(low, high)
             below = F.greatest(below, F.when(high < value, high))
         entries.append(
-            F.when(
-                value.isNotNull(),
-                F.struct(
-                    F.lit(c).alias("metric"),
-                    inside.alias("inside"),
-                    F.when(inside, value).otherwise(below).alias("value"),
-                ),
+            F.struct(
+                F.lit(c).alias("metric"),
+                inside.alias("inside"),  # NULL for a NULL value
+                F.when(inside, value).otherwise(below).alias("value"),
             )
         )
-    marked = df.withColumn("_ends", ends)
     return (
-        marked.select(F.explode(F.array_compact(F.array(*entries))).alias("e"))
-        .groupBy("e.metric", "e.inside", "e.value")
+        df.withColumn("_ends", ends)
+        .select(F.inline(F.array(*entries)))
+        .where(F.col("inside").isNotNull())
+        .groupBy("metric", "inside", "value")
         .agg(F.count(F.lit(1)).alias("rows"))
     )
 
