@@ -11,7 +11,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from millrace.functions.columns import col
+from millrace.functions.columns import col, quoted
 
 log = logging.getLogger(__name__)
 
@@ -121,43 +121,51 @@ def cluster_rows(
     if not order_by:
         return repartition_for_write(df, target_mb)
     keys = [col(c) for c in order_by]
-    lead = [z_value(df, order_by)] if len(order_by) > 1 else []
-    order = [*lead, *keys, row_hash(df)]
-    ranged = df.repartitionByRange(*([] if count is None else [count]), *order)
-    return ranged.sortWithinPartitions(*lead, *keys)
+    hashed = row_hash(df)
+    if len(order_by) > 1:
+        curved = with_z_value(df, order_by, "_z")
+        lead = [F.col("_z")]
+    else:
+        curved, lead = df, []
+    order = [*lead, *keys, hashed]
+    ranged = curved.repartitionByRange(*([] if count is None else [count]), *order)
+    return ranged.sortWithinPartitions(*lead, *keys).select(*[col(c) for c in df.columns])
 
 
-def z_value(df: DataFrame, names: Sequence[str], bits: int = 4) -> Column:
-    """Bits of the rank classes of the columns, interleaved.
+def with_z_value(df: DataFrame, names: Sequence[str], alias: str, bits: int = 4) -> DataFrame:
+    """Adds the interleaved bits of the rank classes of the columns.
 
     Every column is cut into 2^bits classes of about equal size. Only the class bounds, 15 numbers
     per column, come to the driver.
     """
     cuts = 2**bits
-    numbers = [_as_number(df.schema[n].dataType, col(n)) for n in names]
+    numbers = {f"_n{i}": F.expr(_as_number(df.schema[n].dataType, quoted(n))) for i, n in enumerate(names)}
+    numbered = df.withColumns(numbers)
     steps = [i / cuts for i in range(1, cuts)]
-    bounds = df.agg(
-        *[F.percentile_approx(x, steps, 1000).alias(f"b{i}") for i, x in enumerate(numbers)]
-    ).first()
-    value = F.lit(0).cast("bigint")
-    for i, number in enumerate(numbers):
-        rank = F.lit(0)
-        for bound in sorted(set(bounds[i] or [])):
-            rank = rank + F.when(number > bound, 1).otherwise(0)
-        for bit in range(bits):
-            one = F.shiftright(rank, bit).bitwiseAND(1).cast("bigint")
-            value = value.bitwiseOR(F.shiftleft(one, bit * len(names) + i))
-    return value
-
-
-def _as_number(dtype: T.DataType, value: Column) -> Column:
-    """A double in the order of the column; for text, of its first six bytes."""
+    bounds = numbered.agg(*[F.percentile_approx(n, steps, 1000).alias(n) for n in numbers]).first()
+    classes = {f"_c{i}": F.expr(_rank_class(n, bounds[n] or [])) for i, n in enumerate(numbers)}
+    spread = " | ".join(
+        f"shiftleft(bigint(shiftright({c}, {bit}) & 1), {bit * len(names) + i})"
+        for i, c in enumerate(classes)
+        for bit in range(bits)
+    )
+    return numbered.withColumns(classes).withColumn(alias, F.expr(spread)).drop(*numbers, *classes)
+
+
+def _rank_class(number: str, bounds: Sequence[float]) -> str:
+    ordered = sorted({b for b in bounds if math.isfinite(b)}, reverse=True)
+    cases = "".join(f" WHEN {number} > {b!r}D THEN {len(ordered) - i}" for i, b in enumerate(ordered))
+    return f"CASE{cases} ELSE 0 END" if cases else "0"
+
+
+def _as_number(dtype: T.DataType, name: str) -> str:
+    """SQL for a double in the order of the column; for text, of its first six bytes."""
     if isinstance(dtype, T.StringType):
-        head = F.rpad(F.hex(F.substring(F.encode(value, "UTF-8"), 1, 6)), 12, "0")
-        return F.conv(head, 16, 10).cast("double")
+        head = f"rpad(hex(substring(encode({name}, 'UTF-8'), 1, 6)), 12, '0')"
+        return f"double(conv({head}, 16, 10))"
     if isinstance(dtype, (T.DateType, T.TimestampType, T.TimestampNTZType)):
-        return F.unix_micros(value.cast("timestamp")).cast("double")
-    return value.cast("double")
+        return f"double(unix_micros(timestamp({name})))"
+    return f"double({name})"
 
 
 @contextmanager

@@ -3,12 +3,11 @@
 from __future__ import annotations
 
 from collections.abc import Mapping, Sequence
-from decimal import Decimal
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from millrace.functions.columns import col
+from millrace.functions.columns import col, quoted
 
 QUINTILES = (0.2, 0.4, 0.6, 0.8)
 
@@ -51,9 +50,9 @@ def quantile_points(
         F.sum("rows").over(by_value).alias("upto"),
         F.sum("rows").over(Window.partitionBy("metric")).alias("total"),
     )
-    return ranked.agg(
-        *[F.array(*[_point(c, p) for p in probabilities]).alias(c) for c in columns]
-    )
+    hits = ranked.withColumn("hits", F.expr(f"array({', '.join(map(_hit, probabilities))})"))
+    points = [", ".join(_point(i, j) for j in range(len(probabilities))) for i in range(len(columns))]
+    return hits.agg(*[F.expr(f"array({p})").alias(c) for p, c in zip(points, columns)])
 
 
 def _brackets(
@@ -82,49 +81,44 @@ def _counted_values(
     k = len(probabilities)
     entries = []
     for i, c in enumerate(columns):
-        value = col(c).cast("double")
-        lows = [F.col("_ends")[f"c{i}"][j] for j in range(k)]
-        highs = [F.col("_ends")[f"c{i}"][k + j] for j in range(k)]
-        inside = F.lit(False)
-        below = F.lit(None).cast("double")
-        for low, high in zip(lows, highs):
-            inside = inside | value.between(low, high)
-            below = F.greatest(below, F.when(high < value, high))
-        entries.append(
-            F.struct(
-                F.lit(c).alias("metric"),
-                inside.alias("inside"),  # NULL for a NULL value
-                F.when(inside, value).otherwise(below).alias("value"),
+        value = f"double({quoted(c)})"
+        brackets = [(f"_ends.c{i}[{j}]", f"_ends.c{i}[{k + j}]") for j in range(k)]
+        inside = " OR ".join(f"{value} BETWEEN {low} AND {high}" for low, high in brackets)
+        below = ", ".join(f"CASE WHEN {high} < {value} THEN {high} END" for _, high in brackets)
+        entries.append(  # inside is NULL for a NULL value
+            F.expr(
+                f"struct('{i}' AS metric, {inside} AS inside, CASE WHEN {inside} THEN {value}"
+                f" ELSE greatest(double(NULL), {below}) END AS value)"
             )
         )
     return (
         df.withColumn("_ends", ends)
         .select(F.inline(F.array(*entries)))
-        .where(F.col("inside").isNotNull())
+        .where("inside IS NOT NULL")
         .groupBy("metric", "inside", "value")
         .agg(F.count(F.lit(1)).alias("rows"))
     )
 
 
-def _point(column: str, probability: float) -> Column:
+def _hit(probability: float) -> str:
     # Decimal arithmetic: 0.2 * 35 must be 7, not a hair above it.
-    wanted = F.greatest(F.ceil(F.lit(Decimal(str(probability))) * F.col("total")), F.lit(1))
-    holds = (F.col("upto") >= wanted) & (F.col("upto") - F.col("rows") < wanted)
-    missed = F.raise_error(F.lit(f"quantile {probability} of {column} fell outside its bracket"))
-    found = F.when(F.col("inside"), F.col("value")).otherwise(missed.cast("double"))
-    return F.max(F.when((F.col("metric") == column) & holds, found))
+    wanted = f"greatest(ceil({probability!r}BD * total), 1)"
+    return f"upto >= {wanted} AND upto - rows < {wanted}"
+
+
+def _point(metric: int, index: int) -> str:
+    missed = f"double(raise_error('quantile {index} of column {metric} is outside its bracket'))"
+    return f"max(CASE WHEN metric = '{metric}' AND hits[{index}] THEN CASE WHEN inside THEN value ELSE {missed} END END)"
 
 
-def quantile_score(value: Column, points: Column, count: int, *, descending: bool = False) -> Column:
-    """1 for values up to the first point, and so on to count + 1 above the last one; reversed
-    when `descending`. A NULL value is below no point and so scores like the largest value."""
+def quantile_score(value: str, points: str, count: int, *, descending: bool = False) -> Column:
+    """Score of the SQL expression `value` by the array `points`: 1 up to the first point, and so
+    on to count + 1 above the last one; reversed when `descending`. A NULL value is below no point
+    and so scores like the largest value."""
     scores = range(count + 1, 0, -1) if descending else range(1, count + 2)
     *steps, last = scores
-    expression: Column | None = None
-    for i, score in enumerate(steps):
-        hit = value.cast("double") <= points[i]
-        expression = F.when(hit, score) if expression is None else expression.when(hit, score)
-    return F.lit(last) if expression is None else expression.otherwise(last)
+    cases = " ".join(f"WHEN double({value}) <= {points}[{i}] THEN {s}" for i, s in enumerate(steps))
+    return F.expr(f"CASE {cases} ELSE {last} END")
 
 
 def add_quintile_scores(
@@ -142,7 +136,7 @@ def add_quintile_scores(
     return held.withColumns(
         {
             name: quantile_score(
-                col(metric), F.col("_points")[metric], len(QUINTILES), descending=descending
+                quoted(metric), f"_points.{quoted(metric)}", len(QUINTILES), descending=descending
             )
             for name, (metric, descending) in scores.items()
         }

@@ -39,6 +39,13 @@ AUDIT_EVENTS = (
 APPROVAL_PCT = 75.0
 SENSITIVE = ("confidential", "restricted")
 
+# Patterns of the parts of a test log.
+PASSED_PATTERN = r"(\d+) passed"
+FAILED_PATTERN = r"(\d+) failed"
+ERROR_PATTERN = r"(\d+) error"
+COVERAGE_PATTERN = r"TOTAL\s+\d+\s+\d+\s+(\d+)%"
+FAILED_NAME_PATTERN = r"FAILED (.*?) -"
+
 # Class, days to the cheaper storage, that storage, days to deletion.
 RETENTION_RULES = (
     ("public", 30, "tiering", 365),
@@ -210,17 +217,15 @@ def parse_test_logs(logs: DataFrame, text: str = "log", code: str = "return_code
     as one test, so that it can never look like a success.
     """
     log = col(text)
-    failed = F.coalesce(
-        first_number(log, r"(\d+) failed"), first_number(log, r"(\d+) error"), F.lit(0)
-    ).cast("bigint")
+    none = F.lit(0).cast("bigint")
+    failed = F.coalesce(first_number(log, FAILED_PATTERN), first_number(log, ERROR_PATTERN), none)
+    coverage = first_number(log, COVERAGE_PATTERN).cast("double")
     counted = logs.withColumns(
         {
-            "passed_tests": F.coalesce(first_number(log, r"(\d+) passed"), F.lit(0)).cast("bigint"),
+            "passed_tests": F.coalesce(first_number(log, PASSED_PATTERN), none),
             "failed_tests": failed,
-            "coverage_pct": F.coalesce(
-                first_number(log, r"TOTAL\s+\d+\s+\d+\s+(\d+)%").cast("double"), F.lit(0.0)
-            ),
-            "failed_test_names": F.regexp_extract_all(log, F.lit(r"FAILED (.*?) -"), F.lit(1)),
+            "coverage_pct": F.coalesce(coverage, F.lit(0.0)),
+            "failed_test_names": F.regexp_extract_all(log, F.lit(FAILED_NAME_PATTERN), F.lit(1)),
         }
     )
     found = F.col("passed_tests") + F.col("failed_tests")

@@ -14,12 +14,17 @@ from millrace.operators import aggregates, checks, columns, joins, ordering
 from millrace.operators.layout import BROADCAST_LIMIT_MB, repartition_for_write
 from millrace.plans.spec import JobSpec, SpecError, Step, dataset_of
 from millrace.sources import files, versioned
+from millrace.sources.files import Dataset
+from millrace.sources.schema import snake_case_columns
 from millrace.sources.shared import cut_lineage
 
 StepFunction = Callable[[DataFrame, Mapping[str, Any], JobSpec], DataFrame]
 
 _STEPS: dict[str, StepFunction] = {}
 
+# Fixed value: partition columns of an output that names none, where standards are applied.
+DEFAULT_PARTITIONS = ("year", "month")
+
 
 def register_step(name: str, function: StepFunction) -> None:
     """Add a step type: a function of (DataFrame, step params, job) giving a DataFrame."""
@@ -100,7 +105,18 @@ def apply_steps(df: DataFrame, job: JobSpec) -> DataFrame:
 def build(spark: SparkSession, job: JobSpec) -> DataFrame:
     """The job's output as a lazy DataFrame; also the dry run of a job."""
     check_steps(job)
-    return apply_steps(files.read(spark, job.source), job)
+    source = files.read(spark, job.source)
+    if job.standards:
+        source = columns.trim_strings(snake_case_columns(source))
+    return apply_steps(source, job)
+
+
+def _with_default_partitions(job: JobSpec, output: DataFrame) -> Dataset:
+    """The target; by the standards an output with these columns is partitioned by them."""
+    present = set(DEFAULT_PARTITIONS) <= set(output.columns)
+    if job.standards and present and not job.target.partition_by:
+        return replace(job.target, partition_by=DEFAULT_PARTITIONS)
+    return job.target
 
 
 def rule_of(entry: Mapping[str, Any]) -> checks.RowRule:
@@ -137,16 +153,19 @@ def run(
     if job.target is None:
         raise SpecError("the job has no target; use build() for a lazy result")
     check_steps(job)
+    if job.table_operation in ("update", "delete"):
+        return _change_table(spark, job)
     rules = [rule_of(r) for r in job.rules]
     output = apply_steps(source, job) if source is not None else build(spark, job)
+    target = _with_default_partitions(job, output)
     sorted_last = bool(job.steps) and job.steps[-1].operation == "sort"
-    if job.target.partition_by and not sorted_last:
-        output = repartition_for_write(output, partition_by=job.target.partition_by)
+    if target.partition_by and not sorted_last:
+        output = repartition_for_write(output, partition_by=target.partition_by)
     seen = Observation(job.name)
     metrics = [F.count(F.lit(1)).alias("row_count")]
     metrics += [r.bad.cast("bigint").alias(f"rule_{i}") for i, r in enumerate(rules)]
     output = output.observe(seen, *metrics)
-    files.write(cut_lineage(output) if job.target.mode == "merge" else output, job.target)
+    files.write(cut_lineage(output) if target.mode == "merge" else output, target)
     found = seen.get
     row_count = int(found.get("row_count") or 0)
     report = [
@@ -159,7 +178,7 @@ def run(
         "version": job.version,
         "story_id": job.story_id,
         "source": job.source.table or job.source.path,
-        "target": job.target.table or job.target.path,
+        "target": target.table or target.path,
         "validation": {
             "row_count": row_count,
             "columns": output.columns,
@@ -177,11 +196,23 @@ def _observed(found: Mapping[str, Any], index: int, rule: checks.RowRule, row_co
     return int(value)
 
 
-def run_update(spark: SparkSession, path: str, condition: str, assignments: Mapping[str, str]) -> int:
-    """Table operation `update` of a spec."""
-    return versioned.update(spark, path, condition, assignments)
 
-
-def run_delete(spark: SparkSession, path: str, condition: str) -> int:
-    """Table operation `delete` of a spec."""
-    return versioned.delete(spark, path, condition)
+def _change_table(spark: SparkSession, job: JobSpec) -> dict[str, Any]:
+    """Table operations update and delete: `condition`, and for update `set`, of the spec."""
+    path, condition = job.target.path, job.extras.get("condition")
+    if not condition:
+        raise SpecError(f"table operation {job.table_operation} needs a condition")
+    if job.table_operation == "update":
+        if not job.extras.get("set"):
+            raise SpecError("table operation update needs set")
+        number = versioned.update(spark, path, condition, job.extras["set"])
+    else:
+        number = versioned.delete(spark, path, condition)
+    return {
+        "name": job.name,
+        "version": job.version,
+        "story_id": job.story_id,
+        "target": path,
+        "table_version": number,
+        "status": "success",
+    }

@@ -53,7 +53,12 @@ class Step:
 
 @dataclass(frozen=True)
 class JobSpec:
-    """A whole job. `rules` are acceptance checks on the output, see `plans.runner.rule_of`."""
+    """A whole job. `rules` are acceptance checks on the output, see `plans.runner.rule_of`.
+
+    `standards` applies the common rules: trimmed strings and snake_case names on read, left
+    joins and keep_first duplicates where a step does not say otherwise, partitions by year and
+    month where the target names none.
+    """
 
     name: str
     source: Dataset
@@ -96,6 +101,8 @@ def lower_step(raw: Mapping[str, Any], *, standards: bool = False) -> Step:
     if operation == "join":
         params.setdefault("how", "left" if standards else "inner")
         params["how"] = join_type(params["how"])
+    if operation == "dedupe" and params["keep"] is None:
+        params["keep"] = "keep_first" if standards or params["order_by"] else "any"
     return Step(operation, params, str(raw.get("name") or ""))
 
 
@@ -181,8 +188,8 @@ def _join(p: Mapping[str, Any]) -> dict[str, Any]:
 
 def _dedupe(p: Mapping[str, Any]) -> dict[str, Any]:
     columns = _listed(p.get("subset_cols") or p.get("columns") or p.get("column"))
-    keep = p.get("keep") or p.get("strategy") or ("keep_first" if p.get("order_by") else "any")
-    if keep not in ("any", "keep_first", "keep_last", "keep_all"):
+    keep = p.get("keep") or p.get("strategy")
+    if keep not in (None, "any", "keep_first", "keep_last", "keep_all"):
         raise SpecError(f"unknown dedupe strategy {keep!r}")
     return {"columns": columns, "keep": keep, "order_by": _listed(p.get("order_by"))}
 
@@ -257,6 +264,8 @@ def job_of(raw: Mapping[str, Any], *, standards: bool = False) -> JobSpec:
             target = replace(target, partition_by=tuple(raw["partition_columns"]))
         if operation == "merge" or any(s.operation == "upsert" for s in steps):
             target = replace(target, mode="merge", format="delta")
+        elif operation == "create":
+            target = replace(target, mode="create")
         keys = [k for s in steps if s.operation == "upsert" for k in s.params["merge_keys"]]
         if keys and not target.merge_keys:
             target = replace(target, merge_keys=tuple(keys))
@@ -298,7 +307,3 @@ def target_path(root: str, job_name: str) -> str:
     """Default place of a job's output."""
     return f"{root.rstrip('/')}/{job_name}/"
 
-
-def describe(steps: Sequence[Step]) -> list[str]:
-    """Short text per step, for logs."""
-    return [f"{s.operation}({', '.join(sorted(s.params))})" for s in steps]

@@ -76,6 +76,17 @@ def start_intake(
     )
 
 
+def failure_events(judged: DataFrame) -> DataFrame:
+    """Audit events (event_type, run_id, story_id, actor, payload) for the same requests."""
+    return judged.filter(F.col("reason").startswith("invalid_story")).select(
+        F.lit("RUN_FAILED").alias("event_type"),
+        "run_id",
+        F.col("story.id").alias("story_id"),
+        F.lit("worker").alias("actor"),
+        F.struct(F.col("reason").alias("error")).alias("payload"),
+    )
+
+
 def failed_runs(judged: DataFrame) -> DataFrame:
     """Run updates (run_id, status, error_message) for requests whose story is invalid."""
     return judged.filter(F.col("reason").startswith("invalid_story")).select(

@@ -8,14 +8,14 @@ from millrace.plans import records
 from millrace.streaming import audit, intake
 
 LOGS = [
-    ("4 passed in 1.23s", 0, (4, 0, 4, True, 0.0, [])),
-    ("3 passed, 1 failed in 2.00s", 1, (3, 1, 4, False, 0.0, [])),
-    ("4 passed in 1.23s\nTOTAL                          100     15    85%\n", 0, (4, 0, 4, True, 85.0, [])),
-    ("no tests ran", 5, (0, 0, 1, False, 0.0, [])),
-    ("ERROR collecting test_job.py\nImportError: no module", 2, (0, 0, 1, False, 0.0, [])),
+    ("7 passed in 0.41s", 0, (7, 0, 7, True, 0.0, [])),
+    ("5 passed, 2 failed in 3.10s", 1, (5, 2, 7, False, 0.0, [])),
+    ("7 passed in 0.41s\nTOTAL     640   96   85%\n", 0, (7, 0, 7, True, 85.0, [])),
+    ("nothing was run", 5, (0, 0, 1, False, 0.0, [])),
+    ("ERROR while importing job_test.py", 2, (0, 0, 1, False, 0.0, [])),
     ("2 passed, 3 errors in 1s", 1, (2, 3, 5, False, 0.0, [])),
     ("FAILED a.py::x - boom\nFAILED b.py::y - bang\n2 failed", 1, (0, 2, 2, False, 0.0, ["a.py::x", "b.py::y"])),
-    ("4 passed in 1s", 1, (4, 0, 4, False, 0.0, [])),
+    ("6 passed in 1s", 1, (6, 0, 6, False, 0.0, [])),
 ]
 
 
@@ -115,6 +115,9 @@ def test_intake_reasons(spark):
     assert got == dict(LINES)
     failed = intake.failed_runs(intake.judge(df)).collect()
     assert len(failed) == 3 and all(r.status == "FAILED" and r.run_id == "r" for r in failed)
+    events = intake.failure_events(intake.judge(df)).collect()
+    assert {(r.event_type, r.run_id) for r in events} == {("RUN_FAILED", "r")}
+    assert {r.payload.error for r in events} == {w for _, w in LINES if w and w.startswith("invalid")}
 
 
 def test_intake_stream_equals_batch_and_replays_nothing(spark, folder):

@@ -228,3 +228,39 @@ def test_right_steps_equal_summing_after_the_join(spark):
         for steps in (after, before)
     ]
     assert results[0] == results[1] == [("a", "X", 15, 2), ("b", "Y", None, 1), ("c", "Z", None, 0)]
+
+
+def test_standards(spark, folder):
+    df = spark.createDataFrame([(" a ", 1, 2020, 1), ("a", 1, 2020, 1)], "`Customer Name` string, Id int, year int, month int")
+    df.write.parquet(f"{folder}/in")
+    spark.createDataFrame([(9, "x")], "id int, extra string").write.parquet(f"{folder}/right")
+    raw = {
+        "source": f"{folder}/in",
+        "target": f"{folder}/out",
+        "transformations": [
+            {"operation": "join", "params": {"right_path": f"{folder}/right", "join_keys": ["id"]}},
+            {"operation": "dedupe", "params": {"subset_cols": ["id"]}},
+        ],
+    }
+    job = job_of(raw, standards=True)
+    assert [s.params.get("how") or s.params.get("keep") for s in job.steps] == ["left", "keep_first"]
+    runner.run(spark, job)
+    import os
+
+    assert os.path.isdir(f"{folder}/out/year=2020/month=1")
+    got = spark.read.parquet(f"{folder}/out").select("id", "customer_name", "extra")
+    assert rows(got) == [(1, "a", None)]
+
+
+def test_table_operations_of_a_spec(spark, folder):
+    spark.createDataFrame([(1, "a"), (2, "b")], "k int, v string").createOrReplaceTempView("t_ops")
+    base = {"source": {"table": "t_ops"}, "target": {"path": f"{folder}/t", "format": "delta"}}
+    runner.run(spark, job_of(base | {"delta_operation": "create"}))
+    with pytest.raises(ValueError, match="exists already"):
+        runner.run(spark, job_of(base | {"delta_operation": "create"}))
+    changed = base | {"delta_operation": "update", "condition": "k = 1", "set": {"v": "upper(v)"}}
+    assert runner.run(spark, job_of(changed))["table_version"] == 1
+    runner.run(spark, job_of(base | {"delta_operation": "delete", "condition": "k = 2"}))
+    assert rows(versioned.read(spark, f"{folder}/t")) == [(1, "A")]
+    with pytest.raises(SpecError, match="condition"):
+        runner.run(spark, job_of(base | {"delta_operation": "delete"}))
