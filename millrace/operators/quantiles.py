@@ -79,22 +79,22 @@ def _counted_values(
     """(metric, inside, value, rows): inside a bracket the value itself, outside the nearest
     bracket end below it, NULL when there is none."""
     k = len(probabilities)
-    entries = []
-    for i, c in enumerate(columns):
-        value = f"double({quoted(c)})"
-        brackets = [(f"_ends.c{i}[{j}]", f"_ends.c{i}[{k + j}]") for j in range(k)]
-        inside = " OR ".join(f"{value} BETWEEN {low} AND {high}" for low, high in brackets)
-        below = ", ".join(f"CASE WHEN {high} < {value} THEN {high} END" for _, high in brackets)
-        entries.append(  # inside is NULL for a NULL value
-            F.expr(
-                f"struct('{i}' AS metric, {inside} AS inside, CASE WHEN {inside} THEN {value}"
-                f" ELSE greatest(double(NULL), {below}) END AS value)"
-            )
-        )
+    entries = ", ".join(
+        f"struct('{i}' AS metric, double({quoted(c)}) AS value, _ends.c{i} AS ends)"
+        for i, c in enumerate(columns)
+    )
+    inside = " OR ".join(f"value BETWEEN ends[{j}] AND ends[{k + j}]" for j in range(k))
+    below = ", ".join(f"CASE WHEN ends[{k + j}] < value THEN ends[{k + j}] END" for j in range(k))
     return (
         df.withColumn("_ends", ends)
-        .select(F.inline(F.array(*entries)))
-        .where("inside IS NOT NULL")
+        .selectExpr(f"inline(array({entries}))")
+        .where("value IS NOT NULL")
+        .withColumn("inside", F.expr(inside))
+        .selectExpr(
+            "metric",
+            "inside",
+            f"CASE WHEN inside THEN value ELSE greatest(double(NULL), {below}) END AS value",
+        )
         .groupBy("metric", "inside", "value")
         .agg(F.count(F.lit(1)).alias("rows"))
     )
