@@ -27,7 +27,6 @@ LARGEST_PAGE = 200
 DEEPEST_TOP_ROWS = 100_000
 
 _SLICE = "_slice"
-_GROUP = "_group"
 
 
 def sort_columns(entries: Sequence[Mapping[str, Any] | str]) -> list[Column]:
@@ -185,29 +184,44 @@ def running_total(
     own, and the sum of the earlier ranges of the group is added. Rows that tie on `order_by`
     should be settled by its last column.
     """
+    groups = [col(c) for c in partition_by]
     order = [col(c).asc() for c in order_by]
-    # As a struct, NULL groups pair up in the join below, which then shares its shuffle with the
-    # window.
-    group = F.struct(*[col(c) for c in partition_by])
-    sliced = _in_slices(df, *[col(c).asc() for c in partition_by], *order).withColumn(_GROUP, group)
-    sums = sliced.groupBy(_SLICE, _GROUP).agg(
-        *[F.sum(col(source)).alias(f"_sum_{name}") for name, source in totals.items()]
-    )
-    earlier = Window.partitionBy(_GROUP).orderBy(_SLICE).rowsBetween(Window.unboundedPreceding, -1)
-    carried = sums.select(
-        _SLICE,
-        _GROUP,
-        *[
-            F.coalesce(F.sum(f"_sum_{name}").over(earlier), F.lit(0)).alias(f"_carry_{name}")
-            for name in totals
-        ],
-    )
-    here = Window.partitionBy(_SLICE, _GROUP).orderBy(*order)
-    upto = here.rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    return sliced.join(carried, [_SLICE, _GROUP]).select(
+    sliced = _in_slices(df, *[g.asc() for g in groups], *order)
+    upto = Window.partitionBy(_SLICE, *groups).orderBy(*order)
+    upto = upto.rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    carried = _carried_sums(sliced, partition_by, totals)
+    return _left_join_with_nulls(sliced, F.broadcast(carried), [_SLICE, *partition_by]).select(
         *[col(c) for c in df.columns],
         *[
-            (F.col(f"_carry_{name}") + F.coalesce(F.sum(col(source)).over(upto), F.lit(0))).alias(name)
+            (F.coalesce(f"_carry_{name}", F.lit(0)) + F.coalesce(F.sum(col(source)).over(upto), F.lit(0))).alias(name)
             for name, source in totals.items()
         ],
     )
+
+
+def _carried_sums(
+    sliced: DataFrame, partition_by: Sequence[str], totals: Mapping[str, str]
+) -> DataFrame:
+    """Per range and group the sums of the group in earlier ranges, only for groups that lie in
+    several ranges. Those are the first and the last group of a range, so there are at most two
+    rows per range."""
+    groups = [col(c) for c in partition_by]
+    sums = sliced.groupBy(_SLICE, *groups).agg(
+        *[F.sum(col(source)).alias(f"_sum_{name}") for name, source in totals.items()]
+    )
+    cut = sums.withColumn("_ranges", F.count(_SLICE).over(Window.partitionBy(*groups)))
+    earlier = Window.partitionBy(*groups).orderBy(_SLICE).rowsBetween(Window.unboundedPreceding, -1)
+    return cut.where("_ranges > 1").select(
+        _SLICE,
+        *groups,
+        *[F.sum(f"_sum_{name}").over(earlier).alias(f"_carry_{name}") for name in totals],
+    )
+
+
+def _left_join_with_nulls(left: DataFrame, right: DataFrame, keys: Sequence[str]) -> DataFrame:
+    """Left join that also pairs NULL keys; the keys of the left side stay."""
+    renamed = right.withColumnsRenamed({k: f"_r_{k}" for k in keys})
+    condition = F.lit(True)
+    for k in keys:
+        condition = condition & col(k).eqNullSafe(col(f"_r_{k}"))
+    return left.join(renamed, condition, "left").drop(*[f"_r_{k}" for k in keys])

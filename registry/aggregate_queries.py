@@ -15,6 +15,7 @@ from registry.views import (
     REFERENCE_DATE,
     campaigns,
     customers,
+    dates_as_text,
     items,
     orders,
     place,
@@ -32,7 +33,7 @@ from registry.views import (
           count(DISTINCT customer_id) AS customers,
           round(CAST(sum(order_amount) AS DOUBLE), 2) AS revenue,
           round(CAST(sum(order_amount) AS DOUBLE) / count(order_amount), 4) AS mean_amount,
-          min(order_date) AS first_day, max(order_date) AS last_day
+          CAST(min(order_date) AS VARCHAR) AS first_day, CAST(max(order_date) AS VARCHAR) AS last_day
         FROM v_orders GROUP BY ALL""",
         "orders",
     ),
@@ -55,7 +56,9 @@ def aggregate_step(spark: SparkSession, folder: str) -> DataFrame:
         },
     }
     df = build(spark, job_of({"source": place("orders"), "transformations": [step]}))
-    return rounded(rounded(df, 2, "revenue"), 4, "mean_amount")
+    return dates_as_text(
+        rounded(rounded(df, 2, "revenue"), 4, "mean_amount"), "first_day", "last_day"
+    )
 
 
 @query(

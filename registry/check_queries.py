@@ -32,13 +32,14 @@ def _row(name: str, observed: str, expected: str = "0", passed: str | None = Non
 @query(
     "v1_output_summary",
     sql(
-        "SELECT count(*) AS row_count, ['customer_id', 'country', 'region'] AS columns, "
+        "SELECT count(*) AS row_count, 'customer_id,country,region' AS columns, "
         "CASE WHEN count(*) > 0 THEN 'ok' ELSE 'warning_empty' END AS status FROM v_customers",
         "customers",
     ),
 )
 def output_summary(spark: SparkSession, folder: str) -> DataFrame:
-    return checks.summary(customers(spark, folder).select("customer_id", "country", "region"))
+    shown = checks.summary(customers(spark, folder).select("customer_id", "country", "region"))
+    return shown.withColumn("columns", F.array_join("columns", ","))
 
 
 @query(

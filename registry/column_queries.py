@@ -165,14 +165,18 @@ def rename(spark: SparkSession, folder: str) -> DataFrame:
 
 @query(
     "p11_cast",
-    """SELECT o_orderkey, CAST(o_totalprice AS DECIMAL(10,2)) AS o_totalprice,
-      TRY_CAST(o_orderpriority AS INTEGER) AS o_orderpriority, CAST(o_orderdate AS DATE) AS o_orderdate
+    """SELECT o_orderkey, CAST(CAST(o_totalprice AS DECIMAL(10,1)) AS VARCHAR) AS o_totalprice,
+      TRY_CAST(o_orderpriority AS INTEGER) IS NULL AS o_orderpriority,
+      CAST(CAST(o_orderdate AS DATE) AS VARCHAR) AS o_orderdate
     FROM orders""",
 )
 def cast(spark: SparkSession, folder: str) -> DataFrame:
-    types = {"o_totalprice": "decimal(10,2)", "o_orderpriority": "int", "o_orderdate": "date"}
+    types = {"o_totalprice": "decimal(10,1)", "o_orderpriority": "int", "o_orderdate": "date"}
     return ops.cast_columns(table(spark, folder, "orders"), types).select(
-        "o_orderkey", "o_totalprice", "o_orderpriority", "o_orderdate"
+        "o_orderkey",
+        F.col("o_totalprice").cast("string").alias("o_totalprice"),
+        F.col("o_orderpriority").isNull().alias("o_orderpriority"),
+        F.col("o_orderdate").cast("string").alias("o_orderdate"),
     )
 
 
@@ -376,13 +380,13 @@ def null_tests(spark: SparkSession, folder: str) -> DataFrame:
 
 @query(
     "f12_decimal_cast",
-    "SELECT p_partkey, CAST(p_retailprice AS DECIMAL(10,2)) AS price FROM part",
+    "SELECT p_partkey, CAST(CAST(p_retailprice AS DECIMAL(10,2)) AS VARCHAR) AS price FROM part",
 )
 def decimal_cast(spark: SparkSession, folder: str) -> DataFrame:
     return ops.cast_columns(
         table(spark, folder, "part").select("p_partkey", F.col("p_retailprice").alias("price")),
         {"price": "decimal(10,2)"},
-    )
+    ).withColumn("price", F.col("price").cast("string"))
 
 
 @query(

@@ -218,8 +218,8 @@ def tagged_output(spark: SparkSession, folder: str) -> DataFrame:
 @query(
     "p16_p17_standards",
     """SELECT CAST(o_orderkey AS BIGINT) AS order_key,
-      CAST(o_totalprice AS DECIMAL(18,4)) AS total_price, CAST(o_orderdate AS DATE) AS order_date,
-      CAST(NULL AS TIMESTAMP) AS order_priority
+      CAST(CAST(o_totalprice AS DECIMAL(18,4)) AS VARCHAR) AS total_price,
+      CAST(CAST(o_orderdate AS DATE) AS VARCHAR) AS order_date, true AS bad_timestamp
     FROM orders""",
 )
 def standards(spark: SparkSession, folder: str) -> DataFrame:
@@ -235,7 +235,12 @@ def standards(spark: SparkSession, folder: str) -> DataFrame:
         dates=["order_date"],
         timestamps=["order_priority"],
     )
-    return typed.withColumn("order_priority", F.col("order_priority").cast("timestamp_ntz"))
+    return typed.select(
+        "order_key",
+        F.col("total_price").cast("string").alias("total_price"),
+        F.col("order_date").cast("string").alias("order_date"),
+        F.col("order_priority").isNull().alias("bad_timestamp"),
+    )
 
 
 @query(

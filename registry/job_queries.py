@@ -16,6 +16,7 @@ from registry.views import (
     REFERENCE_DATE,
     campaigns,
     customers,
+    dates_as_text,
     items,
     orders,
     payments,
@@ -516,7 +517,8 @@ def order_frequency(spark: SparkSession, folder: str) -> DataFrame:
 @query(
     "n20_delivered_orders",
     sql(
-        """SELECT order_id, customer_id, order_status, order_date FROM v_orders
+        """SELECT order_id, customer_id, order_status, CAST(order_date AS VARCHAR) AS order_date
+        FROM v_orders
         WHERE order_status = 'delivered' AND order_id IS NOT NULL""",
         "orders",
     ),
@@ -524,7 +526,7 @@ def order_frequency(spark: SparkSession, folder: str) -> DataFrame:
 def delivered_orders(spark: SparkSession, folder: str) -> DataFrame:
     register(spark, folder, "orders")
     df = build(spark, job_of(stories.delivered_orders(place("orders"))))
-    return df.select("order_id", "customer_id", "order_status", "order_date")
+    return dates_as_text(df.select("order_id", "customer_id", "order_status", "order_date"), "order_date")
 
 
 @query(
@@ -594,7 +596,7 @@ def monthly_revenue_english(spark: SparkSession, folder: str) -> DataFrame:
 @query(
     "n24_rfm_story",
     sql(
-        f"""{_RFM}, last AS (SELECT customer_id, max(order_date) AS last_order_date FROM v_orders
+        f"""{_RFM}, last AS (SELECT customer_id, CAST(max(order_date) AS VARCHAR) AS last_order_date FROM v_orders
           GROUP BY 1) SELECT {_RFM_SHOW}, last_order_date FROM rfm JOIN last USING (customer_id)""",
         "orders",
     ),
@@ -602,7 +604,7 @@ def monthly_revenue_english(spark: SparkSession, folder: str) -> DataFrame:
 def rfm_story(spark: SparkSession, folder: str) -> DataFrame:
     register(spark, folder, "orders")
     job = job_of(stories.rfm_story(place("orders"), reference_date=REFERENCE_DATE))
-    return rounded(build(spark, job), 2, "monetary")
+    return dates_as_text(rounded(build(spark, job), 2, "monetary"), "last_order_date")
 
 
 @query(

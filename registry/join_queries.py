@@ -62,9 +62,9 @@ _SIDES = """
     FROM l RIGHT JOIN r USING (k)
   UNION ALL SELECT 'full', count(*), count(c_nationkey), round(CAST(sum(spent) AS DOUBLE), 2)
     FROM l FULL JOIN r USING (k)
-  UNION ALL SELECT 'left_semi', count(*), count(c_nationkey), NULL
+  UNION ALL SELECT 'left_semi', count(*), count(c_nationkey), 0.0
     FROM l WHERE k IN (SELECT k FROM r)
-  UNION ALL SELECT 'left_anti', count(*), count(c_nationkey), NULL
+  UNION ALL SELECT 'left_anti', count(*), count(c_nationkey), 0.0
     FROM l WHERE k NOT IN (SELECT k FROM r)""",
 )
 def join_types(spark: SparkSession, folder: str) -> DataFrame:
@@ -82,7 +82,7 @@ def join_types(spark: SparkSession, folder: str) -> DataFrame:
     results = []
     for kind in joins.JOIN_TYPES:
         joined = joins.equi_join(left, right, ["k"], kind)
-        spent = F.sum("spent") if "spent" in joined.columns else F.lit(None)
+        spent = F.sum("spent") if "spent" in joined.columns else F.lit(0)
         results.append(
             joined.agg(
                 F.count(F.lit(1)).alias("rows"),

@@ -14,6 +14,7 @@ from registry.views import (
     REFERENCE_DATE,
     calls,
     customers,
+    dates_as_text,
     items,
     orders,
     place,
@@ -56,7 +57,8 @@ def _dedupe_sql(direction: str) -> str:
         for c in ("ship_date", "seller_id", "price", "freight_value", "qty", "return_flag")
     )
     return sql(
-        f"""SELECT order_id, product_id, order_item_id, seller_id, qty, ship_date FROM (
+        f"""SELECT order_id, product_id, order_item_id, seller_id, qty,
+          CAST(ship_date AS VARCHAR) AS ship_date FROM (
           SELECT *, row_number() OVER (PARTITION BY order_id, product_id
             ORDER BY order_item_id {direction}, {tie}) AS n FROM v_items) WHERE n = 1""",
         "items",
@@ -76,7 +78,8 @@ def _kept(spark: SparkSession, folder: str, strategy: str) -> DataFrame:
         "return_flag",
     )
     kept = ordering.dedupe(df, ["order_id", "product_id"], ["order_item_id"], strategy)
-    return kept.select("order_id", "product_id", "order_item_id", "seller_id", "qty", "ship_date")
+    shown = kept.select("order_id", "product_id", "order_item_id", "seller_id", "qty", "ship_date")
+    return dates_as_text(shown, "ship_date")
 
 
 @query("w2_keep_first", _dedupe_sql("ASC"))
@@ -161,8 +164,9 @@ def global_order(spark: SparkSession, folder: str) -> DataFrame:
 @query(
     "o3_multi_key_sort",
     sql(
-        """SELECT order_id, round(CAST(order_amount AS DOUBLE), 2) AS total, order_date FROM v_orders
-        ORDER BY order_amount DESC, order_date DESC, order_id""",
+        """SELECT order_id, round(CAST(order_amount AS DOUBLE), 2) AS total,
+          CAST(order_date AS VARCHAR) AS order_date FROM v_orders
+        ORDER BY order_amount DESC, v_orders.order_date DESC, order_id""",
         "orders",
     ),
 )
@@ -173,7 +177,7 @@ def multi_key_sort(spark: SparkSession, folder: str) -> DataFrame:
         {"column": "order_date", "descending": True},
         "order_id",
     ]
-    return rounded(ordering.sort_rows(df, keys), 2, "total")
+    return dates_as_text(rounded(ordering.sort_rows(df, keys), 2, "total"), "order_date")
 
 
 @query(

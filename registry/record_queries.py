@@ -163,7 +163,6 @@ def retention_plan(spark: SparkSession, folder: str) -> DataFrame:
     return records.retention_plan(objects, REFERENCE_DATE)
 
 
-_COUNTS = """SELECT user_id, CAST(ts AS DATE) AS day, event_type FROM events"""
 _LOGS = """counts AS (SELECT user_id, CAST(ts AS DATE) AS day,
     count(*) FILTER (event_type IN ('view', 'click')) AS good,
     count(*) FILTER (event_type = 'error') AS bad,
@@ -173,7 +172,7 @@ _LOGS = """counts AS (SELECT user_id, CAST(ts AS DATE) AS day,
 
 @query(
     "g8_test_logs",
-    f"""WITH {_LOGS} SELECT user_id, day, good AS passed_tests,
+    f"""WITH {_LOGS} SELECT user_id, CAST(day AS VARCHAR) AS day, good AS passed_tests,
       CASE WHEN bad > 0 THEN bad ELSE broken END AS failed_tests,
       greatest(good + CASE WHEN bad > 0 THEN bad ELSE broken END, 1) AS total_tests,
       CAST(80 + covered AS DOUBLE) AS coverage_pct, bad + broken = 0 AND good > 0 AS passed,
@@ -207,7 +206,7 @@ def test_logs(spark: SparkSession, folder: str) -> DataFrame:
     )
     logs = counts.select(
         "user_id",
-        "day",
+        F.col("day").cast("string").alias("day"),
         F.concat_ws("\n", named, coverage, F.concat(head, F.lit(" in 2.00s"))).alias("log"),
         F.when(F.col("bad") + F.col("broken") > 0, 1).otherwise(0).alias("return_code"),
     )

@@ -157,7 +157,7 @@ def merge_update_columns(spark: SparkSession, folder: str) -> DataFrame:
     sql(
         f"""WITH {_TARGET.replace('SELECT order_id,', "SELECT CASE WHEN priority <> '2-HIGH' THEN order_id END AS order_id,")},
         {_SOURCE.replace('SELECT order_id,', "SELECT CASE WHEN priority <> '3-MEDIUM' THEN order_id END AS order_id,")}
-        SELECT {_SHOW} FROM (
+        SELECT {_SHOW.replace('order_id,', 'coalesce(order_id, -1) AS order_id,', 1)} FROM (
           SELECT t.order_id, coalesce(s.customer_id, t.customer_id) AS customer_id,
             coalesce(s.status, t.status) AS status, coalesce(s.amount, t.amount) AS amount,
             CASE WHEN s.order_id IS NOT NULL THEN s.priority ELSE t.priority END AS priority
@@ -187,7 +187,7 @@ def merge_null_keys(spark: SparkSession, folder: str) -> DataFrame:
         shaped(source, "status <> 'P'", doubled, "1-URGENT"),
         ["order_id"],
     )
-    return _shown(merged)
+    return _shown(merged.withColumn("order_id", F.coalesce("order_id", F.lit(-1))))
 
 
 @query("t4d_merge_delete_unmatched", _sql(f"SELECT {_SHOW} FROM s"))

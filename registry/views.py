@@ -27,6 +27,11 @@ def rounded(df: DataFrame, digits: int = 2, *names: str) -> DataFrame:
     return df.withColumns({n: F.round(F.col(n).cast("double"), digits) for n in names})
 
 
+def dates_as_text(df: DataFrame, *names: str) -> DataFrame:
+    """The named dates as ISO text, which every engine hands over alike."""
+    return df.withColumns({n: F.col(n).cast("date").cast("string") for n in names})
+
+
 def customers(spark: SparkSession, folder: str) -> DataFrame:
     nations = table(spark, folder, "nation").join(
         table(spark, folder, "region"), F.col("n_regionkey") == F.col("r_regionkey")
