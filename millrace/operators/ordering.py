@@ -190,12 +190,14 @@ def running_total(
     upto = Window.partitionBy(_SLICE, *groups).orderBy(*order)
     upto = upto.rowsBetween(Window.unboundedPreceding, Window.currentRow)
     carried = _carried_sums(sliced, partition_by, totals)
-    return _left_join_with_nulls(sliced, F.broadcast(carried), [_SLICE, *partition_by]).select(
-        *[col(c) for c in df.columns],
-        *[
-            (F.coalesce(f"_carry_{name}", F.lit(0)) + F.coalesce(F.sum(col(source)).over(upto), F.lit(0))).alias(name)
-            for name, source in totals.items()
-        ],
+    joined = _left_join_with_nulls(sliced, F.broadcast(carried), [_SLICE, *partition_by])
+
+    def total(name: str, source: str) -> Column:
+        before = F.coalesce(F.col(f"_carry_{name}"), F.lit(0))
+        return (before + F.coalesce(F.sum(col(source)).over(upto), F.lit(0))).alias(name)
+
+    return joined.select(
+        *[col(c) for c in df.columns], *[total(name, source) for name, source in totals.items()]
     )
 
 

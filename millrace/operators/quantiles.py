@@ -108,7 +108,8 @@ def _hit(probability: float) -> str:
 
 def _point(metric: int, index: int) -> str:
     missed = f"double(raise_error('quantile {index} of column {metric} is outside its bracket'))"
-    return f"max(CASE WHEN metric = '{metric}' AND hits[{index}] THEN CASE WHEN inside THEN value ELSE {missed} END END)"
+    found = f"CASE WHEN inside THEN value ELSE {missed} END"
+    return f"max(CASE WHEN metric = '{metric}' AND hits[{index}] THEN {found} END)"
 
 
 def quantile_score(value: str, points: str, count: int, *, descending: bool = False) -> Column:

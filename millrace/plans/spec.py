@@ -10,7 +10,7 @@ A step may be written in three ways, which all become one `Step`:
 from __future__ import annotations
 
 import re
-from collections.abc import Mapping, Sequence
+from collections.abc import Mapping
 from dataclasses import dataclass, field, replace
 from typing import Any
 
@@ -35,7 +35,9 @@ OPERATIONS = (
 TABLE_OPERATIONS = ("create", "overwrite", "merge", "update", "delete")
 
 _META = ("operation", "name", "description", "params", "config")
-_COMPARISON = re.compile(r"^(==|=|!=|<>|<=>|<=|>=|<|>|like\b|rlike\b|in\b|not\b|between\b|is\b)", re.IGNORECASE)
+_COMPARISON = re.compile(
+    r"^(==|=|!=|<>|<=>|<=|>=|<|>|like\b|rlike\b|in\b|not\b|between\b|is\b)", re.IGNORECASE
+)
 
 
 class SpecError(ValueError):

@@ -35,8 +35,8 @@ def _spec(spark: SparkSession, folder: str, view: str, *steps: dict) -> DataFram
 @query(
     "p1_filter_condition",
     sql(
-        """SELECT order_id, order_amount FROM v_orders
-        WHERE order_amount > 250000 AND priority LIKE '1%'""",
+        """SELECT order_id, round(CAST(order_amount AS DOUBLE), 2) AS order_amount FROM v_orders
+        WHERE v_orders.order_amount > 250000 AND priority LIKE '1%'""",
         "orders",
     ),
 )
@@ -45,7 +45,8 @@ def filter_condition(spark: SparkSession, folder: str) -> DataFrame:
         "operation": "filter",
         "params": {"condition": "order_amount > 250000 AND priority LIKE '1%'"},
     }
-    return _spec(spark, folder, "orders", step).select("order_id", "order_amount")
+    df = _spec(spark, folder, "orders", step).select("order_id", "order_amount")
+    return rounded(df, 2, "order_amount")
 
 
 @query(
@@ -231,8 +232,8 @@ def string_trim(spark: SparkSession, folder: str) -> DataFrame:
 @query(
     "p18_custom_step",
     sql(
-        """SELECT order_id, order_amount FROM v_orders
-        WHERE order_amount BETWEEN 1000 AND 200000""",
+        """SELECT order_id, round(CAST(order_amount AS DOUBLE), 2) AS order_amount FROM v_orders
+        WHERE v_orders.order_amount BETWEEN 1000 AND 200000""",
         "orders",
     ),
 )
@@ -244,7 +245,8 @@ def custom_step(spark: SparkSession, folder: str) -> DataFrame:
         "operation": "keep_between",
         "params": {"column": "order_amount", "low": 1000, "high": 200000},
     }
-    return _spec(spark, folder, "orders", step).select("order_id", "order_amount")
+    df = _spec(spark, folder, "orders", step).select("order_id", "order_amount")
+    return rounded(df, 2, "order_amount")
 
 
 @query(

@@ -164,7 +164,8 @@ def star_join(spark: SparkSession, folder: str) -> DataFrame:
         "left",
     )
     per_order = sold.groupBy("order_id", "product_category_name").agg(F.count(F.lit(1)).alias("items"))
-    joined = orders(spark, folder).select("order_id", "year").join(paid, "order_id").join(per_order, "order_id")
+    bought = orders(spark, folder).select("order_id", "year")
+    joined = bought.join(paid, "order_id").join(per_order, "order_id")
     return rounded(
         joined.groupBy("year", "product_category_name").agg(
             F.sum(F.col("payments") * F.col("items")).alias("rows"),
@@ -277,10 +278,10 @@ def reconciled(spark: SparkSession, folder: str) -> DataFrame:
     "j5_campaign_orders",
     sql(
         """SELECT campaign_id, coalesce(order_count, 0) AS order_count,
-          coalesce(round(CAST(revenue AS DOUBLE), 2), 0) AS order_revenue
+          coalesce(round(CAST(o.revenue AS DOUBLE), 2), 0) AS order_revenue
         FROM v_campaigns LEFT JOIN (SELECT campaign_id, count(order_id) AS order_count,
             sum(order_amount) AS revenue FROM v_orders WHERE contains(product_family, '_3')
-            GROUP BY 1) o USING (campaign_id)""".replace("coalesce(round(CAST(revenue", "coalesce(round(CAST(o.revenue"),
+            GROUP BY 1) o USING (campaign_id)""",
         "campaigns",
         "orders",
     ),

@@ -152,12 +152,17 @@ def merge_update_columns(spark: SparkSession, folder: str) -> DataFrame:
     )
 
 
+def _hide_key(text: str, priority: str) -> str:
+    """The view text with the key missing where the order has the priority."""
+    key = f"CASE WHEN priority <> '{priority}' THEN order_id END AS order_id,"
+    return text.replace("SELECT order_id,", f"SELECT {key}")
+
+
 @query(
     "t4c_merge_null_keys",
     sql(
-        f"""WITH {_TARGET.replace('SELECT order_id,', "SELECT CASE WHEN priority <> '2-HIGH' THEN order_id END AS order_id,")},
-        {_SOURCE.replace('SELECT order_id,', "SELECT CASE WHEN priority <> '3-MEDIUM' THEN order_id END AS order_id,")}
-        SELECT {_SHOW.replace('order_id,', 'coalesce(order_id, -1) AS order_id,', 1)} FROM (
+        f"""WITH {_hide_key(_TARGET, "2-HIGH")}, {_hide_key(_SOURCE, "3-MEDIUM")}
+        SELECT coalesce(order_id, -1) AS order_id, {_SHOW.removeprefix("order_id, ")} FROM (
           SELECT t.order_id, coalesce(s.customer_id, t.customer_id) AS customer_id,
             coalesce(s.status, t.status) AS status, coalesce(s.amount, t.amount) AS amount,
             CASE WHEN s.order_id IS NOT NULL THEN s.priority ELSE t.priority END AS priority
