@@ -5,7 +5,7 @@ from __future__ import annotations
 from collections.abc import Iterable, Mapping, Sequence
 from typing import Any
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -108,16 +108,26 @@ def discover_tables(
 
 
 def conform(df: DataFrame, schema: T.StructType) -> DataFrame:
-    """`df` with exactly the columns of `schema`: missing ones NULL, others dropped, types cast."""
+    """`df` with exactly the columns of `schema`: missing ones NULL, others dropped, types cast.
+
+    A value that does not fit the type of its column raises, it is not turned into NULL.
+    """
     present = set(df.columns)
-    return df.select(
-        *[
-            (col(f.name).try_cast(f.dataType) if f.name in present else F.lit(None).cast(f.dataType)).alias(
-                f.name
-            )
-            for f in schema.fields
-        ]
-    )
+
+    def fitted(field: T.StructField) -> Column:
+        if field.name not in present:
+            return F.lit(None).cast(field.dataType).alias(field.name)
+        value = col(field.name)
+        if df.schema[field.name].dataType == field.dataType:
+            return value
+        tried = value.try_cast(field.dataType)
+        complaint = F.concat(F.lit(f"column {field.name}: cannot store "), value.cast("string"))
+        checked = F.when(
+            value.isNotNull() & tried.isNull(), F.raise_error(complaint).cast(field.dataType)
+        )
+        return checked.otherwise(tried).alias(field.name)
+
+    return df.select(*[fitted(f) for f in schema.fields])
 
 
 def merge_schemas(frames: Sequence[DataFrame]) -> DataFrame:

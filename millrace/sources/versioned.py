@@ -5,17 +5,18 @@ Layout below the table path:
     data/_part=N/...   the rows written by version N
     history/           one row per version: operation, schema and the parts that make it up
 
-A version is a list of parts. Appending writes only the new rows and lists the old parts
-again; every other change writes the whole new state as one part. A version exists once its
-history row does, so a job that dies half-way leaves the table as it was. One writer at a time:
-there is no commit protocol between concurrent writers.
+A version is a list of parts. Appending writes only the new rows and lists the old parts again.
+Update, delete and merge find the parts that hold a row they change and write those anew as one
+part; the other parts are listed again. A version exists once its history row does, so a job that
+dies half-way leaves the table as it was. One writer at a time: there is no commit protocol between
+concurrent writers.
 """
 
 from __future__ import annotations
 
 import json
-from collections.abc import Mapping, Sequence
-from dataclasses import dataclass
+from collections.abc import Callable, Mapping, Sequence
+from dataclasses import dataclass, replace
 from typing import Any
 
 from pyspark.sql import DataFrame, Observation, Row, SparkSession
@@ -97,18 +98,24 @@ def version_of(spark: SparkSession, path: str, version: int | None = None) -> Ve
 
 def read(spark: SparkSession, path: str, version: int | None = None) -> DataFrame:
     """The rows of a version, by default the latest."""
-    return _read_version(spark, path, version_of(spark, path, version))
+    found = version_of(spark, path, version)
+    return _rows(spark, path, found, found.parts).drop(PART)
 
 
-def _read_version(spark: SparkSession, path: str, found: Version) -> DataFrame:
-    base = _data(path)
+def _rows(spark: SparkSession, path: str, found: Version, parts: Sequence[int]) -> DataFrame:
+    """Rows of some parts of a version with the part number as last column."""
     stored = T.StructType([*found.schema.fields, T.StructField(PART, T.LongType())])
-    return (
-        spark.read.schema(stored)
-        .option("basePath", base)
-        .parquet(*[f"{base}/{PART}={n}" for n in found.parts])
-        .select(*[col(f.name) for f in found.schema.fields])
-    )
+    if not parts:
+        return spark.createDataFrame([], stored)
+    base = _data(path)
+    reader = spark.read.schema(stored).option("basePath", base)
+    rows = reader.parquet(*[f"{base}/{PART}={n}" for n in parts])
+    return rows.select(*[col(f.name) for f in stored.fields])
+
+
+def _parts_of(rows: DataFrame) -> tuple[int, ...]:
+    """Part numbers that occur; at most one number per version comes to the driver."""
+    return tuple(r[0] for r in rows.select(PART).distinct().collect())
 
 
 def write(
@@ -134,6 +141,8 @@ def write(
         return _commit(df, path, 0, (), mode.upper(), {}, tuple(partition_by))
     current = version_of(spark, path, row.version)
     partitions = tuple(partition_by) or current.partition_by
+    if mode == "append" and partitions != current.partition_by:
+        raise ValueError(f"the table is partitioned by {current.partition_by}")
     if not overwrite_schema or mode == "append":
         df = conform(df, _merged_schema(current.schema, df.schema))
     kept = current.parts if mode == "append" else ()
@@ -149,52 +158,101 @@ def _commit(
     df: DataFrame,
     path: str,
     number: int,
-    kept: tuple[int, ...],
+    kept: Sequence[int],
     operation: str,
     parameters: Mapping[str, Any],
     partition_by: tuple[str, ...],
 ) -> int:
-    spark = df.sparkSession
+    """Write `df` as the part of a new version that also has the kept parts."""
     seen = Observation()
-    schema = T.StructType([T.StructField(f.name, f.dataType, True) for f in df.schema.fields])
     observed = df.observe(seen, F.count(F.lit(1)).alias("rows"))
     writer = observed.write.mode("overwrite")
     if partition_by:
         writer = writer.partitionBy(*partition_by)
     writer.parquet(f"{_data(path)}/{PART}={number}")
+    written = int(seen.get.get("rows", 0))
+    schema = T.StructType([T.StructField(f.name, f.dataType, True) for f in df.schema.fields])
+    found = Version(number, (*kept, number), schema, partition_by)
+    return _record(df.sparkSession, path, found, operation, parameters, written)
+
+
+def _record(
+    spark: SparkSession,
+    path: str,
+    found: Version,
+    operation: str,
+    parameters: Mapping[str, Any],
+    written: int,
+) -> int:
     entry = (
-        number,
+        found.number,
         operation,
         json.dumps(dict(parameters), sort_keys=True),
         None,
-        int(seen.get.get("rows", 0)),
-        [*kept, number],
-        schema.json(),
-        list(partition_by),
+        written,
+        list(found.parts),
+        found.schema.json(),
+        list(found.partition_by),
     )
     record = spark.createDataFrame([entry], HISTORY_SCHEMA)
     stamped = record.withColumn("committed_at", F.current_timestamp())
     stamped.coalesce(1).write.mode("append").parquet(_history(path))
-    return number
+    return found.number
 
 
-def _rewrite(
-    spark: SparkSession, path: str, df: DataFrame, operation: str, parameters: Mapping[str, Any]
+def _change_parts(
+    spark: SparkSession,
+    path: str,
+    current: Version,
+    touched: Sequence[int],
+    change: Callable[[DataFrame], DataFrame],
+    operation: str,
+    parameters: Mapping[str, Any],
+    *,
+    adds_rows: bool = False,
 ) -> int:
-    current = version_of(spark, path)
-    return _commit(df, path, current.number + 1, (), operation, parameters, current.partition_by)
+    """New version with the touched parts changed and the others as they are."""
+    number = current.number + 1
+    kept = [n for n in current.parts if n not in touched]
+    if not touched and not adds_rows:
+        unchanged = replace(current, number=number)
+        return _record(spark, path, unchanged, operation, parameters, 0)
+    changed = change(_rows(spark, path, current, touched).drop(PART))
+    return _commit(changed, path, number, kept, operation, parameters, current.partition_by)
+
+
+def _touched_by(spark: SparkSession, path: str, current: Version, condition: str) -> Sequence[int]:
+    if len(current.parts) == 1:
+        return current.parts
+    return _parts_of(_rows(spark, path, current, current.parts).where(condition))
 
 
 def update(spark: SparkSession, path: str, condition: str, assignments: Mapping[str, str]) -> int:
     """New version with the assignments applied where the condition is true."""
-    changed = mutations.update_where(read(spark, path), condition, assignments)
-    return _rewrite(spark, path, changed, "UPDATE", {"condition": condition, "set": dict(assignments)})
+    current = version_of(spark, path)
+    return _change_parts(
+        spark,
+        path,
+        current,
+        _touched_by(spark, path, current, condition),
+        lambda rows: mutations.update_where(rows, condition, assignments),
+        "UPDATE",
+        {"condition": condition, "set": dict(assignments)},
+    )
 
 
 def delete(spark: SparkSession, path: str, condition: str) -> int:
     """New version without the rows where the condition is true."""
-    kept = mutations.delete_where(read(spark, path), condition)
-    return _rewrite(spark, path, kept, "DELETE", {"condition": condition})
+    current = version_of(spark, path)
+    return _change_parts(
+        spark,
+        path,
+        current,
+        _touched_by(spark, path, current, condition),
+        lambda rows: mutations.delete_where(rows, condition),
+        "DELETE",
+        {"condition": condition},
+    )
 
 
 def merge(
@@ -224,17 +282,31 @@ def merge(
         "insert_all": insert_all,
         "delete_unmatched": delete_unmatched,
     }
-    merged = mutations.merge_rows(
-        read(spark, path),
-        source,
-        keys,
-        update_columns=update_columns,
-        insert_all=insert_all,
-        delete_unmatched=delete_unmatched,
-        evolve=evolve,
-        keep_old_when_null=keep_old_when_null,
+    current = version_of(spark, path)
+    touched = current.parts
+    if len(touched) > 1 and not delete_unmatched:
+        held = _rows(spark, path, current, current.parts).select(*keys, PART)
+        touched = _parts_of(held.join(source.select(*keys), list(keys), "left_semi"))
+    number = _change_parts(
+        spark,
+        path,
+        current,
+        touched,
+        lambda rows: mutations.merge_rows(
+            rows,
+            source,
+            keys,
+            update_columns=update_columns,
+            insert_all=insert_all,
+            delete_unmatched=delete_unmatched,
+            evolve=evolve,
+            keep_old_when_null=keep_old_when_null,
+        ),
+        "MERGE",
+        result,
+        adds_rows=insert_all,
     )
-    return result | {"version": _rewrite(spark, path, merged, "MERGE", result)}
+    return result | {"version": number}
 
 
 def version_row(spark: SparkSession, path: str, version: int | None = None) -> Row:
@@ -252,8 +324,16 @@ def compact(
     target_mb: float = layout.TARGET_FILE_MB,
 ) -> int:
     """New version with the same rows in files of about `target_mb`, clustered by `order_by`."""
-    packed = layout.cluster_rows(read(spark, path), order_by, target_mb)
-    return _rewrite(spark, path, packed, "OPTIMIZE", {"order_by": list(order_by)})
+    current = version_of(spark, path)
+    return _change_parts(
+        spark,
+        path,
+        current,
+        current.parts,
+        lambda rows: layout.cluster_rows(rows, order_by, target_mb),
+        "OPTIMIZE",
+        {"order_by": list(order_by)},
+    )
 
 
 def stale_parts(spark: SparkSession, path: str, retention_hours: float = RETENTION_HOURS) -> DataFrame:

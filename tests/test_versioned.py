@@ -83,6 +83,48 @@ def test_a_write_without_history_is_not_a_version(spark, folder, frame):
     assert rows(versioned.read(spark, path)) == [(2, "b", 20.0)]
 
 
+def _parts(spark, path):
+    return list(versioned.version_row(spark, path).parts)
+
+
+def test_changes_rewrite_only_the_parts_they_touch(spark, folder):
+    path = f"{folder}/t"
+    for day in range(3):
+        df = spark.range(10 * day, 10 * day + 10).select("id", F.lit(day).alias("day"), F.lit("x").alias("v"))
+        versioned.write(df, path, mode="append" if day else "create", partition_by=[] if day else ["day"])
+    assert _parts(spark, path) == [0, 1, 2]
+    versioned.update(spark, path, "day = 1", {"v": "'y'"})
+    assert _parts(spark, path) == [0, 2, 3] and versioned.version_row(spark, path).written_rows == 10
+    versioned.delete(spark, path, "id < 0")
+    assert _parts(spark, path) == [0, 2, 3]
+    versioned.delete(spark, path, "id = 25")
+    assert _parts(spark, path) == [0, 3, 5]
+    source = spark.createDataFrame([(3, 0, "m"), (99, 9, "n")], "id long, day int, v string")
+    versioned.merge(source, path, ["id"])
+    assert _parts(spark, path) == [3, 5, 6]
+    versioned.merge(source.filter("id = 99").withColumn("id", F.lit(100).cast("long")), path, ["id"])
+    assert _parts(spark, path) == [3, 5, 6, 7]
+    versioned.merge(source.withColumn("id", -F.col("id")), path, ["id"], insert_all=False)
+    assert _parts(spark, path) == [3, 5, 6, 7]
+    got = {r.id: (r.day, r.v) for r in versioned.read(spark, path).collect()}
+    assert len(got) == 31 and got[3] == (0, "m") and got[15] == (1, "y") and got[100] == (9, "n")
+    versioned.merge(source, path, ["id"], delete_unmatched=True)
+    assert rows(versioned.read(spark, path)) == rows(source)
+    versioned.delete(spark, path, "true")
+    assert versioned.read(spark, path).count() == 0
+
+
+def test_a_value_that_does_not_fit_is_refused(spark, folder, frame):
+    path = f"{folder}/t"
+    versioned.write(frame, path)
+    bad = spark.createDataFrame([("x", "c", 1.0)], "k string, g string, v double")
+    with pytest.raises(Exception, match="cannot store x"):
+        versioned.write(bad, path, mode="append")
+    assert rows(versioned.read(spark, path)) == rows(frame)
+    with pytest.raises(ValueError, match="partitioned by"):
+        versioned.write(frame, path, mode="append", partition_by=["g"])
+
+
 def test_compact_keeps_rows_and_orders_files(spark, folder):
     path = f"{folder}/t"
     df = spark.range(5000).select(
