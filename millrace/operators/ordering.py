@@ -93,6 +93,8 @@ def dedupe(
         return df
     if strategy not in ("keep_first", "keep_last"):
         raise ValueError(f"unknown dedupe strategy {strategy!r}")
+    if not keys:
+        return df.dropDuplicates()
     rest = [
         f.name
         for f in df.schema.fields

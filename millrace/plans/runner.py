@@ -62,7 +62,7 @@ def _join(df: DataFrame, p: Mapping[str, Any], job: JobSpec) -> DataFrame:
 def _dedupe(df: DataFrame, p: Mapping[str, Any], job: JobSpec) -> DataFrame:
     if p["keep"] == "any":
         return ordering.drop_duplicates(df, p["columns"])
-    return ordering.dedupe(df, p["columns"] or df.columns, p["order_by"], p["keep"])
+    return ordering.dedupe(df, p["columns"], p["order_by"], p["keep"])
 
 
 register_step("filter", lambda df, p, job: columns.filter_rows(df, p["condition"]))

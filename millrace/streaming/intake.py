@@ -56,14 +56,20 @@ def _reason() -> Column:
 
 
 def start_intake(
-    spark: SparkSession, source: str, target: str, checkpoint: str
+    spark: SparkSession,
+    source: str,
+    target: str,
+    checkpoint: str,
+    *,
+    files_per_batch: int = 10_000,
 ) -> StreamingQuery:
     """Read the JSON-line files below `source` that are new and append them to `target`.
 
     Both outcomes go to one Parquet sink partitioned by verdict: the file sink commits a batch
     as a whole, so a replay after a failure writes no line twice.
     """
-    lines = spark.readStream.format("text").load(source)
+    reader = spark.readStream.format("text").option("maxFilesPerTrigger", files_per_batch)
+    lines = reader.load(source)
     return (
         judge(lines)
         .writeStream.format("parquet")

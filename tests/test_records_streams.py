@@ -2,7 +2,6 @@ import datetime
 import json
 
 from conftest import rows
-from pyspark.sql import functions as F
 
 from millrace.plans import records
 from millrace.streaming import audit, intake
@@ -127,7 +126,7 @@ def test_intake_stream_equals_batch_and_replays_nothing(spark, folder):
     intake.start_intake(spark, source, target, log).awaitTermination()
     spark.createDataFrame([(t,) for t in lines[4:]], "value string").write.mode("append").text(source)
     for _ in range(2):  # the second run finds nothing new
-        intake.start_intake(spark, source, target, log).awaitTermination()
+        intake.start_intake(spark, source, target, log, files_per_batch=1).awaitTermination()
     written = spark.read.parquet(target)
     batch = intake.judge(spark.createDataFrame([(t,) for t in lines], "value string"))
     shown = ("verdict", "reason", "run_id", "dry_run", "value")
