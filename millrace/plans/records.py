@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Mapping
+from decimal import Decimal
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -59,18 +60,21 @@ def usage_cost(calls: DataFrame, rates: Mapping[str, tuple[float, float]]) -> Da
     """Calls (model, input_tokens, output_tokens) with their cost_usd.
 
     `rates` gives dollars per million input and output tokens; an unknown model costs nothing.
-    The rates come from the caller as a dict, so they are small enough to broadcast.
+    The rates come from the caller as a dict, so they are small enough to broadcast. Costs are
+    decimals: their sums do not depend on the order in which the parts of a run are added.
     """
     table = calls.sparkSession.createDataFrame(
-        [(m, float(i), float(o)) for m, (i, o) in rates.items()],
-        "model string, rate_in double, rate_out double",
+        [(m, Decimal(str(i)), Decimal(str(o))) for m, (i, o) in rates.items()],
+        "model string, rate_in decimal(10,6), rate_out decimal(10,6)",
     )
-    cost = F.col("input_tokens") / 1e6 * F.col("rate_in") + F.col("output_tokens") / 1e6 * F.col(
-        "rate_out"
+    tokens_in, tokens_out = (
+        F.coalesce(F.col(c), F.lit(0)).cast("decimal(15,0)") for c in ("input_tokens", "output_tokens")
     )
+    millions = F.lit(Decimal("0.000001"))
+    cost = (tokens_in * F.col("rate_in") + tokens_out * F.col("rate_out")) * millions
     return (
         calls.join(F.broadcast(table), "model", "left")
-        .withColumn("cost_usd", F.coalesce(cost, F.lit(0.0)))
+        .withColumn("cost_usd", F.coalesce(cost, F.lit(Decimal(0)).cast("decimal(34,12)")))
         .drop("rate_in", "rate_out")
     )
 
@@ -84,7 +88,7 @@ def usage_rollup(costed: DataFrame, max_tokens: int = 0) -> DataFrame:
         F.sum("input_tokens").alias("total_input_tokens"),
         F.sum("output_tokens").alias("total_output_tokens"),
         F.sum(F.col("input_tokens") + F.col("output_tokens")).alias("total_tokens"),
-        F.round(F.sum("cost_usd"), 4).alias("total_cost_usd"),
+        F.round(F.sum("cost_usd"), 4).cast("double").alias("total_cost_usd"),
         F.count(F.lit(1)).alias("steps"),
     )
     return totals.withColumn("budget_pct", F.round(budget_pct(F.col("total_tokens"), max_tokens), 1))

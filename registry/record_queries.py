@@ -13,15 +13,15 @@ from registry.views import REFERENCE_DATE, calls, runs, sql, table
 RATES = {"view": (15.0, 75.0), "click": (3.0, 15.0), "purchase": (0.8, 4.0)}
 BUDGET = 400_000
 
-_COSTED = """costed AS (SELECT *, CASE model
-    WHEN 'view' THEN input_tokens / 1e6 * 15.0 + output_tokens / 1e6 * 75.0
-    WHEN 'click' THEN input_tokens / 1e6 * 3.0 + output_tokens / 1e6 * 15.0
-    WHEN 'purchase' THEN input_tokens / 1e6 * 0.8 + output_tokens / 1e6 * 4.0
-    ELSE 0.0 END AS cost_usd FROM v_calls)"""
+_COSTED = """costed AS (SELECT *, CAST(CASE model
+    WHEN 'view' THEN input_tokens * 15.0 + output_tokens * 75.0
+    WHEN 'click' THEN input_tokens * 3.0 + output_tokens * 15.0
+    WHEN 'purchase' THEN input_tokens * 0.8 + output_tokens * 4.0
+    ELSE 0.0 END AS DECIMAL(24,6)) * CAST(0.000001 AS DECIMAL(7,6)) AS cost_usd FROM v_calls)"""
 _ROLLUP = f"""{_COSTED}, rollup AS (SELECT run_id, CAST(sum(input_tokens) AS BIGINT) AS total_input_tokens,
     CAST(sum(output_tokens) AS BIGINT) AS total_output_tokens,
     CAST(sum(input_tokens + output_tokens) AS BIGINT) AS total_tokens,
-    round(sum(cost_usd), 4) AS total_cost_usd, count(*) AS steps,
+    CAST(round(sum(cost_usd), 4) AS DOUBLE) AS total_cost_usd, count(*) AS steps,
     round(sum(input_tokens + output_tokens) / {BUDGET}.0 * 100, 1) AS budget_pct
   FROM costed GROUP BY 1)"""
 
@@ -37,13 +37,13 @@ def _rollup(spark: SparkSession, folder: str) -> DataFrame:
 @query(
     "g1_usage_cost",
     sql(
-        f"WITH {_COSTED} SELECT run_id, seq, model, round(cost_usd, 6) AS cost_usd FROM costed",
+        f"WITH {_COSTED} SELECT run_id, seq, model, CAST(round(cost_usd, 6) AS DOUBLE) AS cost_usd FROM costed",
         "calls",
     ),
 )
 def usage_cost(spark: SparkSession, folder: str) -> DataFrame:
     return _costed(spark, folder).select(
-        "run_id", "seq", "model", F.round("cost_usd", 6).alias("cost_usd")
+        "run_id", "seq", "model", F.round("cost_usd", 6).cast("double").alias("cost_usd")
     )
 
 

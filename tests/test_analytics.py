@@ -1,7 +1,7 @@
 import datetime
 
 import pytest
-from conftest import rows
+from conftest import ran_plan, rows
 from pyspark.sql import functions as F
 
 from millrace.plans import campaign, geo, intent, people, rfm, stories
@@ -62,6 +62,17 @@ def test_rfm_ignores_missing_amounts_in_the_thresholds(spark):
     assert got == {"0": 5, "1": 1, "2": 2, "3": 3, "4": 4, "5": 5}
 
 
+def test_rfm_of_decimals_is_one_lazy_plan(spark, orders, folder):
+    exact = orders.withColumn("total_amount", F.col("total_amount").cast("decimal(18,2)"))
+    exact.write.parquet(f"{folder}/o")
+    scored = rfm.rfm_scores(spark.read.parquet(f"{folder}/o"), str(TODAY))
+    text = ran_plan(scored)
+    assert "millrace" not in text and "ReusedExchange" in text
+    assert rows(scored.select("customer_id", "rfm_score")) == rows(
+        rfm.rfm_scores(orders, str(TODAY)).select("customer_id", "rfm_score")
+    )
+
+
 def test_rfm_of_nothing_is_empty(orders):
     assert rfm.rfm_scores(orders.limit(0), str(TODAY)).count() == 0
 
