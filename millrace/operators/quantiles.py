@@ -31,7 +31,8 @@ def quantile_points(
     `exact=False` takes the sketch's answer, off by at most n / accuracy ranks. `exact=True`
     uses the sketch only to bracket every point and then counts: values outside all brackets
     collapse to one row per gap while they are read, and only the few different values inside
-    a bracket (about n / 1000 at the default accuracy) are ranked, one task per column.
+    a bracket (about n / 1000 at the default accuracy) are ranked, one task per column. Should a
+    point lie outside its bracket, the query fails instead of giving a wrong one.
     """
     if not exact:
         return df.agg(

@@ -16,7 +16,6 @@ from millrace.plans.spec import JobSpec, SpecError, Step, dataset_of
 from millrace.sources import files, versioned
 from millrace.sources.files import Dataset
 from millrace.sources.schema import snake_case_columns
-from millrace.sources.shared import cut_lineage
 
 StepFunction = Callable[[DataFrame, Mapping[str, Any], JobSpec], DataFrame]
 
@@ -146,8 +145,8 @@ def run(
     """Run the job and report on it.
 
     The row count and all row rules are observed while the rows are written, so the output is
-    neither computed nor read a second time. A merge reads its rows several times, so they are
-    stored first; they are counted and checked as they are, not the table after the merge.
+    neither computed nor read a second time. The rows of a merge are counted and checked as they
+    are stored before it, not the table after it.
     """
     job = job.with_paths(source_path, target_path)
     if job.target is None:
@@ -165,7 +164,7 @@ def run(
     metrics = [F.count(F.lit(1)).alias("row_count")]
     metrics += [r.bad.cast("bigint").alias(f"rule_{i}") for i, r in enumerate(rules)]
     output = output.observe(seen, *metrics)
-    files.write(cut_lineage(output) if target.mode == "merge" else output, target)
+    files.write(output, target)
     found = seen.get
     row_count = int(found.get("row_count") or 0)
     report = [

@@ -26,7 +26,7 @@ from pyspark.sql import types as T
 from millrace.functions.columns import col
 from millrace.operators import layout, mutations
 from millrace.sources.schema import conform
-from millrace.sources.shared import delete_folder, folder_exists
+from millrace.sources.shared import cut_lineage, delete_folder, folder_exists
 
 PART = "_part"
 HISTORY_SCHEMA = (
@@ -267,7 +267,10 @@ def merge(
     keep_old_when_null: bool = False,
     partition_by: Sequence[str] = (),
 ) -> dict[str, Any]:
-    """Merge into the table, or write the source as its first version when there is none."""
+    """Merge into the table, or write the source as its first version when there is none.
+
+    A merge reads the source several times, so its rows are computed once and stored first.
+    """
     spark = source.sparkSession
     if not keys:
         raise ValueError("a merge needs merge keys")
@@ -282,6 +285,7 @@ def merge(
         "insert_all": insert_all,
         "delete_unmatched": delete_unmatched,
     }
+    source = cut_lineage(source, "merge")
     current = version_of(spark, path)
     touched = current.parts
     if len(touched) > 1 and not delete_unmatched:
