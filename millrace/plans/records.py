@@ -182,7 +182,7 @@ def audit_id(event_type: Column, run_id: Column, ts: Column) -> Column:
     return F.concat_ws("_", event_type, F.coalesce(run_id.cast("string"), F.lit("none")), second)
 
 
-def audit_trail(events: DataFrame, run_id: str | int, payload: str = "payload") -> DataFrame:
+def audit_trail(events: DataFrame, run_id: str | int | Column, payload: str = "payload") -> DataFrame:
     """Events of one run in time order with their payload as JSON text."""
     return (
         events.filter(F.col("run_id") == F.lit(run_id))

@@ -122,7 +122,8 @@ def run_stats(spark: SparkSession, folder: str) -> DataFrame:
     "g6_audit_trail",
     """SELECT event_id AS id, user_id AS run_id, event_type, ts AS "timestamp",
       '{"value":' || CAST(CAST(value AS DECIMAL(18,2)) AS VARCHAR) || '}' AS payload_json
-    FROM events WHERE user_id = 7 ORDER BY ts, event_id""",
+    FROM events WHERE user_id = (SELECT user_id FROM events GROUP BY 1
+      ORDER BY count(*) DESC, user_id LIMIT 1) ORDER BY ts, event_id""",
 )
 def audit_trail(spark: SparkSession, folder: str) -> DataFrame:
     events = table(spark, folder, "events").select(
@@ -132,7 +133,9 @@ def audit_trail(spark: SparkSession, folder: str) -> DataFrame:
         F.col("ts").alias("timestamp"),
         F.struct(F.col("value").cast("decimal(18,2)").alias("value")).alias("payload"),
     )
-    return records.audit_trail(events, 7)
+    counts = events.groupBy("run_id").agg(F.count(F.lit(1)).alias("events"))
+    busiest = counts.agg(F.max_by("run_id", F.struct("events", -F.col("run_id")))).scalar()
+    return records.audit_trail(events, busiest)
 
 
 _OBJECT_CLASS = """CASE o_orderpriority WHEN '1-URGENT' THEN 'restricted'

@@ -1,5 +1,5 @@
 import pytest
-from conftest import rows
+from conftest import plan, rows
 from pyspark.sql import functions as F
 
 from millrace.sources import files, versioned
@@ -190,6 +190,20 @@ def test_every_format_round_trips(spark, folder, fmt):
     assert rows(back.select(*df.columns)) == rows(df)
 
 
+def test_partitioned_reads_skip_folders_and_columns(spark, folder):
+    df = spark.range(100).select(
+        "id", (F.col("id") % 4).cast("int").alias("year"), F.lit("x").alias("pad")
+    )
+    files.write(df, Dataset(path=f"{folder}/p", partition_by=("year",)))
+    versioned.write(df, f"{folder}/v", partition_by=["year"])
+    for back in (files.read(spark, Dataset(path=f"{folder}/p")), versioned.read(spark, f"{folder}/v")):
+        wanted = back.filter("year = 2 AND id > 50").select("id")
+        text = plan(wanted)
+        assert "PartitionFilters: [isnotnull(year" in text and "GreaterThan(id,50)" in text
+        assert "ReadSchema: struct<id:bigint>" in text
+        assert wanted.count() == 12
+
+
 def test_modes_and_formats_are_checked(spark, folder, frame):
     with pytest.raises(ValueError, match="unknown format"):
         Dataset(path="/x", format="xml")
