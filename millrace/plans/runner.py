@@ -119,7 +119,7 @@ def _with_default_partitions(job: JobSpec, output: DataFrame) -> Dataset:
 
 
 def rule_of(entry: Mapping[str, Any]) -> checks.RowRule:
-    """Acceptance rule from `{check, column, ...}`: not_null, allowed, range, holds, not_empty."""
+    """Row rule from `{check, column, ...}`: not_null, allowed, range, holds, not_empty."""
     kind = entry["check"]
     if kind == "not_null":
         return checks.not_null(entry["column"])[0]
@@ -134,6 +134,43 @@ def rule_of(entry: Mapping[str, Any]) -> checks.RowRule:
     raise SpecError(f"unknown acceptance check {kind!r}")
 
 
+# Checks that need a grouping, a join or the source, so a plan of their own over the written rows.
+FRAME_CHECKS = ("unique", "references", "not_more_rows", "same_total", "one_row_per")
+
+
+def frame_check(
+    spark: SparkSession, entry: Mapping[str, Any], output: DataFrame, source: DataFrame
+) -> DataFrame:
+    """Result rows of an acceptance check out of FRAME_CHECKS."""
+    kind = entry["check"]
+    if kind == "unique":
+        return checks.unique_key(output, entry["keys"])
+    if kind == "references":
+        return checks.no_orphans(output, files.read(spark, dataset_of(entry["in"])), entry["keys"])
+    if kind == "not_more_rows":
+        return checks.not_more_rows(output, source)
+    if kind == "one_row_per":
+        return checks.all_keys_kept(output, source, entry["keys"])
+    column = entry["column"]
+    return checks.same_total(output, source, column, entry.get("source_column") or column)
+
+
+def _frame_results(
+    spark: SparkSession, job: JobSpec, target: Dataset, schema: Any, source: DataFrame | None
+) -> list[dict[str, Any]]:
+    wanted = [r for r in job.rules if r["check"] in FRAME_CHECKS]
+    if not wanted:
+        return []
+    if source is None:
+        source = files.read(spark, job.source)
+    written = files.read(spark, replace(target, schema=None if target.format == "delta" else schema))
+    found = []
+    for entry in wanted:
+        row = frame_check(spark, entry, written, source).first()
+        found.append({"check": row.check, "passed": bool(row.passed), "observed": row.observed})
+    return found
+
+
 def run(
     spark: SparkSession,
     job: JobSpec,
@@ -145,7 +182,7 @@ def run(
     """Run the job and report on it.
 
     The row count and all row rules are observed while the rows are written, so the output is
-    neither computed nor read a second time. The rows of a merge are counted and checked as they
+    neither computed nor read a second time; only FRAME_CHECKS read it. The rows of a merge are counted and checked as they
     are stored before it, not the table after it.
     """
     job = job.with_paths(source_path, target_path)
@@ -154,7 +191,7 @@ def run(
     check_steps(job)
     if job.table_operation in ("update", "delete"):
         return _change_table(spark, job)
-    rules = [rule_of(r) for r in job.rules]
+    rules = [rule_of(r) for r in job.rules if r["check"] not in FRAME_CHECKS]
     output = apply_steps(source, job) if source is not None else build(spark, job)
     target = _with_default_partitions(job, output)
     sorted_last = bool(job.steps) and job.steps[-1].operation == "sort"
@@ -172,6 +209,7 @@ def run(
         for i, r in enumerate(rules)
         for bad in [_observed(found, i, r, row_count)]
     ]
+    report += _frame_results(spark, job, target, output.schema, source)
     return {
         "name": job.name,
         "version": job.version,

@@ -55,7 +55,8 @@ class Step:
 
 @dataclass(frozen=True)
 class JobSpec:
-    """A whole job. `rules` are acceptance checks on the output, see `plans.runner.rule_of`.
+    """A whole job. `rules` are acceptance checks on the output, see `rule_of` and
+    `frame_check` in `plans.runner`.
 
     `standards` applies the common rules: trimmed strings and snake_case names on read, left
     joins and keep_first duplicates where a step does not say otherwise, partitions by year and

@@ -49,6 +49,7 @@ def clean_customers(customers: Place, target: Place | None = None) -> dict[str,
         {"operation": "fill_null", "column": "country", "value": "UNKNOWN"},
     ]
     rules = [{"check": "not_null", "column": c} for c in ("customer_id", "email", "country")]
+    rules.append({"check": "not_more_rows"})
     return _job("clean_customers", customers, target, steps, rules=rules)
 
 
@@ -77,7 +78,8 @@ def customer_spend(customers: Place, orders: Place, target: Place | None = None)
         },
         {"operation": "fill_null", "params": {"fill_values": {"total_spend": 0, "order_count": 0}}},
     ]
-    return _job("customer_spend", customers, target, steps)
+    rules = [{"check": "references", "keys": ["customer_id"], "in": _place(customers)}]
+    return _job("customer_spend", customers, target, steps, rules=rules)
 
 
 def monthly_region_revenue(orders: Place, target: Place | None = None) -> dict[str, Any]:
@@ -89,8 +91,14 @@ def monthly_region_revenue(orders: Place, target: Place | None = None) -> dict[s
             "metrics": ["total_revenue", "order_count", "avg_order_value"],
         }
     ]
+    rules = [{"check": "same_total", "column": "total_revenue", "source_column": "order_amount"}]
     return _job(
-        "monthly_region_revenue", orders, target, steps, partition_columns=["year", "month"]
+        "monthly_region_revenue",
+        orders,
+        target,
+        steps,
+        rules=rules,
+        partition_columns=["year", "month"],
     )
 
 
@@ -432,7 +440,10 @@ def rfm_story(
         },
         {"operation": "rfm_scores"},
     ]
-    rules = [{"check": "not_null", "column": "rfm_segment"}]
+    rules = [
+        {"check": "not_null", "column": "rfm_segment"},
+        {"check": "one_row_per", "keys": ["customer_id"]},
+    ]
     return _job(
         "rfm_story", orders, target, steps, rules=rules, partition_columns=["rfm_segment"]
     )

@@ -264,3 +264,52 @@ def test_table_operations_of_a_spec(spark, folder):
     assert rows(versioned.read(spark, f"{folder}/t")) == [(1, "A")]
     with pytest.raises(SpecError, match="condition"):
         runner.run(spark, job_of(base | {"delta_operation": "delete"}))
+
+
+def test_checks_that_need_the_written_rows(spark, folder):
+    _orders(spark, f"{folder}/in")
+    spark.createDataFrame([("a",)], "customer_id string").write.parquet(f"{folder}/people")
+    raw = {
+        "source": f"{folder}/in",
+        "target": {"path": f"{folder}/out", "format": "csv"},
+        "rules": [
+            {"check": "unique", "keys": ["order_id"]},
+            {"check": "unique", "keys": ["year"]},
+            {"check": "references", "keys": ["customer_id"], "in": f"{folder}/people"},
+            {"check": "not_more_rows"},
+            {"check": "one_row_per", "keys": ["order_id"]},
+            {"check": "same_total", "column": "total"},
+            {"check": "not_empty"},
+        ],
+    }
+    report = runner.run(spark, job_of(raw))
+    assert {c["check"]: c["passed"] for c in report["checks"]} == {
+        "unique:order_id": True,
+        "unique:year": False,
+        "references:customer_id": False,
+        "not_more_rows": True,
+        "one_row_per:order_id": True,
+        "same_total:total": True,
+        "not_empty": True,
+    }
+
+
+def test_the_rules_of_the_ready_made_jobs_hold(spark, folder):
+    from millrace.plans import stories
+
+    people = [("a", "A", None, "X"), ("b", "B", "e", None), (None, "N", "e", "Z")]
+    bought = [("a", 1, 10, "2024-01-03", 2024, 1, "r"), ("b", 2, 20, "2024-02-03", 2024, 2, None)]
+    spark.createDataFrame(people, "customer_id string, customer_name string, email string, country string").write.parquet(f"{folder}/c")
+    spark.createDataFrame(
+        bought,
+        "customer_id string, order_id int, order_amount int, order_date string, year int, month int, region string",
+    ).selectExpr("* except (order_date)", "date(order_date) AS order_date").write.parquet(f"{folder}/o")
+    jobs = [
+        stories.clean_customers(f"{folder}/c", f"{folder}/1"),
+        stories.monthly_region_revenue(f"{folder}/o", f"{folder}/2"),
+        stories.rfm_story(f"{folder}/o", f"{folder}/3", "2024-03-01"),
+        stories.customer_spend(f"{folder}/1", f"{folder}/o", f"{folder}/4"),
+    ]
+    for raw in jobs:
+        report = runner.run(spark, job_of(raw))
+        assert report["status"] == "success" and report["checks"]
