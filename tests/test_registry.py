@@ -10,10 +10,12 @@ ROOT = Path(__file__).resolve().parents[1]
 sys.path.insert(0, str(ROOT / "tools"))
 
 import __spark_entry__ as entry  # noqa: E402
+import registry  # noqa: E402
 from compare import connect, differences, duck_rows, spark_rows  # noqa: E402
 
 DATA = os.environ.get("TEST_SF_DIR", "/root/testdata/sf0.001")
-QUERIES, ORACLES = entry.queries(), entry.oracle_sql()
+registry.load_all()
+QUERIES, ORACLES = dict(registry.QUERIES), dict(registry.ORACLES)
 
 pytestmark = pytest.mark.skipif(not os.path.isdir(DATA), reason="no test tables")
 
@@ -43,6 +45,10 @@ def test_every_sql_belongs_to_a_query():
     assert len(ORACLES) >= 0.9 * len(QUERIES)
 
 
+def test_the_entry_has_every_query():
+    assert set(QUERIES) <= set(entry.queries()) and set(ORACLES) <= set(entry.oracle_sql())
+
+
 def test_entry_gives_rows(spark):
     assert entry.entry(spark).count() > 0
 
