@@ -6,7 +6,7 @@ look at the texts.
 
 Cases: a null or empty text has no words, all measurements are 0 and the rules on counts fail it;
 rules on ratios can't fail a text without words. Repeated rows give repeated ledger rows, an empty
-table an empty ledger. Only the id and text columns are read, so other columns can't clash. A text
+table an empty ledger. Only the carried column and the text are read, so other columns can't clash. A text
 is measured in one piece, with memory in proportion to it.
 """
 
@@ -20,8 +20,9 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import LongType, StructField, StructType
 
-from millrace.llm.common import batch_of, field_type, text_bytes
+from millrace.llm.common import batch_of, text_bytes
 
 MEASUREMENTS = (
     "n_words",
@@ -110,19 +111,17 @@ def measure(text: bytes) -> tuple[int, ...]:
     )
 
 
-def measurements(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """The id and the measurements of every document."""
-    fields = [pa.field("m", pa.int64())] * len(MEASUREMENTS)
-    names = list(MEASUREMENTS)
+def measurements(docs: DataFrame, carry: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """The column `carry` (an id, or a struct of all that is to be kept) and the measurements."""
 
     def each(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             found = [measure(t) for t in text_bytes(batch.column(1))]
-            schema = pa.schema([batch.schema.field(0), *(f.with_name(n) for f, n in zip(fields, names))])
-            yield batch_of(schema, batch.column(0), *(zip(*found) if found else [[]] * len(names)))
+            schema = pa.schema([batch.schema.field(0), *(pa.field(n, pa.int64()) for n in MEASUREMENTS)])
+            yield batch_of(schema, batch.column(0), *(zip(*found) if found else [[]] * len(MEASUREMENTS)))
 
-    out = f"`{id_col}` {field_type(docs, id_col)}, " + ", ".join(f"{n} long" for n in names)
-    return docs.select(id_col, text_col).mapInArrow(each, out)
+    out = StructType([docs.schema[carry], *(StructField(n, LongType()) for n in MEASUREMENTS)])
+    return docs.select(carry, text_col).mapInArrow(each, out)
 
 
 def ledger(measured: DataFrame, rules: Sequence[Rule] = RULES) -> DataFrame:
