@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from millrace.llm import chat, exact_dedup, mixing, packing, quality_rules, simhash, token_counts, warc
+from millrace.llm import chat, exact_dedup, lm_scoring, mixing, packing, pii, quality_rules, simhash, token_counts, warc
 from millrace.llm.common import table
 from millrace.sources.shared import fresh_path
 
@@ -166,6 +166,23 @@ def op7(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+@query("op8_disclosure")
+def op8(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = pii.find(table(spark, sf_dir, "documents"))
+    counts = [F.size(kind).cast("long").alias(f"n_{kind}") for kind in pii.KINDS[:4]]
+    listed = found.select("id", *counts, pii.as_text(pii.spans(pii.KINDS[:4])).alias("base"), pii.as_text(pii.spans()).alias("spans"))
+    return listed.select(
+        F.col("id").alias("doc_id"), *(f"n_{kind}" for kind in pii.KINDS[:4]),
+        F.sha2(F.col("base").cast("binary"), 256).alias("base_sha256"), "spans",
+    )
+
+
+@query("op9_backoff_automaton")
+def op9(spark: SparkSession, sf_dir: str) -> DataFrame:
+    held_out = F.crc32(F.coalesce(F.col("doc_id").cast("string"), F.lit("")).cast("binary")) % 7 == 2
+    return lm_scoring.score(table(spark, sf_dir, "documents"), held_out)
+
+
 @query("op10_warc_chunks")
 def op10(spark: SparkSession, sf_dir: str) -> DataFrame:
     archives = warc.write_archives(table(spark, sf_dir, "pages"), fresh_path(spark, "warc"), least_bytes=0)
