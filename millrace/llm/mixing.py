@@ -8,8 +8,8 @@ the table of (source, size, documents), since equal sizes in a source have equal
 from whole numbers, so they don't depend on the order of rows and reruns agree.
 
 Rates are then rounded to whole copies. Within a source, sizes are gone through from the largest
-down; what rounding one size leaves over or owes is carried to the next, so that a source misses its
-target by about half its smallest document. Which documents of a size get a copy more is decided
+down; what rounding one size leaves over or owes is carried to the next, and what is left in the end is
+made up by a document more or less of one or two sizes. Which documents of a size get a copy more is decided
 by a hash of the id, counted in small hash groups.
 
 Cases: null texts and texts without words have size 0 and are taken 0 times; null is a source of its
@@ -22,6 +22,7 @@ from __future__ import annotations
 import math
 from collections.abc import Sequence
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
@@ -120,20 +121,47 @@ def balance(counts: DataFrame, goal: dict[str | None, tuple[int, float, float]],
     return found
 
 
+def _closer(sizes: np.ndarray, n: np.ndarray, copies: np.ndarray, left: float, most: int) -> float:
+    """Take or leave one document of one or two sizes where that brings the total closer."""
+    up, down = np.flatnonzero(copies < most * n), np.flatnonzero(copies > 0)
+    moves = np.concatenate([sizes[up], -sizes[down], [0]])
+    which = np.concatenate([up, down, [-1]])
+    order = np.argsort(moves, kind="stable")
+    moves, which = moves[order], which[order]
+    place = np.searchsorted(moves, left - moves)
+    best = (abs(left), -1, -1)
+    for shift in (-1, 0):
+        other = np.clip(place + shift, 0, len(moves) - 1)
+        miss = np.abs(left - moves - moves[other])
+        miss[(which == which[other]) & (which >= 0)] = np.inf
+        i = int(np.argmin(miss))
+        best = min(best, (float(miss[i]), i, int(other[i])))
+    for i in best[1:]:
+        if i >= 0 and which[i] >= 0:
+            copies[which[i]] += 1 if moves[i] > 0 else -1
+            left -= moves[i]
+    return left
+
+
 def _round(frame: pd.DataFrame, most: int) -> pd.DataFrame:
     """Whole copies per size of one source; as many rows as it has different sizes."""
-    frame = frame.sort_values("size", ascending=False)
+    frame = frame[["source", "size", "n", "rate"]].sort_values("size", ascending=False)
     left, copies = 0.0, []
     for size, n, rate in zip(frame["size"], frame["n"], frame["rate"]):
         size, n = int(size), int(n)
-        if not size:
-            copies.append(0)
-            continue
-        wanted = int(rate) * n / STEPS + left / size
+        wanted = int(rate) * n / STEPS + left / size if size else 0
         taken = min(most * n, max(0, math.floor(wanted + 0.5)))
-        left = (wanted - taken) * size
+        left = (wanted - taken) * size if size else left
         copies.append(taken)
-    return frame[["source", "size", "n"]].assign(copies=copies)
+    out = np.array(copies, np.int64)
+    some = np.flatnonzero(frame["size"].to_numpy() > 0)
+    for _ in range(3):
+        if abs(left) < 1 or not len(some):
+            break
+        part = out[some]
+        left = _closer(frame["size"].to_numpy()[some], frame["n"].to_numpy()[some], part, left, most)
+        out[some] = part
+    return frame[["source", "size", "n"]].assign(copies=out)
 
 
 def mix(
