@@ -34,11 +34,11 @@ from pyspark.sql.types import ArrayType, BinaryType, BooleanType, DoubleType, Lo
 from millrace.llm.common import batch_of, stored, text_bytes
 
 #: Bytes of text in a block, about; a longer text is a block of its own.
-BLOCK_BYTES = 1 << 24
+BLOCK_BYTES = 1 << 23
 #: Words or pairs in a bucket at most, about.
-BUCKET_ROWS = 2_000_000
+BUCKET_ROWS = 1_000_000
 #: Weight of the word's own probability after a state.
-MU = 4.0
+MU = 32.0
 #: The start and the end of a text, which are no words.
 START, END = b" <s>", b" </s>"
 WORDS, PAIRS = 0, 1
@@ -102,7 +102,7 @@ class Walk:
         held = np.asarray(held, bool)
         n, start, end = len(self.words), len(self.words), len(self.words) + 1
         ends = np.cumsum(self.lengths + 1) - 1  # the place of each text's end token
-        token = np.full(int(self.lengths.sum()) + len(self.lengths), end, np.int64)
+        token = np.full(int(self.lengths.sum()) + len(self.lengths), end, np.uint32)
         inside = np.ones(len(token), bool)
         inside[ends] = False
         token[inside] = np.frombuffer(numbers, "<u4")
@@ -113,7 +113,8 @@ class Walk:
         self.token, self.state, self.ends, self.n = token, state, ends, n
         self.train = np.repeat(~held, self.lengths + 1)
         hashes = np.array([xxhash.xxh64_intdigest(w) for w in [*self.words, START, END]], np.uint64)
-        code, self.pair = np.unique(state * (n + 2) + token, return_inverse=True)
+        code, self.pair = np.unique(state.astype(np.int64) * (n + 2) + token, return_inverse=True)
+        self.pair = self.pair.astype(np.uint32)
         mixed = (hashes[code // (n + 2)] * np.uint64(0x9E3779B97F4A7C15)) ^ (hashes[code % (n + 2)] >> np.uint64(1))
         mixed = (mixed ^ (mixed >> np.uint64(32))) * np.uint64(0xD6E8FEB86659FD93)
         self.keys = mixed ^ (mixed >> np.uint64(29))
@@ -150,24 +151,23 @@ def sent(blocks: DataFrame, n_buckets: int) -> DataFrame:
     ])
 
     def each(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for row in batch.to_pylist():
-                walk = Walk(row["numbers"], row["words"], row["lengths"], row["held"], n_buckets)
-                words = walk.token[walk.train & (walk.token < walk.n)]
-                counts = {
-                    WORDS: np.bincount(words, minlength=walk.n).astype("<u4"),
-                    PAIRS: np.bincount(walk.pair[walk.train], minlength=len(walk.keys)).astype("<u4"),
-                }
-                for kind in (WORDS, PAIRS):
-                    rows = []
-                    for b, at in walk.parts(kind):
-                        if kind == WORDS:
-                            items = b" ".join([walk.words[i] for i in at])
-                        else:
-                            items = planes(np.diff(walk.keys[at], prepend=np.uint64(0)))
-                        rows.append((kind, b, row["block"], items, planes(counts[kind][at])))
-                    if rows:
-                        yield batch_of(arrow, *zip(*rows))
+        for row in (row for batch in batches for at in range(batch.num_rows) for row in batch.slice(at, 1).to_pylist()):
+            walk = Walk(row["numbers"], row["words"], row["lengths"], row["held"], n_buckets)
+            words = walk.token[walk.train & (walk.token < walk.n)]
+            counts = {
+                WORDS: np.bincount(words, minlength=walk.n).astype("<u4"),
+                PAIRS: np.bincount(walk.pair[walk.train], minlength=len(walk.keys)).astype("<u4"),
+            }
+            for kind in (WORDS, PAIRS):
+                rows = []
+                for b, at in walk.parts(kind):
+                    if kind == WORDS:
+                        items = b" ".join([walk.words[i] for i in at])
+                    else:
+                        items = planes(np.diff(walk.keys[at], prepend=np.uint64(0)))
+                    rows.append((kind, b, row["block"], items, planes(counts[kind][at])))
+                if rows:
+                    yield batch_of(arrow, *zip(*rows))
 
     return blocks.select("block", "numbers", "words", "lengths", "held").mapInArrow(
         each, "kind int, bucket int, block long, items binary, counts binary"
@@ -199,12 +199,12 @@ def _summed(frame: pd.DataFrame) -> pd.DataFrame:
 def walk_scores(walk: Walk, words: np.ndarray, pairs: np.ndarray, n_train: int, v: int, texts: int, mu: float):
     """Per text: known tokens, base score and model score."""
     known = np.concatenate([words, [texts, texts]]).astype(np.float64)  # words, the start, the end
-    root = np.log10((known + 1.0) / (n_train + v + 1.0))
-    after = known[walk.state]
-    arc = pairs[walk.pair].astype(np.float64)
-    failure = np.log10(mu / (after + mu)) + root[walk.token]
-    seen = np.log10((arc + mu * 10.0 ** root[walk.token]) / (after + mu))
-    steps = np.where(arc > 0, seen, failure)
+    p = (known + 1.0) / (n_train + v + 1.0)
+    root, failure = np.log10(p), np.log10(mu / (known + mu))
+    steps = failure[walk.state] + root[walk.token]  # by the failure arc to the root
+    seen = np.flatnonzero(pairs[walk.pair] > 0)
+    state, token = walk.state[seen], walk.token[seen]
+    steps[seen] = np.log10((pairs[walk.pair[seen]] + mu * p[token]) / (known[state] + mu))
     add = lambda values: np.add.reduceat(values, walk.first) if len(walk.first) else values
     return add((known[walk.token] > 0).astype(np.int64)), add(root[walk.token]), add(steps)
 
