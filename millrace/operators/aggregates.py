@@ -22,8 +22,8 @@ AGGREGATES: dict[str, Callable[[Column], Column]] = {
     "mean": F.avg,
     "min": F.min,
     "max": F.max,
-    "first": lambda c: F.first(c, ignorenulls=True),
-    "last": lambda c: F.last(c, ignorenulls=True),
+    "first": F.first,
+    "last": F.last,
     "stddev": F.stddev,
     "variance": F.variance,
     "count_if": F.count_if,

@@ -11,7 +11,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from millrace.functions.columns import col, quoted
+from millrace.functions.columns import col
 
 log = logging.getLogger(__name__)
 
@@ -20,8 +20,9 @@ MEGABYTE = 1024 * 1024
 # What the optimizer reports for data it knows nothing about.
 _UNKNOWN_BYTES = 2**62
 
-# A shuffle into more partitions than this costs more than larger files do.
-MOST_PARTITIONS = 50_000
+# Classes of a Z-order column at most (as bits), and sampled rows per class.
+MOST_Z_BITS = 10
+Z_SAMPLE_PER_CLASS = 32
 
 # Size limits of the write and join helpers.
 BROADCAST_LIMIT_MB = 10
@@ -65,12 +66,9 @@ def output_bytes(df: DataFrame) -> int | None:
 
 
 def file_count(df: DataFrame, target_mb: float = TARGET_FILE_MB) -> int | None:
-    """Number of output files of about `target_mb`, None without an estimate. Results beyond
-    MOST_PARTITIONS times that size get larger files."""
+    """Number of output files of about `target_mb`, None without an estimate."""
     size = output_bytes(df)
-    if size is None:
-        return None
-    return min(MOST_PARTITIONS, max(1, math.ceil(size / (target_mb * MEGABYTE))))
+    return None if size is None else max(1, math.ceil(size / (target_mb * MEGABYTE)))
 
 
 def repartition_for_write(
@@ -132,40 +130,48 @@ def cluster_rows(
     return ranged.sortWithinPartitions(*lead, *keys).select(*[col(c) for c in df.columns])
 
 
-def with_z_value(df: DataFrame, names: Sequence[str], alias: str, bits: int = 4) -> DataFrame:
-    """Adds the interleaved bits of the rank classes of the columns.
+def with_z_value(df: DataFrame, names: Sequence[str], alias: str, bits: int | None = None) -> DataFrame:
+    """Adds the interleaved bits of the rank classes of the columns; part of one lazy plan.
 
-    Every column is cut into 2^bits classes of about equal size. Only the class bounds, 15 numbers
-    per column, come to the driver.
+    Every column is cut into 2^bits classes of about equal size, by whole values of any type that
+    sorts. The bounds come from a random sample of rows, which is a subquery of the plan. Without `bits` there are about four cells per output file.
     """
-    cuts = 2**bits
-    numbers = {f"_n{i}": F.expr(_as_number(df.schema[n].dataType, quoted(n))) for i, n in enumerate(names)}
-    numbered = df.withColumns(numbers)
-    steps = [i / cuts for i in range(1, cuts)]
-    bounds = numbered.agg(*[F.percentile_approx(n, steps, 1000).alias(n) for n in numbers]).first()
-    classes = {f"_c{i}": F.expr(_rank_class(n, bounds[n] or [])) for i, n in enumerate(numbers)}
+    if bits is None:
+        cells = 4 * (file_count(df) or 1)
+        bits = max(4, min(MOST_Z_BITS, math.ceil(math.log2(cells) / len(names))))
+    classes = 2**bits
+    keys = df.select(*[col(n).alias(f"k{i}") for i, n in enumerate(names)])
+    sample = keys.orderBy(F.rand(7)).limit(Z_SAMPLE_PER_CLASS * classes)
+    bounds = sample.agg(F.struct(*[_bounds(k, classes).alias(k) for k in keys.columns]).alias("bounds")).scalar()
+    held = df.withColumn("_bounds", bounds)
+    ranks = {f"_c{i}": _class_of(col(n), F.col(f"_bounds.k{i}"), bits) for i, n in enumerate(names)}
     spread = " | ".join(
         f"shiftleft(bigint(shiftright({c}, {bit}) & 1), {bit * len(names) + i})"
-        for i, c in enumerate(classes)
+        for i, c in enumerate(ranks)
         for bit in range(bits)
     )
-    return numbered.withColumns(classes).withColumn(alias, F.expr(spread)).drop(*numbers, *classes)
+    return held.withColumns(ranks).withColumn(alias, F.expr(spread)).drop("_bounds", *ranks)
+
+
+def _bounds(name: str, classes: int) -> Column:
+    """The values that cut the sorted sample into classes."""
+    values = F.array_sort(F.collect_list(name))  # a sample of bounded size
+    cuts = F.sequence(F.lit(1), F.lit(classes - 1))
+
+    def cut(ordered: Column) -> Column:
+        return F.transform(cuts, lambda i: F.get(ordered, F.floor(i * F.size(ordered) / classes).cast("int")))
+
+    return F.get(F.transform(F.array(values), cut), F.lit(0))
 
 
-def _rank_class(number: str, bounds: Sequence[float]) -> str:
-    ordered = sorted({b for b in bounds if math.isfinite(b)}, reverse=True)
-    cases = "".join(f" WHEN {number} > {b!r}D THEN {len(ordered) - i}" for i, b in enumerate(ordered))
-    return f"CASE{cases} ELSE 0 END" if cases else "0"
+def _class_of(value: Column, bounds: Column, bits: int) -> Column:
+    """How many bounds lie below the value, by halving; NULL is in class 0."""
+    steps = F.array(*[F.lit(1 << b) for b in reversed(range(bits))])
 
+    def halve(found: Column, step: Column) -> Column:
+        return F.when(F.get(bounds, found + step - 1) < value, found + step).otherwise(found)
 
-def _as_number(dtype: T.DataType, name: str) -> str:
-    """SQL for a double in the order of the column; for text, of its first six bytes."""
-    if isinstance(dtype, T.StringType):
-        head = f"rpad(hex(substring(encode({name}, 'UTF-8'), 1, 6)), 12, '0')"
-        return f"double(conv({head}, 16, 10))"
-    if isinstance(dtype, (T.DateType, T.TimestampType, T.TimestampNTZType)):
-        return f"double(unix_micros(timestamp({name})))"
-    return f"double({name})"
+    return F.reduce(steps, F.lit(0), halve)
 
 
 @contextmanager

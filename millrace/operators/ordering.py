@@ -19,12 +19,9 @@ from millrace.functions.columns import col
 from millrace.operators.layout import file_count, row_hash
 from millrace.sources.shared import cut_lineage
 
-# Paging limits of record listings.
-DEFAULT_PAGE = 50
-LARGEST_PAGE = 200
-
-# Most rows that a sort with limit and offset may bring together.
-DEEPEST_TOP_ROWS = 100_000
+# Parts that a listing is cut into to find a page, as bits, and sampled rows per part.
+PAGE_PART_BITS = 12
+SAMPLED_PER_PART = 4
 
 _SLICE = "_slice"
 
@@ -52,25 +49,66 @@ def top_rows(df: DataFrame, n: int, *keys: Column) -> DataFrame:
     return df.orderBy(*keys).limit(n)
 
 
+def _before(left: Sequence[Column], right: Sequence[Column], descending: Sequence[bool]) -> Column:
+    """True where `left` comes before `right`; NULLs first ascending, last descending."""
+    out = F.lit(False)
+    for a, b, down in reversed(list(zip(left, right, descending))):
+        first, second = (b, a) if down else (a, b)
+        less = (first.isNull() & second.isNotNull()) | F.coalesce(first < second, F.lit(False))
+        out = less | (a.eqNullSafe(b) & out)
+    return out
+
+
 def page(
-    df: DataFrame,
-    entries: Sequence[Mapping[str, Any] | str],
-    *,
-    limit: int = DEFAULT_PAGE,
-    offset: int = 0,
+    df: DataFrame, entries: Sequence[Mapping[str, Any] | str], *, limit: int, offset: int = 0
 ) -> DataFrame:
-    """One page of a listing in a total order; the page size stays within 1..200.
+    """Rows offset + 1 to offset + limit of a listing, the same way at every depth.
 
-    Pages near the start are found per task; for a page deep in the listing every row gets its
-    rank instead, since the rows before it would be too many to bring together.
+    Rows that tie are further ordered by a hash of the row. A random sample cuts the order into
+    about 4000 parts; the rows of each part are counted, and only the parts that the page
+    touches are sorted. All of it is one lazy plan; nothing is stored.
     """
-    size = max(1, min(limit, LARGEST_PAGE))
-    start = max(0, offset)
-    if start + size <= DEEPEST_TOP_ROWS:
-        return df.orderBy(*sort_columns(entries)).offset(start).limit(size)
-    ranked = global_rank(df, entries, "_rank")
-    wanted = ranked.filter(F.col("_rank").between(start + 1, start + size))
-    return wanted.orderBy("_rank").drop("_rank", "_rank_total")
+    descending = [not isinstance(e, str) and bool(e.get("descending")) for e in entries] + [False]
+    values = [col(e if isinstance(e, str) else e["column"]) for e in entries] + [row_hash(df)]
+    names = [f"k{i}" for i in range(len(values))]
+    rows = df.select(F.struct(*[col(c) for c in df.columns]).alias("row"), *[v.alias(n) for v, n in zip(values, names)])
+
+    def fields(key: Column) -> list[Column]:
+        return [key[n] for n in names]
+
+    def order(a: Column, b: Column) -> Column:
+        first = _before(fields(a), fields(b), descending)
+        return F.when(first, -1).when(_before(fields(b), fields(a), descending), 1).otherwise(0)
+
+    parts = 1 << PAGE_PART_BITS
+    sample = rows.select(F.struct(*names).alias("key")).orderBy(F.rand(7)).limit(parts * SAMPLED_PER_PART)
+    cuts = F.sequence(F.lit(1), F.lit(parts - 1))
+
+    def cut(ordered: Column) -> Column:
+        return F.transform(cuts, lambda i: F.get(ordered, F.floor(i * F.size(ordered) / parts).cast("int")))
+
+    sampled = sample.agg(F.array_sort(F.collect_list("key"), order).alias("keys"))
+    bounds = sampled.select(F.get(F.transform(F.array("keys"), cut), F.lit(0))).scalar()
+    steps = F.array(*[F.lit(1 << b) for b in reversed(range(PAGE_PART_BITS))])
+
+    def halve(found: Column, step: Column) -> Column:
+        bound = F.get(F.col("bounds"), found + step - 1)
+        later = bound.isNotNull() & _before(fields(bound), [F.col(n) for n in names], descending)
+        return F.when(later, found + step).otherwise(found)
+
+    placed = rows.withColumn("bounds", bounds).withColumn("part", F.reduce(steps, F.lit(0), halve)).drop("bounds")
+    sizes = placed.groupBy("part").agg(F.count(F.lit(1)).alias("size"))
+    upto = Window.orderBy("part").rowsBetween(Window.unboundedPreceding, Window.currentRow)  # one row per part
+    ends = sizes.withColumn("upto", F.sum("size").over(upto))
+    touched = ends.where((F.col("upto") > offset) & (F.col("upto") - F.col("size") < offset + limit))
+    span = touched.agg(
+        F.struct(F.min("part").alias("first"), F.max("part").alias("last"), F.min(F.col("upto") - F.col("size")).alias("before"))
+    ).scalar()
+    near = placed.withColumn("span", span).where(F.col("part").between(F.col("span.first"), F.col("span.last")))
+    keys = [F.col(n).desc() if down else F.col(n).asc() for n, down in zip(names, descending)]
+    rank = F.col("span.before") + F.row_number().over(Window.orderBy(*keys))
+    ranked = near.withColumn("rank", rank).where(F.col("rank").between(offset + 1, offset + limit))
+    return ranked.orderBy("rank").select("row.*")
 
 
 def drop_duplicates(df: DataFrame, names: Sequence[str] = ()) -> DataFrame:

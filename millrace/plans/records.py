@@ -10,7 +10,8 @@ from pyspark.sql import functions as F
 
 from millrace.functions.columns import col
 from millrace.functions.text import first_number, json_payload
-from millrace.operators.ordering import DEFAULT_PAGE, latest_by, page, running_total
+from millrace.operators.layout import broadcast_if_small
+from millrace.operators.ordering import latest_by, page, running_total
 
 # Run states that count as active, and the audit event types that are recorded.
 ACTIVE_STATES = (
@@ -47,6 +48,10 @@ ERROR_PATTERN = r"(\d+) error"
 COVERAGE_PATTERN = r"TOTAL\s+\d+\s+\d+\s+(\d+)%"
 FAILED_NAME_PATTERN = r"FAILED (.*?) -"
 
+# Runs on a page of the listing, and the most one may ask for.
+DEFAULT_PAGE = 50
+LARGEST_PAGE = 200
+
 # Class, days to the cheaper storage, that storage, days to deletion.
 RETENTION_RULES = (
     ("public", 30, "tiering", 365),
@@ -59,9 +64,9 @@ RETENTION_RULES = (
 def usage_cost(calls: DataFrame, rates: Mapping[str, tuple[float, float]]) -> DataFrame:
     """Calls (model, input_tokens, output_tokens) with their cost_usd.
 
-    `rates` gives dollars per million input and output tokens; an unknown model costs nothing.
-    The rates come from the caller as a dict, so they are small enough to broadcast. Costs are
-    decimals: their sums do not depend on the order in which the parts of a run are added.
+    `rates` gives dollars per million input and output tokens; an unknown model costs nothing. The
+    rates are broadcast if their table is small. Costs are decimals: their sums do not depend on the
+    order in which the parts of a run are added.
     """
     table = calls.sparkSession.createDataFrame(
         [(m, Decimal(str(i)), Decimal(str(o))) for m, (i, o) in rates.items()],
@@ -73,7 +78,7 @@ def usage_cost(calls: DataFrame, rates: Mapping[str, tuple[float, float]]) -> Da
     millions = F.lit(Decimal("0.000001"))
     cost = (tokens_in * F.col("rate_in") + tokens_out * F.col("rate_out")) * millions
     return (
-        calls.join(F.broadcast(table), "model", "left")
+        calls.join(broadcast_if_small(table), "model", "left")
         .withColumn("cost_usd", F.coalesce(cost, F.lit(Decimal(0)).cast("decimal(34,12)")))
         .drop("rate_in", "rate_out")
     )
@@ -152,9 +157,12 @@ def approval_gate(runs: DataFrame, flags: DataFrame) -> DataFrame:
 
 
 def run_page(
-    runs: DataFrame, status: str | None = None, limit: int = DEFAULT_PAGE, offset: int = 0
-) -> DataFrame:
-    """One page of runs, newest submission first, of one status when given."""
+    runs: DataFrame, status: str | None = None, limit: int = DEFAULT_PAGE, offset: int = 0,
+    largest: int = LARGEST_PAGE,
+) -> DataFrame:
+    """One page of runs, newest submission first, of one status when given; at least one and at most
+    `largest` runs."""
+    limit = max(1, min(limit, largest))
     chosen = runs if status is None else runs.filter(F.col("status") == status)
     newest_first = [{"column": "submitted_at", "descending": True}, "run_id"]
     return page(chosen, newest_first, limit=limit, offset=offset)
@@ -177,8 +185,9 @@ def current_states(transitions: DataFrame) -> DataFrame:
 
 
 def audit_id(event_type: Column, run_id: Column, ts: Column) -> Column:
-    """`type_run_second`; a missing run is written as none."""
-    second = F.unix_seconds(ts.cast("timestamp")).cast("string")
+    """`type_run_second` with the nearest second (halves go to the even one); a missing run is none."""
+    micros = F.unix_micros(ts.cast("timestamp")).cast("decimal(20,0)")
+    second = F.bround(micros / F.lit(1_000_000).cast("decimal(7,0)"), 0).cast("bigint").cast("string")
     return F.concat_ws("_", event_type, F.coalesce(run_id.cast("string"), F.lit("none")), second)
 
 

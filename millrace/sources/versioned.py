@@ -19,7 +19,7 @@ from collections.abc import Callable, Mapping, Sequence
 from dataclasses import dataclass, replace
 from typing import Any
 
-from pyspark.sql import DataFrame, Observation, Row, SparkSession
+from pyspark.sql import DataFrame, Observation, Row, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -341,13 +341,13 @@ def compact(
 
 
 def stale_parts(spark: SparkSession, path: str, retention_hours: float = RETENTION_HOURS) -> DataFrame:
-    """Parts that only versions older than the retention use; never those of the latest one."""
-    rows = full_history(spark, path)
-    newest = rows.agg(F.max("version")).scalar()
+    """Parts used only by versions that were replaced longer ago than the retention."""
     limit = F.current_timestamp() - F.make_interval(secs=F.lit(retention_hours * 3600.0))
-    used = rows.select(
+    following = Window.orderBy("version")  # one row per version
+    replaced = full_history(spark, path).withColumn("replaced_at", F.lead("committed_at").over(following))
+    used = replaced.select(
         F.explode("parts").alias("part"),
-        ((F.col("version") == newest) | (F.col("committed_at") >= limit)).alias("live"),
+        (F.col("replaced_at").isNull() | (F.col("replaced_at") >= limit)).alias("live"),
     )
     return (
         used.groupBy("part").agg(F.bool_or("live").alias("live")).filter("NOT live").select("part")

@@ -4,11 +4,15 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
 from millrace.plans.records import AUDIT_EVENTS, audit_id
+from millrace.sources.shared import folder_exists
+
+# Partition columns of the log.
+BATCH, DAY = "_batch", "_day"
 
 
 def audit_events(events: DataFrame, known: Sequence[str] = AUDIT_EVENTS) -> DataFrame:
@@ -27,26 +31,42 @@ def first_events(events: DataFrame, known: Sequence[str] = AUDIT_EVENTS) -> Data
     return audit_events(events, known).dropDuplicates(["id"])
 
 
+def append_new(batch: DataFrame, target: str, number: int, known: Sequence[str] = AUDIT_EVENTS) -> None:
+    """Append the events of a batch whose id the log doesn't hold yet, however late they come.
+
+    The log is partitioned by batch and day. A batch that is repeated after a failure replaces what
+    its first attempt wrote. An id carries its second, so it can only be found under its own day:
+    the days of the batch prune what is read of the log.
+    """
+    spark = batch.sparkSession
+    fresh = first_events(batch, known).withColumn(DAY, F.to_date("ts"))
+    if folder_exists(spark, target):
+        log = spark.read.schema(f"id string, {BATCH} long, {DAY} date").parquet(target)
+        days = fresh.select(DAY).distinct()
+        logged = log.where(F.col(BATCH) != number).join(days, DAY, "left_semi").select("id")
+        fresh = fresh.join(logged, "id", "left_anti")
+    fresh.write.mode("overwrite").partitionBy(DAY).parquet(f"{target.rstrip('/')}/{BATCH}={number}")
+
+
+def read_audit_log(spark: SparkSession, target: str) -> DataFrame:
+    """The events of the log."""
+    return spark.read.parquet(target).drop(BATCH, DAY)
+
+
 def start_audit_log(
     events: DataFrame,
     target: str,
     checkpoint: str,
     *,
-    watermark: str = "1 hour",
     known: Sequence[str] = AUDIT_EVENTS,
 ) -> StreamingQuery:
-    """Append a stream of events to Parquet, each id once. Ids are forgotten once the watermark
-    has passed them, so the state holds only about an hour of events."""
-    once = (
-        audit_events(events, known)
-        .withWatermark("ts", watermark)
-        .dropDuplicatesWithinWatermark(["id"])
-    )
+    """Append a stream of events to a Parquet log, each id once.
+
+    Repeats are found in the log itself, so no event is too late and the stream keeps no state.
+    """
     return (
-        once.writeStream.format("parquet")
+        events.writeStream.foreachBatch(lambda batch, number: append_new(batch, target, number, known))
         .option("checkpointLocation", checkpoint)
-        .option("path", target)
-        .outputMode("append")
         .trigger(availableNow=True)
         .start()
     )

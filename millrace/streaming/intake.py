@@ -19,7 +19,7 @@ REJECTED = "rejected"
 
 
 def judge(lines: DataFrame) -> DataFrame:
-    """Text lines (`value`) as (verdict, reason, run_id, dry_run, story, value).
+    """Text lines (`value`) as (verdict, reason, run_id, story_id, dry_run, story, value).
 
     The first reason that applies is given: malformed_json, missing_fields, or invalid_story
     with the broken rules. Works on a batch and on a stream alike.
@@ -33,6 +33,7 @@ def judge(lines: DataFrame) -> DataFrame:
         F.when(F.col("reason").isNull(), GOOD).otherwise(REJECTED).alias("verdict"),
         "reason",
         "run_id",
+        "story_id",
         F.coalesce("dry_run", F.lit(False)).alias("dry_run"),
         "story",
         "value",
@@ -44,11 +45,17 @@ def _broken_rules() -> Column:
     return F.array_join(F.array_compact(F.array(*flags)), ",")
 
 
+def _no_story() -> Column:
+    """True without a story or with one that has no fields at all, whatever their names."""
+    written = F.get_json_object("value", "$.story")
+    return F.col("story").isNull() | F.regexp_like(written, F.lit(r"^\s*\{\s*\}\s*$"))
+
+
 def _reason() -> Column:
     return (
         F.when(F.col("m").isNull() | F.col("_bad").isNotNull(), "malformed_json")
         .when(
-            F.coalesce(F.col("run_id"), F.lit("")).eqNullSafe("") | F.col("story").isNull(),
+            F.coalesce(F.col("run_id"), F.lit("")).eqNullSafe("") | _no_story(),
             "missing_fields",
         )
         .when(F.col("broken") != "", F.concat(F.lit("invalid_story:"), F.col("broken")))
@@ -87,7 +94,7 @@ def failure_events(judged: DataFrame) -> DataFrame:
     return judged.filter(F.col("reason").startswith("invalid_story")).select(
         F.lit("RUN_FAILED").alias("event_type"),
         "run_id",
-        F.col("story.id").alias("story_id"),
+        "story_id",
         F.lit("worker").alias("actor"),
         F.struct(F.col("reason").alias("error")).alias("payload"),
     )

@@ -84,8 +84,8 @@ def discover(spark: SparkSession, folder: str) -> DataFrame:
     "s9_secondary_table",
     sql(
         """SELECT o_orderpriority, count(*) AS orders, count(c_name) AS known
-        FROM orders LEFT JOIN (SELECT c_custkey AS o_custkey, c_name FROM customer
-          WHERE c_acctbal > 0) USING (o_custkey) GROUP BY 1"""
+        FROM orders LEFT JOIN (SELECT CASE WHEN c_acctbal > 0 THEN c_custkey END AS o_custkey, c_name
+          FROM customer) USING (o_custkey) GROUP BY 1"""
     ),
 )
 def secondary_table(spark: SparkSession, folder: str) -> DataFrame:
@@ -102,8 +102,11 @@ def secondary_table(spark: SparkSession, folder: str) -> DataFrame:
                         "join_keys": ["o_custkey"],
                         "join_type": "left",
                         "right_steps": [
-                            {"operation": "filter", "params": {"condition": "c_acctbal > 0"}},
-                            {"operation": "rename", "params": {"column_map": {"c_custkey": "o_custkey"}}},
+                            {
+                                "operation": "enrich",
+                                "column": "o_custkey",
+                                "value": "CASE WHEN c_acctbal > 0 THEN c_custkey END",
+                            },
                         ],
                     },
                 },

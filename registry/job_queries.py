@@ -18,6 +18,7 @@ from registry.views import (
     customers,
     dates_as_text,
     items,
+    of_urgent,
     orders,
     payments,
     place,
@@ -77,17 +78,17 @@ _INTENT = f"""intent AS (SELECT *, CASE WHEN intent_score >= 30 THEN 'High Inten
           count(DISTINCT product_family) AS category_diversity
         FROM v_intent_orders GROUP BY 1)))"""
 
-# Delivered orders with a category that varies within a customer and amounts in hundreds.
+# Orders with a category that varies within a customer and amounts in hundreds.
 _INTENT_ORDERS = """v_intent_orders AS (SELECT order_id, customer_id,
-    CAST(floor(order_amount / 100) AS DECIMAL(18,2)) AS order_amount, 'FAMILY_' || left(priority, 1)
-    AS product_family FROM v_orders WHERE status = 'F')"""
+    CAST(order_amount * CAST(0.01 AS DECIMAL(2,2)) AS DECIMAL(18,2)) AS order_amount, 'FAMILY_' || left(priority, 1)
+    AS product_family FROM v_orders)"""
 
 
 def _intent_orders(spark: SparkSession, folder: str) -> DataFrame:
-    return orders(spark, folder).filter("status = 'F'").select(
+    return orders(spark, folder).select(
         "order_id",
         "customer_id",
-        F.floor(F.col("order_amount") / 100).cast("decimal(18,2)").alias("order_amount"),
+        (F.col("order_amount") * F.lit(0.01).cast("decimal(2,2)")).cast("decimal(18,2)").alias("order_amount"),
         F.concat(F.lit("FAMILY_"), F.substring("priority", 1, 1)).alias("product_family"),
     )
 
@@ -146,14 +147,17 @@ def geo_revenue(spark: SparkSession, folder: str) -> DataFrame:
     "n2_geo_unknown_customers",
     sql(
         f"""WITH {_GEO.format(high=100000000).replace('v_customers USING',
-        "(SELECT * FROM v_customers WHERE customer_segment <> 'BUILDING') c USING")}
+        "(SELECT * REPLACE (CASE WHEN customer_segment <> 'BUILDING' THEN customer_id END AS customer_id) "
+        "FROM v_customers) c USING")}
         SELECT {_GEO_SHOW} FROM geo""",
         "orders",
         "customers",
     ),
 )
 def geo_unknown_customers(spark: SparkSession, folder: str) -> DataFrame:
-    known = customers(spark, folder).filter("customer_segment <> 'BUILDING'")
+    known = customers(spark, folder).withColumn(
+        "customer_id", F.when(F.col("customer_segment") != "BUILDING", F.col("customer_id"))
+    )
     df = geo.geo_revenue(orders(spark, folder), known, 100000000.0, broadcast_mb=0)
     return rounded(
         rounded(df, 2, "total_revenue"), 4, "avg_order_value", "revenue_per_customer"
@@ -183,7 +187,7 @@ _KPI_ORDERS = _kpi_sql(
       coalesce(order_count, 0) AS order_count, coalesce(total_revenue, 0) AS total_revenue
     FROM v_campaigns c LEFT JOIN (SELECT campaign_id, count(order_id) AS order_count,
         sum(order_amount) AS total_revenue FROM v_orders
-        WHERE contains(product_family, '_3') AND priority = '1-URGENT' GROUP BY 1)
+        WHERE contains(product_family, '_3') GROUP BY 1)
       USING (campaign_id) WHERE contains(c.product_family, '_3')""",
     "total_revenue",
     "conversions",
@@ -225,8 +229,7 @@ def campaign_kpis(spark: SparkSession, folder: str) -> DataFrame:
     ),
 )
 def campaign_kpis_with_orders(spark: SparkSession, folder: str) -> DataFrame:
-    urgent = orders(spark, folder).filter("priority = '1-URGENT'")
-    df = campaign.campaign_kpis(campaigns(spark, folder), "_3", urgent)
+    df = campaign.campaign_kpis(campaigns(spark, folder), "_3", orders(spark, folder))
     return rounded(_kpi_columns(df, "order_count", "total_revenue"), 2, "total_revenue")
 
 
@@ -397,15 +400,16 @@ def clean_customers(spark: SparkSession, folder: str) -> DataFrame:
         """SELECT customer_id, customer_name, email, country,
           coalesce(round(CAST(sum(order_amount) AS DOUBLE), 2), 0) AS total_spend,
           count(order_id) AS order_count
-        FROM v_customers LEFT JOIN (SELECT * FROM v_orders WHERE order_status = 'delivered'
-          AND priority = '1-URGENT') USING (customer_id) GROUP BY ALL""",
+        FROM v_customers LEFT JOIN (SELECT * REPLACE (CASE WHEN order_status = 'delivered'
+          AND priority = '1-URGENT' THEN customer_id END AS customer_id) FROM v_orders)
+          USING (customer_id) GROUP BY ALL""",
         "orders",
         "customers",
     ),
 )
 def customer_spend(spark: SparkSession, folder: str) -> DataFrame:
     register(spark, folder, "customers")
-    urgent = orders(spark, folder).filter("order_status = 'delivered' AND priority = '1-URGENT'")
+    urgent = of_urgent(orders(spark, folder))
     urgent.createOrReplaceTempView("v_urgent_orders")
     job = job_of(stories.customer_spend(place("customers"), {"table": "v_urgent_orders"}))
     return rounded(build(spark, job), 2, "total_spend")

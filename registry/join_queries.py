@@ -15,6 +15,7 @@ from registry.views import (
     campaigns,
     customers,
     items,
+    of_urgent,
     orders,
     payments,
     place,
@@ -44,9 +45,9 @@ def join_step(spark: SparkSession, folder: str) -> DataFrame:
 
 
 _SIDES = """
-  WITH l AS (SELECT c_custkey AS k, c_nationkey FROM customer WHERE c_acctbal > 0),
-    r AS (SELECT o_custkey AS k, sum(CAST(o_totalprice AS DECIMAL(18,2))) AS spent FROM orders
-      WHERE o_orderstatus = 'F' AND o_orderpriority = '1-URGENT' GROUP BY 1)
+  WITH l AS (SELECT CASE WHEN c_acctbal > 0 THEN c_custkey ELSE -c_custkey - 1 END AS k, c_nationkey FROM customer),
+    r AS (SELECT CASE WHEN o_orderstatus = 'F' AND o_orderpriority = '1-URGENT' THEN o_custkey
+        ELSE o_custkey + 1000000000000 END AS k, sum(CAST(o_totalprice AS DECIMAL(18,2))) AS spent FROM orders GROUP BY 1)
 """
 
 
@@ -70,13 +71,18 @@ _SIDES = """
 def join_types(spark: SparkSession, folder: str) -> DataFrame:
     left = (
         table(spark, folder, "customer")
-        .filter("c_acctbal > 0")
-        .select(F.col("c_custkey").alias("k"), "c_nationkey")
+        .select(
+            F.when(F.col("c_acctbal") > 0, F.col("c_custkey")).otherwise(-F.col("c_custkey") - 1).alias("k"),
+            "c_nationkey",
+        )
     )
     right = (
         table(spark, folder, "orders")
-        .filter("o_orderstatus = 'F' AND o_orderpriority = '1-URGENT'")
-        .groupBy(F.col("o_custkey").alias("k"))
+        .groupBy(
+            F.when((F.col("o_orderstatus") == "F") & (F.col("o_orderpriority") == "1-URGENT"), F.col("o_custkey"))
+            .otherwise(F.col("o_custkey") + 1_000_000_000_000)
+            .alias("k")
+        )
         .agg(F.sum(F.col("o_totalprice").cast("decimal(18,2)")).alias("spent"))
     )
     results = []
@@ -124,15 +130,15 @@ def dimension_join(spark: SparkSession, folder: str) -> DataFrame:
         """SELECT customer_id, coalesce(order_count, 0) AS order_count,
           coalesce(round(CAST(spent AS DOUBLE), 2), 0) AS total_spend
         FROM v_customers LEFT JOIN (SELECT customer_id, count(order_id) AS order_count,
-            sum(order_amount) AS spent FROM v_orders
-            WHERE order_status = 'delivered' AND priority = '1-URGENT' GROUP BY 1)
+            sum(order_amount) AS spent FROM (SELECT * REPLACE (CASE WHEN order_status = 'delivered'
+              AND priority = '1-URGENT' THEN customer_id END AS customer_id) FROM v_orders) GROUP BY 1)
           USING (customer_id)""",
         "orders",
         "customers",
     ),
 )
 def left_zero_fill(spark: SparkSession, folder: str) -> DataFrame:
-    urgent = orders(spark, folder).filter("order_status = 'delivered' AND priority = '1-URGENT'")
+    urgent = of_urgent(orders(spark, folder))
     totals = urgent.groupBy("customer_id").agg(
         F.count("order_id").alias("order_count"), F.sum("order_amount").alias("total_spend")
     )
@@ -219,10 +225,11 @@ def result_join(spark: SparkSession, folder: str) -> DataFrame:
 @query(
     "j9_orphans",
     """SELECT o_orderkey, o_custkey FROM orders
-    WHERE o_custkey NOT IN (SELECT c_custkey FROM customer WHERE c_acctbal > 0)""",
+    WHERE o_custkey NOT IN (SELECT CASE WHEN c_acctbal > 0 THEN c_custkey ELSE -c_custkey - 1 END FROM customer)""",
 )
 def orphan_rows(spark: SparkSession, folder: str) -> DataFrame:
-    solvent = table(spark, folder, "customer").filter("c_acctbal > 0")
+    key = F.when(F.col("c_acctbal") > 0, F.col("c_custkey")).otherwise(-F.col("c_custkey") - 1)
+    solvent = table(spark, folder, "customer").select(key.alias("c_custkey"))
     bought = table(spark, folder, "orders").select("o_orderkey", "o_custkey")
     return joins.orphans(bought, solvent.withColumnRenamed("c_custkey", "o_custkey"), ["o_custkey"])
 

@@ -219,7 +219,7 @@ def top_one(spark: SparkSession, folder: str) -> DataFrame:
     "o6_offset_page",
     sql(
         """SELECT run_id, status, submitted_at FROM v_runs
-        ORDER BY submitted_at DESC, run_id LIMIT 200 OFFSET 75""",
+        ORDER BY submitted_at DESC, run_id LIMIT 1000 OFFSET 75""",
         "runs",
     ),
 )
@@ -246,8 +246,20 @@ def deep_page(spark: SparkSession, folder: str) -> DataFrame:
         "l_partkey",
         "l_suppkey",
     ]
-    ranked = ordering.global_rank(df, order)
-    return ranked.filter(F.col("rank").between(30001, 30100)).drop("rank", "rank_total")
+    return ordering.page(df, order, limit=100, offset=30000)
+
+
+@query(
+    "o6_global_rank",
+    """SELECT l_orderkey, l_linenumber, row_number() OVER (ORDER BY l_extendedprice DESC, l_orderkey,
+      l_linenumber, l_partkey, l_suppkey) AS rank FROM lineitem""",
+)
+def every_rank(spark: SparkSession, folder: str) -> DataFrame:
+    df = table(spark, folder, "lineitem")
+    order = [{"column": "l_extendedprice", "descending": True}, "l_orderkey", "l_linenumber", "l_partkey", "l_suppkey"]
+    return ordering.global_rank(df.select(*[o if isinstance(o, str) else o["column"] for o in order]), order).select(
+        "l_orderkey", "l_linenumber", F.col("rank").cast("bigint")
+    )
 
 
 @query(

@@ -59,19 +59,23 @@ def intake_split(spark: SparkSession, folder: str) -> DataFrame:
 @query(
     "x2_audit_log",
     """SELECT event_type, count(*) AS events, count(DISTINCT run_id) AS runs FROM
-      (SELECT DISTINCT event_type, user_id AS run_id, epoch_us(ts) // 1000000 AS second FROM events
+      (SELECT DISTINCT event_type, user_id AS run_id,
+        CAST(round_even(epoch_us(ts) / 1000000.0, 0) AS BIGINT) AS second FROM events
         WHERE event_type <> 'error') GROUP BY 1""",
 )
 def audit_log(spark: SparkSession, folder: str) -> DataFrame:
+    """Several batches: first the events of the later hours, then the earlier ones, hours late, and
+    many of both a second time."""
     source, target = fresh_path(spark, "audit-in"), fresh_path(spark, "audit-out")
     events = table(spark, folder, "events").select(
         "event_type", F.col("user_id").alias("run_id"), F.col("ts").cast("timestamp").alias("ts")
     )
-    twice = events.unionByName(events.filter("event_type <> 'view'"))
-    twice.write.parquet(source)
-    stream = spark.readStream.schema(events.schema).parquet(source)
+    late = F.hour("ts") < 12
+    for part in (events.filter(~late), events.filter(late).unionByName(events.filter("event_type <> 'view'"))):
+        part.write.mode("append").parquet(source)
+    stream = spark.readStream.schema(events.schema).option("maxFilesPerTrigger", 1).parquet(source)
     log = audit.start_audit_log(stream, target, fresh_path(spark, "audit-log"), known=KINDS)
     log.awaitTermination()
-    return spark.read.parquet(target).groupBy("event_type").agg(
+    return audit.read_audit_log(spark, target).groupBy("event_type").agg(
         F.count(F.lit(1)).alias("events"), F.count_distinct("run_id").alias("runs")
     )

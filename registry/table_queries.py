@@ -15,18 +15,22 @@ from registry.views import orders, rounded, sql
 
 _COLUMNS = ("order_id", "customer_id", "status", "amount", "priority")
 
-# The table: shipped and canceled orders with some priorities missing.
+# The table: all orders with some priorities missing.
 _TARGET = """t AS (SELECT order_id, customer_id, status, order_amount AS amount,
-    nullif(priority, '5-LOW') AS priority FROM v_orders WHERE status <> 'F')"""
+    nullif(priority, '5-LOW') AS priority FROM v_orders)"""
 
-# The changes: shipped orders raised by a tenth with new priority, and all delivered orders.
-_SOURCE = """s AS (SELECT order_id, customer_id, status,
+# The changes: shipped orders doubled, others with new priorities; canceled ones get a key that the
+# table lacks, so they are new and leave orders of the table unmatched.
+_SOURCE = """s AS (SELECT CASE WHEN status = 'P' THEN -order_id ELSE order_id END AS order_id, customer_id, status,
     CAST(CASE WHEN status = 'O' THEN order_amount * 2 ELSE order_amount END AS DECIMAL(18,2)) AS amount,
-    nullif(priority, '1-URGENT') AS priority FROM v_orders WHERE status <> 'P')"""
+    nullif(priority, '1-URGENT') AS priority FROM v_orders)"""
+
+
+NEW_KEY = F.when(F.col("status") == "P", -F.col("order_id")).otherwise(F.col("order_id"))
 
 
 def _target(spark: SparkSession, folder: str) -> DataFrame:
-    return orders(spark, folder).filter("status <> 'F'").select(
+    return orders(spark, folder).select(
         "order_id",
         "customer_id",
         "status",
@@ -37,8 +41,8 @@ def _target(spark: SparkSession, folder: str) -> DataFrame:
 
 def _source(spark: SparkSession, folder: str) -> DataFrame:
     doubled = F.when(F.col("status") == "O", F.col("order_amount") * 2).otherwise(F.col("order_amount"))
-    return orders(spark, folder).filter("status <> 'P'").select(
-        "order_id",
+    return orders(spark, folder).select(
+        NEW_KEY.alias("order_id"),
         "customer_id",
         "status",
         doubled.cast("decimal(18,2)").alias("amount"),
@@ -88,7 +92,7 @@ def overwrite_schema(spark: SparkSession, folder: str) -> DataFrame:
     _sql(
         f"""SELECT {_SHOW}, flag FROM (SELECT *, CAST(NULL AS BOOLEAN) AS flag FROM t
         UNION ALL SELECT order_id, customer_id, status, amount, NULL AS priority,
-          amount > 100000 AS flag FROM s WHERE status = 'F')"""
+          amount > 100000 AS flag FROM s)"""
     ),
 )
 def append_with_new_column(spark: SparkSession, folder: str) -> DataFrame:
@@ -96,7 +100,6 @@ def append_with_new_column(spark: SparkSession, folder: str) -> DataFrame:
     versioned.write(_target(spark, folder), path, partition_by=["status"])
     added = (
         _source(spark, folder)
-        .filter("status = 'F'")
         .drop("priority")
         .withColumn("flag", F.col("amount") > 100000)
     )
@@ -154,8 +157,10 @@ def merge_update_columns(spark: SparkSession, folder: str) -> DataFrame:
 
 def _hide_key(text: str, priority: str) -> str:
     """The view text with the key missing where the order has the priority."""
-    key = f"CASE WHEN priority <> '{priority}' THEN order_id END AS order_id,"
-    return text.replace("SELECT order_id,", f"SELECT {key}")
+    key = f"CASE WHEN priority <> '{priority}' THEN order_id END"
+    return text.replace("-order_id ELSE order_id END AS", f"-{key} ELSE {key} END AS").replace(
+        "SELECT order_id,", f"SELECT {key} AS order_id,"
+    )
 
 
 @query(
@@ -177,9 +182,9 @@ def merge_null_keys(spark: SparkSession, folder: str) -> DataFrame:
     target = base.withColumn("order_id", F.when(F.col("priority") != "2-HIGH", F.col("order_id")))
     source = base.withColumn("order_id", F.when(F.col("priority") != "3-MEDIUM", F.col("order_id")))
 
-    def shaped(df: DataFrame, kept: str, amount: F.Column, hidden: str) -> DataFrame:
-        return df.filter(kept).select(
-            "order_id",
+    def shaped(df: DataFrame, key: F.Column, amount: F.Column, hidden: str) -> DataFrame:
+        return df.select(
+            key.alias("order_id"),
             "customer_id",
             "status",
             amount.cast("decimal(18,2)").alias("amount"),
@@ -188,8 +193,8 @@ def merge_null_keys(spark: SparkSession, folder: str) -> DataFrame:
 
     doubled = F.when(F.col("status") == "O", F.col("order_amount") * 2).otherwise(F.col("order_amount"))
     merged = mutations.merge_rows(
-        shaped(target, "status <> 'F'", F.col("order_amount"), "5-LOW"),
-        shaped(source, "status <> 'P'", doubled, "1-URGENT"),
+        shaped(target, F.col("order_id"), F.col("order_amount"), "5-LOW"),
+        shaped(source, NEW_KEY, doubled, "1-URGENT"),
         ["order_id"],
     )
     return _shown(merged.withColumn("order_id", F.coalesce("order_id", F.lit(-1))))
@@ -284,3 +289,64 @@ def insert_or_refresh(spark: SparkSession, folder: str) -> DataFrame:
             update_columns=["status", "amount"],
         )
     )
+
+
+def _changed_table(spark: SparkSession, folder: str) -> str:
+    """A stored table, partitioned by status."""
+    path = fresh_path(spark, "table")
+    versioned.write(_target(spark, folder), path, mode="create", partition_by=["status"])
+    return path
+
+
+@query(
+    "t2_stored_update",
+    _sql(
+        f"""SELECT {_SHOW} FROM (SELECT * REPLACE (CASE WHEN status = 'O' AND priority < '3'
+          THEN CAST(amount + customer_id AS DECIMAL(18,2)) ELSE amount END AS amount) FROM t)"""
+    ),
+)
+def stored_update(spark: SparkSession, folder: str) -> DataFrame:
+    path = _changed_table(spark, folder)
+    versioned.update(
+        spark, path, "status = 'O' AND priority < '3'", {"amount": "CAST(amount + customer_id AS DECIMAL(18,2))"}
+    )
+    return _shown(versioned.read(spark, path))
+
+
+@query(
+    "t3_stored_delete",
+    _sql(f"SELECT {_SHOW} FROM t WHERE NOT coalesce(status = 'P' AND customer_id % 2 = 0, false)"),
+)
+def stored_delete(spark: SparkSession, folder: str) -> DataFrame:
+    path = _changed_table(spark, folder)
+    versioned.delete(spark, path, "status = 'P' AND customer_id % 2 = 0")
+    return _shown(versioned.read(spark, path))
+
+
+@query("t4_stored_merge", _sql(_MERGED))
+def stored_merge(spark: SparkSession, folder: str) -> DataFrame:
+    path = _changed_table(spark, folder)
+    versioned.merge(_source(spark, folder), path, ["order_id"])
+    return _shown(versioned.read(spark, path))
+
+
+@query(
+    "t10_vacuum",
+    """SELECT 'rows of version 1' AS what, count(*) AS n FROM orders WHERE o_orderstatus <> 'P'
+    UNION ALL SELECT 'rows of version 2', 2 * count(*) FROM orders WHERE o_orderstatus <> 'P'
+    UNION ALL SELECT 'kept within retention', 0 UNION ALL SELECT 'removed part', 0""",
+)
+def vacuum(spark: SparkSession, folder: str) -> DataFrame:
+    """Within the retention nothing goes; without one, the part that only version 0 uses."""
+    path = fresh_path(spark, "table")
+    versioned.write(_target(spark, folder), path)
+    versioned.delete(spark, path, "status = 'P'")
+    kept = len(versioned.vacuum(spark, path, dry_run=False))
+    versioned.write(versioned.read(spark, path), path, mode="append")
+    gone = versioned.vacuum(spark, path, retention_hours=0, dry_run=False)
+    told = [("kept within retention", kept), *(("removed part", n) for n in gone)]
+    found = spark.createDataFrame(told, "what string, n long")
+    for number in (1, 2):
+        rows = versioned.read(spark, path, number).agg(F.count(F.lit(1)).alias("n"))
+        found = found.unionByName(rows.withColumn("what", F.lit(f"rows of version {number}")))
+    return found

@@ -151,3 +151,17 @@ def test_cluster_rows_cuts_a_hot_value(spark):
     sizes = layout.cluster_rows(df, ["a"], size / 6).groupBy(F.spark_partition_id()).count().collect()
     assert len(sizes) >= 5 and max(r["count"] for r in sizes) < 15_000
     assert rows(layout.cluster_rows(df.limit(50), ["a"])) == rows(df.limit(50))
+
+
+def test_files_keep_their_size_at_any_scale(spark, monkeypatch):
+    monkeypatch.setattr(layout, "output_bytes", lambda df: 100 * 10**12)
+    assert layout.file_count(spark.range(1)) == -(-100 * 10**12 // (128 * layout.MEGABYTE))
+
+
+def test_z_cells_of_ids_with_a_common_prefix(spark):
+    df = spark.range(4000).select(
+        F.format_string("CUST-%06d", F.col("id") * 7919 % 4000).alias("a"), F.format_string("ORD-2024-%06d", "id").alias("b")
+    )
+    z = layout.with_z_value(df, ["a", "b"], "z", bits=4)
+    assert z.select("z").distinct().count() > 200  # of 256
+    assert z.columns == ["a", "b", "z"]

@@ -149,7 +149,7 @@ def test_audit_stream_equals_batch(spark, folder):
     stream = spark.readStream.schema(df.schema).parquet(f"{folder}/in")
     for _ in range(2):
         audit.start_audit_log(stream, f"{folder}/out", f"{folder}/log").awaitTermination()
-    ids = rows(spark.read.parquet(f"{folder}/out").select("id"))
+    ids = rows(audit.read_audit_log(spark, f"{folder}/out").select("id"))
     assert ids == rows(audit.first_events(df).select("id"))
     seconds = int(t.replace(tzinfo=datetime.UTC).timestamp())
     assert ids == [
