@@ -7,6 +7,7 @@ from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 # The column names the input tables use for the same thing, best first.
 AMOUNT_COLUMNS = ("total_amount", "order_amount")
@@ -47,6 +48,14 @@ def safe_ratio(numerator: Column, denominator: Column) -> Column:
     return F.try_divide(numerator.cast("double"), denominator.cast("double"))
 
 
+def exact_sum(df: DataFrame, name: str) -> Column:
+    """Sum of a column that doesn't depend on the order of its rows: doubles are added as decimals
+    with six digits after the point, and the sum is a double again."""
+    if isinstance(df.schema[name].dataType, (T.DoubleType, T.FloatType)):
+        return F.sum(col(name).cast("decimal(32,6)")).cast("double")
+    return F.sum(col(name))
+
+
 def clamp(value: Column, low: float, high: float) -> Column:
     """Value limited to [low, high]. A NULL value gives `low`: greatest() skips NULLs."""
     return F.least(F.lit(high), F.greatest(F.lit(low), value))

@@ -9,7 +9,7 @@ from typing import Any
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from millrace.functions.columns import AMOUNT_COLUMNS, col, pick_column, recency_days, safe_ratio
+from millrace.functions.columns import AMOUNT_COLUMNS, col, exact_sum, pick_column, recency_days, safe_ratio
 
 # Functions that keep a fixed-size state per group, so a group may hold any share of the rows.
 AGGREGATES: dict[str, Callable[[Column], Column]] = {
@@ -85,15 +85,15 @@ def named_metric(df: DataFrame, name: str, reference_date: str | Column | None =
 
 def _metric(df: DataFrame, name: str, reference_date: str | Column | None) -> Column:
     if name in ("total_revenue", "total_spend", "monetary"):
-        return F.sum(_amount(df))
+        return exact_sum(df, _amount_name(df))
     if name in ("order_count", "frequency"):
         return F.count(col("order_id"))
     if name == "avg_order_value":
-        return safe_ratio(F.sum(_amount(df)), F.count(_amount(df)))
+        return safe_ratio(exact_sum(df, _amount_name(df)), F.count(col(_amount_name(df))))
     if name == "customer_count":
         return F.count_distinct(col("customer_id"))
     if name == "avg_spend_per_customer":
-        return safe_ratio(F.sum(_amount(df)), F.count_distinct(col("customer_id")))
+        return safe_ratio(exact_sum(df, _amount_name(df)), F.count_distinct(col("customer_id")))
     if name == "recency_days":
         return recency_days(F.max(col("order_date")), reference_date)
     if name in ("impressions", "clicks", "campaign_cost", "spend"):
@@ -101,8 +101,8 @@ def _metric(df: DataFrame, name: str, reference_date: str | Column | None) -> Co
     raise ValueError(f"unknown metric {name!r}")
 
 
-def _amount(df: DataFrame) -> Column:
-    return col(pick_column(df, *AMOUNT_COLUMNS))
+def _amount_name(df: DataFrame) -> str:
+    return pick_column(df, *AMOUNT_COLUMNS)
 
 
 def named_aggregate(

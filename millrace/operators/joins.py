@@ -108,6 +108,30 @@ def one_row_per_key(df: DataFrame, keys: Sequence[str], *aggregates: Column) ->
     return df.groupBy(*keys).agg(*aggregates)
 
 
+def star_join(
+    facts: DataFrame,
+    key: str,
+    totals: DataFrame,
+    parts: DataFrame,
+    group_by: Sequence[str],
+    sums: Sequence[str],
+) -> DataFrame:
+    """Sums over the join of `facts` with two tables that have many rows per key, without that join.
+
+    `totals` is (key, measures); `parts` is (key, some of the group columns). Rows of the full join
+    are the products of the row counts of a key, so each measure is summed once per key and
+    multiplied by the number of parts: gives `group_by`, `rows` and the `sums`.
+    """
+    summed = totals.groupBy(key).agg(F.count(F.lit(1)).alias("_totals"), *[F.sum(col(s)).alias(s) for s in sums])
+    inside = [c for c in group_by if c in parts.columns]
+    counted = parts.groupBy(key, *inside).agg(F.count(F.lit(1)).alias("_parts"))
+    joined = facts.join(summed, key).join(counted, key)
+    return joined.groupBy(*group_by).agg(
+        F.sum(F.col("_totals") * F.col("_parts")).alias("rows"),
+        *[F.sum(col(s) * F.col("_parts")).alias(s) for s in sums],
+    )
+
+
 def orphans(df: DataFrame, dimension: DataFrame, keys: Sequence[str]) -> DataFrame:
     """Rows whose key is missing in the dimension."""
     return equi_join(df, dimension, keys, "left_anti")

@@ -6,10 +6,8 @@ from collections.abc import Mapping, Sequence
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
 from millrace.functions.columns import col, quoted
-from millrace.sources.shared import cut_lineage
 
 QUINTILES = (0.2, 0.4, 0.6, 0.8)
 
@@ -134,13 +132,10 @@ def add_quintile_scores(
 ) -> DataFrame:
     """Score columns `{name: (metric column, descending)}` from the quintiles of `df` itself.
 
-    The metrics are read once for the points and once to be compared with them. A sum of doubles
-    may differ in its last bit from one computation to the next, so frames with such metrics are
-    stored first; whole numbers and decimals stay one lazy plan.
+    The metrics are computed once for the points and once to be compared with them, in one lazy
+    plan; so a metric must not depend on the order of rows (`exact_sum` is the sum for doubles).
     """
     metrics = list(dict.fromkeys(metric for metric, _ in scores.values()))
-    if any(isinstance(df.schema[m].dataType, (T.DoubleType, T.FloatType)) for m in metrics):
-        df = cut_lineage(df, "metrics")
     points = quantile_points(df, metrics, exact=exact, accuracy=accuracy)
     bundle = points.select(F.struct(*[col(m) for m in metrics]).alias("points")).scalar()
     held = df.withColumn("_points", bundle)

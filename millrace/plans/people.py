@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from millrace.functions.columns import recency_days
+from millrace.functions.columns import exact_sum, recency_days
 from millrace.plans.rfm import score_metrics
 
 
@@ -17,7 +17,7 @@ def person_metrics(
 ) -> DataFrame:
     """(customer_unique_id, recency_days, frequency, monetary): orders are counted once however
     many payments they have, and all payments are summed."""
-    paid = payments.groupBy("order_id").agg(F.sum("payment_value").alias("paid"))
+    paid = payments.groupBy("order_id").agg(exact_sum(payments, "payment_value").alias("paid"))
     bought = orders.select("order_id", "customer_id", "order_purchase_timestamp").join(paid, "order_id")
     people = customers.select("customer_id", "customer_unique_id")
     return (
@@ -26,7 +26,7 @@ def person_metrics(
         .agg(
             recency_days(F.max("order_purchase_timestamp"), reference_date).alias("recency_days"),
             F.count_distinct("order_id").alias("frequency"),
-            F.sum("paid").alias("monetary"),
+            exact_sum(paid, "paid").alias("monetary"),
         )
     )
 

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from millrace.functions.columns import AMOUNT_COLUMNS, col, ladder, pick_column, recency_days
+from millrace.functions.columns import AMOUNT_COLUMNS, col, exact_sum, ladder, pick_column, recency_days
 from millrace.operators.ordering import ntile
 from millrace.operators.quantiles import ACCURACY, add_quintile_scores
 from millrace.plans.calling import frame, save
@@ -30,7 +30,7 @@ def customer_metrics(
     return orders.groupBy(customer).agg(
         recency_days(F.max(col("order_date")), reference_date).alias("recency_days"),
         F.count(col("order_id")).alias("frequency"),
-        F.sum(col(amount)).alias("monetary"),
+        exact_sum(orders, amount).alias("monetary"),
     )
 
 
@@ -57,6 +57,24 @@ def score_metrics(metrics: DataFrame, *, exact: bool = True, accuracy: int = ACC
     return with_segment(scored)
 
 
+# Score, the names its metric goes by, and whether the smallest values score highest.
+_SCORES = (
+    ("r_score", ("recency_days",), True),
+    ("f_score", ("frequency", "order_count"), False),
+    ("m_score", ("monetary", "total_spend", "total_revenue"), False),
+)
+
+
+def add_missing_scores(df: DataFrame, names: set[str]) -> DataFrame:
+    """The scores among `names` that `df` lacks, from the quintiles of the metrics it has."""
+    found = {}
+    for score, metrics, descending in _SCORES:
+        metric = next((m for m in metrics if m in df.columns), None)
+        if score in names and score not in df.columns and metric is not None:
+            found[score] = (metric, descending)
+    return add_quintile_scores(df, found) if found else df
+
+
 def rfm_scores(
     orders: DataFrame,
     reference_date: str | Column | None = None,

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 from collections.abc import Callable, Mapping
 from dataclasses import replace
 from functools import reduce
@@ -12,10 +13,12 @@ from pyspark.sql import functions as F
 
 from millrace.operators import aggregates, checks, columns, joins, ordering
 from millrace.operators.layout import BROADCAST_LIMIT_MB, repartition_for_write
+from millrace.plans.rfm import add_missing_scores
 from millrace.plans.spec import JobSpec, SpecError, Step, dataset_of
 from millrace.sources import files, versioned
 from millrace.sources.files import Dataset
-from millrace.sources.schema import snake_case_columns
+from millrace.sources.schema import declared_schema, snake_case_columns, standard_types
+from millrace.sources.shared import cut_lineage, temporary_copies
 
 StepFunction = Callable[[DataFrame, Mapping[str, Any], JobSpec], DataFrame]
 
@@ -53,11 +56,27 @@ def _join(df: DataFrame, p: Mapping[str, Any], job: JobSpec) -> DataFrame:
         p["keys"],
         p["how"],
         limit_mb=limit,
-        prefer=p["prefer"],
+        prefer=p["prefer"] or _dimension(job, p),
         split_hot=p["split_hot"],
     )
 
 
+def _dimension(job: JobSpec, p: Mapping[str, Any]) -> str:
+    """Whose copy of a shared column stays: that of the table the key names (customer_id names
+    customers); else the joined table's, which is looked up."""
+    stems = {k.lower().removesuffix("_id") for k in p["keys"]}
+    named = {
+        side: str(place.get("table") or place.get("path") or "").rstrip("/").rsplit("/", 1)[-1].lower()
+        for side, place in (("right", p["right"]), ("left", vars(job.source)))
+    }
+    return "left" if any(s in named["left"] and s not in named["right"] for s in stems) else "right"
+
+
+def _enrich(df: DataFrame, p: Mapping[str, Any], job: JobSpec) -> DataFrame:
+    used = {word for _, text in p["derived"] for word in re.findall(r"\w+", str(text))}
+    return columns.derive_columns(add_missing_scores(df, used), p["derived"])
+
+
 def _dedupe(df: DataFrame, p: Mapping[str, Any], job: JobSpec) -> DataFrame:
     if p["keep"] == "any":
         return ordering.drop_duplicates(df, p["columns"])
@@ -68,7 +87,10 @@ register_step("filter", lambda df, p, job: columns.filter_rows(df, p["condition"
 register_step("fill_null", lambda df, p, job: columns.fill_nulls(df, p["values"]))
 register_step("rename", lambda df, p, job: columns.rename_columns(df, p["names"]))
 register_step("cast", lambda df, p, job: columns.cast_columns(df, p["types"]))
-register_step("enrich", lambda df, p, job: columns.derive_columns(df, p["derived"]))
+register_step("enrich", _enrich)
+register_step("fill_by_type", lambda df, p, job: columns.fill_by_type(df, **p))
+register_step("zero_fill", lambda df, p, job: columns.zero_fill(df))
+register_step("standard_types", lambda df, p, job: standard_types(df, **p))
 register_step("sort", lambda df, p, job: ordering.sort_rows(df, p["columns"]))
 register_step("upsert", lambda df, p, job: df)  # done by the write: the target merges
 register_step("aggregate", _aggregate)
@@ -104,6 +126,8 @@ def apply_steps(df: DataFrame, job: JobSpec) -> DataFrame:
 def build(spark: SparkSession, job: JobSpec) -> DataFrame:
     """The job's output as a lazy DataFrame; also the dry run of a job."""
     check_steps(job)
+    # Lets adaptive execution split a hot join key also where the next step groups by that key.
+    spark.conf.set("spark.sql.adaptive.forceOptimizeSkewedJoin", "true")
     source = files.read(spark, job.source)
     if job.standards:
         source = columns.trim_strings(snake_case_columns(source))
@@ -156,18 +180,29 @@ def frame_check(
 
 
 def _frame_results(
-    spark: SparkSession, job: JobSpec, target: Dataset, schema: Any, source: DataFrame | None
+    spark: SparkSession, job: JobSpec, written: DataFrame, source: DataFrame | None
 ) -> list[dict[str, Any]]:
-    wanted = [r for r in job.rules if r["check"] in FRAME_CHECKS]
-    if not wanted:
-        return []
-    if source is None:
-        source = files.read(spark, job.source)
-    written = files.read(spark, replace(target, schema=None if target.format == "delta" else schema))
+    raw = files.read(spark, job.source) if source is None else source
+    found = []
+    for entry in job.rules:
+        if entry["check"] in FRAME_CHECKS:
+            row = frame_check(spark, entry, written, raw).first()
+            found.append({"check": row.check, "passed": bool(row.passed), "observed": row.observed})
+        elif entry["check"] == "rerun":
+            again = build(spark, job) if source is None else apply_steps(source, job)
+            same = checks.same_rows(again.select(*written.columns), written)
+            found.append({"check": "rerun", "passed": same, "observed": int(not same)})
+    return found
+
+
+def _schema_results(job: JobSpec, output: DataFrame) -> list[dict[str, Any]]:
+    """Checks of the output's columns, which need no rows."""
     found = []
-    for entry in wanted:
-        row = frame_check(spark, entry, written, source).first()
-        found.append({"check": row.check, "passed": bool(row.passed), "observed": row.observed})
+    for entry in job.rules:
+        if entry["check"] == "schema":
+            strict = entry.get("strictness", "strict") == "strict"
+            problems = checks.schema_problems(output, declared_schema(entry["columns"]), strict=strict)
+            found.append({"check": "schema", "passed": not problems, "observed": len(problems), "problems": problems})
     return found
 
 
@@ -182,25 +217,40 @@ def run(
     """Run the job and report on it.
 
     The row count and all row rules are observed while the rows are written, so the output is
-    neither computed nor read a second time; only FRAME_CHECKS read it. The rows of a merge are counted and checked as they
-    are stored before it, not the table after it.
+    neither computed nor read a second time; only FRAME_CHECKS and `rerun` read it. All checks are
+    about the rows of this run: those of an append or merge that such a check looks at are stored
+    before they go into the table. `optimize_write` in the spec rebalances the output, and
+    `auto_compact` compacts a versioned table after the write.
     """
+    with temporary_copies(spark):
+        return _run(spark, job, source_path, target_path, source)
+
+
+def _run(
+    spark: SparkSession, job: JobSpec, source_path: str | None, target_path: str | None, source: DataFrame | None
+) -> dict[str, Any]:
     job = job.with_paths(source_path, target_path)
     if job.target is None:
         raise SpecError("the job has no target; use build() for a lazy result")
     check_steps(job)
     if job.table_operation in ("update", "delete"):
         return _change_table(spark, job)
-    rules = [rule_of(r) for r in job.rules if r["check"] not in FRAME_CHECKS]
+    rules = [rule_of(r) for r in job.rules if r["check"] not in (*FRAME_CHECKS, "rerun", "schema")]
+    if job.standards and not any(r["check"] == "not_empty" for r in job.rules):
+        rules.append(checks.not_empty())
     output = apply_steps(source, job) if source is not None else build(spark, job)
     target = _with_default_partitions(job, output)
     sorted_last = bool(job.steps) and job.steps[-1].operation == "sort"
-    if target.partition_by and not sorted_last:
+    if (target.partition_by or job.extras.get("optimize_write")) and not sorted_last:
         output = repartition_for_write(output, partition_by=target.partition_by)
     seen = Observation(job.name)
     metrics = [F.count(F.lit(1)).alias("row_count")]
     metrics += [r.bad.cast("bigint").alias(f"rule_{i}") for i, r in enumerate(rules)]
     output = output.observe(seen, *metrics)
+    reads = any(r["check"] in (*FRAME_CHECKS, "rerun") for r in job.rules)
+    of_this_run = reads and target.mode in ("append", "merge")
+    if of_this_run:
+        output = cut_lineage(output, "run")
     files.write(output, target)
     found = seen.get
     row_count = int(found.get("row_count") or 0)
@@ -209,7 +259,13 @@ def run(
         for i, r in enumerate(rules)
         for bad in [_observed(found, i, r, row_count)]
     ]
-    report += _frame_results(spark, job, target, output.schema, source)
+    report += _schema_results(job, output)
+    if reads:
+        schema = None if target.format == "delta" else output.schema
+        written = output if of_this_run else files.read(spark, replace(target, schema=schema))
+        report += _frame_results(spark, job, written, source)
+    if job.extras.get("auto_compact") and target.format == "delta":
+        versioned.compact(spark, target.path)
     return {
         "name": job.name,
         "version": job.version,

@@ -10,7 +10,7 @@ A step may be written in three ways, which all become one `Step`:
 from __future__ import annotations
 
 import re
-from collections.abc import Mapping
+from collections.abc import Mapping, Sequence
 from dataclasses import dataclass, field, replace
 from typing import Any
 
@@ -272,8 +272,10 @@ def job_of(raw: Mapping[str, Any], *, standards: bool = False) -> JobSpec:
         keys = [k for s in steps if s.operation == "upsert" for k in s.params["merge_keys"]]
         if keys and not target.merge_keys:
             target = replace(target, merge_keys=tuple(keys))
-        if target.mode == "merge" and not target.merge_keys:
-            raise SpecError("a merge target needs merge_keys")
+        if target.mode == "merge":
+            target = replace(target, format="delta", merge_keys=target.merge_keys or _grain(steps))
+            if not target.merge_keys:
+                raise SpecError("a merge target needs merge_keys")
     if operation is not None and operation not in TABLE_OPERATIONS:
         raise SpecError(f"unknown table operation {operation!r}")
     known = {"source", "target", "transformations", "delta_operation", "table_operation"}
@@ -293,6 +295,17 @@ def job_of(raw: Mapping[str, Any], *, standards: bool = False) -> JobSpec:
     )
 
 
+def _grain(steps: Sequence[Step]) -> tuple[str, ...]:
+    """Columns of which the output has one row each: the plain groups of its last aggregate."""
+    groups: list[str] = []
+    for step in steps:
+        if step.operation == "aggregate":
+            groups = list(step.params["group_by"])
+        elif step.operation in ("join", "rename"):
+            groups = []  # rows may repeat, or names change
+    return tuple(groups) if all(re.fullmatch(r"\w+", g) for g in groups) else ()
+
+
 def load_job(path: str, *, standards: bool = False) -> JobSpec:
     """JobSpec from a YAML or JSON file."""
     import json

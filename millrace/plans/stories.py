@@ -104,20 +104,33 @@ def monthly_region_revenue(orders: Place, target: Place | None = None) -> dict[s
 
 def geo_story(orders: Place, customers: Place, target: Place | None = None) -> dict[str, Any]:
     """Revenue and customers per country and region with a flag for high revenue."""
+    # Summed per customer first: one row per customer meets the join, however hot the customer.
     steps = [
-        {
-            "operation": "join",
-            "join_key": "customer_id",
-            "join_type": "left",
-            "prefer": "right",
-        }
+        {"operation": "aggregate", "group_by": ["customer_id"], "metrics": ["total_spend"]},
+        {"operation": "join", "join_key": "customer_id", "join_type": "left", "prefer": "right"}
         | _right(customers),
         {
             "operation": "aggregate",
-            "group_by": ["country", "region"],
-            "metrics": ["total_revenue", "customer_count", "avg_spend_per_customer"],
+            "params": {
+                "group_by": ["country", "region"],
+                "aggregations": [
+                    {"function": "sum", "column": "total_spend", "alias": "total_revenue"},
+                    {"function": "count", "column": "customer_id", "alias": "customer_count"},
+                ],
+            },
+        },
+        {
+            "operation": "enrich",
+            "params": {
+                "derived_columns": [
+                    {
+                        "name": "avg_spend_per_customer",
+                        "expression": "try_divide(double(total_revenue), double(customer_count))",
+                    },
+                    {"name": "is_high_value", "expression": "total_revenue > 10000"},
+                ]
+            },
         },
-        {"operation": "enrich", "column": "is_high_value", "value": "total_revenue > 10000"},
     ]
     return _job("geo_story", orders, target, steps, requires_broadcast_join=True)
 

@@ -3,9 +3,10 @@
 from __future__ import annotations
 
 from collections.abc import Iterable, Mapping, Sequence
+from concurrent.futures import ThreadPoolExecutor
 from typing import Any
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, Row, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -82,27 +83,37 @@ def infer_schema(
 
 
 def discover_tables(
-    spark: SparkSession, root: str, *, sampling_ratio: float = 1.0, glob: str = "*.csv"
+    spark: SparkSession, root: str, *, sampled_mb: float = 64.0, glob: str = "*.csv"
 ) -> DataFrame:
-    """One catalog row (name, path, format, columns) per sub-folder of CSV files below `root`.
+    """One catalog row (name, path, format, columns) per folder right below `root` that has CSV files
+    at any depth.
 
-    Listing runs on Spark without opening file contents; what comes to the driver is one name
-    per table, never file names or rows.
+    Listing runs on Spark without opening file contents; what comes to the driver is one row per
+    table. Types are inferred from about `sampled_mb` of each table, several tables at a time.
     """
-    base = root.rstrip("/")
+    path = spark._jvm.org.apache.hadoop.fs.Path(root.rstrip("/"))
+    base = path.getFileSystem(spark._jsc.hadoopConfiguration()).makeQualified(path).toString()
+    prefix = base.split(":", 1)[-1] + "/"
+    below = F.substring("path", F.instr("path", prefix) + len(prefix), F.length("path"))
     files = (
         spark.read.format("binaryFile")
         .option("pathGlobFilter", glob)
         .option("recursiveFileLookup", "true")
-        .load(base)
-        .select(F.regexp_extract("path", r"^(.*)/[^/]+$", 1).alias("folder"))
+        .load(root)
+        .select(below.alias("file"), "length")
+        .where(F.contains("file", F.lit("/")))  # a file right below the root has no table
+        .select(F.split_part("file", F.lit("/"), F.lit(1)).alias("name"), "length")
     )
-    folders = [r.folder for r in files.distinct().orderBy("folder").collect()]
-    entries = []
-    for folder in folders:
-        schema = infer_schema(spark, folder, sampling_ratio=sampling_ratio)
-        columns = [(f.name, f.dataType.simpleString()) for f in schema.fields]
-        entries.append((folder.rstrip("/").rsplit("/", 1)[-1], folder, "csv", columns))
+    tables = files.groupBy("name").agg(F.sum("length").alias("bytes")).orderBy("name").collect()
+
+    def entry(row: Row) -> tuple:
+        folder = f"{base}/{row.name}"
+        share = min(1.0, sampled_mb * 1024 * 1024 / max(1, row.bytes))
+        schema = infer_schema(spark, folder, sampling_ratio=share, recursiveFileLookup=True, pathGlobFilter=glob)
+        return row.name, folder, "csv", [(f.name, f.dataType.simpleString()) for f in schema.fields]
+
+    with ThreadPoolExecutor(8) as pool:
+        entries = list(pool.map(entry, tables))
     layout = "name string, path string, format string, columns array<struct<name:string,type:string>>"
     return spark.createDataFrame(entries, layout)
 

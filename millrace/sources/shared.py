@@ -2,8 +2,12 @@
 
 from __future__ import annotations
 
+import atexit
+import shutil
 import tempfile
 import uuid
+from collections.abc import Iterator
+from contextlib import contextmanager
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -21,19 +25,42 @@ def shared_folder(spark: SparkSession) -> str:
     if not context.master.startswith("local"):
         raise RuntimeError("set spark.checkpoint.dir to a folder that every executor can reach")
     folder = tempfile.mkdtemp(prefix="millrace-")
+    atexit.register(shutil.rmtree, folder, ignore_errors=True)
     context.setCheckpointDir(folder)
     return folder
 
 
+#: Paths made within each open block of `temporary_copies`, the innermost last.
+_OPEN: list[list[str]] = []
+
+
 def fresh_path(spark: SparkSession, label: str) -> str:
     """A path below the shared folder that nothing else uses."""
-    return f"{shared_folder(spark)}/millrace/{label}-{uuid.uuid4().hex}"
+    path = f"{shared_folder(spark)}/millrace/{label}-{uuid.uuid4().hex}"
+    if _OPEN:
+        _OPEN[-1].append(path)
+    return path
+
+
+@contextmanager
+def temporary_copies(spark: SparkSession) -> Iterator[None]:
+    """Owner of the copies stored within the block: they are deleted at its end, so the actions
+    that read them belong into the block."""
+    made: list[str] = []
+    _OPEN.append(made)
+    try:
+        yield
+    finally:
+        _OPEN.remove(made)
+        for path in made:
+            delete_folder(spark, path)
 
 
 def cut_lineage(df: DataFrame, label: str = "cut") -> DataFrame:
     """`df` computed once, written to the shared folder as Parquet and read back.
 
     Later uses read the written rows, so a lost executor can neither recompute nor change them.
+    The copy stays until the surrounding `temporary_copies` ends, or else until the folder is cleared.
     """
     path = fresh_path(df.sparkSession, label)
     df.write.parquet(path)

@@ -2,13 +2,13 @@
 
 Layout below the table path:
 
-    data/_part=N/...   the rows written by version N
-    history/           one row per version: operation, schema and the parts that make it up
+    data/_part=N/...   the rows written by version N, in folders by partition value if there are any
+    history/           one row per version: operation, schema and the folders that make it up
 
-A version is a list of parts. Appending writes only the new rows and lists the old parts again.
-Update, delete and merge find the parts that hold a row they change and write those anew as one
-part; the other parts are listed again. A version exists once its history row does, so a job that
-dies half-way leaves the table as it was. One writer at a time: there is no commit protocol between
+A version is a list of parts: folders "N", or "N/column=value" of a partitioned table. Appending
+writes only the new rows and lists the old parts again. Update, delete and merge find the parts that
+hold a row they change and write only those anew; all others are listed again. A version exists
+once its history row does, so a job that dies half-way leaves the table as it was. One writer at a time: there is no commit protocol between
 concurrent writers.
 """
 
@@ -18,8 +18,9 @@ import json
 from collections.abc import Callable, Mapping, Sequence
 from dataclasses import dataclass, replace
 from typing import Any
+from urllib.parse import unquote
 
-from pyspark.sql import DataFrame, Observation, Row, SparkSession, Window
+from pyspark.sql import Column, DataFrame, Observation, Row, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -28,10 +29,10 @@ from millrace.operators import layout, mutations
 from millrace.sources.schema import conform
 from millrace.sources.shared import cut_lineage, delete_folder, folder_exists
 
-PART = "_part"
+PART, FOLDER = "_part", "_folder"
 HISTORY_SCHEMA = (
     "version bigint, operation string, parameters string, committed_at timestamp, "
-    "written_rows bigint, parts array<bigint>, schema string, partition_by array<string>"
+    "written_rows bigint, parts array<string>, schema string, partition_by array<string>"
 )
 
 # How long old versions stay and how many history rows are shown.
@@ -44,7 +45,7 @@ class Version:
     """One committed version."""
 
     number: int
-    parts: tuple[int, ...]
+    parts: tuple[str, ...]
     schema: T.StructType
     partition_by: tuple[str, ...]
 
@@ -102,8 +103,8 @@ def read(spark: SparkSession, path: str, version: int | None = None) -> DataFram
     return _rows(spark, path, found, found.parts).drop(PART)
 
 
-def _rows(spark: SparkSession, path: str, found: Version, parts: Sequence[int]) -> DataFrame:
-    """Rows of some parts of a version with the part number as last column."""
+def _rows(spark: SparkSession, path: str, found: Version, parts: Sequence[str]) -> DataFrame:
+    """Rows of some parts of a version with the number of the version that wrote them as last column."""
     stored = T.StructType([*found.schema.fields, T.StructField(PART, T.LongType())])
     if not parts:
         return spark.createDataFrame([], stored)
@@ -113,9 +114,19 @@ def _rows(spark: SparkSession, path: str, found: Version, parts: Sequence[int])
     return rows.select(*[col(f.name) for f in stored.fields])
 
 
-def _parts_of(rows: DataFrame) -> tuple[int, ...]:
-    """Part numbers that occur; at most one number per version comes to the driver."""
-    return tuple(r[0] for r in rows.select(PART).distinct().collect())
+def _part_of(file: Column) -> Column:
+    """The part that a data file lies in."""
+    return F.regexp_extract(file, rf".*/{PART}=(\d+(?:/[^/]+=[^/]*)*)/[^/]*$", 1)
+
+
+def _parts_of(rows: DataFrame, keys: Sequence[str] = ()) -> DataFrame:
+    """`rows` of the table, cut to `keys`, with the part of each, URL-encoded, as `_folder`."""
+    return rows.select(*keys, _part_of(F.col("_metadata.file_path")).alias(FOLDER))
+
+
+def _distinct_parts(found: DataFrame) -> tuple[str, ...]:
+    """The parts that occur, one row per folder of the table at most."""
+    return tuple(sorted(r[0] for r in found.select(FOLDER).distinct().collect()))
 
 
 def write(
@@ -158,21 +169,27 @@ def _commit(
     df: DataFrame,
     path: str,
     number: int,
-    kept: Sequence[int],
+    kept: Sequence[str],
     operation: str,
     parameters: Mapping[str, Any],
     partition_by: tuple[str, ...],
 ) -> int:
-    """Write `df` as the part of a new version that also has the kept parts."""
+    """Write `df` as the parts of a new version that also has the kept parts."""
     seen = Observation()
-    observed = df.observe(seen, F.count(F.lit(1)).alias("rows"))
+    spread = layout.repartition_for_write(df, partition_by=partition_by) if partition_by else df
+    observed = spread.observe(seen, F.count(F.lit(1)).alias("rows"))
     writer = observed.write.mode("overwrite")
     if partition_by:
         writer = writer.partitionBy(*partition_by)
-    writer.parquet(f"{_data(path)}/{PART}={number}")
+    folder = f"{_data(path)}/{PART}={number}"
+    writer.parquet(folder)
     written = int(seen.get.get("rows", 0))
+    parts: tuple[str, ...] = (str(number),)
+    if partition_by:
+        files = df.sparkSession.read.format("binaryFile").option("recursiveFileLookup", "true").load(folder)
+        parts = _distinct_parts(files.select(_part_of(F.col("path")).alias(FOLDER))) if written else ()
     schema = T.StructType([T.StructField(f.name, f.dataType, True) for f in df.schema.fields])
-    found = Version(number, (*kept, number), schema, partition_by)
+    found = Version(number, (*kept, *parts), schema, partition_by)
     return _record(df.sparkSession, path, found, operation, parameters, written)
 
 
@@ -204,7 +221,7 @@ def _change_parts(
     spark: SparkSession,
     path: str,
     current: Version,
-    touched: Sequence[int],
+    touched: Sequence[str],
     change: Callable[[DataFrame], DataFrame],
     operation: str,
     parameters: Mapping[str, Any],
@@ -221,10 +238,11 @@ def _change_parts(
     return _commit(changed, path, number, kept, operation, parameters, current.partition_by)
 
 
-def _touched_by(spark: SparkSession, path: str, current: Version, condition: str) -> Sequence[int]:
-    if len(current.parts) == 1:
-        return current.parts
-    return _parts_of(_rows(spark, path, current, current.parts).where(condition))
+def _touched_by(spark: SparkSession, path: str, current: Version, condition: str) -> Sequence[str]:
+    if not current.parts:
+        return ()
+    found = _parts_of(_rows(spark, path, current, current.parts).where(condition))
+    return tuple(map(unquote, _distinct_parts(found)))
 
 
 def update(spark: SparkSession, path: str, condition: str, assignments: Mapping[str, str]) -> int:
@@ -288,9 +306,9 @@ def merge(
     source = cut_lineage(source, "merge")
     current = version_of(spark, path)
     touched = current.parts
-    if len(touched) > 1 and not delete_unmatched:
-        held = _rows(spark, path, current, current.parts).select(*keys, PART)
-        touched = _parts_of(held.join(source.select(*keys), list(keys), "left_semi"))
+    if touched and not delete_unmatched:
+        held = _parts_of(_rows(spark, path, current, current.parts), keys)
+        touched = tuple(map(unquote, _distinct_parts(held.join(source.select(*keys), list(keys), "left_semi"))))
     number = _change_parts(
         spark,
         path,
@@ -356,12 +374,12 @@ def stale_parts(spark: SparkSession, path: str, retention_hours: float = RETENTI
 
 def vacuum(
     spark: SparkSession, path: str, retention_hours: float = RETENTION_HOURS, *, dry_run: bool = True
-) -> list[int]:
-    """Part numbers that nothing recent uses; with `dry_run=False` their folders are deleted."""
+) -> list[str]:
+    """Parts that nothing recent uses; with `dry_run=False` their folders are deleted."""
     parts = sorted(r.part for r in stale_parts(spark, path, retention_hours).collect())
     if dry_run:
         return parts
-    for number in parts:
-        delete_folder(spark, f"{_data(path)}/{PART}={number}")
+    for part in parts:
+        delete_folder(spark, f"{_data(path)}/{PART}={part}")
     return parts
 

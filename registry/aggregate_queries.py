@@ -207,10 +207,29 @@ def quantile_points(spark: SparkSession, folder: str) -> DataFrame:
     return _spread(quantiles.quantile_points(df, ["amount", "orders"]))
 
 
-@query("a10_quantile_sketch")
+@query(
+    "a10_quantile_sketch",
+    """SELECT metric, step, true AS within FROM (VALUES ('amount'), ('orders')) AS m(metric),
+      (VALUES (0), (1), (2), (3)) AS s(step)""",
+)
 def quantile_sketch(spark: SparkSession, folder: str) -> DataFrame:
+    """Whether the rank of each point of the sketch is within the sketch's error bound."""
     df = _customer_amounts(spark, folder)
-    return _spread(quantiles.quantile_points(df, ["amount", "orders"], exact=False))
+    points = quantiles.quantile_points(df, ["amount", "orders"], exact=False)
+    found = None
+    for metric in ("amount", "orders"):
+        steps = points.select(F.posexplode(metric).alias("step", "point"), F.array(*map(F.lit, quantiles.QUINTILES)).alias("p"))
+        bundle = steps.agg(F.array_sort(F.collect_list(F.struct("step", "point", F.get("p", F.col("step")).alias("p")))).alias("s")).scalar()
+        value = F.col(metric).cast("double")
+        ranks = df.select(value.alias("v"), F.explode(bundle).alias("s")).groupBy("s").agg(
+            F.count_if(F.col("v") < F.col("s.point")).alias("below"),
+            F.count_if(F.col("v") <= F.col("s.point")).alias("upto"), F.count("v").alias("n"),
+        )
+        wanted, error = F.col("s.p") * F.col("n"), F.col("n") / quantiles.ACCURACY + 1
+        within = (F.col("below") - error <= wanted) & (wanted <= F.col("upto") + error)
+        rows = ranks.select(F.lit(metric).alias("metric"), F.col("s.step").alias("step"), within.alias("within"))
+        found = rows if found is None else found.unionByName(rows)
+    return found
 
 
 @query(

@@ -225,7 +225,12 @@ def story_rules(spark: SparkSession, folder: str) -> DataFrame:
     return checks.violations(submitted, checks.story_rules(), ["doc_id"])
 
 
-@query("v5_v8_analytics_checks")
+@query(
+    "v5_v8_analytics_checks",
+    """SELECT "check", true AS passed FROM (VALUES ('range:r_score'), ('range:f_score'), ('range:m_score'),
+      ('range:rfm_score'), ('allowed:rfm_segment'), ('range:intent_score'), ('allowed:intent_segment'),
+      ('allowed:campaign_grade'), ('not_empty'), ('one_row_per:customer_id')) AS t("check")""",
+)
 def analytics_checks(spark: SparkSession, folder: str) -> DataFrame:
     """The acceptance rules of the prebuilt analytics; every row must have passed = true."""
     bought = orders(spark, folder)
@@ -233,7 +238,7 @@ def analytics_checks(spark: SparkSession, folder: str) -> DataFrame:
     wanted = intent.intent_scores(bought, "_3")
     graded = campaign.campaign_kpis(campaigns(spark, folder), "FAMILY")
     scores = [checks.in_range(c, 1, 5) for c in ("r_score", "f_score", "m_score")]
-    return checks.stack(
+    found = checks.stack(
         [
             checks.run_row_rules(
                 scored,
@@ -256,3 +261,4 @@ def analytics_checks(spark: SparkSession, folder: str) -> DataFrame:
             checks.all_keys_kept(scored, bought, ["customer_id"]),
         ]
     )
+    return found.select("check", "passed")

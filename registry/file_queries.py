@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from millrace.plans.runner import build
+from millrace.plans.runner import build, run
 from millrace.plans.spec import job_of
 from millrace.sources import files, schema
 from millrace.sources.files import Dataset
@@ -69,7 +69,16 @@ def orc_scan(spark: SparkSession, folder: str) -> DataFrame:
     return _round_trip(spark, table(spark, folder, "supplier"), "orc")
 
 
-@query("s8_discover_tables")
+@query(
+    "s8_discover_tables",
+    """SELECT t AS table_name, 'csv' AS format, c AS column_name, k AS column_type FROM (VALUES
+      ('customer', 'c_custkey', 'int'), ('customer', 'c_name', 'string'), ('customer', 'c_nationkey', 'int'),
+      ('customer', 'c_acctbal', 'double'), ('customer', 'c_mktsegment', 'string'), ('supplier', 's_suppkey', 'int'),
+      ('supplier', 's_name', 'string'), ('supplier', 's_nationkey', 'int'), ('supplier', 's_acctbal', 'double'),
+      ('orders', 'o_orderkey', 'int'), ('orders', 'o_custkey', 'int'), ('orders', 'o_orderstatus', 'string'),
+      ('orders', 'o_totalprice', 'double'), ('orders', 'o_orderdate', 'timestamp'), ('orders', 'o_orderpriority', 'string'))
+      AS v(t, c, k)""",
+)
 def discover(spark: SparkSession, folder: str) -> DataFrame:
     root = fresh_path(spark, "crawl")
     for name in ("customer", "supplier", "orders"):
@@ -266,3 +275,12 @@ def table_by_name(spark: SparkSession, folder: str) -> DataFrame:
         }
     )
     return build(spark, job)
+
+
+@query("s10_path_override", "SELECT c_custkey, c_name FROM customer")
+def path_override(spark: SparkSession, folder: str) -> DataFrame:
+    """A job whose source and target paths are given when it runs."""
+    job = job_of({"source": "/no/such/source", "target": "/no/such/target", "transformations": []})
+    target = fresh_path(spark, "override")
+    run(spark, job, source_path=f"{folder}/customer.parquet", target_path=target)
+    return spark.read.parquet(target).select("c_custkey", "c_name")

@@ -110,9 +110,19 @@ def rfm_scoring(spark: SparkSession, folder: str) -> DataFrame:
     return rounded(_rfm(spark, folder), 2, "monetary")
 
 
-@query("n1_rfm_sketch")
+@query(
+    "n1_rfm_sketch",
+    """SELECT count(DISTINCT o_custkey) AS customers, true AS close FROM orders""",
+)
 def rfm_sketch(spark: SparkSession, folder: str) -> DataFrame:
-    return rfm.rfm_scores(orders(spark, folder), REFERENCE_DATE, exact=False)
+    """Scores from the sketch are at most one class from the exact ones."""
+    names = ("r_score", "f_score", "m_score")
+    exact = _rfm(spark, folder).select("customer_id", *[F.col(n).alias(f"exact_{n}") for n in names])
+    sketch = rfm.rfm_scores(orders(spark, folder), REFERENCE_DATE, exact=False)
+    near = [F.abs(F.col(n) - F.col(f"exact_{n}")) <= 1 for n in names]
+    return sketch.join(exact, "customer_id").agg(
+        F.count(F.lit(1)).alias("customers"), F.bool_and(near[0] & near[1] & near[2]).alias("close")
+    )
 
 
 _GEO = """geo AS (SELECT country, region, sum(order_amount) AS total_revenue,
@@ -706,3 +716,175 @@ def rfm_from_path(spark: SparkSession, folder: str) -> DataFrame:
     files.write(orders(spark, folder), Dataset(path=path))
     rfm.run_rfm(spark, path, output, REFERENCE_DATE)
     return rounded(files.read(spark, Dataset(path=output, format="delta")), 2, "monetary")
+
+
+# The shipped stories in the flat dialect, each over the given tables. Orders also carry a region of
+# their own, which must not win over that of the customers.
+def _story_place(spark: SparkSession, folder: str, name: str) -> dict[str, str]:
+    if name == "customers":
+        register(spark, folder, "customers")
+        return place("customers")
+    if name == "campaigns":
+        register(spark, folder, "campaigns")
+        return place("campaigns")
+    orders(spark, folder).withColumn("region", F.lit("of the order")).createOrReplaceTempView("v_story_orders")
+    return {"table": "v_story_orders"}
+
+
+def _run_story(spark: SparkSession, story: dict) -> DataFrame:
+    """Runs the story into a new table and reads that."""
+    target = {"path": fresh_path(spark, "story"), "format": "delta", "mode": story.pop("mode", "overwrite")}
+    run(spark, job_of(story | {"target": target}))
+    return files.read(spark, Dataset(path=target["path"], format="delta"))
+
+
+@query("r1_story_clean", sql(
+    """SELECT customer_id, coalesce(email, 'unknown@example.com') AS email, coalesce(country, 'UNKNOWN') AS country
+    FROM v_customers WHERE customer_id IS NOT NULL""", "customers"))
+def story_clean(spark: SparkSession, folder: str) -> DataFrame:
+    return _run_story(spark, {
+        "id": "clean_nulls", "source": _story_place(spark, folder, "customers"),
+        "transformations": [
+            {"operation": "filter", "column": "customer_id", "condition": "is_not_null"},
+            {"operation": "fill_null", "column": "email", "value": "unknown@example.com"},
+            {"operation": "fill_null", "column": "country", "value": "UNKNOWN"},
+        ],
+    }).select("customer_id", "email", "country")
+
+
+@query("r1_story_join", sql(
+    """SELECT customer_id, customer_name, email, country, round(CAST(sum(order_amount) AS DOUBLE), 2) AS total_spend,
+      count(order_id) AS order_count FROM v_customers LEFT JOIN v_orders USING (customer_id) GROUP BY ALL""",
+    "customers", "orders"))
+def story_join(spark: SparkSession, folder: str) -> DataFrame:
+    return rounded(_run_story(spark, {
+        "id": "join_aggregate", "source": _story_place(spark, folder, "customers"),
+        "transformations": [
+            {"operation": "join", "right_table": _story_place(spark, folder, "orders")["table"],
+             "join_key": "customer_id", "join_type": "left"},
+            {"operation": "aggregate", "group_by": ["customer_id", "customer_name", "email", "country"],
+             "metrics": ["total_spend", "order_count"]},
+        ],
+    }), 2, "total_spend")
+
+
+@query("r1_story_monthly", sql(
+    """SELECT year, month, 'of the order' AS region, round(CAST(sum(order_amount) AS DOUBLE), 2) AS total_revenue,
+      count(order_id) AS order_count, round(CAST(sum(order_amount) AS DOUBLE) / count(order_amount), 2) AS avg_order_value
+    FROM v_orders GROUP BY 1, 2""", "orders"))
+def story_monthly(spark: SparkSession, folder: str) -> DataFrame:
+    return rounded(_run_story(spark, {
+        "id": "monthly_revenue", "source": _story_place(spark, folder, "orders"),
+        "transformations": [{"operation": "aggregate", "group_by": ["year", "month", "region"],
+                             "metrics": ["total_revenue", "order_count", "avg_order_value"]}],
+    }), 2, "total_revenue", "avg_order_value")
+
+
+@query("r1_story_geo", sql(
+    """SELECT country, region, round(CAST(sum(order_amount) AS DOUBLE), 2) AS total_revenue,
+      count(DISTINCT customer_id) AS customer_count,
+      round(CAST(sum(order_amount) AS DOUBLE) / count(DISTINCT customer_id), 2) AS avg_spend_per_customer,
+      sum(order_amount) > 10000 AS is_high_value
+    FROM v_orders LEFT JOIN v_customers USING (customer_id) GROUP BY ALL""", "orders", "customers"))
+def story_geo(spark: SparkSession, folder: str) -> DataFrame:
+    return rounded(_run_story(spark, {
+        "id": "geo_revenue", "source": _story_place(spark, folder, "orders"),
+        "transformations": [
+            {"operation": "join", "right_table": _story_place(spark, folder, "customers")["table"],
+             "join_key": "customer_id", "join_type": "left"},
+            {"operation": "aggregate", "group_by": ["country", "region"],
+             "metrics": ["total_revenue", "customer_count", "avg_spend_per_customer"]},
+            {"operation": "enrich", "column": "is_high_value", "value": "total_revenue > 10000"},
+        ],
+    }), 2, "total_revenue", "avg_spend_per_customer")
+
+
+@query("r1_story_rfm", sql(
+    f"""{_RFM} SELECT customer_id, recency_days, frequency AS order_count,
+      round(CAST(monetary AS DOUBLE), 2) AS total_spend, rfm_score FROM rfm""", "orders"))
+def story_rfm(spark: SparkSession, folder: str) -> DataFrame:
+    return rounded(_run_story(spark, {
+        "id": "rfm_analysis", "source": _story_place(spark, folder, "orders"), "mode": "merge",
+        "reference_date": REFERENCE_DATE,
+        "transformations": [
+            {"operation": "aggregate", "group_by": ["customer_id"],
+             "metrics": ["recency_days", "order_count", "total_spend"]},
+            {"operation": "enrich", "column": "rfm_score", "value": "r_score + f_score + m_score"},
+        ],
+    }).select("customer_id", "recency_days", "order_count", "total_spend", "rfm_score"), 2, "total_spend")
+
+
+@query("r1_story_campaign", sql(
+    """SELECT campaign_id, campaign_name, product_category, round(CAST(sum(order_amount) AS DOUBLE), 2) AS total_revenue,
+      count(order_id) AS order_count, max(impressions) AS impressions,
+      round(CAST(max(campaign_cost) AS DOUBLE), 2) AS campaign_cost,
+      round(CAST(sum(order_amount) - max(campaign_cost) AS DOUBLE) / CAST(max(campaign_cost) AS DOUBLE) * 100, 4) AS roi_pct
+    FROM v_campaigns LEFT JOIN (SELECT order_id, campaign_id, order_amount FROM v_orders) USING (campaign_id)
+    WHERE product_category = 'FAMILY_3' GROUP BY ALL""", "campaigns", "orders"))
+def story_campaign(spark: SparkSession, folder: str) -> DataFrame:
+    return rounded(rounded(_run_story(spark, {
+        "id": "campaign_performance", "source": _story_place(spark, folder, "campaigns"), "mode": "merge",
+        "transformations": [
+            {"operation": "filter", "column": "product_category", "condition": "== 'FAMILY_3'"},
+            {"operation": "join", "right_table": _story_place(spark, folder, "orders")["table"],
+             "join_key": "campaign_id", "join_type": "left"},
+            {"operation": "aggregate", "group_by": ["campaign_id", "campaign_name", "product_category"],
+             "metrics": ["total_revenue", "order_count", "impressions", "campaign_cost"]},
+            {"operation": "enrich", "column": "roi_pct", "value": "(total_revenue - campaign_cost) / campaign_cost * 100"},
+        ],
+    }), 2, "total_revenue", "campaign_cost"), 4, "roi_pct")
+
+
+@query("n1_rfm_double", sql(f"{_RFM} SELECT {_RFM_SHOW} FROM rfm", "orders"))
+def rfm_double(spark: SparkSession, folder: str) -> DataFrame:
+    """Amounts as doubles: one lazy plan, nothing is stored while it is built."""
+    doubles = orders(spark, folder).withColumn("order_amount", F.col("order_amount").cast("double"))
+    return rounded(rfm.rfm_scores(doubles, REFERENCE_DATE), 2, "monetary")
+
+
+def _report(spark: SparkSession, label: str, job: dict) -> DataFrame:
+    """The acceptance checks of a run as rows (run, check, passed)."""
+    told = run(spark, job_of(job))["checks"]
+    return spark.createDataFrame([(label, c["check"], c["passed"]) for c in told], "run string, check string, passed boolean")
+
+
+@query("v2_schema_check", """SELECT * FROM (VALUES ('strict', 'schema', true), ('lenient', 'schema', true),
+    ('more columns', 'schema', false)) AS t(run, "check", passed)""")
+def schema_check(spark: SparkSession, folder: str) -> DataFrame:
+    whole = [{"name": f.name, "type": f.dataType.simpleString()} for f in table(spark, folder, "nation").schema.fields]
+    found = None
+    for label, columns, strictness in (("strict", whole, "strict"), ("lenient", whole[:1], "lenient"), ("more columns", whole[:1], "strict")):
+        job = {
+            "source": {"path": f"{folder}/nation.parquet"}, "target": {"path": fresh_path(spark, "checked")},
+            "rules": [{"check": "schema", "columns": columns, "strictness": strictness}],
+        }
+        rows = _report(spark, label, job)
+        found = rows if found is None else found.unionByName(rows)
+    return found
+
+
+@query("v12_rerun", """SELECT 'first' AS run, 'rerun' AS "check", true AS passed""")
+def rerun(spark: SparkSession, folder: str) -> DataFrame:
+    return _report(spark, "first", {
+        "source": {"path": f"{folder}/orders.parquet"}, "target": {"path": fresh_path(spark, "rerun")},
+        "transformations": [{"operation": "aggregate", "group_by": ["o_custkey"], "aggregations": [
+            {"function": "count", "column": "*", "alias": "n"}, {"function": "max", "column": "o_orderdate", "alias": "last"}]}],
+        "rules": [{"check": "rerun"}],
+    })
+
+
+@query("r1_append_checks", """SELECT run, "check", true AS passed FROM (VALUES ('first'), ('second'), ('merge')) AS r(run),
+    (VALUES ('not_more_rows'), ('same_total:o_shippriority'), ('rerun')) AS c("check")""")
+def append_checks(spark: SparkSession, folder: str) -> DataFrame:
+    """Checks of appends and merges are about the rows of the run, not about the table."""
+    path, found = fresh_path(spark, "appended"), None
+    source = table(spark, folder, "orders").withColumn("o_shippriority", F.col("o_orderkey"))
+    source.createOrReplaceTempView("v_append_source")
+    for label, mode in (("first", "append"), ("second", "append"), ("merge", "merge")):
+        place_of = {"path": path if mode == "append" else f"{path}-merged", "format": "delta", "mode": mode}
+        rows = _report(spark, label, {
+            "source": {"table": "v_append_source"}, "target": place_of | {"merge_keys": ["o_orderkey"]},
+            "rules": [{"check": "not_more_rows"}, {"check": "same_total", "column": "o_shippriority"}, {"check": "rerun"}],
+        })
+        found = rows if found is None else found.unionByName(rows)
+    return found

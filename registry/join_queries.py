@@ -160,26 +160,16 @@ def left_zero_fill(spark: SparkSession, folder: str) -> DataFrame:
     ),
 )
 def star_join(spark: SparkSession, folder: str) -> DataFrame:
-    paid = payments(spark, folder).groupBy("order_id").agg(
-        F.sum("payment_value").alias("paid"), F.count(F.lit(1)).alias("payments")
-    )
     sold = lookup_join(
         items(spark, folder).select("order_id", "product_id"),
         products(spark, folder).select("product_id", "product_category_name"),
         ["product_id"],
         "left",
     )
-    per_order = sold.groupBy("order_id", "product_category_name").agg(F.count(F.lit(1)).alias("items"))
+    paid = payments(spark, folder).select("order_id", F.col("payment_value").alias("paid"))
     bought = orders(spark, folder).select("order_id", "year")
-    joined = bought.join(paid, "order_id").join(per_order, "order_id")
-    return rounded(
-        joined.groupBy("year", "product_category_name").agg(
-            F.sum(F.col("payments") * F.col("items")).alias("rows"),
-            F.sum(F.col("paid") * F.col("items")).alias("paid"),
-        ),
-        2,
-        "paid",
-    )
+    groups = ["year", "product_category_name"]
+    return rounded(joins.star_join(bought, "order_id", paid, sold, groups, ["paid"]), 2, "paid")
 
 
 @query(

@@ -11,7 +11,7 @@ from millrace.plans.spec import job_of
 from millrace.sources import versioned
 from millrace.sources.shared import fresh_path
 from registry import query
-from registry.views import orders, rounded, sql
+from registry.views import orders, rounded, sql, table
 
 _COLUMNS = ("order_id", "customer_id", "status", "amount", "priority")
 
@@ -26,7 +26,8 @@ _SOURCE = """s AS (SELECT CASE WHEN status = 'P' THEN -order_id ELSE order_id EN
     nullif(priority, '1-URGENT') AS priority FROM v_orders)"""
 
 
-NEW_KEY = F.when(F.col("status") == "P", -F.col("order_id")).otherwise(F.col("order_id"))
+def _new_key() -> F.Column:
+    return F.when(F.col("status") == "P", -F.col("order_id")).otherwise(F.col("order_id"))
 
 
 def _target(spark: SparkSession, folder: str) -> DataFrame:
@@ -42,7 +43,7 @@ def _target(spark: SparkSession, folder: str) -> DataFrame:
 def _source(spark: SparkSession, folder: str) -> DataFrame:
     doubled = F.when(F.col("status") == "O", F.col("order_amount") * 2).otherwise(F.col("order_amount"))
     return orders(spark, folder).select(
-        NEW_KEY.alias("order_id"),
+        _new_key().alias("order_id"),
         "customer_id",
         "status",
         doubled.cast("decimal(18,2)").alias("amount"),
@@ -194,7 +195,7 @@ def merge_null_keys(spark: SparkSession, folder: str) -> DataFrame:
     doubled = F.when(F.col("status") == "O", F.col("order_amount") * 2).otherwise(F.col("order_amount"))
     merged = mutations.merge_rows(
         shaped(target, F.col("order_id"), F.col("order_amount"), "5-LOW"),
-        shaped(source, NEW_KEY, doubled, "1-URGENT"),
+        shaped(source, _new_key(), doubled, "1-URGENT"),
         ["order_id"],
     )
     return _shown(merged.withColumn("order_id", F.coalesce("order_id", F.lit(-1))))
@@ -237,15 +238,22 @@ def time_travel(spark: SparkSession, folder: str) -> DataFrame:
     return _shown(versioned.read(spark, path, version=0))
 
 
-@query("t8_history")
+@query(
+    "t8_history",
+    """SELECT * FROM (VALUES (0, 'CREATE', (SELECT count(*) FROM orders), '0'),
+      (1, 'DELETE', (SELECT count(*) FROM orders WHERE o_orderstatus <> 'P'), '1'),
+      (2, 'MERGE', (SELECT count(*) + count(*) FILTER (o_orderstatus = 'P') - count(*) FILTER (o_orderstatus = 'P')
+        FROM orders), '2')) AS t(version, operation, written_rows, parts)""",
+)
 def history(spark: SparkSession, folder: str) -> DataFrame:
     path = fresh_path(spark, "table")
-    versioned.write(_target(spark, folder), path)
+    versioned.write(_target(spark, folder), path, mode="create")
     versioned.delete(spark, path, "status = 'P'")
     versioned.merge(_source(spark, folder), path, ["order_id"])
     return versioned.history(spark, path).select(
-        "version", "operation", "parameters", "written_rows", "parts"
-    )
+        F.col("version").cast("int").alias("version"), "operation", "written_rows",
+        F.array_join(F.col("parts").cast("array<string>"), ",").alias("parts"),
+    )
 
 
 @query("t9_compact", _sql(f"SELECT {_SHOW} FROM t"))
@@ -344,9 +352,27 @@ def vacuum(spark: SparkSession, folder: str) -> DataFrame:
     kept = len(versioned.vacuum(spark, path, dry_run=False))
     versioned.write(versioned.read(spark, path), path, mode="append")
     gone = versioned.vacuum(spark, path, retention_hours=0, dry_run=False)
-    told = [("kept within retention", kept), *(("removed part", n) for n in gone)]
+    told = [("kept within retention", kept), *(("removed part", int(n)) for n in gone)]
     found = spark.createDataFrame(told, "what string, n long")
     for number in (1, 2):
         rows = versioned.read(spark, path, number).agg(F.count(F.lit(1)).alias("n"))
         found = found.unionByName(rows.withColumn("what", F.lit(f"rows of version {number}")))
     return found
+
+
+@query(
+    "t4e_merge_repeated_keys",
+    """SELECT 'refused' AS outcome, count(*) AS repeated FROM (SELECT o_custkey FROM orders GROUP BY 1 HAVING count(*) > 1)""",
+)
+def merge_repeated_keys(spark: SparkSession, folder: str) -> DataFrame:
+    """A source with several rows per key is refused; counted are the keys that repeat."""
+    rows = table(spark, folder, "orders").select("o_custkey", "o_orderkey")
+    path = fresh_path(spark, "table")
+    versioned.write(rows.groupBy("o_custkey").agg(F.min("o_orderkey").alias("o_orderkey")), path)
+    try:
+        versioned.merge(rows, path, ["o_custkey"])
+        outcome = "accepted"
+    except ValueError:
+        outcome = "refused"
+    repeated = rows.groupBy("o_custkey").count().where("count > 1")
+    return repeated.agg(F.count(F.lit(1)).alias("repeated")).withColumn("outcome", F.lit(outcome))

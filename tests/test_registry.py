@@ -1,4 +1,5 @@
 import os
+import subprocess
 import sys
 from concurrent.futures import ThreadPoolExecutor
 from pathlib import Path
@@ -49,6 +50,14 @@ def test_the_entry_has_every_query():
     assert set(QUERIES) <= set(entry.queries()) and set(ORACLES) <= set(entry.oracle_sql())
 
 
+def test_the_queries_are_listed_without_a_session():
+    listed = subprocess.run(
+        [sys.executable, "-c", "import __spark_entry__ as e; print(len(e.queries()), len(e.oracle_sql()))"],
+        cwd=ROOT, capture_output=True, text=True, check=True,
+    )
+    assert int(listed.stdout.split()[0]) >= len(QUERIES)
+
+
 def test_entry_gives_rows(spark):
     assert entry.entry(spark).count() > 0
 

@@ -1,3 +1,5 @@
+import time
+
 import pytest
 from conftest import plan, rows
 from pyspark.sql import functions as F
@@ -36,7 +38,7 @@ def test_append_writes_only_the_new_rows(spark, folder, frame):
     versioned.write(frame, path)
     versioned.write(frame.limit(1), path, mode="append")
     last = versioned.version_row(spark, path)
-    assert (list(last.parts), last.written_rows) == ([0, 1], 1)
+    assert (list(last.parts), last.written_rows) == (["0", "1"], 1)
 
 
 def test_partition_values_keep_their_type(spark, folder):
@@ -92,20 +94,20 @@ def test_changes_rewrite_only_the_parts_they_touch(spark, folder):
     for day in range(3):
         df = spark.range(10 * day, 10 * day + 10).select("id", F.lit(day).alias("day"), F.lit("x").alias("v"))
         versioned.write(df, path, mode="append" if day else "create", partition_by=[] if day else ["day"])
-    assert _parts(spark, path) == [0, 1, 2]
+    assert _parts(spark, path) == ["0/day=0", "1/day=1", "2/day=2"]
     versioned.update(spark, path, "day = 1", {"v": "'y'"})
-    assert _parts(spark, path) == [0, 2, 3] and versioned.version_row(spark, path).written_rows == 10
+    assert _parts(spark, path) == ["0/day=0", "2/day=2", "3/day=1"] and versioned.version_row(spark, path).written_rows == 10
     versioned.delete(spark, path, "id < 0")
-    assert _parts(spark, path) == [0, 2, 3]
+    assert _parts(spark, path) == ["0/day=0", "2/day=2", "3/day=1"]
     versioned.delete(spark, path, "id = 25")
-    assert _parts(spark, path) == [0, 3, 5]
+    assert _parts(spark, path) == ["0/day=0", "3/day=1", "5/day=2"]
     source = spark.createDataFrame([(3, 0, "m"), (99, 9, "n")], "id long, day int, v string")
     versioned.merge(source, path, ["id"])
-    assert _parts(spark, path) == [3, 5, 6]
+    assert _parts(spark, path) == ["3/day=1", "5/day=2", "6/day=0", "6/day=9"]
     versioned.merge(source.filter("id = 99").withColumn("id", F.lit(100).cast("long")), path, ["id"])
-    assert _parts(spark, path) == [3, 5, 6, 7]
+    assert _parts(spark, path) == ["3/day=1", "5/day=2", "6/day=0", "6/day=9", "7/day=9"]
     versioned.merge(source.withColumn("id", -F.col("id")), path, ["id"], insert_all=False)
-    assert _parts(spark, path) == [3, 5, 6, 7]
+    assert _parts(spark, path) == ["3/day=1", "5/day=2", "6/day=0", "6/day=9", "7/day=9"]
     got = {r.id: (r.day, r.v) for r in versioned.read(spark, path).collect()}
     assert len(got) == 31 and got[3] == (0, "m") and got[15] == (1, "y") and got[100] == (9, "n")
     versioned.merge(source, path, ["id"], delete_unmatched=True)
@@ -170,9 +172,9 @@ def test_vacuum_keeps_the_latest_and_recent(spark, folder, frame):
     versioned.delete(spark, path, "k = 1")
     versioned.write(frame, path, mode="append")
     assert versioned.vacuum(spark, path) == []
-    assert versioned.vacuum(spark, path, retention_hours=0) == [0]
+    assert versioned.vacuum(spark, path, retention_hours=0) == ["0"]
     assert rows(versioned.read(spark, path, 0)) == rows(frame)  # only a dry run
-    assert versioned.vacuum(spark, path, retention_hours=0, dry_run=False) == [0]
+    assert versioned.vacuum(spark, path, retention_hours=0, dry_run=False) == ["0"]
     assert versioned.read(spark, path).count() == 3
     with pytest.raises(Exception, match="PATH_NOT_FOUND"):
         versioned.read(spark, path, 0).collect()
@@ -234,8 +236,39 @@ def test_schema_on_read_and_options(spark, folder):
 
 def test_discovery_of_folders(spark, folder):
     spark.createDataFrame([(1, "a")], "id int, name string").write.option("header", True).csv(f"{folder}/r/one")
-    spark.createDataFrame([(1.5,)], "x double").write.option("header", True).csv(f"{folder}/r/two")
+    for year in (1, 2):
+        spark.createDataFrame([(1.5,)], "x double").write.option("header", True).csv(f"{folder}/r/two/one/y={year}")
     from millrace.sources.schema import discover_tables
 
     got = {r.name: [tuple(c) for c in r["columns"]] for r in discover_tables(spark, f"{folder}/r").collect()}
     assert got == {"one": [("id", "int"), ("name", "string")], "two": [("x", "double")]}
+
+
+def test_changes_rewrite_only_the_folders_they_touch(spark, folder):
+    path = f"{folder}/t"
+    df = spark.range(4000).select("id", (F.col("id") % 8).cast("string").alias("k"), F.lit(0).alias("v"))
+    versioned.write(df.repartition(8), path, partition_by=["k"])
+    files = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(f"{path}/data")
+    assert files.count() == 8  # one file per value, not one per task and value
+    versioned.update(spark, path, "id = 11", {"v": "1"})
+    assert versioned.version_row(spark, path).written_rows == 500
+    versioned.delete(spark, path, "k = '5' AND id > 2000")
+    assert versioned.version_row(spark, path).written_rows == 250
+    source = spark.createDataFrame([(3, "3", 7), (9999, "new/=%", 7)], "id long, k string, v int")
+    versioned.merge(source, path, ["id"])
+    assert versioned.version_row(spark, path).written_rows == 501
+    got = {r.id: (r.k, r.v) for r in versioned.read(spark, path).collect()}
+    wanted = {i: (str(i % 8), 0) for i in range(4000) if not (i % 8 == 5 and i > 2000)}
+    assert got == wanted | {11: ("3", 1), 3: ("3", 7), 9999: ("new/=%", 7)}
+    versioned.delete(spark, path, "id = 9999")
+    assert versioned.read(spark, path).count() == len(wanted)
+    assert versioned.read(spark, path, 0).count() == 4000
+
+
+def test_vacuum_counts_from_when_a_version_was_replaced(spark, folder):
+    path = f"{folder}/t"
+    versioned.write(spark.range(5), path)
+    time.sleep(3)
+    versioned.write(spark.range(6), path)
+    assert versioned.vacuum(spark, path, retention_hours=2.5 / 3600) == []  # old, but just replaced
+    assert versioned.read(spark, path, 0).count() == 5
