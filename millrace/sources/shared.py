@@ -8,6 +8,7 @@ import tempfile
 import uuid
 from collections.abc import Iterator
 from contextlib import contextmanager
+from contextvars import ContextVar
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -30,15 +31,16 @@ def shared_folder(spark: SparkSession) -> str:
     return folder
 
 
-#: Paths made within each open block of `temporary_copies`, the innermost last.
-_OPEN: list[list[str]] = []
+#: Paths made within the innermost open block of `temporary_copies` of this thread.
+_MADE: ContextVar[list[str] | None] = ContextVar("made", default=None)
 
 
 def fresh_path(spark: SparkSession, label: str) -> str:
     """A path below the shared folder that nothing else uses."""
     path = f"{shared_folder(spark)}/millrace/{label}-{uuid.uuid4().hex}"
-    if _OPEN:
-        _OPEN[-1].append(path)
+    made = _MADE.get()
+    if made is not None:
+        made.append(path)
     return path
 
 
@@ -47,11 +49,11 @@ def temporary_copies(spark: SparkSession) -> Iterator[None]:
     """Owner of the copies stored within the block: they are deleted at its end, so the actions
     that read them belong into the block."""
     made: list[str] = []
-    _OPEN.append(made)
+    outer = _MADE.set(made)
     try:
         yield
     finally:
-        _OPEN.remove(made)
+        _MADE.reset(outer)
         for path in made:
             delete_folder(spark, path)
 

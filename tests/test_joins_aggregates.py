@@ -117,3 +117,34 @@ def test_total_mismatch(spark):
     b = spark.createDataFrame([(3,)], "y int")
     assert rows(joins.total_mismatch(a, b, F.sum("x"), F.sum("y"))) == [(3, 3, True)]
     assert rows(joins.total_mismatch(a, b, F.count("x"), F.sum("y"))) == [(2, 3, False)]
+
+
+def test_first_and_last_are_the_plain_functions(spark):
+    df = spark.createDataFrame([(1, None), (1, 5)], "k int, v int").coalesce(1)
+    entries = [{"function": f, "column": "v", "alias": f} for f in ("first", "last")]
+    assert rows(aggregates.aggregate(df, ["k"], entries)) == [(1, None, 5)]
+
+
+def test_a_hot_key_is_split_before_a_count_by_it(spark):
+    from millrace.plans.runner import build
+    from millrace.plans.spec import job_of
+
+    spark.range(400_000).selectExpr("IF(id % 3 > 0, 7, id % 5000) AS customer_id", "uuid() AS pad").createOrReplaceTempView("v_hot")
+    spark.range(5000).selectExpr("id AS customer_id", "id % 10 AS country").createOrReplaceTempView("v_people")
+    settings = {
+        "spark.sql.autoBroadcastJoinThreshold": "-1", "spark.sql.adaptive.advisoryPartitionSizeInBytes": "256k",
+        "spark.sql.adaptive.skewJoin.skewedPartitionThresholdInBytes": "512k", "spark.sql.adaptive.skewJoin.skewedPartitionFactor": "2",
+    }
+    for k, v in settings.items():
+        spark.conf.set(k, v)
+    try:
+        job = job_of({"source": {"table": "v_hot"}, "transformations": [
+            {"operation": "join", "right_table": "v_people", "join_key": "customer_id", "join_type": "left"},
+            {"operation": "aggregate", "params": {"group_by": ["country"], "aggregations": [
+                {"function": "count_distinct", "column": "customer_id", "alias": "n"},
+                {"function": "max", "column": "pad", "alias": "pad"}]}},
+        ]})
+        assert "skew=true" in ran_plan(build(spark, job))
+    finally:
+        for k in settings:
+            spark.conf.unset(k)

@@ -14,6 +14,8 @@ import __spark_entry__ as entry  # noqa: E402
 import registry  # noqa: E402
 from compare import connect, differences, duck_rows, spark_rows  # noqa: E402
 
+from millrace.sources.shared import temporary_copies  # noqa: E402
+
 DATA = os.environ.get("TEST_SF_DIR", "/root/testdata/sf0.001")
 registry.load_all()
 QUERIES, ORACLES = dict(registry.QUERIES), dict(registry.ORACLES)
@@ -32,8 +34,9 @@ def results(spark):
 
     def run(name):
         try:
-            df = QUERIES[name](spark, DATA)
-            return plan(df), spark_rows(df)
+            with temporary_copies(spark):
+                df = QUERIES[name](spark, DATA)
+                return plan(df), spark_rows(df)
         except Exception as error:
             return error
 

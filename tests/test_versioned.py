@@ -272,3 +272,21 @@ def test_vacuum_counts_from_when_a_version_was_replaced(spark, folder):
     versioned.write(spark.range(6), path)
     assert versioned.vacuum(spark, path, retention_hours=2.5 / 3600) == []  # old, but just replaced
     assert versioned.read(spark, path, 0).count() == 5
+
+
+def test_stored_copies_go_with_their_block(spark, frame):
+    import os
+
+    from millrace.sources.shared import cut_lineage, fresh_path, temporary_copies
+
+    kept = fresh_path(spark, "kept")
+    frame.write.parquet(kept)
+    with temporary_copies(spark):
+        copy = cut_lineage(frame, "copy")
+        with temporary_copies(spark):
+            inner = fresh_path(spark, "inner")
+            frame.write.parquet(inner)
+        assert rows(copy) == rows(frame)
+        path = copy.inputFiles()[0].removeprefix("file://")
+        assert os.path.exists(path) and not os.path.exists(inner)
+    assert not os.path.exists(path) and os.path.exists(kept)
