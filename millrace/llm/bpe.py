@@ -11,6 +11,7 @@ from __future__ import annotations
 import hashlib
 import json
 import os
+from functools import cached_property
 
 import numpy as np
 
@@ -59,15 +60,20 @@ class Encoder:
     """Ids of texts as the library gives them, without begin, end or added tokens."""
 
     def __init__(self, path: str):
+        self.path = path
+        with open(path, encoding="utf-8") as file:
+            self.fast = _fast(json.load(file))
+
+    @cached_property
+    def library(self):
+        """The tokenizers library's own object, loaded when it is needed."""
         os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
         from tokenizers import Tokenizer
 
-        with open(path, encoding="utf-8") as file:
-            spec = json.load(file)
-        self.library = Tokenizer.from_file(path)
-        self.library.no_truncation()
-        self.library.no_padding()
-        self.fast = _fast(spec)
+        loaded = Tokenizer.from_file(self.path)
+        loaded.no_truncation()
+        loaded.no_padding()
+        return loaded
 
     def ids(self, text: str) -> np.ndarray:
         """The text's ids as unsigned 32-bit numbers."""

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 from pathlib import Path
 
 import pyarrow as pa
@@ -16,14 +17,35 @@ ROOT = str(Path(__file__).resolve().parents[2])
 WHITE = b" \t\n\x0b\x0c\r"
 #: A word, in the same terms.
 WORD = r"[^\x20\x09-\x0D]+"
+#: Size of an Arrow batch, and the setting for it.
+BATCH_MB = 16
+BATCH_CONF = "spark.sql.execution.arrow.maxBytesPerBatch"
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     """A whole table of the data folder."""
-    spark.sparkContext.environment.setdefault("PYTHONPATH", ROOT)  # for workers started elsewhere
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def importable(spark: SparkSession) -> None:
+    """Let Python workers find this package where the session was started in another folder."""
+    spark.sparkContext.environment.setdefault("PYTHONPATH", ROOT)
+
+
+def in_arrow(df: DataFrame, function, schema) -> DataFrame:
+    """`mapInArrow` with batches of at most BATCH_MB.
+
+    A task holds a batch several times over (Arrow in the JVM and in Python, and the Python values),
+    so this bounds its memory whatever the size of the texts; a smaller limit of the session stays.
+    """
+    importable(df.sparkSession)
+    conf = df.sparkSession.conf
+    limit = re.match(r"(\d+)b?$", conf.get(BATCH_CONF))
+    if limit and int(limit[1]) > BATCH_MB << 20:
+        conf.set(BATCH_CONF, str(BATCH_MB << 20))
+    return df.mapInArrow(function, schema)
+
+
 def text_bytes(column: pa.Array | pa.ChunkedArray) -> list[bytes]:
     """UTF-8 bytes of a text column; null is empty."""
     return [b"" if v is None else v for v in column.cast(pa.binary()).to_pylist()]
@@ -34,6 +56,7 @@ def stored(df: DataFrame, label: str, codec: str = "zstd") -> DataFrame:
 
     Several uses then read the same rows; a lost executor can't change or recompute them.
     """
+    importable(df.sparkSession)
     path = fresh_path(df.sparkSession, label)
     df.write.option("compression", codec).parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)

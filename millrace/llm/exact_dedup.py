@@ -28,7 +28,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from millrace.llm.common import WHITE, batch_of, field_type, same, small, stored
+from millrace.llm.common import WHITE, batch_of, field_type, in_arrow, same, small, stored
 
 #: Bytes hashed or compared at a time.
 CHUNK = 1 << 16
@@ -101,7 +101,7 @@ def _whole(rows: DataFrame, field: Field) -> DataFrame:
             )
 
     out = f"id {field_type(rows, 'id')}, row_key long, n_chars long, n_bytes long, f1 long, f2 long, sha string"
-    return rows.mapInArrow(each, out)
+    return in_arrow(rows, each, out)
 
 
 def _by_segments(rows: DataFrame, field: Field, segment: int) -> DataFrame:
@@ -134,7 +134,7 @@ def _by_segments(rows: DataFrame, field: Field, segment: int) -> DataFrame:
         f"id {field_type(rows, 'id')}, row_key long, n_chars long, sha string, segment int, "
         "n long, f1 long, f2 long, s1 long, s2 long"
     )
-    hashed = cut.repartition("row_key", "segment").mapInArrow(each, out)
+    hashed = in_arrow(cut.repartition("row_key", "segment"), each, out)
     part = F.struct("segment", "n", "f1", "f2", "s1", "s2")
     prime = F.lit(field.prime)
 
@@ -203,8 +203,8 @@ def _differing(rows: DataFrame, source: DataFrame, most_sent: int) -> DataFrame:
             if at:
                 yield batch_of(schema, *(batch.column(n).take(pa.array(at)) for n in names), numbers, chunks)
 
-    chunks = texts.mapInArrow(
-        cut, f"f1 long, f2 long, n_bytes long, share int, later boolean, id {id_type}, row_key long, chunk int, data binary"
+    chunks = in_arrow(
+        texts, cut, f"f1 long, f2 long, n_bytes long, share int, later boolean, id {id_type}, row_key long, chunk int, data binary"
     )
 
     def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -222,7 +222,7 @@ def _differing(rows: DataFrame, source: DataFrame, most_sent: int) -> DataFrame:
             yield batch_of(schema, *(batch.column(n).take(at) for n in ("id", "row_key")))
 
     stream = chunks.repartition(*keys).sortWithinPartitions(*keys, "chunk", "later")
-    return stored(stream.mapInArrow(compare, f"id {id_type}, row_key long").distinct(), "dedup-differing")
+    return stored(in_arrow(stream, compare, f"id {id_type}, row_key long").distinct(), "dedup-differing")
 
 
 def digests(

@@ -31,7 +31,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType, BinaryType, BooleanType, DoubleType, LongType, StructField, StructType
 
-from millrace.llm.common import batch_of, stored, text_bytes
+from millrace.llm.common import batch_of, in_arrow, stored, text_bytes
 
 #: Bytes of text in a block, about; a longer text is a block of its own.
 BLOCK_BYTES = 1 << 23
@@ -90,7 +90,8 @@ def blocks_of(docs: DataFrame, id_col: str, text_col: str, held_out, block_bytes
         StructField("numbers", BinaryType()), StructField("words", BinaryType()), StructField("tokens", LongType()),
         StructField("train_tokens", LongType()), StructField("train_texts", LongType()),
     ])
-    return docs.select(id_col, held_out.alias("held"), F.col(text_col).cast("string").alias("text")).mapInArrow(each, out)
+    texts = docs.select(id_col, held_out.alias("held"), F.col(text_col).cast("string").alias("text"))
+    return in_arrow(texts, each, out)
 
 
 class Walk:
@@ -169,8 +170,8 @@ def sent(blocks: DataFrame, n_buckets: int) -> DataFrame:
                 if rows:
                     yield batch_of(arrow, *zip(*rows))
 
-    return blocks.select("block", "numbers", "words", "lengths", "held").mapInArrow(
-        each, "kind int, bucket int, block long, items binary, counts binary"
+    return in_arrow(
+        blocks.select("block", "numbers", "words", "lengths", "held"), each, "kind int, bucket int, block long, items binary, counts binary"
     )
 
 

@@ -24,7 +24,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from millrace.llm import bpe
-from millrace.llm.common import batch_of, field_type, stored
+from millrace.llm.common import batch_of, field_type, in_arrow, stored
 
 #: Pieces ranked together, about.
 GROUP_ROWS = 2_000
@@ -54,7 +54,7 @@ def pieces(
             yield batch_of(schema, batch.column(0).take(pa.array(rows[0], pa.int64())), *rows[1:])
 
     out = f"`{id_col}` {field_type(docs, id_col)}, piece int, start long, length long, ids binary"
-    return docs.select(id_col, text_col).mapInArrow(each, out)
+    return in_arrow(docs.select(id_col, text_col), each, out)
 
 
 def _longest(left: np.ndarray, most: int) -> int:
@@ -177,7 +177,7 @@ def place(rows: DataFrame, keys: list[str], capacity: int) -> DataFrame:
 
     order = order.select(*rows.columns, "rank")
     out = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in rows.schema)
-    return order.mapInArrow(each, f"{out}, sequence_id long, offset long")
+    return in_arrow(order, each, f"{out}, sequence_id long, offset long")
 
 
 def sequences(placed: DataFrame) -> DataFrame:

@@ -22,7 +22,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import LongType, StructField, StructType
 
-from millrace.llm.common import batch_of, text_bytes
+from millrace.llm.common import batch_of, in_arrow, text_bytes
 
 MEASUREMENTS = (
     "n_words",
@@ -121,7 +121,7 @@ def measurements(docs: DataFrame, carry: str = "doc_id", text_col: str = "text")
             yield batch_of(schema, batch.column(0), *(zip(*found) if found else [[]] * len(MEASUREMENTS)))
 
     out = StructType([docs.schema[carry], *(StructField(n, LongType()) for n in MEASUREMENTS)])
-    return docs.select(carry, text_col).mapInArrow(each, out)
+    return in_arrow(docs.select(carry, text_col), each, out)
 
 
 def ledger(measured: DataFrame, rules: Sequence[Rule] = RULES) -> DataFrame:

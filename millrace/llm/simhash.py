@@ -27,7 +27,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from millrace.llm.common import batch_of, field_type, stored, text_bytes
+from millrace.llm.common import batch_of, field_type, in_arrow, stored, text_bytes
 
 SEED = 42
 #: Shingles whose bits are counted at a time.
@@ -70,7 +70,7 @@ def fingerprints(docs: DataFrame, id_col: str, text_col: str, words: int = 3) ->
             yield batch_of(schema, batch.column(0), pa.array(found.view("<i8")))
 
     rows = docs.select(F.col(id_col).alias("id"), F.col(text_col).cast("string").alias("text"))
-    return rows.mapInArrow(each, f"id {field_type(rows, 'id')}, fp long")
+    return in_arrow(rows, each, f"id {field_type(rows, 'id')}, fp long")
 
 
 def distances(left: np.ndarray, right: np.ndarray | np.uint64) -> np.ndarray:
@@ -250,7 +250,7 @@ def close_links(unique: DataFrame, reach: int, shard: int = SHARD, sample: int =
         a, b = links_within(fps.view(np.uint64), frame["guest"].to_numpy(bool), reach)
         return pd.DataFrame({"a": fps[a], "b": fps[b]})
 
-    visits = unique.select("fp").mapInArrow(visit, "fp long, shard int, guest boolean")
+    visits = in_arrow(unique.select("fp"), visit, "fp long, shard int, guest boolean")
     return visits.groupBy("shard").applyInPandas(meet, "a long, b long")
 
 

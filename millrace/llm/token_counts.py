@@ -22,7 +22,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from millrace.llm import bpe
-from millrace.llm.common import batch_of, same, small, stored
+from millrace.llm.common import batch_of, in_arrow, same, small, stored
 from millrace.sources.shared import folder_exists
 
 #: Ids sent to every task at most (about 50 bytes each).
@@ -49,7 +49,7 @@ def encode(texts: DataFrame, tokenizer: str) -> DataFrame:
         for batch in batches:
             yield batch_of(_COUNTS, batch.column(0), [known.count(t.as_py()) for t in batch.column(1)])
 
-    return texts.select("digest", "text").mapInArrow(each, "digest binary, n_tokens long")
+    return in_arrow(texts.select("digest", "text"), each, "digest binary, n_tokens long")
 
 
 def cached(spark, folder: str) -> DataFrame | None:

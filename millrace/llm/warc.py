@@ -30,7 +30,7 @@ from pyarrow import fs
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from millrace.llm.common import batch_of, field_type, same, small, stored
+from millrace.llm.common import batch_of, field_type, in_arrow, same, small, stored
 
 CHUNK = 1 << 20
 #: Bytes of a file after which the next one is begun.
@@ -91,7 +91,7 @@ def digested(chunks: DataFrame) -> DataFrame:
             yield batch_of(schema, *(batch.column(k).take(pa.array(at, pa.int64())) for k in keys), found)
 
     out = f"id {field_type(chunks, 'id')}, row_key long, n_bytes long, n_chunks int, digest string"
-    return chunks.select(*keys, "chunk_no", "data").mapInArrow(each, out)
+    return in_arrow(chunks.select(*keys, "chunk_no", "data"), each, out)
 
 
 def decided(records: DataFrame, least_bytes: int) -> DataFrame:
@@ -225,7 +225,7 @@ def write_archives(
         schema = pa.schema([("path", pa.string()), ("records", pa.int64()), ("bytes", pa.int64())])
         yield batch_of(schema, *(zip(*files.done) if files.done else [[]] * 3))
 
-    return stored(parts.mapInArrow(each, "path string, records long, bytes long"), "warc-archives")
+    return stored(in_arrow(parts, each, "path string, records long, bytes long"), "warc-archives")
 
 
 class _Stream:
@@ -342,7 +342,7 @@ def read_archives(archives: DataFrame, id_type: str = "long", chunk: int = CHUNK
         "chunk_no int, last boolean, bytes_so_far long, digest_so_far string, data binary"
     )
     n = max(1, archives.count())
-    found = archives.select("path").repartition(n).mapInArrow(each, out)
+    found = in_arrow(archives.select("path").repartition(n), each, out)
 
     def typed(name: str) -> Column:
         return F.when(F.col(name) != "", F.col(name)).cast(id_type)
