@@ -743,7 +743,7 @@ def _run_story(spark: SparkSession, story: dict) -> DataFrame:
     FROM v_customers WHERE customer_id IS NOT NULL""", "customers"))
 def story_clean(spark: SparkSession, folder: str) -> DataFrame:
     return _run_story(spark, {
-        "id": "clean_nulls", "source": _story_place(spark, folder, "customers"),
+        "id": "story_clean", "source": _story_place(spark, folder, "customers"),
         "transformations": [
             {"operation": "filter", "column": "customer_id", "condition": "is_not_null"},
             {"operation": "fill_null", "column": "email", "value": "unknown@example.com"},
@@ -758,7 +758,7 @@ def story_clean(spark: SparkSession, folder: str) -> DataFrame:
     "customers", "orders"))
 def story_join(spark: SparkSession, folder: str) -> DataFrame:
     return rounded(_run_story(spark, {
-        "id": "join_aggregate", "source": _story_place(spark, folder, "customers"),
+        "id": "story_join", "source": _story_place(spark, folder, "customers"),
         "transformations": [
             {"operation": "join", "right_table": _story_place(spark, folder, "orders")["table"],
              "join_key": "customer_id", "join_type": "left"},
@@ -774,7 +774,7 @@ def story_join(spark: SparkSession, folder: str) -> DataFrame:
     FROM v_orders GROUP BY 1, 2""", "orders"))
 def story_monthly(spark: SparkSession, folder: str) -> DataFrame:
     return rounded(_run_story(spark, {
-        "id": "monthly_revenue", "source": _story_place(spark, folder, "orders"),
+        "id": "story_monthly", "source": _story_place(spark, folder, "orders"),
         "transformations": [{"operation": "aggregate", "group_by": ["year", "month", "region"],
                              "metrics": ["total_revenue", "order_count", "avg_order_value"]}],
     }), 2, "total_revenue", "avg_order_value")
@@ -788,7 +788,7 @@ def story_monthly(spark: SparkSession, folder: str) -> DataFrame:
     FROM v_orders LEFT JOIN v_customers USING (customer_id) GROUP BY ALL""", "orders", "customers"))
 def story_geo(spark: SparkSession, folder: str) -> DataFrame:
     return rounded(_run_story(spark, {
-        "id": "geo_revenue", "source": _story_place(spark, folder, "orders"),
+        "id": "story_geo", "source": _story_place(spark, folder, "orders"),
         "transformations": [
             {"operation": "join", "right_table": _story_place(spark, folder, "customers")["table"],
              "join_key": "customer_id", "join_type": "left"},
@@ -804,7 +804,7 @@ def story_geo(spark: SparkSession, folder: str) -> DataFrame:
       round(CAST(monetary AS DOUBLE), 2) AS total_spend, rfm_score FROM rfm""", "orders"))
 def story_rfm(spark: SparkSession, folder: str) -> DataFrame:
     return rounded(_run_story(spark, {
-        "id": "rfm_analysis", "source": _story_place(spark, folder, "orders"), "mode": "merge",
+        "id": "story_rfm", "source": _story_place(spark, folder, "orders"), "mode": "merge",
         "reference_date": REFERENCE_DATE,
         "transformations": [
             {"operation": "aggregate", "group_by": ["customer_id"],
@@ -823,7 +823,7 @@ def story_rfm(spark: SparkSession, folder: str) -> DataFrame:
     WHERE product_category = 'FAMILY_3' GROUP BY ALL""", "campaigns", "orders"))
 def story_campaign(spark: SparkSession, folder: str) -> DataFrame:
     return rounded(rounded(_run_story(spark, {
-        "id": "campaign_performance", "source": _story_place(spark, folder, "campaigns"), "mode": "merge",
+        "id": "story_campaign", "source": _story_place(spark, folder, "campaigns"), "mode": "merge",
         "transformations": [
             {"operation": "filter", "column": "product_category", "condition": "== 'FAMILY_3'"},
             {"operation": "join", "right_table": _story_place(spark, folder, "orders")["table"],

@@ -2,6 +2,7 @@ import datetime
 import json
 
 from conftest import rows
+from pyspark.sql import functions as F
 
 from millrace.plans import records
 from millrace.streaming import audit, intake
@@ -158,3 +159,34 @@ def test_audit_stream_equals_batch(spark, folder):
         (f"RUN_CREATED_none_{seconds}",),
         (f"RUN_FAILED_a_{seconds}",),
     ]
+
+
+def test_late_events_are_kept_and_repeats_are_not(spark, folder):
+    t = datetime.datetime(2024, 1, 1, 20)
+    schema = "event_type string, run_id string, ts timestamp"
+    new = [("RUN_CREATED", str(i), t + datetime.timedelta(minutes=i)) for i in range(10)]
+    late = [("RUN_CREATED", str(i), t - datetime.timedelta(hours=5 + 24 * (i % 2), minutes=i)) for i in range(10)]
+    for batch in (new, late, new[:5] + late[:5]):
+        spark.createDataFrame(batch, schema).coalesce(1).write.mode("append").parquet(f"{folder}/in")
+        stream = spark.readStream.schema(schema).parquet(f"{folder}/in")
+        audit.start_audit_log(stream, f"{folder}/out", f"{folder}/log").awaitTermination()
+    found = audit.read_audit_log(spark, f"{folder}/out")
+    assert rows(found.select(*[c.split()[0] for c in schema.split(", ")])) == rows(spark.createDataFrame(new + late, schema))
+    repeated = spark.createDataFrame(new + late, schema)
+    audit.append_new(repeated, f"{folder}/out", 2)  # the last batch again, after a failure
+    assert audit.read_audit_log(spark, f"{folder}/out").count() == 20
+
+
+def test_an_audit_id_has_the_nearest_second(spark):
+    t = datetime.datetime(2024, 1, 1, tzinfo=datetime.UTC)
+    moments = [0, 499_999, 500_000, 500_001, 1_500_000, 1_499_999]
+    df = spark.createDataFrame([("A", None, t + datetime.timedelta(microseconds=m)) for m in moments], "e string, r string, ts timestamp")
+    got = [r[0] for r in df.select(records.audit_id(F.col("e"), F.col("r"), F.col("ts"))).collect()]
+    assert got == [f"A_none_{(t + datetime.timedelta(microseconds=m)).timestamp():.0f}" for m in moments]
+
+
+def test_a_story_without_fields_is_missing(spark):
+    lines = ['{"run_id": "r", "story": {}}', '{"run_id": "r", "story": {"x": 1}}', message(story_id="s-9", story={"title": ""})]
+    judged = intake.judge(spark.createDataFrame([(x,) for x in lines], "value string"))
+    assert [r.reason for r in judged.collect()][0] == "missing_fields"
+    assert [r.story_id for r in intake.failure_events(judged).collect()][-1] == "s-9"
