@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from millrace.functions.columns import AMOUNT_COLUMNS, col, exact_sum, ladder, pick_column, recency_days
-from millrace.operators.ordering import ntile
+from millrace.operators.ordering import ntiles
 from millrace.operators.quantiles import ACCURACY, add_quintile_scores
 from millrace.plans.calling import frame, save
 from millrace.sources.files import Dataset
@@ -91,9 +91,8 @@ def rfm_scores_by_rank(
 ) -> DataFrame:
     """The variant with five equally large groups per metric, ties settled by the customer id."""
     metrics = customer_metrics(orders, reference_date, customer)
-    scored = ntile(metrics, ["recency_days", customer], 5, "_r")
-    scored = ntile(scored, ["frequency", customer], 5, "f_score")
-    scored = ntile(scored, ["monetary", customer], 5, "m_score")
+    orders_of = {"_r": "recency_days", "f_score": "frequency", "m_score": "monetary"}
+    scored = ntiles(metrics, {name: [metric, customer] for name, metric in orders_of.items()}, 5)
     return with_segment(scored.withColumn("r_score", 6 - F.col("_r")).drop("_r"))
 
 

@@ -167,3 +167,14 @@ def test_pages_of_ties_and_nulls_are_the_whole_listing(spark):
     listing = [r for p in pages for r in p]
     assert sorted(r.id for r in listing) == list(range(700))
     assert [r.k for r in listing] == sorted((r.k for r in listing), key=lambda k: (k is None, -(k or 0)))
+
+
+def test_pages_in_descending_order_of_any_type(spark):
+    df = spark.range(300).selectExpr(
+        "id", "IF(id % 7 = 0, NULL, id % 11) AS whole", "IF(id % 5 = 0, double('NaN'), IF(id % 6 = 0, NULL, id % 4 - 1.5D)) AS frac",
+        "date_add(DATE'2024-01-01', int(id % 9)) AS day", "string(id % 3) AS text", "CAST(id % 8 AS DECIMAL(9,2)) AS money",
+    )
+    for name in df.columns[1:]:
+        order = [{"column": name, "descending": True}, "id"]
+        wanted = [r.id for r in df.orderBy(F.col(name).desc(), "id").collect()]
+        assert [r.id for r in ordering.page(df, order, limit=40, offset=120).collect()] == wanted[120:160]
