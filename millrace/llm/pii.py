@@ -189,31 +189,39 @@ def neighbourhoods(found: DataFrame) -> DataFrame:
 
 
 def disclosures(
-    texts: DataFrame, support: int = 3, generalise: float = 0.8, remove: float = 0.95, most_sent: int = MOST_SENT
+    texts: DataFrame, support: int = 5, generalise: float = 0.8, remove: float = 0.95, most_sent: int = MOST_SENT
 ) -> tuple[DataFrame, DataFrame] | None:
     """Terms that reveal an entity (`term`, `disclosure`, `action`) and where they occur (`text_key`,
     `term`); None if there is none."""
     near = stored(neighbourhoods(with_matches(texts)), "pii-near")
+    n_entity = near.groupBy("entity").agg(F.count_distinct("text_key").alias("n_entity"))
+    n_near = near.groupBy("term").agg(F.count_distinct("text_key").alias("n_near"))
     pairs = near.groupBy("entity", "term").agg(
         F.count_distinct("near").alias("places"), F.count_distinct("text_key").alias("n_both")
     ).where(F.col("places") >= support)
+    if pairs.isEmpty():
+        return None
+    total = texts.agg(F.count_distinct("text_key")).first()[0]
+
+    def disclosure(n_term: str) -> Column:
+        information = F.log2(F.lit(total) / F.col("n_entity"))
+        shared = F.log2(F.col("n_both") * F.lit(total) / (F.col(n_term) * F.col("n_entity")))
+        return F.when(information > 0, shared / information)
+
+    # A term is in at least as many texts as it is near entities, which bounds what it can reveal;
+    # this leaves out the common words before all texts are searched.
+    pairs = pairs.join(n_entity, "entity").join(n_near, "term").where(disclosure("n_near") >= generalise)
     pairs = stored(pairs, "pii-pairs")
     terms = stored(pairs.select("term").distinct(), "pii-terms")
     n_terms = terms.count()
     if not n_terms:
         return None
-    total = texts.agg(F.count_distinct("text_key")).first()[0]
     words = texts.select(
         "text_key", F.explode(F.split(F.lower("text"), LETTERS)).alias("term")
     ).join(small(terms, n_terms, most_sent), "term", "left_semi")
     places = stored(words.distinct(), "pii-places")
     n_term = places.groupBy("term").agg(F.count(F.lit(1)).alias("n_term"))
-    n_entity = near.groupBy("entity").agg(F.count_distinct("text_key").alias("n_entity"))
-    information = F.log2(F.lit(total) / F.col("n_entity"))
-    shared = F.log2(F.col("n_both") * F.lit(total) / (F.col("n_term") * F.col("n_entity")))
-    scored = pairs.join(n_term, "term").join(n_entity, "entity").select(
-        "term", F.when(information > 0, shared / information).alias("disclosure")
-    )
+    scored = pairs.join(n_term, "term").select("term", disclosure("n_term").alias("disclosure"))
     revealing = scored.groupBy("term").agg(F.max("disclosure").alias("disclosure")).where(F.col("disclosure") >= generalise)
     action = F.when(F.col("disclosure") >= remove, "remove").otherwise("generalise")
     revealing = stored(revealing.withColumn("action", action), "pii-revealing")
@@ -221,7 +229,7 @@ def disclosures(
 
 
 def find(
-    docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", support: int = 3, generalise: float = 0.8,
+    docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", support: int = 5, generalise: float = 0.8,
     remove: float = 0.95, most_sent: int = MOST_SENT,
 ) -> DataFrame:
     """`id`, `text` and the matches per kind; those of terms have their action in `left`."""
