@@ -33,7 +33,7 @@ SEED = 42
 #: Shingles whose bits are counted at a time.
 BLOCK = 1 << 15
 #: Fingerprints per shard, about.
-SHARD = 16_384
+SHARD = 4_096
 #: Fingerprints of the sample that the tree of shards is fitted on, at most.
 SAMPLE = 65_536
 #: Fingerprints in a leaf inside a shard.
