@@ -189,7 +189,7 @@ def neighbourhoods(found: DataFrame) -> DataFrame:
 
 
 def disclosures(
-    texts: DataFrame, support: int = 5, generalise: float = 0.8, remove: float = 0.95, most_sent: int = MOST_SENT
+    texts: DataFrame, support: int = 3, generalise: float = 0.8, remove: float = 0.95, most_sent: int = MOST_SENT
 ) -> tuple[DataFrame, DataFrame] | None:
     """Terms that reveal an entity (`term`, `disclosure`, `action`) and where they occur (`text_key`,
     `term`); None if there is none."""
@@ -212,24 +212,31 @@ def disclosures(
     # this leaves out the common words before all texts are searched.
     pairs = pairs.join(n_entity, "entity").join(n_near, "term").where(disclosure("n_near") >= generalise)
     pairs = stored(pairs, "pii-pairs")
-    terms = stored(pairs.select("term").distinct(), "pii-terms")
-    n_terms = terms.count()
-    if not n_terms:
+    if pairs.isEmpty():
         return None
-    words = texts.select(
-        "text_key", F.explode(F.split(F.lower("text"), LETTERS)).alias("term")
-    ).join(small(terms, n_terms, most_sent), "term", "left_semi")
-    places = stored(words.distinct(), "pii-places")
-    n_term = places.groupBy("term").agg(F.count(F.lit(1)).alias("n_term"))
+    # Texts per term are summed over all words, and only terms that do reveal are then looked up again,
+    # so a common word beside an entity never becomes a row for each of its texts.
+    copies = texts.groupBy("text_key").agg(F.count(F.lit(1)).alias("copies")).where("copies > 1")
+    copies = stored(copies, "pii-copies")
+    words = F.explode(F.array_distinct(F.split(F.lower("text"), LETTERS))).alias("term")
+    counted = texts.join(small(copies, copies.count(), most_sent), "text_key", "left").select(
+        F.coalesce("copies", F.lit(1)).alias("copies"), words
+    ).groupBy("term", "copies").agg(F.count(F.lit(1)).alias("n"))
+    n_term = counted.groupBy("term").agg(F.sum(F.expr("n div copies")).alias("n_term"))
     scored = pairs.join(n_term, "term").select("term", disclosure("n_term").alias("disclosure"))
     revealing = scored.groupBy("term").agg(F.max("disclosure").alias("disclosure")).where(F.col("disclosure") >= generalise)
     action = F.when(F.col("disclosure") >= remove, "remove").otherwise("generalise")
     revealing = stored(revealing.withColumn("action", action), "pii-revealing")
-    return revealing, places.join(revealing, "term")
+    n_revealing = revealing.count()
+    if not n_revealing:
+        return None
+    sent = small(revealing, n_revealing, most_sent)
+    places = stored(texts.select("text_key", words).join(sent, "term").distinct(), "pii-places")
+    return revealing, places
 
 
 def find(
-    docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", support: int = 5, generalise: float = 0.8,
+    docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", support: int = 3, generalise: float = 0.8,
     remove: float = 0.95, most_sent: int = MOST_SENT,
 ) -> DataFrame:
     """`id`, `text` and the matches per kind; those of terms have their action in `left`."""

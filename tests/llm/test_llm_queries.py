@@ -7,7 +7,7 @@ import re
 import sys
 import zlib
 from collections import Counter, defaultdict
-from math import log10
+from math import log2, log10
 from pathlib import Path
 
 import numpy as np
@@ -181,6 +181,62 @@ def test_op8_base_spans(spark, documents):
         assert set(spans) <= set(r.spans.split(",")) | {""}
 
 
+def revealing_terms(texts, support=3, generalise=0.8):
+    """Terms that reveal an entity, from all texts."""
+    letters = lambda t: "".join(c if c.isalpha() else " " for c in t.lower()).split()
+    near = set()
+    for text in set(texts):
+        valid = set(base_spans(text))
+        for kind, pattern in PATTERNS.items():
+            found = [(m.start(), m.end()) for m in re.finditer(pattern, text)]
+            ends, starts = [0] + [e for _, e in found], [s for s, _ in found[1:]] + [len(text)]
+            for (start, end), before, after in zip(found, ends, starts):
+                if f"{kind}:{start}:{end}" not in valid:
+                    continue
+                value = text[start:end].lower() if kind in ("email", "ip") else re.sub("[^0-9]", "", text[start:end])
+                left, right = text[before:start][-120:], text[end:after][:120]
+                a, b = ([t for t in letters(side) if len(t) >= 3] for side in (left, right))
+                a, b = a[len(left) >= 120 :][-5:], (b[:-1] if len(right) >= 120 else b)[:5]
+                near |= {((kind, value), term, " ".join(a + b), text) for term in a + b}
+    n_term, n_entity, both, places = Counter(), defaultdict(set), defaultdict(set), defaultdict(set)
+    for text in set(texts):
+        n_term.update(set(letters(text)))
+    for entity, term, place, text in near:
+        n_entity[entity].add(text)
+        both[entity, term].add(text)
+        places[entity, term].add(place)
+    total, out = len(set(texts)), set()
+    for (entity, term), here in both.items():
+        information = log2(total / len(n_entity[entity]))
+        shared = log2(len(here) * total / (n_term[term] * len(n_entity[entity])))
+        if len(places[entity, term]) >= support and information > 0 and shared / information >= generalise:
+            out.add(term)
+    return out
+
+
+def held_to_terms(found, texts):
+    """Terms that reveal; each row's term spans are theirs."""
+    revealing = revealing_terms(texts.values())
+    for r in found:
+        spans = {s for s in r.spans.split(",") if s.startswith("term:")}
+        words = re.finditer(r"[^\W\d_]+", texts[r.doc_id])
+        assert spans == {f"term:{m.start()}:{m.end()}" for m in words if m[0].lower() in revealing}
+    return revealing
+
+
+def test_op8_term_spans(spark, documents):
+    held_to_terms(rows_of(spark, "op8_disclosure"), documents)
+
+
+def test_op8_marks_a_term_with_three_neighbourhoods(spark, tmp_path):
+    texts = [f"{a} told Zorgon at z@example.com about {b}" for a, b in zip(("anna", "bert", "carl"), ("doors", "eggs", "fish"))]
+    texts += [f"{a} told Quux at q@example.com about {a}" for a in ("anna", "bert")]
+    texts += [*texts, *(f"someone told me about item {i} at home" for i in range(40))]
+    texts = dict(enumerate(texts))
+    spark.createDataFrame(list(texts.items()), "doc_id long, text string").write.parquet(f"{tmp_path}/documents.parquet")
+    assert held_to_terms(QUERIES["op8_disclosure"](spark, str(tmp_path)).collect(), texts) == {"zorgon"}
+
+
 def test_op9_against_a_dictionary_model(spark, documents):
     words = {i: t.encode().lower().split() for i, t in documents.items()}
     held = {i: zlib.crc32(str(i).encode()) % 7 == 2 for i in words}
