@@ -105,3 +105,25 @@ def test_run_is_the_stages_in_a_row(spark):
     found = corpus_pipeline.run(spark, data)
     assert set(found.columns) == {"doc_id", "piece", "start", "length", "ids_crc32", "sequence_id", "offset"}
     assert found.count() > 0
+
+
+def jaccard(a, b, words=5):
+    a, b = ({tuple(t.lower().split()[i : i + words]) for i in range(len(t.split()) - words + 1)} for t in (a, b))
+    return len(a & b) / len(a | b)
+
+
+def test_near_dedup_finds_scattered_edits(spark):
+    rnd = random.Random(5)
+    texts = {}
+    for i in range(0, 300, 3):
+        words = prose(rnd, rnd.randint(60, 300)).split()
+        for k, edits in enumerate((0, len(words) // 60, len(words) // 20)):
+            copy = list(words)
+            for at in rnd.sample(range(len(words)), edits):
+                copy[at] = "edited"
+            texts[i + k] = " ".join(copy)
+    docs = spark.createDataFrame(list(texts.items()), "doc_id long, text string")
+    names = sorted(texts)
+    pairs = [(i, j) for i in range(0, 300, 3) for j in ((i, i + 1), (i, i + 2), (i + 1, i + 2)) for i, j in [j] if jaccard(texts[i], texts[j]) >= 0.8]
+    lowest = simhash._lowest(len(names), *np.array(pairs).T)
+    assert len(pairs) > 100 and ids(STAGES["simhash_near_dedup"](spark, docs, "").collect()) == [n for n in names if lowest[n] == n]
