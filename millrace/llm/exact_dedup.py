@@ -234,11 +234,11 @@ def digests(
     return whole.unionByName(_by_segments(source.where(F.col("n_chars") > segment), field, segment))
 
 
-def exact_groups(
+def exact_rows(
     docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", field: Field = Field(),
     segment: int = SEGMENT, most_sent: int = MOST_SENT,
 ) -> DataFrame:
-    """Per row: the id, `keep_id`, `group_size`, `kept` and `text_sha256`."""
+    """Per row: `id`, `row_key` (of its text), `best` (`id` and `row_key` that stay), `group_size` and `sha`."""
     rows = stored(digests(docs, id_col, text_col, field, segment), "dedup-digests")
     source = _source(docs, id_col, text_col)
     classes, todo, number = None, rows, 0
@@ -259,9 +259,17 @@ def exact_groups(
         todo, number = todo_next, number + 1
     keys = [*_FINGERPRINT, "class"]
     keepers = classes.groupBy(*keys).agg(
-        F.min(F.struct((-F.col("n_chars")).alias("c"), "id")).alias("best"), F.count(F.lit(1)).alias("group_size")
+        F.min(F.struct((-F.col("n_chars")).alias("c"), "id", "row_key")).alias("best"), F.count(F.lit(1)).alias("group_size")
     )
-    return classes.join(keepers, keys).select(
+    return classes.join(keepers, keys)
+
+
+def exact_groups(
+    docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", field: Field = Field(),
+    segment: int = SEGMENT, most_sent: int = MOST_SENT,
+) -> DataFrame:
+    """Per row: the id, `keep_id`, `group_size`, `kept` and `text_sha256`."""
+    return exact_rows(docs, id_col, text_col, field, segment, most_sent).select(
         F.col("id").alias(id_col),
         F.col("best.id").alias("keep_id"),
         "group_size",

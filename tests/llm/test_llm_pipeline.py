@@ -127,3 +127,18 @@ def test_near_dedup_finds_scattered_edits(spark):
     pairs = [(i, j) for i in range(0, 300, 3) for j in ((i, i + 1), (i, i + 2), (i + 1, i + 2)) for i, j in [j] if jaccard(texts[i], texts[j]) >= 0.8]
     lowest = simhash._lowest(len(names), *np.array(pairs).T)
     assert len(pairs) > 100 and ids(STAGES["simhash_near_dedup"](spark, docs, "").collect()) == [n for n in names if lowest[n] == n]
+
+
+def test_decisions_are_per_row(spark):
+    rnd = random.Random(8)
+    one, two, three, four, five = (prose(rnd, 120) for _ in range(5))
+    near = three.replace(three.split()[60], "edited", 1)
+    rows = [(1, one), (1, two), (None, one), (None, three), (None, four), (None, four), (2, near), (3, five), (3, five), (3, five + "  ")]
+    docs = spark.createDataFrame([(i, t, "s") for i, t in rows], "doc_id long, text string, source string")
+    exact = STAGES["exact_dedup"](spark, docs, "")
+    kept = Counter((r.doc_id, r.text) for r in exact.collect())
+    assert set(kept.values()) == {1} and sorted(r[1].strip() for r in kept) == sorted([one, two, three, near, four, five])
+    found = Counter(r.text.strip() for r in STAGES["simhash_near_dedup"](spark, exact, "").collect())
+    assert found == Counter([one, two, near, four, five])
+    mixed = STAGES["entropy_mixing"](spark, docs, "").collect()
+    assert sum(len(r.text.split()) for r in mixed) == pytest.approx(1.5 * sum(len(t.split()) for _, t in rows), abs=121)
