@@ -2,13 +2,16 @@
 
 from __future__ import annotations
 
+import zlib
 from collections.abc import Callable
 
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from millrace.llm import chat, exact_dedup, lm_scoring, mixing, packing, pii, quality_rules, simhash, token_counts, warc
+from millrace.llm import (
+    chat, exact_dedup, lm_scoring, mixing, packing, periodic_runs, pii, quality_rules, simhash, token_counts, warc,
+)
 from millrace.llm.common import table
 from millrace.sources.shared import fresh_path
 
@@ -188,3 +191,27 @@ def op10(spark: SparkSession, sf_dir: str) -> DataFrame:
     archives = warc.write_archives(table(spark, sf_dir, "pages"), fresh_path(spark, "warc"), least_bytes=0)
     found = warc.records_read(warc.read_archives(archives, "long", payloads=False))
     return found.withColumnRenamed("id", "page_id")
+
+
+def _looped(doc_id: int | None, words: list[bytes]) -> list[bytes]:
+    """The words of one text in ten repeat from a place on; a row without an id stays as it is."""
+    h = zlib.crc32(str(doc_id).encode())
+    g, n = h // 10, len(words)
+    if doc_id is None or h % 10 or not n:
+        return words
+    a = g % n
+    p = 1 + (n - a) // (3 + g % 8)
+    return words[:a] + [words[a + i % p] for i in range(n - a)]
+
+
+@query("op13_periodic_runs")
+def op13(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = periodic_runs.runs(table(spark, sf_dir, "documents"), edit=_looped)
+    best = found.withColumn("best", periodic_runs.longest())
+    return best.select(
+        "doc_id", F.col("n_words"), F.size("runs").cast("long").alias("n_runs"), F.col("best.start").alias("start"),
+        (-F.col("best.n")).alias("length"), F.col("best.period").alias("period"),
+        F.expr("(1000 * -best.n) div best.period").alias("exponent_milli"),
+        F.sha2(periodic_runs.as_text().cast("binary"), 256).alias("runs_sha256"),
+        F.sha2(F.col("collapsed").cast("binary"), 256).alias("collapsed_sha256"),
+    )
