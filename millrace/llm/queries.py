@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from millrace.llm import (
-    chat, exact_dedup, lm_scoring, mixing, packing, periodic_runs, pii, quality_rules, simhash, token_counts, warc,
+    chat, exact_dedup, lm_scoring, mixing, packing, periodic_runs, pii, quality_rules, simhash, token_counts, warc, whitening,
 )
 from millrace.llm.common import table
 from millrace.sources.shared import fresh_path
@@ -193,6 +193,11 @@ def op10(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.withColumnRenamed("id", "page_id")
 
 
+@query("op11_whitening")
+def op11(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return whitening.whiten(table(spark, sf_dir, "embeddings"), most=16, weights="one")
+
+
 def _looped(doc_id: int | None, words: list[bytes]) -> list[bytes]:
     """The words of one text in ten repeat from a place on; a row without an id stays as it is."""
     h = zlib.crc32(str(doc_id).encode())
