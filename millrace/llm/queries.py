@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from millrace.llm import (
-    chat, exact_dedup, lm_scoring, mixing, packing, periodic_runs, pii, quality_rules, simhash, token_counts, warc, whitening,
+    chat, exact_dedup, licences, lm_scoring, mixing, packing, periodic_runs, pii, quality_rules, simhash, token_counts, warc, whitening,
 )
 from millrace.llm.common import table
 from millrace.sources.shared import fresh_path
@@ -198,6 +198,54 @@ def op11(spark: SparkSession, sf_dir: str) -> DataFrame:
     return whitening.whiten(table(spark, sf_dir, "embeddings"), most=16, weights="one")
 
 
+def _licence_sql() -> str:
+    """All templates against all words: their places by definition, without the index."""
+    words = ", ".join(
+        f"({t}, {place}, '{word.decode()}', {place in template.key_places})"
+        for t, template in enumerate(licences.TEMPLATES) for place, word in enumerate(template.words)
+    )
+    known = ", ".join(
+        f"({t}, '{x.label}', {x.base}, {len(x.words)}, {len(x.key_places)})" for t, x in enumerate(licences.TEMPLATES)
+    )
+    return rf"""
+WITH tw(t, place, word, is_key) AS (VALUES {words}),
+known(t, label, base, total, n_key) AS (VALUES {known}),
+d AS (
+  SELECT doc_id, regexp_extract_all(
+           translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+           '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS words FROM documents),
+w AS (SELECT doc_id, unnest(words) AS word, unnest(range(len(words))) AS i FROM d),
+hits AS (
+  SELECT doc_id, t, i - place AS start, count(*) AS matched, count(*) FILTER (is_key) AS keys
+  FROM w JOIN tw ON w.word = tw.word GROUP BY ALL),
+places AS (SELECT * FROM hits JOIN known USING (t) WHERE keys = n_key),
+found AS (
+  SELECT doc_id, count(*) FILTER (base) AS n_base, min(start) FILTER (base) AS first_word, max(start) FILTER (base) AS last_word,
+         string_agg(DISTINCT label, ',' ORDER BY label) FILTER (base) AS base_labels,
+         string_agg(DISTINCT label, ',' ORDER BY label) FILTER (10 * matched >= 8 * total) AS labels,
+         max(matched / total) AS score
+  FROM places GROUP BY doc_id)
+SELECT d.doc_id, len(words) AS n_words, coalesce(n_base, 0)::BIGINT AS n_base, first_word::BIGINT AS first_word,
+       last_word::BIGINT AS last_word, coalesce(base_labels, '') AS base_labels, coalesce(labels, '') AS labels,
+       coalesce(score, 0)::DOUBLE AS score
+FROM d LEFT JOIN found ON d.doc_id = found.doc_id
+"""
+
+
+@query("op12_licence_scan", _licence_sql())
+def op12(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = licences.scan(table(spark, sf_dir, "documents"))
+    base = F.filter("places", lambda p: p["base"])
+    starts = F.transform(base, lambda p: p["start"])
+    shares = F.transform("places", lambda p: p["matched"] / p["total"])
+    return found.select(
+        "doc_id", "n_words", F.size(base).cast("long").alias("n_base"),
+        F.array_min(starts).alias("first_word"), F.array_max(starts).alias("last_word"),
+        licences.labels(base).alias("base_labels"), licences.labels(F.filter("places", licences.enough)).alias("labels"),
+        F.coalesce(F.array_max(shares), F.lit(0.0)).alias("score"),
+    )
+
+
 def _looped(doc_id: int | None, words: list[bytes]) -> list[bytes]:
     """The words of one text in ten repeat from a place on; a row without an id stays as it is."""
     h = zlib.crc32(str(doc_id).encode())
