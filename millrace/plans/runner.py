@@ -123,12 +123,13 @@ def apply_steps(df: DataFrame, job: JobSpec) -> DataFrame:
     )
 
 
-def build(spark: SparkSession, job: JobSpec) -> DataFrame:
-    """The job's output as a lazy DataFrame; also the dry run of a job."""
+def build(spark: SparkSession, job: JobSpec, raw: DataFrame | None = None) -> DataFrame:
+    """The job's output as a lazy DataFrame; also the dry run of a job. `raw` stands for the rows of
+    its source, where they were read already."""
     check_steps(job)
     # Lets adaptive execution split a hot join key also where the next step groups by that key.
     spark.conf.set("spark.sql.adaptive.forceOptimizeSkewedJoin", "true")
-    source = files.read(spark, job.source)
+    source = files.read(spark, job.source) if raw is None else raw
     if job.standards:
         source = columns.trim_strings(snake_case_columns(source))
     return apply_steps(source, job)
@@ -219,7 +220,8 @@ def run(
     The row count and all row rules are observed while the rows are written, so the output is
     neither computed nor read a second time; only FRAME_CHECKS and `rerun` read it. All checks are
     about the rows of this run: those of an append or merge that such a check looks at are stored
-    before they go into the table. `optimize_write` in the spec rebalances the output, and
+    before they go into the table. Rows of a source with a quarantine folder that don't fit its schema
+    are written there and counted in the report. `optimize_write` in the spec rebalances the output, and
     `auto_compact` compacts a versioned table after the write.
     """
     with temporary_copies(spark):
@@ -238,7 +240,10 @@ def _run(
     rules = [rule_of(r) for r in job.rules if r["check"] not in (*FRAME_CHECKS, "rerun", "schema")]
     if job.standards and not any(r["check"] == "not_empty" for r in job.rules):
         rules.append(checks.not_empty())
-    output = apply_steps(source, job) if source is not None else build(spark, job)
+    raw, n_rejected = None, 0
+    if source is None and job.source.quarantine is not None:
+        raw, n_rejected = files.read_and_quarantine(spark, job.source)
+    output = apply_steps(source, job) if source is not None else build(spark, job, raw)
     target = _with_default_partitions(job, output)
     sorted_last = bool(job.steps) and job.steps[-1].operation == "sort"
     if (target.partition_by or job.extras.get("optimize_write")) and not sorted_last:
@@ -277,6 +282,7 @@ def _run(
             "columns": output.columns,
             "status": "ok" if row_count else "warning_empty",
         },
+        "quarantined": n_rejected,
         "checks": report,
         "status": "success" if all(c["passed"] for c in report) else "checks_failed",
     }

@@ -251,6 +251,7 @@ def dataset_of(raw: Mapping[str, Any] | str | Dataset, **defaults: Any) -> Datas
         partition_by=tuple(_listed(values.get("partition_by"))),
         merge_keys=tuple(_listed(values.get("merge_keys"))),
         version=values.get("version"),
+        quarantine=values.get("quarantine"),
     )
 
 

@@ -1,4 +1,4 @@
-"""Batch reads and writes of files and registered tables."""
+"""Batch reads and writes of files and registered tables, and rows that don't fit their schema."""
 
 from __future__ import annotations
 
@@ -10,22 +10,28 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from millrace.functions.columns import col
 from millrace.functions.text import row_checksum
 from millrace.sources import versioned
 from millrace.sources.schema import declared_schema
+from millrace.sources.shared import cut_lineage
 
 # The accepted formats and write modes.
 READ_FORMATS = ("parquet", "csv", "json", "orc", "delta")
 WRITE_FORMATS = ("parquet", "csv", "json", "orc", "delta")
 WRITE_MODES = ("overwrite", "append", "merge", "create")
 
+# Columns of a judged read: why a row doesn't fit, its text, and its file.
+REASON, RECORD, FILE = "_reason", "_record", "_file"
+
 
 @dataclass(frozen=True)
 class Dataset:
     """Where a job reads from or writes to.
 
     `delta` stands for the versioned tables of `millrace.sources.versioned`. A `table` name is
-    looked up in the session catalog instead of `path`.
+    looked up in the session catalog instead of `path`. With `quarantine`, rows that don't fit the
+    declared schema are left out of what is read and belong in the folder it names.
     """
 
     path: str | None = None
@@ -37,6 +43,7 @@ class Dataset:
     partition_by: tuple[str, ...] = ()
     merge_keys: tuple[str, ...] = ()
     version: int | None = None
+    quarantine: str | None = None
 
     def __post_init__(self) -> None:
         if self.path is None and self.table is None:
@@ -45,10 +52,14 @@ class Dataset:
             raise ValueError(f"unknown format {self.format!r}; one of {READ_FORMATS}")
         if self.mode not in WRITE_MODES:
             raise ValueError(f"unknown write mode {self.mode!r}; one of {WRITE_MODES}")
+        if self.quarantine is not None and (not self.schema or self.table is not None or self.format == "delta"):
+            raise ValueError("a quarantine needs files with a declared schema")
 
 
 def read(spark: SparkSession, source: Dataset) -> DataFrame:
     """The dataset as a lazy DataFrame."""
+    if source.quarantine is not None:
+        return fitting(read_judged(spark, source))
     if source.table is not None:
         return spark.table(source.table)
     if source.format == "delta":
@@ -60,6 +71,64 @@ def read(spark: SparkSession, source: Dataset) -> DataFrame:
     return reader.load(source.path)
 
 
+def read_judged(spark: SparkSession, source: Dataset) -> DataFrame:
+    """All rows of files with a declared schema, good and bad ones, from one read.
+
+    `_reason` is NULL for a row that fits, `malformed` for a CSV or JSON record that has too few or too
+    many fields or a value that is not of its type, and `missing:a,b` for a row with NULL in columns
+    declared not nullable. `_record` holds the text of a malformed record, or the row as JSON, and `_file`
+    where it comes from.
+    """
+    schema = declared_schema(source.schema)
+    taken = {REASON, RECORD, FILE} & set(schema.names)
+    if taken:
+        raise ValueError(f"columns {sorted(taken)} are used for the verdict")
+    texts = source.format in ("csv", "json")
+    wanted = T.StructType([*schema.fields, T.StructField(RECORD, T.StringType())]) if texts else schema
+    options = _reader_options(source)
+    if texts:
+        options |= {"mode": "PERMISSIVE", "columnNameOfCorruptRecord": RECORD}
+    rows = spark.read.format(source.format).options(**options).schema(wanted).load(source.path)
+    rows = rows.select("*", F.col("_metadata.file_path").alias(FILE))
+    if texts:  # the parser checks only the columns that are asked for; a generated row asks for all
+        rows = rows.select(F.inline(F.array(F.struct(*[col(c) for c in rows.columns]))))
+    record = F.col(RECORD) if texts else F.lit(None).cast("string")
+    absent = F.array_compact(F.array(*[F.when(col(f.name).isNull(), F.lit(f.name)) for f in schema.fields if not f.nullable]))
+    reason = F.when(record.isNotNull(), F.lit("malformed"))
+    if not all(f.nullable for f in schema.fields):
+        reason = reason.when(F.size(absent) > 0, F.concat(F.lit("missing:"), F.array_join(absent, ",")))
+    judged = rows.withColumn(REASON, reason)
+    as_json = F.to_json(F.struct(*[col(n) for n in schema.names]))
+    text = F.coalesce(record, F.when(F.col(REASON).isNotNull(), as_json))
+    return judged.select(*[col(n) for n in schema.names], REASON, text.alias(RECORD), FILE)
+
+
+def fitting(judged: DataFrame) -> DataFrame:
+    """The good rows of a judged read."""
+    return judged.where(F.col(REASON).isNull()).drop(REASON, RECORD, FILE)
+
+
+def rejected(judged: DataFrame) -> DataFrame:
+    """The bad rows of a judged read: `reason`, `record` and `file`."""
+    return judged.where(F.col(REASON).isNotNull()).select(
+        F.col(REASON).alias("reason"), F.col(RECORD).alias("record"), F.col(FILE).alias("file")
+    )
+
+
+def read_and_quarantine(spark: SparkSession, source: Dataset) -> tuple[DataFrame, int]:
+    """The good rows, and the number of bad ones, which are written to the dataset's quarantine folder.
+
+    The files are parsed once: the judged rows are stored, and both outcomes come from the stored rows.
+    A later run replaces what is in the folder.
+    """
+    if source.quarantine is None:
+        raise ValueError("the dataset names no quarantine folder")
+    judged = cut_lineage(read_judged(spark, source), "judged")
+    bad = rejected(judged)
+    bad.write.mode("overwrite").parquet(source.quarantine)
+    return fitting(judged), bad.count()
+
+
 def _reader_options(source: Dataset) -> dict[str, str]:
     options = {str(k): str(v) for k, v in source.options.items()}
     if source.format == "csv":

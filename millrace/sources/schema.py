@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Iterable, Mapping, Sequence
 from concurrent.futures import ThreadPoolExecutor
+from functools import reduce
 from typing import Any
 
 from pyspark.sql import Column, DataFrame, Row, SparkSession
@@ -74,22 +75,72 @@ def standard_types(
     return df.withColumns(changes)
 
 
-def infer_schema(
-    spark: SparkSession, path: str | Sequence[str], *, sampling_ratio: float = 1.0, **options: Any
-) -> T.StructType:
-    """Schema of headed CSV files, from a scan of the given share of their rows."""
-    reader = spark.read.options(header=True, inferSchema=True, samplingRatio=sampling_ratio)
-    return reader.options(**options).csv(path).schema
+# The types a text column can be given, each with the texts that its reader takes. A type
+# of the first group holds all that an earlier one of it holds.
+NUMBER_TYPES = ("int", "bigint", "decimal(38,0)", "double")
+OTHER_TYPES = ("date", "timestamp", "boolean")
+_DIGITS = r"^[+-]?[0-9]+$"
+_DAY = r"^[0-9]{4}-[0-9]{2}-[0-9]{2}$"
+_MOMENT = r"^[0-9]{4}-[0-9]{2}-[0-9]{2}([ T][0-9:.]+(Z|[+-][0-9:]+)?)?$"
+_TRUTH = r"^(?i)(true|false)$"
+_NUMBER = r"^\s*[+-]?([0-9]+\.?[0-9]*|\.[0-9]+)([eE][+-]?[0-9]+)?\s*$|^(NaN|[+-]?Inf|[+-]?Infinity)$"
+_SHAPES = {"double": _NUMBER, "date": _DAY, "timestamp": _MOMENT, "boolean": _TRUTH}
 
 
-def discover_tables(
-    spark: SparkSession, root: str, *, sampled_mb: float = 64.0, glob: str = "*.csv"
-) -> DataFrame:
+def _fits(text: Column, kind: str) -> Column:
+    """Whether a read of the text as this type gives a value. Only texts of the right shape are tried,
+    because a cast that fails is slow."""
+    return text.rlike(_SHAPES.get(kind, _DIGITS)) & text.try_cast(kind).isNotNull()
+
+
+def misfits(df: DataFrame) -> Column:
+    """Aggregate over text columns: per column the number of values, and of those that don't fit each
+    type. Such counts of parts of a table add up to those of the table."""
+
+    def of(name: str) -> Column:
+        text = col(name)
+        bad = [F.count_if(text.isNotNull() & ~_fits(text, t)).alias(t) for t in (*NUMBER_TYPES, *OTHER_TYPES)]
+        return F.struct(F.count(text).alias("present"), *bad)
+
+    return F.array(*[of(c) for c in df.columns])
+
+
+def narrowest_type(counts: Mapping[str, int]) -> str:
+    """The narrowest type that all counted values fit; string for a column without values."""
+    if not counts["present"]:
+        return "string"
+    return next((t for t in (*NUMBER_TYPES, *OTHER_TYPES) if not counts[t]), "string")
+
+
+def discover_schema(spark: SparkSession, path: str | Sequence[str], **options: Any) -> T.StructType:
+    """Schema of headed CSV files from all their rows: a read with it turns no value into NULL."""
+    table = _as_text(spark, path, options)
+    return _typed(table.columns, table.select(misfits(table).alias("counts")).first().counts)
+
+
+def _as_text(spark: SparkSession, path: str | Sequence[str], options: Mapping[str, Any]) -> DataFrame:
+    return spark.read.options(**{"header": True, "quote": '"', "escape": '"'} | dict(options)).csv(path)
+
+
+def _typed(names: Sequence[str], counts: Sequence[Row]) -> T.StructType:
+    schema = T.StructType()
+    for name, found in zip(names, counts):
+        schema.add(name, _data_type(narrowest_type(found.asDict())))
+    return schema
+
+
+#: Tables whose columns are counted by one job.
+TABLES_PER_JOB = 64
+
+
+def discover_tables(spark: SparkSession, root: str, *, glob: str = "*.csv", **options: Any) -> DataFrame:
     """One catalog row (name, path, format, columns) per folder right below `root` that has CSV files
     at any depth.
 
-    Listing runs on Spark without opening file contents; what comes to the driver is one row per
-    table. Types are inferred from about `sampled_mb` of each table, several tables at a time.
+    Listing runs on Spark without opening file contents. Types are the narrowest that fit all rows of a
+    table, whatever its size: one job counts, for every column of all tables, the values that don't fit
+    each type. What comes to the driver is one row of counts per table. A table whose files hold
+    nothing, not even a header, has no columns.
     """
     path = spark._jvm.org.apache.hadoop.fs.Path(root.rstrip("/"))
     base = path.getFileSystem(spark._jsc.hadoopConfiguration()).makeQualified(path).toString()
@@ -100,20 +151,24 @@ def discover_tables(
         .option("pathGlobFilter", glob)
         .option("recursiveFileLookup", "true")
         .load(root)
-        .select(below.alias("file"), "length")
+        .select(below.alias("file"))
         .where(F.contains("file", F.lit("/")))  # a file right below the root has no table
-        .select(F.split_part("file", F.lit("/"), F.lit(1)).alias("name"), "length")
+        .select(F.split_part("file", F.lit("/"), F.lit(1)).alias("name"))
     )
-    tables = files.groupBy("name").agg(F.sum("length").alias("bytes")).orderBy("name").collect()
-
-    def entry(row: Row) -> tuple:
-        folder = f"{base}/{row.name}"
-        share = min(1.0, sampled_mb * 1024 * 1024 / max(1, row.bytes))
-        schema = infer_schema(spark, folder, sampling_ratio=share, recursiveFileLookup=True, pathGlobFilter=glob)
-        return row.name, folder, "csv", [(f.name, f.dataType.simpleString()) for f in schema.fields]
-
-    with ThreadPoolExecutor(8) as pool:
-        entries = list(pool.map(entry, tables))
+    names = [r.name for r in files.distinct().orderBy("name").collect()]
+    options = {"recursiveFileLookup": True, "pathGlobFilter": glob} | options
+    with ThreadPoolExecutor(8) as pool:  # each reads a header
+        tables = list(pool.map(lambda name: _as_text(spark, f"{base}/{name}", options), names))
+    counts: dict[str, Sequence[Row]] = {}
+    for at in range(0, len(names), TABLES_PER_JOB):
+        some = list(zip(names, tables))[at : at + TABLES_PER_JOB]
+        parts = [t.select(F.lit(name).alias("name"), misfits(t).alias("counts")) for name, t in some if t.columns]
+        if parts:
+            counts |= {r.name: r.counts for r in reduce(DataFrame.unionByName, parts).collect()}
+    entries = []
+    for name, table in zip(names, tables):
+        schema = _typed(table.columns, counts.get(name, ()))
+        entries.append((name, f"{base}/{name}", "csv", [(f.name, f.dataType.simpleString()) for f in schema.fields]))
     layout = "name string, path string, format string, columns array<struct<name:string,type:string>>"
     return spark.createDataFrame(entries, layout)
 

@@ -76,19 +76,87 @@ def orc_scan(spark: SparkSession, folder: str) -> DataFrame:
       ('customer', 'c_acctbal', 'double'), ('customer', 'c_mktsegment', 'string'), ('supplier', 's_suppkey', 'int'),
       ('supplier', 's_name', 'string'), ('supplier', 's_nationkey', 'int'), ('supplier', 's_acctbal', 'double'),
       ('orders', 'o_orderkey', 'int'), ('orders', 'o_custkey', 'int'), ('orders', 'o_orderstatus', 'string'),
-      ('orders', 'o_totalprice', 'double'), ('orders', 'o_orderdate', 'timestamp'), ('orders', 'o_orderpriority', 'string'))
-      AS v(t, c, k)""",
+      ('orders', 'o_totalprice', 'double'), ('orders', 'o_orderdate', 'timestamp'), ('orders', 'o_orderpriority', 'string'),
+      ('late', 'key', 'bigint'), ('late', 'balance', 'string')) AS v(t, c, k)""",
 )
 def discover(spark: SparkSession, folder: str) -> DataFrame:
     root = fresh_path(spark, "crawl")
     for name in ("customer", "supplier", "orders"):
         files.write(table(spark, folder, name), Dataset(path=f"{root}/{name}", format="csv"))
+    late = table(spark, folder, "customer").select(F.col("c_custkey").cast("string").alias("key"), F.col("c_nationkey").cast("string").alias("balance"))
+    odd = late.agg(F.lit("9999999999").alias("key"), F.lit("N/A").alias("balance"))  # one row of many, in the last file
+    for name, part in (("a", late), ("b", odd)):
+        files.write(part, Dataset(path=f"{root}/late/{name}", format="csv"))
     found = schema.discover_tables(spark, root)
     return found.select("name", "format", F.explode("columns").alias("column")).select(
         "name", "format", "column.name", "column.type"
     ).toDF("table_name", "format", "column_name", "column_type")
 
 
+ORDER_LINE = [
+    {"name": "order_key", "type": "LongType", "nullable": False},
+    {"name": "status", "type": "StringType", "nullable": False},
+    {"name": "total", "type": "decimal(18,2)"},
+    {"name": "day", "type": "DateType"},
+]
+
+
+def _quarantine_sql(missing_fields: str) -> str:
+    return f"""SELECT coalesce(reason, 'good') AS verdict, count(*) AS records, sum(o_orderkey)::BIGINT AS keys,
+      round(sum(CASE WHEN reason IS NULL THEN CAST(o_totalprice AS DECIMAL(18,2)) END), 2)::DOUBLE AS total
+    FROM (SELECT *, CASE WHEN o_orderpriority = '1-URGENT' THEN '{missing_fields}'
+        WHEN o_orderpriority = '2-HIGH' THEN 'malformed' WHEN o_orderpriority = '5-LOW' THEN 'missing:status' END AS reason
+      FROM orders) GROUP BY ALL"""
+
+
+def _order_records(spark: SparkSession, folder: str) -> tuple[DataFrame, F.Column]:
+    """Orders as text: urgent ones lose their last fields, high ones have no number for a total, low ones
+    no status; and the day of the order."""
+    rows = table(spark, folder, "orders").select(
+        F.col("o_orderkey").cast("string").alias("order_key"),
+        F.when(F.col("o_orderpriority") != "5-LOW", F.col("o_orderstatus")).alias("status"),
+        F.when(F.col("o_orderpriority") == "2-HIGH", "n/a")
+        .otherwise(F.col("o_totalprice").cast("decimal(18,2)").cast("string")).alias("total"),
+        F.date_format("o_orderdate", "yyyy-MM-dd").alias("day"),
+        (F.col("o_orderpriority") == "1-URGENT").alias("cut"),
+    )
+    return rows, F.col("cut")
+
+
+def _by_verdict(judged: DataFrame, key_in_text: F.Column) -> DataFrame:
+    """What was kept and what was set aside, from one judged read."""
+    good = files.fitting(judged).agg(
+        F.lit("good").alias("verdict"), F.count(F.lit(1)).alias("records"), F.sum("order_key").alias("keys"), F.sum("total").alias("total")
+    )
+    bad = files.rejected(judged).groupBy(F.col("reason").alias("verdict")).agg(
+        F.count(F.lit(1)).alias("records"), F.sum(key_in_text.cast("long")).alias("keys"), F.lit(None).cast("decimal(28,2)").alias("total")
+    )
+    return good.unionByName(bad).withColumn("total", F.col("total").cast("double"))
+
+
+@query("s7_quarantine_csv", _quarantine_sql("malformed"))
+def quarantine_csv(spark: SparkSession, folder: str) -> DataFrame:
+    rows, cut = _order_records(spark, folder)
+    line = F.concat_ws(",", "order_key", F.coalesce("status", F.lit("")), "total", "day")
+    path = fresh_path(spark, "lines")
+    rows.select(F.when(cut, F.concat_ws(",", "order_key", "status")).otherwise(line).alias("value")).write.text(path)
+    source = Dataset(path=path, format="csv", schema=ORDER_LINE, options={"header": "false"})
+    key = F.coalesce(F.get_json_object("record", "$.order_key"), F.split_part("record", F.lit(","), F.lit(1)))
+    return _by_verdict(files.read_judged(spark, source), key)
+
+
+@query("s7_quarantine_json", _quarantine_sql("missing:status"))
+def quarantine_json(spark: SparkSession, folder: str) -> DataFrame:
+    """In JSON a record without its last fields is whole; the missing status is what is wrong with it."""
+    rows, cut = _order_records(spark, folder)
+    whole = F.struct(F.col("order_key").cast("long").alias("order_key"), "status", "total", "day")
+    part = F.to_json(F.struct(F.col("order_key").cast("long").alias("order_key")))
+    path = fresh_path(spark, "records")
+    rows.select(F.when(cut, part).otherwise(F.to_json(whole)).alias("value")).write.text(path)
+    source = Dataset(path=path, format="json", schema=ORDER_LINE)
+    return _by_verdict(files.read_judged(spark, source), F.get_json_object("record", "$.order_key"))
+
+
 @query(
     "s9_secondary_table",
     sql(

@@ -89,6 +89,92 @@ def _parts(spark, path):
     return list(versioned.version_row(spark, path).parts)
 
 
+def test_discovery_looks_at_every_row(spark, folder):
+    """One value in the last line decides, however long the file is; nulls and empty files don't."""
+    from millrace.sources.schema import discover_schema, discover_tables
+
+    lines = [f"{i},{i},{i}.5,2024-01-0{i % 9 + 1},true,,{i}" for i in range(20_000)]
+    odd = ["7,9999999999,N/A,2024-01-01 10:00:00,False,,123456789012345678901234567890", ",,,,,,"]
+    spark.createDataFrame([("a,b,c,d,e,f,g",), *((x,) for x in lines + odd)], "v string").coalesce(1).write.text(f"{folder}/r/t/x")
+    spark.createDataFrame([], "v string").coalesce(1).write.text(f"{folder}/r/t/empty")
+    spark.createDataFrame([("h,i",)], "v string").coalesce(1).write.text(f"{folder}/r/only_header")
+    got = {r.name: [tuple(c) for c in r["columns"]] for r in discover_tables(spark, f"{folder}/r", glob="*.txt").collect()}
+    kinds = "int bigint string timestamp boolean string decimal(38,0)".split()
+    assert got == {"t": list(zip("abcdefg", kinds)), "only_header": [("h", "string"), ("i", "string")]}
+    schema = discover_schema(spark, f"{folder}/r/t/x")
+    assert [f.dataType.simpleString() for f in schema.fields] == kinds
+    back = spark.read.schema(schema).option("header", True).csv(f"{folder}/r/t/x")
+    text = spark.read.option("header", True).csv(f"{folder}/r/t/x")
+    assert back.agg(*[F.count(c) for c in "abcdefg"]).collect() == text.agg(*[F.count(c) for c in "abcdefg"]).collect()
+
+
+def test_types_hold_for_parts_together(spark):
+    from millrace.sources.schema import misfits, narrowest_type
+
+    parts = [["1", None, "-5"], ["2.5", "1e3"], ["2024-02-30"], ["12:30"], [" 7"]]
+    found = []
+    for part in parts:
+        df = spark.createDataFrame([(v,) for v in part], "v string")
+        found.append(df.select(misfits(df).alias("c")).first().c[0].asDict())
+    assert [narrowest_type(f) for f in found] == ["int", "double", "string", "string", "double"]
+    both = {k: found[0][k] + found[1][k] for k in found[0]}
+    assert narrowest_type(both) == "double"
+
+
+DECLARED = [
+    {"name": "id", "type": "LongType", "nullable": False}, {"name": "name", "type": "StringType", "nullable": False},
+    {"name": "total", "type": "decimal(18,2)"}, {"name": "day", "type": "DateType"},
+]
+RECORDS = [
+    ("1,a,5.00,2024-01-01", None), ("2,b", "malformed"), ("3,,5.00,2024-01-01", "missing:name"), ("4,d,n/a,2024-01-01", "malformed"),
+    ("5,e,1,2024-01-01,more", "malformed"), ("x,f,1,2024-01-01", "malformed"), ("6,g,1,2024-13-01", "malformed"), (",,1,", "missing:id,name"),
+    ("7,h,,", None),
+]
+
+
+def test_bad_csv_records_are_set_aside(spark, folder):
+    spark.createDataFrame([(t,) for t, _ in RECORDS], "v string").coalesce(2).write.text(f"{folder}/in")
+    source = Dataset(path=f"{folder}/in", format="csv", schema=DECLARED, options={"header": "false"}, quarantine=f"{folder}/bad")
+    judged = files.read_judged(spark, source)
+    assert sorted((r["_reason"] or "") for r in judged.collect()) == sorted(w or "" for _, w in RECORDS)
+    assert files.read(spark, source).count() == 2  # also where no column is asked for
+    assert [r.id for r in files.read(spark, source).select("id").orderBy("id").collect()] == [1, 7]
+    bad = {r.record: r.reason for r in files.rejected(judged).collect()}
+    assert {t: w for t, w in RECORDS if w == "malformed"}.items() <= bad.items() and len(bad) == 7
+    good, n = files.read_and_quarantine(spark, source)
+    assert (good.count(), n, spark.read.parquet(f"{folder}/bad").count()) == (2, 7, 7)
+    assert all("/in/part-" in r.file for r in spark.read.parquet(f"{folder}/bad").collect())
+    files.read_and_quarantine(spark, source)  # again: replaced, not doubled
+    assert spark.read.parquet(f"{folder}/bad").count() == 7
+
+
+def test_bad_json_records_are_set_aside(spark, folder):
+    lines = ['{"id": 1, "name": "a", "total": 5}', '{"id": "x", "name": "b"}', "{broken", '{"name": "c"}', '{"id": 2, "name": "d", "extra": 1}']
+    spark.createDataFrame([(t,) for t in lines], "v string").write.text(f"{folder}/in")
+    judged = files.read_judged(spark, Dataset(path=f"{folder}/in", format="json", schema=DECLARED))
+    found = {r["id"]: r["_reason"] for r in judged.where("_reason IS NULL OR _reason LIKE 'missing%'").collect()}
+    assert found == {1: None, 2: None, None: "missing:id"}
+    assert {r.record for r in files.rejected(judged).collect() if r.reason == "malformed"} == {lines[1], "{broken"}
+
+
+def test_a_job_quarantines_and_reports(spark, folder):
+    from millrace.plans.runner import build, run
+    from millrace.plans.spec import job_of
+
+    spark.createDataFrame([(t,) for t, _ in RECORDS], "v string").write.text(f"{folder}/in")
+    source = {"path": f"{folder}/in", "format": "csv", "schema": DECLARED, "options": {"header": "false"}, "quarantine": f"{folder}/bad"}
+    job = job_of({"source": source, "target": f"{folder}/out", "transformations": [{"operation": "filter", "params": {"condition": "id > 0"}}]})
+    assert build(spark, job).count() == 2
+    report = run(spark, job)
+    assert (report["quarantined"], report["validation"]["row_count"]) == (7, 2)
+    assert spark.read.parquet(f"{folder}/bad").count() == 7 and spark.read.parquet(f"{folder}/out").count() == 2
+
+
+def test_a_quarantine_needs_a_schema():
+    with pytest.raises(ValueError):
+        Dataset(path="/x", format="csv", quarantine="/q")
+
+
 def test_changes_rewrite_only_the_parts_they_touch(spark, folder):
     path = f"{folder}/t"
     for day in range(3):
@@ -244,6 +330,92 @@ def test_discovery_of_folders(spark, folder):
     assert got == {"one": [("id", "int"), ("name", "string")], "two": [("x", "double")]}
 
 
+def test_discovery_looks_at_every_row(spark, folder):
+    """One value in the last line decides, however long the file is; nulls and empty files don't."""
+    from millrace.sources.schema import discover_schema, discover_tables
+
+    lines = [f"{i},{i},{i}.5,2024-01-0{i % 9 + 1},true,,{i}" for i in range(20_000)]
+    odd = ["7,9999999999,N/A,2024-01-01 10:00:00,False,,123456789012345678901234567890", ",,,,,,"]
+    spark.createDataFrame([("a,b,c,d,e,f,g",), *((x,) for x in lines + odd)], "v string").coalesce(1).write.text(f"{folder}/r/t/x")
+    spark.createDataFrame([], "v string").coalesce(1).write.text(f"{folder}/r/t/empty")
+    spark.createDataFrame([("h,i",)], "v string").coalesce(1).write.text(f"{folder}/r/only_header")
+    got = {r.name: [tuple(c) for c in r["columns"]] for r in discover_tables(spark, f"{folder}/r", glob="*.txt").collect()}
+    kinds = "int bigint string timestamp boolean string decimal(38,0)".split()
+    assert got == {"t": list(zip("abcdefg", kinds)), "only_header": [("h", "string"), ("i", "string")]}
+    schema = discover_schema(spark, f"{folder}/r/t/x")
+    assert [f.dataType.simpleString() for f in schema.fields] == kinds
+    back = spark.read.schema(schema).option("header", True).csv(f"{folder}/r/t/x")
+    text = spark.read.option("header", True).csv(f"{folder}/r/t/x")
+    assert back.agg(*[F.count(c) for c in "abcdefg"]).collect() == text.agg(*[F.count(c) for c in "abcdefg"]).collect()
+
+
+def test_types_hold_for_parts_together(spark):
+    from millrace.sources.schema import misfits, narrowest_type
+
+    parts = [["1", None, "-5"], ["2.5", "1e3"], ["2024-02-30"], ["12:30"], [" 7"]]
+    found = []
+    for part in parts:
+        df = spark.createDataFrame([(v,) for v in part], "v string")
+        found.append(df.select(misfits(df).alias("c")).first().c[0].asDict())
+    assert [narrowest_type(f) for f in found] == ["int", "double", "string", "string", "double"]
+    both = {k: found[0][k] + found[1][k] for k in found[0]}
+    assert narrowest_type(both) == "double"
+
+
+DECLARED = [
+    {"name": "id", "type": "LongType", "nullable": False}, {"name": "name", "type": "StringType", "nullable": False},
+    {"name": "total", "type": "decimal(18,2)"}, {"name": "day", "type": "DateType"},
+]
+RECORDS = [
+    ("1,a,5.00,2024-01-01", None), ("2,b", "malformed"), ("3,,5.00,2024-01-01", "missing:name"), ("4,d,n/a,2024-01-01", "malformed"),
+    ("5,e,1,2024-01-01,more", "malformed"), ("x,f,1,2024-01-01", "malformed"), ("6,g,1,2024-13-01", "malformed"), (",,1,", "missing:id,name"),
+    ("7,h,,", None),
+]
+
+
+def test_bad_csv_records_are_set_aside(spark, folder):
+    spark.createDataFrame([(t,) for t, _ in RECORDS], "v string").coalesce(2).write.text(f"{folder}/in")
+    source = Dataset(path=f"{folder}/in", format="csv", schema=DECLARED, options={"header": "false"}, quarantine=f"{folder}/bad")
+    judged = files.read_judged(spark, source)
+    assert sorted((r["_reason"] or "") for r in judged.collect()) == sorted(w or "" for _, w in RECORDS)
+    assert files.read(spark, source).count() == 2  # also where no column is asked for
+    assert [r.id for r in files.read(spark, source).select("id").orderBy("id").collect()] == [1, 7]
+    bad = {r.record: r.reason for r in files.rejected(judged).collect()}
+    assert {t: w for t, w in RECORDS if w == "malformed"}.items() <= bad.items() and len(bad) == 7
+    good, n = files.read_and_quarantine(spark, source)
+    assert (good.count(), n, spark.read.parquet(f"{folder}/bad").count()) == (2, 7, 7)
+    assert all("/in/part-" in r.file for r in spark.read.parquet(f"{folder}/bad").collect())
+    files.read_and_quarantine(spark, source)  # again: replaced, not doubled
+    assert spark.read.parquet(f"{folder}/bad").count() == 7
+
+
+def test_bad_json_records_are_set_aside(spark, folder):
+    lines = ['{"id": 1, "name": "a", "total": 5}', '{"id": "x", "name": "b"}', "{broken", '{"name": "c"}', '{"id": 2, "name": "d", "extra": 1}']
+    spark.createDataFrame([(t,) for t in lines], "v string").write.text(f"{folder}/in")
+    judged = files.read_judged(spark, Dataset(path=f"{folder}/in", format="json", schema=DECLARED))
+    found = {r["id"]: r["_reason"] for r in judged.where("_reason IS NULL OR _reason LIKE 'missing%'").collect()}
+    assert found == {1: None, 2: None, None: "missing:id"}
+    assert {r.record for r in files.rejected(judged).collect() if r.reason == "malformed"} == {lines[1], "{broken"}
+
+
+def test_a_job_quarantines_and_reports(spark, folder):
+    from millrace.plans.runner import build, run
+    from millrace.plans.spec import job_of
+
+    spark.createDataFrame([(t,) for t, _ in RECORDS], "v string").write.text(f"{folder}/in")
+    source = {"path": f"{folder}/in", "format": "csv", "schema": DECLARED, "options": {"header": "false"}, "quarantine": f"{folder}/bad"}
+    job = job_of({"source": source, "target": f"{folder}/out", "transformations": [{"operation": "filter", "params": {"condition": "id > 0"}}]})
+    assert build(spark, job).count() == 2
+    report = run(spark, job)
+    assert (report["quarantined"], report["validation"]["row_count"]) == (7, 2)
+    assert spark.read.parquet(f"{folder}/bad").count() == 7 and spark.read.parquet(f"{folder}/out").count() == 2
+
+
+def test_a_quarantine_needs_a_schema():
+    with pytest.raises(ValueError):
+        Dataset(path="/x", format="csv", quarantine="/q")
+
+
 def test_changes_rewrite_only_the_folders_they_touch(spark, folder):
     path = f"{folder}/t"
     df = spark.range(4000).select("id", (F.col("id") % 8).cast("string").alias("k"), F.lit(0).alias("v"))
