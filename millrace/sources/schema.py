@@ -7,7 +7,7 @@ from concurrent.futures import ThreadPoolExecutor
 from functools import reduce
 from typing import Any
 
-from pyspark.sql import Column, DataFrame, Row, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -75,61 +75,75 @@ def standard_types(
     return df.withColumns(changes)
 
 
-# The types a text column can be given, each with the texts that its reader takes. A type
-# of the first group holds all that an earlier one of it holds.
+# The types a text column can be given. One of the first group holds all that an earlier
+# one of it holds; a date also reads as a timestamp.
 NUMBER_TYPES = ("int", "bigint", "decimal(38,0)", "double")
 OTHER_TYPES = ("date", "timestamp", "boolean")
+_BIT = {t: 1 << i for i, t in enumerate((*NUMBER_TYPES, *OTHER_TYPES))}
+_ALL_BITS = sum(_BIT.values())
 _DIGITS = r"^[+-]?[0-9]+$"
+_NUMBER = r"^\s*[+-]?([0-9]+\.?[0-9]*|\.[0-9]+)([eE][+-]?[0-9]+)?\s*$|^(NaN|[+-]?Inf|[+-]?Infinity)$"
 _DAY = r"^[0-9]{4}-[0-9]{2}-[0-9]{2}$"
-_MOMENT = r"^[0-9]{4}-[0-9]{2}-[0-9]{2}([ T][0-9:.]+(Z|[+-][0-9:]+)?)?$"
+_MOMENT = r"^[0-9]{4}-[0-9]{2}-[0-9]{2}[ T][0-9:.]+(Z|[+-][0-9:]+)?$"
 _TRUTH = r"^(?i)(true|false)$"
-_NUMBER = r"^\s*[+-]?([0-9]+\.?[0-9]*|\.[0-9]+)([eE][+-]?[0-9]+)?\s*$|^(NaN|[+-]?Inf|[+-]?Infinity)$"
-_SHAPES = {"double": _NUMBER, "date": _DAY, "timestamp": _MOMENT, "boolean": _TRUTH}
 
 
-def _fits(text: Column, kind: str) -> Column:
-    """Whether a read of the text as this type gives a value. Only texts of the right shape are tried,
-    because a cast that fails is slow."""
-    return text.rlike(_SHAPES.get(kind, _DIGITS)) & text.try_cast(kind).isNotNull()
+def _ruled_out(text: Column) -> Column:
+    """Bits of the types as which a read of the text gives no value; NULL for NULL.
 
+    Only texts of a type's shape are cast, because a cast that fails is slow.
+    """
 
-def misfits(df: DataFrame) -> Column:
-    """Aggregate over text columns: per column the number of values, and of those that don't fit each
-    type. Such counts of parts of a table add up to those of the table."""
+    def all_but(*kinds: str) -> Column:
+        return F.lit(_ALL_BITS - sum(_BIT[k] for k in kinds))
+
+    def fits(kind: str) -> Column:
+        return text.try_cast(kind).isNotNull()
+
+    number = F.when(fits("int"), all_but(*NUMBER_TYPES)).when(fits("bigint"), all_but(*NUMBER_TYPES[1:]))
+    number = number.when(fits("decimal(38,0)"), all_but(*NUMBER_TYPES[2:])).otherwise(all_but("double"))
+    return (
+        F.when(text.isNull(), F.lit(None).cast("int"))
+        .when(text.rlike(_DIGITS), number)
+        .when(text.rlike(_NUMBER), F.when(fits("double"), all_but("double")).otherwise(all_but()))
+        .when(text.rlike(_DAY), F.when(fits("date"), all_but("date", "timestamp")).otherwise(all_but()))
+        .when(text.rlike(_MOMENT), F.when(fits("timestamp"), all_but("timestamp")).otherwise(all_but()))
+        .when(text.rlike(_TRUTH), all_but("boolean"))
+        .otherwise(all_but())
+    )
 
-    def of(name: str) -> Column:
-        text = col(name)
-        bad = [F.count_if(text.isNotNull() & ~_fits(text, t)).alias(t) for t in (*NUMBER_TYPES, *OTHER_TYPES)]
-        return F.struct(F.count(text).alias("present"), *bad)
 
-    return F.array(*[of(c) for c in df.columns])
+def ruled_out(df: DataFrame) -> Column:
+    """Aggregate over text columns: per column the bits of the types that not all of its values fit, NULL
+    without values. The bits of parts of a table, joined by or, are those of the table."""
+    return F.array(*[F.bit_or(_ruled_out(col(c))) for c in df.columns])
 
 
-def narrowest_type(counts: Mapping[str, int]) -> str:
-    """The narrowest type that all counted values fit; string for a column without values."""
-    if not counts["present"]:
+def narrowest_type(bits: int | None) -> str:
+    """The narrowest type that all values fit; string for a column without values."""
+    if bits is None:
         return "string"
-    return next((t for t in (*NUMBER_TYPES, *OTHER_TYPES) if not counts[t]), "string")
+    return next((t for t, bit in _BIT.items() if not bits & bit), "string")
 
 
 def discover_schema(spark: SparkSession, path: str | Sequence[str], **options: Any) -> T.StructType:
     """Schema of headed CSV files from all their rows: a read with it turns no value into NULL."""
     table = _as_text(spark, path, options)
-    return _typed(table.columns, table.select(misfits(table).alias("counts")).first().counts)
+    return _typed(table.columns, table.select(ruled_out(table).alias("bits")).first().bits)
 
 
 def _as_text(spark: SparkSession, path: str | Sequence[str], options: Mapping[str, Any]) -> DataFrame:
     return spark.read.options(**{"header": True, "quote": '"', "escape": '"'} | dict(options)).csv(path)
 
 
-def _typed(names: Sequence[str], counts: Sequence[Row]) -> T.StructType:
+def _typed(names: Sequence[str], bits: Sequence[int | None]) -> T.StructType:
     schema = T.StructType()
-    for name, found in zip(names, counts):
-        schema.add(name, _data_type(narrowest_type(found.asDict())))
+    for name, found in zip(names, bits):
+        schema.add(name, _data_type(narrowest_type(found)))
     return schema
 
 
-#: Tables whose columns are counted by one job.
+#: Tables looked at by one job.
 TABLES_PER_JOB = 64
 
 
@@ -138,8 +152,8 @@ def discover_tables(spark: SparkSession, root: str, *, glob: str = "*.csv", **op
     at any depth.
 
     Listing runs on Spark without opening file contents. Types are the narrowest that fit all rows of a
-    table, whatever its size: one job counts, for every column of all tables, the values that don't fit
-    each type. What comes to the driver is one row of counts per table. A table whose files hold
+    table, whatever its size: one job joins, for every column of all tables, the types that its values
+    rule out. What comes to the driver is one number per column. A table whose files hold
     nothing, not even a header, has no columns.
     """
     path = spark._jvm.org.apache.hadoop.fs.Path(root.rstrip("/"))
@@ -159,15 +173,15 @@ def discover_tables(spark: SparkSession, root: str, *, glob: str = "*.csv", **op
     options = {"recursiveFileLookup": True, "pathGlobFilter": glob} | options
     with ThreadPoolExecutor(8) as pool:  # each reads a header
         tables = list(pool.map(lambda name: _as_text(spark, f"{base}/{name}", options), names))
-    counts: dict[str, Sequence[Row]] = {}
+    bits: dict[str, Sequence[int | None]] = {}
     for at in range(0, len(names), TABLES_PER_JOB):
         some = list(zip(names, tables))[at : at + TABLES_PER_JOB]
-        parts = [t.select(F.lit(name).alias("name"), misfits(t).alias("counts")) for name, t in some if t.columns]
+        parts = [t.select(F.lit(name).alias("name"), ruled_out(t).alias("bits")) for name, t in some if t.columns]
         if parts:
-            counts |= {r.name: r.counts for r in reduce(DataFrame.unionByName, parts).collect()}
+            bits |= {r.name: r.bits for r in reduce(DataFrame.unionByName, parts).collect()}
     entries = []
     for name, table in zip(names, tables):
-        schema = _typed(table.columns, counts.get(name, ()))
+        schema = _typed(table.columns, bits.get(name, ()))
         entries.append((name, f"{base}/{name}", "csv", [(f.name, f.dataType.simpleString()) for f in schema.fields]))
     layout = "name string, path string, format string, columns array<struct<name:string,type:string>>"
     return spark.createDataFrame(entries, layout)
