@@ -252,6 +252,7 @@ def dataset_of(raw: Mapping[str, Any] | str | Dataset, **defaults: Any) -> Datas
         merge_keys=tuple(_listed(values.get("merge_keys"))),
         version=values.get("version"),
         quarantine=values.get("quarantine"),
+        buckets=int(values.get("buckets") or 0),
     )
 
 

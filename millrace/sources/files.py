@@ -31,7 +31,8 @@ class Dataset:
 
     `delta` stands for the versioned tables of `millrace.sources.versioned`. A `table` name is
     looked up in the session catalog instead of `path`. With `quarantine`, rows that don't fit the
-    declared schema are left out of what is read and belong in the folder it names.
+    declared schema are left out of what is read and belong in the folder it names. `buckets` is the
+    number of folders by the hash of the merge keys that a versioned table starts with.
     """
 
     path: str | None = None
@@ -44,6 +45,7 @@ class Dataset:
     merge_keys: tuple[str, ...] = ()
     version: int | None = None
     quarantine: str | None = None
+    buckets: int = 0
 
     def __post_init__(self) -> None:
         if self.path is None and self.table is None:
@@ -187,9 +189,11 @@ def _write_versioned(df: DataFrame, target: Dataset, delete_unmatched: bool) ->
             target.merge_keys,
             delete_unmatched=delete_unmatched,
             partition_by=target.partition_by,
+            buckets=target.buckets,
         )
     else:
-        versioned.write(df, target.path, mode=target.mode, partition_by=target.partition_by)
+        dealt = {"bucket_by": target.merge_keys, "buckets": target.buckets} if target.buckets else {}
+        versioned.write(df, target.path, mode=target.mode, partition_by=target.partition_by, **dealt)
 
 
 def tag_rows(

@@ -2,12 +2,14 @@
 
 Layout below the table path:
 
-    data/_part=N/...   the rows written by version N, in folders by partition value if there are any
+    data/_part=N/...   the rows written by version N, in folders by partition value if there are any, and
+                       before that by the hash of the bucket columns if there are any
     history/           one row per version: operation, schema and the folders that make it up
 
 A version is a list of parts: folders "N", or "N/column=value" of a partitioned table. Appending
 writes only the new rows and lists the old parts again. Update, delete and merge find the parts that
-hold a row they change and write only those anew; all others are listed again. A version exists
+hold a row they change and write only those anew; all others are listed again. A table in buckets of its
+merge key so rewrites a bucket where one without partitions rewrites a whole write. A version exists
 once its history row does, so a job that dies half-way leaves the table as it was. One writer at a time: there is no commit protocol between
 concurrent writers.
 """
@@ -29,12 +31,16 @@ from millrace.operators import layout, mutations
 from millrace.sources.schema import conform
 from millrace.sources.shared import cut_lineage, delete_folder, folder_exists
 
-PART, FOLDER = "_part", "_folder"
+PART, FOLDER, BUCKET = "_part", "_folder", "_bucket"
 HISTORY_SCHEMA = (
     "version bigint, operation string, parameters string, committed_at timestamp, "
-    "written_rows bigint, parts array<string>, schema string, partition_by array<string>"
+    "written_rows bigint, parts array<string>, schema string, partition_by array<string>, "
+    "bucket_by array<string>, buckets int"
 )
 
+#: Keys of a merge source that are looked up as literals, which Parquet's Bloom filters can use.
+KEYS_PUSHED = 10
+
 # How long old versions stay and how many history rows are shown.
 RETENTION_HOURS = 168
 HISTORY_ROWS = 10
@@ -48,6 +54,13 @@ class Version:
     parts: tuple[str, ...]
     schema: T.StructType
     partition_by: tuple[str, ...]
+    bucket_by: tuple[str, ...] = ()
+    buckets: int = 0
+
+    @property
+    def folders(self) -> tuple[str, ...]:
+        """Columns by which the rows of a part lie in folders."""
+        return ((BUCKET,) if self.buckets else ()) + self.partition_by
 
 
 def _data(path: str) -> str:
@@ -94,6 +107,8 @@ def version_of(spark: SparkSession, path: str, version: int | None = None) -> Ve
         tuple(row.parts),
         T.StructType.fromJson(json.loads(row.schema)),
         tuple(row.partition_by),
+        tuple(row.bucket_by or ()),
+        row.buckets or 0,
     )
 
 
@@ -136,11 +151,14 @@ def write(
     mode: str = "overwrite",
     partition_by: Sequence[str] = (),
     overwrite_schema: bool = False,
+    bucket_by: Sequence[str] = (),
+    buckets: int = 0,
 ) -> int:
     """Write a new version in mode create, overwrite or append and return its number.
 
     Columns the table has and `df` lacks become NULL and new columns are added; with
-    `overwrite_schema` an overwrite takes the columns of `df` alone.
+    `overwrite_schema` an overwrite takes the columns of `df` alone. `bucket_by` and `buckets` deal the
+    rows to folders by the hash of these columns, the merge keys; later versions keep them.
     """
     spark = df.sparkSession
     row = _latest_row(spark, path)
@@ -148,16 +166,24 @@ def write(
         raise ValueError(f"a versioned table exists already at {path}")
     if mode not in ("create", "overwrite", "append"):
         raise ValueError(f"unknown write mode {mode!r}")
+    if bool(bucket_by) != (buckets > 0):
+        raise ValueError("bucket_by and buckets go together")
+    wanted = Version(0, (), df.schema, tuple(partition_by), tuple(bucket_by), buckets)
     if row is None:
-        return _commit(df, path, 0, (), mode.upper(), {}, tuple(partition_by))
+        return _commit(df, path, wanted, mode.upper(), {})
     current = version_of(spark, path, row.version)
-    partitions = tuple(partition_by) or current.partition_by
-    if mode == "append" and partitions != current.partition_by:
+    if not partition_by:
+        wanted = replace(wanted, partition_by=current.partition_by)
+    if not buckets:
+        wanted = replace(wanted, bucket_by=current.bucket_by, buckets=current.buckets)
+    if mode == "append" and wanted.partition_by != current.partition_by:
         raise ValueError(f"the table is partitioned by {current.partition_by}")
+    if mode == "append" and (wanted.bucket_by, wanted.buckets) != (current.bucket_by, current.buckets):
+        raise ValueError(f"the table has {current.buckets} buckets by {current.bucket_by}")
     if not overwrite_schema or mode == "append":
         df = conform(df, _merged_schema(current.schema, df.schema))
     kept = current.parts if mode == "append" else ()
-    return _commit(df, path, current.number + 1, kept, mode.upper(), {}, partitions)
+    return _commit(df, path, replace(wanted, number=current.number + 1, parts=kept), mode.upper(), {})
 
 
 def _merged_schema(old: T.StructType, new: T.StructType) -> T.StructType:
@@ -165,31 +191,33 @@ def _merged_schema(old: T.StructType, new: T.StructType) -> T.StructType:
     return T.StructType([*old.fields, *[f for f in new.fields if f.name not in known]])
 
 
-def _commit(
-    df: DataFrame,
-    path: str,
-    number: int,
-    kept: Sequence[str],
-    operation: str,
-    parameters: Mapping[str, Any],
-    partition_by: tuple[str, ...],
-) -> int:
-    """Write `df` as the parts of a new version that also has the kept parts."""
+def bucket(found: Version, rows: DataFrame) -> Column:
+    """The bucket of a row, which may hold the bucket columns in other types than the table."""
+    types = {f.name: f.dataType for f in found.schema.fields}
+    return F.pmod(F.xxhash64(*[rows[c].try_cast(types[c]) for c in found.bucket_by]), F.lit(found.buckets)).cast("int")
+
+
+def _commit(df: DataFrame, path: str, wanted: Version, operation: str, parameters: Mapping[str, Any]) -> int:
+    """Write `df` as the parts of the wanted version, which also has the parts it lists already."""
     seen = Observation()
-    spread = layout.repartition_for_write(df, partition_by=partition_by) if partition_by else df
+    schema = T.StructType([T.StructField(f.name, f.dataType, True) for f in df.schema.fields])
+    wanted = replace(wanted, schema=schema)
+    rows = df.withColumn(BUCKET, bucket(wanted, df)) if wanted.buckets else df
+    spread = layout.repartition_for_write(rows, partition_by=wanted.folders) if wanted.folders else rows
     observed = spread.observe(seen, F.count(F.lit(1)).alias("rows"))
     writer = observed.write.mode("overwrite")
-    if partition_by:
-        writer = writer.partitionBy(*partition_by)
-    folder = f"{_data(path)}/{PART}={number}"
+    if wanted.folders:
+        writer = writer.partitionBy(*wanted.folders)
+    for name in wanted.bucket_by:
+        writer = writer.option(f"parquet.bloom.filter.enabled#{name}", "true")
+    folder = f"{_data(path)}/{PART}={wanted.number}"
     writer.parquet(folder)
     written = int(seen.get.get("rows", 0))
-    parts: tuple[str, ...] = (str(number),)
-    if partition_by:
+    parts: tuple[str, ...] = (str(wanted.number),)
+    if wanted.folders:
         files = df.sparkSession.read.format("binaryFile").option("recursiveFileLookup", "true").load(folder)
         parts = _distinct_parts(files.select(_part_of(F.col("path")).alias(FOLDER))) if written else ()
-    schema = T.StructType([T.StructField(f.name, f.dataType, True) for f in df.schema.fields])
-    found = Version(number, (*kept, *parts), schema, partition_by)
+    found = replace(wanted, parts=(*wanted.parts, *parts))
     return _record(df.sparkSession, path, found, operation, parameters, written)
 
 
@@ -210,6 +238,8 @@ def _record(
         list(found.parts),
         found.schema.json(),
         list(found.partition_by),
+        list(found.bucket_by),
+        found.buckets,
     )
     record = spark.createDataFrame([entry], HISTORY_SCHEMA)
     stamped = record.withColumn("committed_at", F.current_timestamp())
@@ -230,12 +260,12 @@ def _change_parts(
 ) -> int:
     """New version with the touched parts changed and the others as they are."""
     number = current.number + 1
-    kept = [n for n in current.parts if n not in touched]
+    kept = tuple(n for n in current.parts if n not in touched)
     if not touched and not adds_rows:
         unchanged = replace(current, number=number)
         return _record(spark, path, unchanged, operation, parameters, 0)
     changed = change(_rows(spark, path, current, touched).drop(PART))
-    return _commit(changed, path, number, kept, operation, parameters, current.partition_by)
+    return _commit(changed, path, replace(current, number=number, parts=kept), operation, parameters)
 
 
 def _touched_by(spark: SparkSession, path: str, current: Version, condition: str) -> Sequence[str]:
@@ -284,16 +314,23 @@ def merge(
     evolve: bool = False,
     keep_old_when_null: bool = False,
     partition_by: Sequence[str] = (),
+    buckets: int = 0,
+    tag: str | None = None,
 ) -> dict[str, Any]:
     """Merge into the table, or write the source as its first version when there is none.
 
-    A merge reads the source several times, so its rows are computed once and stored first.
+    A merge reads the source several times, so its rows are computed once and stored first. A merge
+    with a `tag` that the table's history holds already was done before and changes nothing. `buckets` is
+    for the first version: its rows are dealt to so many folders by the hash of the keys.
     """
     spark = source.sparkSession
     if not keys:
         raise ValueError("a merge needs merge keys")
+    if tag is not None and _holds_tag(spark, path, tag):
+        return {"action": "done_before", "tag": tag, "version": version_of(spark, path).number}
     if not exists(spark, path):
-        number = write(source, path, mode="create", partition_by=partition_by)
+        dealt = {"bucket_by": keys, "buckets": buckets} if buckets else {}
+        number = write(source, path, mode="create", partition_by=partition_by, **dealt)
         rows = version_row(spark, path, number).written_rows
         return {"action": "initial_write", "rows": rows, "version": number}
     result = {
@@ -303,12 +340,13 @@ def merge(
         "insert_all": insert_all,
         "delete_unmatched": delete_unmatched,
     }
+    if tag is not None:
+        result["tag"] = tag
     source = cut_lineage(source, "merge")
     current = version_of(spark, path)
     touched = current.parts
     if touched and not delete_unmatched:
-        held = _parts_of(_rows(spark, path, current, current.parts), keys)
-        touched = tuple(map(unquote, _distinct_parts(held.join(source.select(*keys), list(keys), "left_semi"))))
+        touched = _touched_by_keys(spark, path, current, source, keys)
     number = _change_parts(
         spark,
         path,
@@ -331,6 +369,32 @@ def merge(
     return result | {"version": number}
 
 
+def _touched_by_keys(
+    spark: SparkSession, path: str, current: Version, source: DataFrame, keys: Sequence[str]
+) -> Sequence[str]:
+    """The parts with a row of one of the source's keys. Of a table in buckets of (some of) the keys only the
+    source's buckets are looked into."""
+    parts: Sequence[str] = current.parts
+    if current.buckets and set(current.bucket_by) <= set(keys):
+        hit = {r[0] for r in source.select(bucket(current, source)).distinct().collect()}  # at most `buckets`
+        parts = tuple(p for p in parts if int(p.split(f"{BUCKET}=")[1].split("/")[0]) in hit)
+    if not parts:
+        return ()
+    held = _rows(spark, path, current, parts)
+    few = source.select(*keys).limit(KEYS_PUSHED + 1).collect()
+    if len(few) <= KEYS_PUSHED:
+        for k in keys:
+            held = held.where(col(k).isin([r[k] for r in few if r[k] is not None]))
+    found = _parts_of(held, keys).join(source.select(*keys), list(keys), "left_semi")
+    return tuple(map(unquote, _distinct_parts(found)))
+
+
+def _holds_tag(spark: SparkSession, path: str, tag: str) -> bool:
+    if not exists(spark, path):
+        return False
+    return not full_history(spark, path).where(F.get_json_object("parameters", "$.tag") == tag).isEmpty()
+
+
 def version_row(spark: SparkSession, path: str, version: int | None = None) -> Row:
     """History row of a version."""
     row = _latest_row(spark, path, version)

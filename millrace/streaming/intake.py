@@ -2,11 +2,16 @@
 
 from __future__ import annotations
 
+from dataclasses import dataclass
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
 from millrace.operators.checks import story_rules
+from millrace.sources import versioned
+from millrace.sources.shared import cut_lineage, temporary_copies
+from millrace.streaming.audit import append_new
 
 STORY = (
     "struct<id:string, title:string, description:string, acceptance_criteria:array<string>,"
@@ -17,17 +22,22 @@ MESSAGE = f"run_id string, story_id string, dry_run boolean, story {STORY}, _bad
 GOOD = "good"
 REJECTED = "rejected"
 
+#: When a line came in: the time of its file, which is the same when a batch is repeated.
+RECEIVED = "received_at"
+BATCH = "_batch"
+
 
 def judge(lines: DataFrame) -> DataFrame:
     """Text lines (`value`) as (verdict, reason, run_id, story_id, dry_run, story, value).
 
     The first reason that applies is given: malformed_json, missing_fields, or invalid_story
-    with the broken rules. Works on a batch and on a stream alike.
+    with the broken rules. Works on a batch and on a stream alike; `received_at` is passed on.
     """
     message = F.from_json(
         "value", MESSAGE, {"mode": "PERMISSIVE", "columnNameOfCorruptRecord": "_bad"}
     )
-    parsed = lines.select("value", message.alias("m")).select("value", "m", "m.*").select("*", "story.*")
+    passed = [RECEIVED] if RECEIVED in lines.columns else []
+    parsed = lines.select("value", *passed, message.alias("m")).select("value", *passed, "m", "m.*").select("*", "story.*")
     told = parsed.withColumn("broken", _broken_rules()).withColumn("reason", _reason())
     return told.select(
         F.when(F.col("reason").isNull(), GOOD).otherwise(REJECTED).alias("verdict"),
@@ -37,6 +47,7 @@ def judge(lines: DataFrame) -> DataFrame:
         F.coalesce("dry_run", F.lit(False)).alias("dry_run"),
         "story",
         "value",
+        *passed,
     )
 
 
@@ -107,3 +118,83 @@ def failed_runs(judged: DataFrame) -> DataFrame:
         F.lit("FAILED").alias("status"),
         F.concat(F.lit("Story validation failed: "), F.col("reason")).alias("error_message"),
     )
+
+
+def run_events(judged: DataFrame) -> DataFrame:
+    """Audit events of a judged batch with the time at which each line came in: a good request starts
+    its run, one with an invalid story ends it."""
+    columns = ("event_type", "run_id", "story_id", "actor", "trigger_source", "from_status", "to_status", "payload", "ts")
+    invalid = F.col("reason").startswith("invalid_story")
+    nothing = F.lit(None).cast("string")
+    fields = {
+        "event_type": F.when(invalid, "RUN_FAILED").otherwise("PARSING_STARTED"),
+        "story_id": F.when(invalid, F.col("story_id")).otherwise(F.col("story.id")),
+        "actor": F.lit("worker"),
+        "trigger_source": F.lit("queue"),
+        "from_status": F.when(invalid, nothing).otherwise("PENDING"),
+        "to_status": F.when(invalid, nothing).otherwise("PARSING"),
+        "payload": F.when(invalid, F.to_json(F.struct(F.col("reason").alias("error")))).otherwise("{}"),
+        "ts": F.col(RECEIVED),
+    }
+    return judged.filter(F.col("reason").isNull() | invalid).withColumns(fields).select(*columns)
+
+
+def run_updates(judged: DataFrame) -> DataFrame:
+    """One update (run_id, status, error_message, started_at) per run of a judged batch; what is NULL in it
+    stays as it is. The last line of a run decides, and of lines of one time the last by its text."""
+    invalid = F.col("reason").startswith("invalid_story")
+    update = F.struct(
+        F.when(invalid, "FAILED").otherwise("PARSING").alias("status"),
+        F.when(invalid, F.concat(F.lit("Story validation failed: "), F.col("reason"))).alias("error_message"),
+        F.when(~F.coalesce(invalid, F.lit(False)), F.col(RECEIVED)).alias("started_at"),
+    )
+    known = judged.filter(F.col("reason").isNull() | invalid)
+    return known.groupBy("run_id").agg(F.max_by(update, F.struct(RECEIVED, "value")).alias("update")).select("run_id", "update.*")
+
+
+@dataclass(frozen=True)
+class IntakeSinks:
+    """Where a batch of requests leaves its traces: the judged lines, the audit log, and the versioned
+    table of runs (run_id, status, error_message, started_at and whatever else)."""
+
+    lines: str
+    audit: str
+    runs: str
+
+
+def apply_batch(lines: DataFrame, number: int, sinks: IntakeSinks, stream: str) -> None:
+    """Write a batch of lines (`value`, `received_at`) to all sinks.
+
+    The batch is judged once and stored. Each sink takes it once, however often it is repeated: the lines
+    replace those of the same batch, the audit log knows its ids, and the runs table remembers in its
+    history the batch of `stream` that changed it. Runs that the table doesn't hold are left alone.
+    """
+    spark = lines.sparkSession
+    with temporary_copies(spark):
+        judged = cut_lineage(judge(lines), "intake")
+        spread = judged.hint("rebalance", F.col("verdict"))
+        spread.write.mode("overwrite").partitionBy("verdict").parquet(f"{sinks.lines.rstrip('/')}/{BATCH}={number}")
+        append_new(run_events(judged), sinks.audit, number)
+        if versioned.exists(spark, sinks.runs):
+            versioned.merge(
+                run_updates(judged), sinks.runs, ["run_id"], insert_all=False, keep_old_when_null=True, tag=f"{stream}#{number}"
+            )
+
+
+def start_intake_with_records(
+    spark: SparkSession, source: str, sinks: IntakeSinks, checkpoint: str, *, files_per_batch: int = 10_000
+) -> StreamingQuery:
+    """Like `start_intake`, and every batch also writes its audit events and marks its runs."""
+    reader = spark.readStream.format("text").option("maxFilesPerTrigger", files_per_batch)
+    lines = reader.load(source).select("value", F.col("_metadata.file_modification_time").alias(RECEIVED))
+    return (
+        lines.writeStream.foreachBatch(lambda batch, number: apply_batch(batch, number, sinks, checkpoint))
+        .option("checkpointLocation", checkpoint)
+        .trigger(availableNow=True)
+        .start()
+    )
+
+
+def read_lines(spark: SparkSession, sinks: IntakeSinks) -> DataFrame:
+    """The judged lines of all batches."""
+    return spark.read.parquet(sinks.lines).drop(BATCH)

@@ -338,6 +338,34 @@ def stored_merge(spark: SparkSession, folder: str) -> DataFrame:
     return _shown(versioned.read(spark, path))
 
 
+@query(
+    "t4_bucketed_merge",
+    _sql(
+        f"""SELECT {_SHOW}, written_rows FROM (
+          SELECT order_id, customer_id, 'changed' AS status, CAST(amount + 1 AS DECIMAL(18,2)) AS amount, priority FROM t
+            WHERE order_id = (SELECT max(order_id) FROM t)
+          UNION ALL SELECT * FROM t WHERE order_id <> (SELECT max(order_id) FROM t)
+          UNION ALL SELECT -1, NULL, 'new', 1, NULL), (SELECT 'few' AS written_rows)"""
+    ),
+)
+def bucketed_merge(spark: SparkSession, folder: str) -> DataFrame:
+    """One changed and one new order: of 64 buckets at most the two that hold them are written anew, `few`
+    being less than a tenth of the rows."""
+    path = fresh_path(spark, "table")
+    versioned.write(_target(spark, folder), path, bucket_by=["order_id"], buckets=64)
+    last = _target(spark, folder).orderBy(F.col("order_id").desc()).limit(1)
+    changed = last.withColumns({"status": F.lit("changed"), "amount": (F.col("amount") + 1).cast("decimal(18,2)")})
+    new = spark.range(1).select(
+        F.lit(-1).cast("long").alias("order_id"), F.lit(None).cast("long").alias("customer_id"), F.lit("new").alias("status"),
+        F.lit(1).cast("decimal(18,2)").alias("amount"), F.lit(None).cast("string").alias("priority"),
+    )
+    versioned.merge(changed.unionByName(new), path, ["order_id"])
+    written = versioned.full_history(spark, path).orderBy("version")
+    told = written.agg(F.min_by("written_rows", "version").alias("all"), F.max_by("written_rows", "version").alias("last"))
+    few = told.select(F.when(F.col("last") * 10 < F.col("all"), "few").otherwise(F.col("last").cast("string"))).scalar()
+    return _shown(versioned.read(spark, path)).withColumn("written_rows", few)
+
+
 @query(
     "t10_vacuum",
     """SELECT 'rows of version 1' AS what, count(*) AS n FROM orders WHERE o_orderstatus <> 'P'

@@ -177,6 +177,73 @@ def test_late_events_are_kept_and_repeats_are_not(spark, folder):
     assert audit.read_audit_log(spark, f"{folder}/out").count() == 20
 
 
+def test_an_id_is_known_across_midnight_and_a_batch_replaces_itself(spark, folder):
+    schema, target = "event_type string, run_id string, ts timestamp", f"{folder}/log"
+    midnight = datetime.datetime(2026, 1, 2)
+    before = [("RUN_CREATED", "r", midnight - datetime.timedelta(milliseconds=300)), ("RUN_CREATED", None, midnight)]
+    after = [("RUN_CREATED", "r", midnight + datetime.timedelta(milliseconds=200)), ("RUN_FAILED", "r", midnight)]
+    audit.append_new(spark.createDataFrame(before, schema), target, 0)
+    for _ in range(3):
+        audit.append_new(spark.createDataFrame(after, schema), target, 1)
+    audit.append_new(spark.createDataFrame([], schema), target, 2)
+    found = [r.id for r in audit.read_audit_log(spark, target).collect()]
+    assert len(found) == len(set(found)) == 3
+
+
+def test_a_small_batch_lists_only_its_buckets(spark, folder):
+    schema, target = "event_type string, run_id string, ts timestamp", f"{folder}/log"
+    t = datetime.datetime(2026, 1, 2)
+    many = [("RUN_CREATED", str(i), t) for i in range(500)]
+    audit.append_new(spark.createDataFrame(many, schema), target, 0)
+    buckets = spark.read.parquet(target).select(audit.BUCKET).distinct().count()
+    assert buckets == audit.BUCKETS
+    audit.append_new(spark.createDataFrame(many[:1] + [("RUN_FAILED", "x", t)], schema), target, 1)
+    written = spark.read.parquet(target).where(f"{audit.BATCH} = 1")
+    assert written.count() == 1 and written.select(audit.BUCKET).distinct().count() == 1
+
+
+def test_intake_records_and_replays(spark, folder):
+    from millrace.sources import versioned
+
+    sinks = intake.IntakeSinks(f"{folder}/lines", f"{folder}/audit", f"{folder}/runs")
+    pending = [(r, "PENDING", None, None, "kept") for r in ("ok", "bad", "both", "other")]
+    schema = "run_id string, status string, error_message string, started_at timestamp, note string"
+    versioned.write(spark.createDataFrame(pending, schema), sinks.runs)
+    t = [datetime.datetime(2026, 1, 1, h) for h in range(4)]
+    first = [(message(run_id="ok"), t[0]), (message(run_id="bad", story_id="s", story={"title": ""}), t[0]), (message(run_id="both"), t[1]), ("{", t[1])]
+    second = [(message(run_id="both", story={"id": "a b"}), t[2]), (message(run_id="unknown"), t[3]), (message(run_id=""), t[3])]
+
+    def state():
+        lines = rows(intake.read_lines(spark, sinks).select("verdict", "reason", "run_id", "value"))
+        return lines, rows(audit.read_audit_log(spark, sinks.audit)), rows(versioned.read(spark, sinks.runs)), versioned.version_of(spark, sinks.runs).number
+
+    for number, batch in enumerate((first, second)):
+        df = spark.createDataFrame(batch, "value string, received_at timestamp")
+        intake.apply_batch(df, number, sinks, "stream")
+        once = state()
+        intake.apply_batch(df, number, sinks, "stream")
+        assert state() == once
+    intake.apply_batch(spark.createDataFrame(first, "value string, received_at timestamp"), 0, sinks, "stream")
+    assert state() == once  # an earlier batch again
+    lines, events, runs, version = once
+    assert len(lines) == 7 and version == 2
+    assert sorted(r[0] for r in events) == ["PARSING_STARTED"] * 3 + ["RUN_FAILED"] * 2
+    assert {r[0]: r[1:3] for r in runs} == {
+        "ok": ("PARSING", None), "bad": ("FAILED", "Story validation failed: invalid_story:title"),
+        "both": ("FAILED", "Story validation failed: invalid_story:id"), "other": ("PENDING", None),
+    }
+    assert {r[0]: r[3] for r in runs} == {"ok": t[0], "bad": None, "both": t[1], "other": None} and {r[4] for r in runs} == {"kept"}
+
+
+def test_an_empty_batch_leaves_no_trace(spark, folder):
+    from millrace.sources import versioned
+
+    sinks = intake.IntakeSinks(f"{folder}/lines", f"{folder}/audit", f"{folder}/runs")
+    versioned.write(spark.createDataFrame([("r", "PENDING")], "run_id string, status string"), sinks.runs)
+    intake.apply_batch(spark.createDataFrame([], "value string, received_at timestamp"), 0, sinks, "s")
+    assert rows(versioned.read(spark, sinks.runs)) == [("r", "PENDING")]
+
+
 def test_an_audit_id_has_the_nearest_second(spark):
     t = datetime.datetime(2024, 1, 1, tzinfo=datetime.UTC)
     moments = [0, 499_999, 500_000, 500_001, 1_500_000, 1_499_999]

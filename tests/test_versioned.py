@@ -460,3 +460,49 @@ def test_stored_copies_go_with_their_block(spark, frame):
         path = copy.inputFiles()[0].removeprefix("file://")
         assert os.path.exists(path) and not os.path.exists(inner)
     assert not os.path.exists(path) and os.path.exists(kept)
+
+
+def test_a_change_rewrites_one_bucket(spark, folder):
+    path, n = f"{folder}/t", 1_000_000
+    df = spark.range(n).select("id", (F.col("id") % 1000).alias("v"), F.lit("x").alias("s"))
+    versioned.write(df, path, bucket_by=["id"], buckets=64)
+    assert len(versioned.version_of(spark, path).parts) == 64
+    versioned.update(spark, path, "id = 123456", {"v": "-1"})
+    one = versioned.version_row(spark, path).written_rows
+    assert 0 < one < 1.2 * n / 64
+    few = spark.createDataFrame([(7, -7, "y"), (-5, -5, "new"), (None, 0, "null")], "id int, v long, s string")
+    versioned.merge(few, path, ["id"])  # keys of another type than the table's
+    assert versioned.version_row(spark, path).written_rows < 3.5 * n / 64
+    versioned.delete(spark, path, "id = 999999")
+    assert versioned.version_row(spark, path).written_rows < 1.2 * n / 64
+    versioned.write(few.select(F.lit(8_000_000).alias("id"), "v", "s").limit(1), path, mode="append")
+    versioned.merge(df.where("id % 1000 = 3").withColumn("v", F.lit(9)), path, ["id"])  # many keys
+    got = versioned.read(spark, path)
+    assert got.count() == n + 2 and got.columns == ["id", "v", "s"]
+    assert got.where("v = 9 AND id % 1000 = 3").count() == 1000
+    assert {r.id for r in got.where("v < 0 OR s <> 'x'").collect()} == {-5, None, 123456, 7, 8_000_000}
+
+
+def test_bucketed_and_partitioned(spark, folder):
+    path = f"{folder}/t"
+    df = spark.range(200).select("id", (F.col("id") % 3).cast("string").alias("k"), F.lit(0).alias("v"))
+    result = versioned.merge(df, path, ["id"], partition_by=["k"], buckets=4)
+    assert result["action"] == "initial_write" and len(versioned.version_of(spark, path).parts) == 12
+    versioned.merge(spark.createDataFrame([(5, "2", 1)], "id long, k string, v int"), path, ["id"])
+    assert versioned.version_row(spark, path).written_rows < 40
+    versioned.merge(spark.createDataFrame([(6, "0", 2)], "id long, k string, v int"), path, ["id"], delete_unmatched=True)
+    assert rows(versioned.read(spark, path)) == [(6, "0", 2)]
+    with pytest.raises(ValueError):
+        versioned.write(df, path, mode="append", bucket_by=["id"], buckets=8)
+    with pytest.raises(ValueError):
+        versioned.write(df, f"{folder}/u", bucket_by=["id"])
+
+
+def test_a_tagged_merge_is_done_once(spark, folder, frame):
+    path = f"{folder}/t"
+    versioned.write(frame, path)
+    change = spark.createDataFrame([(1, "z", 5.0)], "k int, g string, v double")
+    assert versioned.merge(change, path, ["k"], tag="batch 1")["version"] == 1
+    versioned.update(spark, path, "k = 1", {"g": "'later'"})
+    assert versioned.merge(change, path, ["k"], tag="batch 1") == {"action": "done_before", "tag": "batch 1", "version": 2}
+    assert rows(versioned.read(spark, path)) == [(1, "later", 5.0), (2, "b", 20.0)]
