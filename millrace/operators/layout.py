@@ -4,14 +4,16 @@ from __future__ import annotations
 
 import logging
 import math
-from collections.abc import Iterator, Sequence
+from collections.abc import Iterator, Mapping, Sequence
 from contextlib import contextmanager
+from typing import Any
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from millrace.functions.columns import col
+from millrace.operators.selection import collectable, literal
 
 log = logging.getLogger(__name__)
 
@@ -131,31 +133,36 @@ def cluster_rows(
 
 
 def with_z_value(df: DataFrame, names: Sequence[str], alias: str, bits: int | None = None) -> DataFrame:
-    """Adds the interleaved bits of the rank classes of the columns; part of one lazy plan.
+    """Adds the interleaved bits of the rank classes of the columns.
 
     Every column is cut into 2^bits classes of about equal size, by whole values of any type that
-    sorts. The bounds come from a random sample of rows, which is a subquery of the plan. Without `bits` there are about four cells per output file.
+    sorts. The bounds come from a random sample of rows, which is taken first; they are constants of the
+    plan, so that no row carries them. Without `bits` there are about four cells per output file.
     """
     if bits is None:
         cells = 4 * (file_count(df) or 1)
         bits = max(4, min(MOST_Z_BITS, math.ceil(math.log2(cells) / len(names))))
     classes = 2**bits
+    types = [df.schema[n].dataType for n in names]
     keys = df.select(*[col(n).alias(f"k{i}") for i, n in enumerate(names)])
     sample = keys.orderBy(F.rand(7)).limit(Z_SAMPLE_PER_CLASS * classes)
-    bounds = sample.agg(F.struct(*[_bounds(k, classes).alias(k) for k in keys.columns]).alias("bounds")).scalar()
-    held = df.withColumn("_bounds", bounds)
-    ranks = {f"_c{i}": _class_of(col(n), F.col(f"_bounds.k{i}"), bits) for i, n in enumerate(names)}
+
+    def cuts(name: str, dtype: T.DataType) -> Column:  # of a sample of bounded size
+        return F.transform(_bounds(F.array_sort(F.collect_list(name)), classes), lambda v: collectable(v, dtype))
+
+    found = sample.agg(*[cuts(k, t).alias(k) for k, t in zip(keys.columns, types)]).first()
+    bounds = [F.array(*[literal(v, t) for v in found[i]]) for i, t in enumerate(types)]
+    ranks = {f"_c{i}": _class_of(col(n), bounds[i], bits) for i, n in enumerate(names)}
     spread = " | ".join(
         f"shiftleft(bigint(shiftright({c}, {bit}) & 1), {bit * len(names) + i})"
         for i, c in enumerate(ranks)
         for bit in range(bits)
     )
-    return held.withColumns(ranks).withColumn(alias, F.expr(spread)).drop("_bounds", *ranks)
+    return df.withColumns(ranks).withColumn(alias, F.expr(spread)).drop(*ranks)
 
 
-def _bounds(name: str, classes: int) -> Column:
+def _bounds(values: Column, classes: int) -> Column:
     """The values that cut the sorted sample into classes."""
-    values = F.array_sort(F.collect_list(name))  # a sample of bounded size
     cuts = F.sequence(F.lit(1), F.lit(classes - 1))
 
     def cut(ordered: Column) -> Column:
@@ -174,6 +181,24 @@ def _class_of(value: Column, bounds: Column, bits: int) -> Column:
     return F.reduce(steps, F.lit(0), halve)
 
 
+def zone_map(written: DataFrame, names: Sequence[str]) -> DataFrame:
+    """Per file of rows that were read from files: `file`, `rows` and the range `<name>_min`, `<name>_max` of
+    the columns, which is what a filter on them goes by."""
+    ends = [f(col(n)).alias(f"{n}_{k}") for n in names for k, f in (("min", F.min), ("max", F.max))]
+    return written.groupBy(F.col("_metadata.file_path").alias("file")).agg(F.count(F.lit(1)).alias("rows"), *ends)
+
+
+def files_touched(zones: DataFrame, ranges: Mapping[str, tuple[Any, Any]]) -> DataFrame:
+    """For a filter on each of the columns, from a low to a high value: (column, files, touched), where
+    the files that aren't touched can't hold such a row and are skipped."""
+    counted = zones.agg(
+        F.count(F.lit(1)).alias("files"),
+        *[F.count_if((F.col(f"{n}_max") >= F.lit(low)) & (F.col(f"{n}_min") <= F.lit(high))).alias(f"t{i}") for i, (n, (low, high)) in enumerate(ranges.items())],
+    )
+    entries = [F.struct(F.lit(n).alias("column"), F.col("files"), F.col(f"t{i}").alias("touched")) for i, n in enumerate(ranges)]
+    return counted.select(F.inline(F.array(*entries)))
+
+
 @contextmanager
 def cached(df: DataFrame, label: str = "unnamed") -> Iterator[DataFrame]:
     """`df` persisted for the length of the block; for a frame that feeds several actions."""

@@ -17,12 +17,9 @@ from pyspark.sql import types as T
 
 from millrace.functions.columns import col
 from millrace.operators.layout import file_count, row_hash
+from millrace.operators.selection import BOUND, Key, buckets_by, keys_at, rows_at
 from millrace.sources.shared import cut_lineage
 
-# Parts that a listing is cut into to find a page, as bits, and sampled rows per part.
-PAGE_PART_BITS = 10
-SAMPLED_PER_PART = 4
-
 _SLICE = "_slice"
 
 
@@ -49,97 +46,17 @@ def top_rows(df: DataFrame, n: int, *keys: Column) -> DataFrame:
     return df.orderBy(*keys).limit(n)
 
 
-def _before(left: Sequence[Column], right: Sequence[Column], descending: Sequence[bool]) -> Column:
-    """True where `left` comes before `right`; NULLs first ascending, last descending."""
-    out = F.lit(False)
-    for a, b, down in reversed(list(zip(left, right, descending))):
-        first, second = (b, a) if down else (a, b)
-        less = (first.isNull() & second.isNotNull()) | F.coalesce(first < second, F.lit(False))
-        out = less | (a.eqNullSafe(b) & out)
-    return out
-
-
-def _in_parts(rows: DataFrame, names: Sequence[str], descending: Sequence[bool]) -> tuple[DataFrame, DataFrame]:
-    """`rows` with the `part` of the order they are in, and one row per part: size and upto.
-
-    A random sample cuts the order into about 1000 parts. Both are lazy; nothing is stored.
-    """
-
-    def fields(key: Column) -> list[Column]:
-        return [key[n] for n in names]
-
-    def order(a: Column, b: Column) -> Column:
-        first = _before(fields(a), fields(b), descending)
-        return F.when(first, -1).when(_before(fields(b), fields(a), descending), 1).otherwise(0)
-
-    parts = 1 << PAGE_PART_BITS
-    sample = rows.select(F.struct(*names).alias("key")).orderBy(F.rand(7)).limit(parts * SAMPLED_PER_PART)
-    cuts = F.sequence(F.lit(1), F.lit(parts - 1))
-
-    def cut(ordered: Column) -> Column:
-        return F.transform(cuts, lambda i: F.get(ordered, F.floor(i * F.size(ordered) / parts).cast("int")))
-
-    plain = not any(descending)  # then structs compare as the order does, NULLs first
-    listed = F.collect_list("key")
-    sampled = sample.agg((F.sort_array(listed) if plain else F.array_sort(listed, order)).alias("keys"))
-    bounds = sampled.select(F.get(F.transform(F.array("keys"), cut), F.lit(0))).scalar()
-    steps = F.array(*[F.lit(1 << b) for b in reversed(range(PAGE_PART_BITS))])
-
-    def halve(found: Column, step: Column) -> Column:
-        bound = F.get(F.col("bounds"), found + step - 1)
-        if plain:
-            later = bound < F.struct(*names)  # NULL without a bound
-        else:
-            later = bound.isNotNull() & _before(fields(bound), [F.col(n) for n in names], descending)
-        return F.when(later, found + step).otherwise(found)
-
-    placed = rows.withColumn("bounds", bounds).withColumn("part", F.reduce(steps, F.lit(0), halve)).drop("bounds")
-    sizes = placed.groupBy("part").agg(F.count(F.lit(1)).alias("size"))
-    upto = Window.orderBy("part").rowsBetween(Window.unboundedPreceding, Window.currentRow)  # one row per part
-    return placed, sizes.withColumn("upto", F.sum("size").over(upto))
-
-
-def _ascending(df: DataFrame, name: str, down: bool) -> tuple[Column, bool]:
-    """A sort key that ascends, NULLs first, where its type has one; else the key as it is."""
-    value, dtype = col(name), df.schema[name].dataType
-    if not down:
-        return value, False
-    if isinstance(dtype, T.IntegralType):
-        turned = F.bitwise_not(value)
-    elif isinstance(dtype, (T.DecimalType, T.DateType)):
-        turned = -value if isinstance(dtype, T.DecimalType) else -F.unix_date(value)
-    elif isinstance(dtype, T.TimestampType):
-        turned = -F.unix_micros(value)
-    elif isinstance(dtype, T.FractionalType):  # NaN is the largest
-        turned = F.struct((~F.isnan(value)).alias("number"), (-value).alias("turned"))
-    else:
-        return value, True
-    return F.struct(value.isNull().alias("missing"), turned.alias("turned")), False
-
-
 def page(
-    df: DataFrame, entries: Sequence[Mapping[str, Any] | str], *, limit: int, offset: int = 0
+    df: DataFrame, entries: Sequence[Mapping[str, Any] | str], *, limit: int, offset: int = 0, bound: int = BOUND
 ) -> DataFrame:
     """Rows offset + 1 to offset + limit of a listing, the same way at every depth.
 
-    Rows that tie are further ordered by a hash of the row. The rows of each part of the order are
-    counted, and only the parts that the page touches are sorted.
+    Rows that tie are further ordered by a hash of the row. The place of the page is narrowed down by
+    counting, until at most `bound` rows have to be sorted.
     """
     wanted = [(e, False) if isinstance(e, str) else (e["column"], bool(e.get("descending"))) for e in entries]
-    keys = [_ascending(df, *key) for key in wanted] + [(row_hash(df), False)]
-    values, descending = [value for value, _ in keys], [down for _, down in keys]
-    names = [f"k{i}" for i in range(len(values))]
-    rows = df.select(F.struct(*[col(c) for c in df.columns]).alias("row"), *[v.alias(n) for v, n in zip(values, names)])
-    placed, ends = _in_parts(rows, names, descending)
-    touched = ends.where((F.col("upto") > offset) & (F.col("upto") - F.col("size") < offset + limit))
-    span = touched.agg(
-        F.struct(F.min("part").alias("first"), F.max("part").alias("last"), F.min(F.col("upto") - F.col("size")).alias("before"))
-    ).scalar()
-    near = placed.withColumn("span", span).where(F.col("part").between(F.col("span.first"), F.col("span.last")))
-    keys = [F.col(n).desc() if down else F.col(n).asc() for n, down in zip(names, descending)]
-    rank = F.col("span.before") + F.row_number().over(Window.orderBy(*keys))
-    ranked = near.withColumn("rank", rank).where(F.col("rank").between(offset + 1, offset + limit))
-    return ranked.orderBy("rank").select("row.*")
+    keys = [Key(col(name), df.schema[name].dataType, down) for name, down in wanted]
+    return rows_at(df, [*keys, Key(row_hash(df), T.LongType())], offset, limit, bound)
 
 
 def drop_duplicates(df: DataFrame, names: Sequence[str] = ()) -> DataFrame:
@@ -226,46 +143,21 @@ def global_rank(
     )
 
 
-def _ntile_cuts(df: DataFrame, order_by: Sequence[str], n: int) -> Column:
-    """Scalar subquery: the keys of the last rows of the first n - 1 buckets, in order."""
-    names = [f"k{i}" for i in range(len(order_by))]
-    ascending = [False] * len(names)
-    placed, ends = _in_parts(df.select(*[col(c).alias(k) for c, k in zip(order_by, names)]), names, ascending)
-    total = F.sum("size").over(Window.partitionBy())  # over one row per part
-    small = F.floor(total / n)
-    wanted = F.array(*[k * small + F.least(F.lit(k), total - small * n) for k in range(1, n)])
-    before = F.col("upto") - F.col("size")
-    inside = F.filter("wanted", lambda r: (r > F.col("before")) & (r <= F.col("upto")))
-    touched = ends.select("part", "upto", before.alias("before"), wanted.alias("wanted"))
-    touched = touched.withColumn("ranks", inside).where(F.size("ranks") > 0).select("part", "before", "ranks")
-    ranked = placed.join(F.broadcast(touched), "part").withColumn(  # at most n - 1 parts
-        "rank", F.col("before") + F.row_number().over(Window.partitionBy("part").orderBy(*names))
-    )
-    hits = ranked.where(F.array_contains("ranks", F.col("rank")))
-    return hits.agg(F.array_sort(F.collect_list(F.struct("rank", F.struct(*names).alias("key")))).alias("cuts")).scalar()
-
-
-def _bucket(cuts: Column, order_by: Sequence[str]) -> Column:
-    """One more than the number of cuts before the row."""
-
-    def earlier(cut: Column) -> Column:
-        keys = [cut["key"][f"k{j}"] for j in range(len(order_by))]
-        return _before(keys, [col(c) for c in order_by], [False] * len(keys))
-
-    return (F.size(F.filter(cuts, earlier)) + 1).cast("bigint")
-
-
-def ntiles(df: DataFrame, buckets: Mapping[str, Sequence[str]], n: int) -> DataFrame:
-    """`ntile(n)` over the whole frame for several orders `{new column: order}`, as one lazy plan.
+def ntiles(df: DataFrame, buckets: Mapping[str, Sequence[str]], n: int, bound: int = BOUND) -> DataFrame:
+    """`ntile(n)` over the whole frame for several orders `{new column: order}`.
 
-    Each order must end in a unique column. Only the keys between the buckets are looked for: parts of
-    the order are counted, and the n - 1 parts that hold such a key are ranked.
+    Each order must end in a unique column. The input is stored once; the keys of the last rows of the
+    first n - 1 buckets are narrowed down for all orders together, and the rows are compared with them.
     """
-    out = df
-    for i, (name, order_by) in enumerate(buckets.items()):
-        out = out.withColumn(f"_cuts{i}", _ntile_cuts(df, order_by, n))
-        out = out.withColumn(name, _bucket(F.col(f"_cuts{i}"), order_by))
-    return out.drop(*[f"_cuts{i}" for i in range(len(buckets))])
+    held = cut_lineage(df, "ntiles")
+    size = held.count()
+    small, more = divmod(size, n)
+    ends = [k * small + min(k, more) for k in range(1, n)]
+    orders = {name: F.struct(*[col(c) for c in order]) for name, order in buckets.items()}
+    cuts = keys_at(held, orders, dict.fromkeys(orders, ends), bound)
+    # Of fewer rows than buckets each has a bucket of its own; the others are empty.
+    own = {name: [cuts[name][r] for r in dict.fromkeys(ends) if r in cuts[name]] for name in orders}
+    return held.withColumns({name: buckets_by(order, own[name]) for name, order in orders.items()})
 
 
 def ntile(df: DataFrame, order_by: Sequence[str], n: int, name: str) -> DataFrame:

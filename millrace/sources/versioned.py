@@ -422,6 +422,12 @@ def compact(
     )
 
 
+def zone_map(spark: SparkSession, path: str, names: Sequence[str]) -> DataFrame:
+    """Per data file of the latest version: rows and the range of each of the columns."""
+    current = version_of(spark, path)
+    return layout.zone_map(_rows(spark, path, current, current.parts), names)
+
+
 def stale_parts(spark: SparkSession, path: str, retention_hours: float = RETENTION_HOURS) -> DataFrame:
     """Parts used only by versions that were replaced longer ago than the retention."""
     limit = F.current_timestamp() - F.make_interval(secs=F.lit(retention_hours * 3600.0))

@@ -15,7 +15,7 @@ from millrace.sources.shared import cut_lineage, delete_folder, folder_exists, t
 BUCKET, BATCH = "_bucket", "_batch"
 
 #: Folders that the ids are dealt to by their hash. It holds for the life of a log.
-BUCKETS = 32
+BUCKETS = 16
 
 
 def audit_events(events: DataFrame, known: Sequence[str] = AUDIT_EVENTS) -> DataFrame:

@@ -246,7 +246,7 @@ def deep_page(spark: SparkSession, folder: str) -> DataFrame:
         "l_partkey",
         "l_suppkey",
     ]
-    return ordering.page(df, order, limit=100, offset=30000)
+    return ordering.page(df, order, limit=100, offset=30000, bound=20_000)
 
 
 @query(

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from millrace.operators import mutations
+from millrace.operators import layout, mutations
 from millrace.plans import runner
 from millrace.plans.spec import job_of
 from millrace.sources import versioned
@@ -264,6 +264,31 @@ def compact(spark: SparkSession, folder: str) -> DataFrame:
     return _shown(versioned.read(spark, path))
 
 
+@query(
+    "t9_skipped_files",
+    """SELECT 'l_partkey' AS column, count(*) AS matching, 'few' AS touched FROM lineitem
+      WHERE l_partkey <= (SELECT max(l_partkey) // 50 FROM lineitem)
+    UNION ALL SELECT 'l_extendedprice', count(*), 'few' FROM lineitem
+      WHERE l_extendedprice >= (SELECT 0.95 * max(l_extendedprice) FROM lineitem)""",
+)
+def skipped_files(spark: SparkSession, folder: str) -> DataFrame:
+    """Items clustered by two columns in 64 files or so: a filter on either column touches `few`, less than
+    a third of the files, by the ranges that the written files hold."""
+    path = fresh_path(spark, "table")
+    df = table(spark, folder, "lineitem").select("l_orderkey", "l_partkey", "l_extendedprice")
+    ends = df.agg(F.floor(F.max("l_partkey") / 50), F.lit(0.95) * F.max("l_extendedprice"), F.max("l_extendedprice")).first()
+    versioned.write(df, path)
+    versioned.compact(spark, path, ["l_partkey", "l_extendedprice"], layout.output_bytes(versioned.read(spark, path)) / 64 / layout.MEGABYTE)
+    zones = versioned.zone_map(spark, path, ["l_partkey", "l_extendedprice"])
+    touched = layout.files_touched(zones, {"l_partkey": (0, ends[0]), "l_extendedprice": (ends[1], ends[2])})
+    rows = versioned.read(spark, path).agg(
+        F.count_if(F.col("l_partkey") <= ends[0]).alias("l_partkey"), F.count_if(F.col("l_extendedprice") >= ends[1]).alias("l_extendedprice")
+    )
+    counted = rows.unpivot([], ["l_partkey", "l_extendedprice"], "column", "matching")
+    few = F.when(F.col("touched") * 3 <= F.col("files"), "few").otherwise(F.concat_ws("/", "touched", "files"))
+    return counted.join(touched, "column").select("column", "matching", few.alias("touched"))
+
+
 @query(
     "t11_null_preserving_update",
     _sql(

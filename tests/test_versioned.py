@@ -506,3 +506,18 @@ def test_a_tagged_merge_is_done_once(spark, folder, frame):
     versioned.update(spark, path, "k = 1", {"g": "'later'"})
     assert versioned.merge(change, path, ["k"], tag="batch 1") == {"action": "done_before", "tag": "batch 1", "version": 2}
     assert rows(versioned.read(spark, path)) == [(1, "later", 5.0), (2, "b", 20.0)]
+
+
+def test_clustering_by_two_columns_skips_files_for_either(spark, folder):
+    from millrace.operators import layout
+
+    path = f"{folder}/t"
+    df = spark.range(40_000).select(F.xxhash64("id").alias("a"), F.hash("id").cast("string").alias("b"), F.lit(None).cast("int").alias("c"))
+    versioned.write(df.repartition(4), path)
+    versioned.compact(spark, path, ["a", "b"], layout.output_bytes(versioned.read(spark, path)) / 36 / layout.MEGABYTE)
+    zones = versioned.zone_map(spark, path, ["a", "b", "c"])
+    files = zones.count()
+    assert files > 20 and zones.agg(F.sum("rows")).first()[0] == 40_000 and zones.where("c_min IS NOT NULL").count() == 0
+    low = {n: versioned.read(spark, path).orderBy(n).limit(400).agg(F.min(n), F.max(n)).first() for n in "ab"}
+    told = {r.column: (r.files, r.touched) for r in layout.files_touched(zones, {n: tuple(low[n]) for n in "ab"}).collect()}
+    assert all(0 < touched <= files / 3 and n == files for n, touched in told.values())
