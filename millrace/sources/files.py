@@ -12,6 +12,7 @@ from pyspark.sql import types as T
 
 from millrace.functions.columns import col
 from millrace.functions.text import row_checksum
+from millrace.operators.layout import repartition_for_write
 from millrace.sources import versioned
 from millrace.sources.schema import declared_schema
 from millrace.sources.shared import cut_lineage
@@ -155,8 +156,13 @@ def write(
     target: Dataset,
     *,
     delete_unmatched: bool = False,
+    rebalance: bool = True,
 ) -> None:
-    """Write `df` to the dataset in its mode. `merge` needs a versioned table and merge keys."""
+    """Write `df` to the dataset in its mode. `merge` needs a versioned table and merge keys.
+
+    Partitioned output is rebalanced by its partition columns, so that a task doesn't write a file for every
+    value and a large value becomes several files; without `rebalance` the rows stay as they are dealt.
+    """
     if target.format == "delta":
         if target.path is None:
             raise ValueError("a versioned table is addressed by its path")
@@ -165,6 +171,8 @@ def write(
     if target.mode == "merge":
         raise ValueError("mode merge needs format delta, a versioned table")
     mode = "errorifexists" if target.mode == "create" else target.mode
+    if target.partition_by and rebalance:
+        df = repartition_for_write(df, partition_by=target.partition_by)
     writer = df.write.format(target.format).mode(mode).options(**_writer_options(target))
     if target.partition_by:
         writer = writer.partitionBy(*target.partition_by)

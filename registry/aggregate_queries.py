@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from millrace.functions.columns import safe_ratio
-from millrace.operators import aggregates, quantiles
+from millrace.operators import aggregates, distinct, quantiles
 from millrace.plans import geo
 from millrace.plans.runner import build
 from millrace.plans.spec import job_of
@@ -310,3 +310,34 @@ def group_count(spark: SparkSession, folder: str) -> DataFrame:
 def two_level_rollup(spark: SparkSession, folder: str) -> DataFrame:
     per_region = geo.geo_revenue(orders(spark, folder), customers(spark, folder))
     return rounded(geo.country_rollup(per_region), 2, "country_revenue")
+
+
+@query(
+    "a15_distinct_rollup",
+    sql(
+        """SELECT region, country, count(DISTINCT product_id) AS products FROM
+          (SELECT region, country, product_id FROM v_items JOIN
+            (SELECT s_suppkey AS seller_id, n_name AS country, r_name AS region FROM supplier
+              JOIN nation ON s_nationkey = n_nationkey JOIN region ON n_regionkey = r_regionkey) USING (seller_id))
+        GROUP BY GROUPING SETS ((region, country), (region), ())""",
+        "items",
+    ),
+)
+def distinct_rollup(spark: SparkSession, folder: str) -> DataFrame:
+    """Different products sold per country, region and in all, each level from the bitmaps of the one below;
+    most products are sold from several countries and regions."""
+    places = (
+        table(spark, folder, "supplier")
+        .join(table(spark, folder, "nation"), F.col("s_nationkey") == F.col("n_nationkey"))
+        .join(table(spark, folder, "region"), F.col("n_regionkey") == F.col("r_regionkey"))
+        .select(F.col("s_suppkey").alias("seller_id"), F.col("n_name").alias("country"), F.col("r_name").alias("region"))
+    )
+    sold = items(spark, folder).select("seller_id", "product_id").join(places, "seller_id")
+    per_country = distinct.group_bitmaps(sold, ["region", "country"], "product_id")
+    per_region = distinct.united(per_country, ["region"])
+    levels = [
+        distinct.counted(per_country, ["region", "country"], "products"),
+        distinct.counted(per_region, ["region"], "products").withColumn("country", F.lit(None).cast("string")),
+        distinct.counted(per_region, [], "products").withColumns({c: F.lit(None).cast("string") for c in ("region", "country")}),
+    ]
+    return levels[0].unionByName(levels[1]).unionByName(levels[2]).select("region", "country", "products")

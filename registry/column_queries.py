@@ -218,12 +218,12 @@ def column_pruning(spark: SparkSession, folder: str) -> DataFrame:
 
 @query(
     "p15_string_trim",
-    "SELECT doc_id, trim(substr(text, 1, strpos(text || ' ', ' '))) AS word, lang FROM documents",
+    "SELECT doc_id, trim(text, ' ') AS text, lang FROM documents",
 )
 def string_trim(spark: SparkSession, folder: str) -> DataFrame:
     padded = table(spark, folder, "documents").select(
         "doc_id",
-        F.expr("substr(text, 1, instr(concat(text, ' '), ' '))").alias("word"),
+        F.concat(F.lit(" "), "text", F.lit("   ")).alias("text"),
         F.concat(F.lit("  "), "lang", F.lit(" ")).alias("lang"),
     )
     return ops.trim_strings(padded)

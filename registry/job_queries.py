@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from millrace.operators import checks
 from millrace.plans import campaign, geo, intent, people, rfm, stories
 from millrace.plans.runner import build, run
 from millrace.plans.spec import job_of
@@ -815,9 +816,9 @@ def story_rfm(spark: SparkSession, folder: str) -> DataFrame:
 
 
 @query("r1_story_campaign", sql(
-    """SELECT campaign_id, campaign_name, product_category, round(CAST(sum(order_amount) AS DOUBLE), 2) AS total_revenue,
+    """SELECT campaign_id, campaign_name, product_category, CAST(round(sum(order_amount), 2) AS DOUBLE) AS total_revenue,
       count(order_id) AS order_count, max(impressions) AS impressions,
-      round(CAST(max(campaign_cost) AS DOUBLE), 2) AS campaign_cost,
+      CAST(round(max(campaign_cost), 2) AS DOUBLE) AS campaign_cost,
       round(CAST(sum(order_amount) - max(campaign_cost) AS DOUBLE) / CAST(max(campaign_cost) AS DOUBLE) * 100, 4) AS roi_pct
     FROM v_campaigns LEFT JOIN (SELECT order_id, campaign_id, order_amount FROM v_orders) USING (campaign_id)
     WHERE product_category = 'FAMILY_3' GROUP BY ALL""", "campaigns", "orders"))
@@ -863,14 +864,35 @@ def schema_check(spark: SparkSession, folder: str) -> DataFrame:
     return found
 
 
-@query("v12_rerun", """SELECT 'first' AS run, 'rerun' AS "check", true AS passed""")
+@query("v12_rerun", """SELECT 'rerun' AS "check", true AS passed, count(DISTINCT o_custkey) AS rows FROM orders""")
 def rerun(spark: SparkSession, folder: str) -> DataFrame:
-    return _report(spark, "first", {
+    """The job's own check, and how many rows it was about."""
+    told = run(spark, job_of({
         "source": {"path": f"{folder}/orders.parquet"}, "target": {"path": fresh_path(spark, "rerun")},
         "transformations": [{"operation": "aggregate", "group_by": ["o_custkey"], "aggregations": [
             {"function": "count", "column": "*", "alias": "n"}, {"function": "max", "column": "o_orderdate", "alias": "last"}]}],
         "rules": [{"check": "rerun"}],
-    })
+    }))
+    rows = [(c["check"], c["passed"], told["validation"]["row_count"]) for c in told["checks"]]
+    return spark.createDataFrame(rows, '"check" string, passed boolean, rows long'.replace('"', "`"))
+
+
+@query("v12_digest", """SELECT what, n AS rows, what IN ('as it is', 'other order') AS same FROM (
+      SELECT 'as it is' AS what, count(*) AS n FROM lineitem UNION ALL SELECT 'other order', count(*) FROM lineitem
+      UNION ALL SELECT 'one copy less', count(*) - 1 FROM lineitem UNION ALL SELECT 'one copy more', count(*) + 1 FROM lineitem
+      UNION ALL SELECT 'one value changed', count(*) FROM lineitem)""")
+def digest(spark: SparkSession, folder: str) -> DataFrame:
+    """Digests of the return flags and quantities of all items, of which many are equal, against those of
+    the same rows with one copy less, more or changed."""
+    items = table(spark, folder, "lineitem").select("l_returnflag", "l_quantity")
+    one = items.orderBy("l_returnflag", "l_quantity").limit(1)
+    cases = {
+        "as it is": items, "other order": items.repartition(7), "one copy more": items.unionByName(one),
+        "one copy less": items.exceptAll(one), "one value changed": items.exceptAll(one).unionByName(one.withColumn("l_quantity", F.lit(-1.0))),
+    }
+    wanted = checks.digest_of(items)
+    found = {what: checks.digest_of(df) for what, df in cases.items()}
+    return spark.createDataFrame([(what, d[0], d == wanted) for what, d in found.items()], "what string, rows long, same boolean")
 
 
 @query("r1_append_checks", """SELECT run, "check", true AS passed FROM (VALUES ('first'), ('second'), ('merge')) AS r(run),

@@ -23,8 +23,12 @@ def money(name: str) -> F.Column:
 
 
 def rounded(df: DataFrame, digits: int = 2, *names: str) -> DataFrame:
-    """The named columns as doubles with `digits` decimals."""
-    return df.withColumns({n: F.round(F.col(n).cast("double"), digits) for n in names})
+    """The named columns as doubles with `digits` decimals. A decimal is rounded as such: of doubles that
+    stand for half a unit some lie above it and some below."""
+    exact = {n for n, kind in df.dtypes if kind.startswith("decimal")}
+    return df.withColumns({
+        n: F.round(F.col(n), digits).cast("double") if n in exact else F.round(F.col(n).cast("double"), digits) for n in names
+    })
 
 
 def dates_as_text(df: DataFrame, *names: str) -> DataFrame:

@@ -165,3 +165,59 @@ def test_z_cells_of_ids_with_a_common_prefix(spark):
     z = layout.with_z_value(df, ["a", "b"], "z", bits=4)
     assert z.select("z").distinct().count() > 200  # of 256
     assert z.columns == ["a", "b", "z"]
+
+
+def test_digest_of_rows_with_nulls_maps_and_nested_values(spark):
+    schema = "a int, b string, m map<string,int>, s struct<x: int, y: array<string>>"
+    base = [(None, "a", {"k": 1, "l": 2}, (1, ["x", None])), (1, None, None, None), (1, None, None, None)]
+    digest = checks.digest_of(spark.createDataFrame(base, schema))
+    same = [base[2], (None, "a", {"l": 2, "k": 1}, (1, ["x", None])), base[1]]
+    assert checks.digest_of(spark.createDataFrame(same, schema).repartition(3)) == digest
+    for other in (
+        base[:2], base + base[1:2], [(None, "a", {"k": 1, "l": 2}, (1, ["x", ""])), *base[1:]], [base[0], base[1], (None, "1", None, None)],
+        [(None, "a", {"k": 2, "l": 1}, (1, ["x", None])), *base[1:]],
+    ):
+        assert checks.digest_of(spark.createDataFrame(other, schema)) != digest
+    assert checks.digest_of(spark.createDataFrame([], schema)) == (0, 0, 0)
+    a = spark.createDataFrame([(1, None), (None, 1)], "a int, b int")
+    assert checks.digest_of(a.limit(1)) != checks.digest_of(a.select(F.col("b").alias("a"), F.col("a").alias("b")).limit(1))
+
+
+def test_a_rerun_is_computed_once_and_finds_a_planted_change(spark, folder):
+    from millrace.plans.runner import run
+    from millrace.plans.spec import job_of
+
+    spark.range(1000).select((F.col("id") % 10).alias("k")).write.parquet(f"{folder}/in")
+    job = {"source": f"{folder}/in", "target": f"{folder}/out", "transformations": [], "rules": [{"check": "rerun"}]}
+    assert run(spark, job_of(job))["status"] == "success"
+    job["transformations"] = [{"operation": "enrich", "column": "r", "value": "IF(k = 3 AND rand() < 0.5, 1, 0)"}]
+    report = run(spark, job_of(job))
+    assert report["status"] == "checks_failed" and report["checks"][-1] == {"check": "rerun", "passed": False, "observed": 1}
+    scan = checks.multiset_digest(spark.read.parquet(f"{folder}/out"))
+    shown = plan(spark.read.parquet(f"{folder}/out").agg(*scan))
+    assert shown.count("Exchange") == 1 and "SinglePartition" in shown  # partial sums only
+
+
+def test_partitioned_writes_are_rebalanced(spark, folder):
+    from millrace.sources import files
+    from millrace.sources.files import Dataset
+
+    df = spark.range(0, 8000, 1, 8).select("id", (F.col("id") % 5).alias("k"))
+    files.write(df, Dataset(path=f"{folder}/t", partition_by=("k",)))
+    written = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(f"{folder}/t").count()
+    assert written == 5 and spark.read.parquet(f"{folder}/t").count() == 8000
+
+
+def test_distinct_bitmaps_of_any_key(spark):
+    from millrace.operators import distinct
+
+    pairs = [("a", "x", k) for k in ("1", "2", None, "2")] + [("a", "y", "2"), ("b", None, "1"), ("b", "z", None), (None, "x", "9")]
+    df = spark.createDataFrame(pairs, "g string, h string, k string")
+    fine = distinct.group_bitmaps(df, ["g", "h"], "k")
+    count = lambda names: {tuple(r)[:-1]: r[-1] for r in distinct.counted(fine, names).collect()}
+    assert count(["g", "h"]) == {("a", "x"): 2, ("a", "y"): 1, ("b", None): 1, (None, "x"): 1}
+    assert count(["g"]) == {("a",): 2, ("b",): 1, (None,): 1} and count([]) == {(): 3}
+    assert distinct.counted(distinct.group_bitmaps(df.limit(0), ["g"], "k"), []).collect()[0][0] == 0
+    many = spark.range(100_000).select((F.col("id") % 3).alias("g"), (F.col("id") % 40_000).alias("k"))
+    numbers = distinct.key_bitmaps(many, ["g"], "k")
+    assert numbers.count() == 6 and distinct.counted(numbers, []).first()[0] == 40_000
