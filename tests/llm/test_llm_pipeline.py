@@ -10,7 +10,6 @@ from tokenizers import Tokenizer
 
 import corpus_pipeline
 from millrace.llm import simhash
-from test_llm_queries import simhash as plain_simhash
 
 STAGES = dict(corpus_pipeline.STAGES)
 WORDS = [a + b + c for a in ("ba", "co", "di", "fu", "ge", "ha") for b in ("la", "mo", "ni", "ru", "te") for c in ("", "n", "s", "ra")]
@@ -61,11 +60,10 @@ def test_exact_dedup_keeps_one_of_each(stages):
 
 
 def test_near_dedup_keeps_one_of_each_component(stages):
-    before = {r.doc_id: plain_simhash(r.text) for r in stages["exact_dedup"]}
+    before = {r.doc_id: r.text for r in stages["exact_dedup"]}
     names = sorted(before)
-    fps = np.array([before[i] for i in names], np.uint64)
-    i, j = np.nonzero(np.bitwise_count(fps[:, None] ^ fps[None, :]) <= 2)
-    lowest = simhash._lowest(len(names), i, j)
+    pairs = [(i, j) for i, a in enumerate(names) for j, b in enumerate(names) if i < j and jaccard(before[a], before[b]) >= 0.8]
+    lowest = simhash._lowest(len(names), *np.array(pairs).T)
     assert ids(stages["simhash_near_dedup"]) == [n for k, n in enumerate(names) if lowest[k] == k]
     assert len(set(ids(stages["simhash_near_dedup"])) & {140, 141, 142}) == 1
 
@@ -142,3 +140,22 @@ def test_decisions_are_per_row(spark):
     assert found == Counter([one, two, near, four, five])
     mixed = STAGES["entropy_mixing"](spark, docs, "").collect()
     assert sum(len(r.text.split()) for r in mixed) == pytest.approx(1.5 * sum(len(t.split()) for _, t in rows), abs=121)
+
+
+HELPERS = (
+    "again_id again_key dropped_id dropped_key more least most mixed_id mixed_key mixed_source place row key document count "
+    "id node text_key root set marks band sizes"
+).split()
+
+
+def test_columns_named_like_helpers(spark):
+    """Every helper name as a column of the documents, repeated ids and texts, and a very long text."""
+    rnd = random.Random(3)
+    texts = [prose(rnd, 100) for _ in range(6)] + [prose(rnd, 30_000)]
+    rows = [(i, t, f"s{i % 2}", *("clash" for _ in HELPERS)) for i, t in enumerate(texts)]
+    rows += rows[:3] * 2 + [(0, texts[1], None, *(None for _ in HELPERS))]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, source string, " + ", ".join(f"`{h}` string" for h in HELPERS))
+    for name, stage in corpus_pipeline.STAGES[:-1]:
+        docs = stage(spark, docs, "")
+        assert docs.columns == ["doc_id", "text", "source", *HELPERS] and docs.count() >= 7 - (name == "entropy_mixing"), name
+    assert corpus_pipeline.STAGES[-1][1](spark, docs, "").count() > 7
