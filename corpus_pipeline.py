@@ -12,6 +12,7 @@ import public_tokenizers
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from millrace.functions.columns import col
 from millrace.llm import exact_dedup, mixing, near_text, packing, quality_rules
 from millrace.llm.common import same, small, stored, table
 
@@ -20,39 +21,50 @@ ID, TEXT = "doc_id", "text"
 MOST_SENT = 1_000_000
 
 
-def _key(docs: DataFrame) -> Column:
+#: The row as one struct, and the helper columns beside it, so that no column of the documents can clash.
+ROW = "document"
+
+
+def _rows(docs: DataFrame) -> DataFrame:
+    return docs.select(F.struct(*(col(c) for c in docs.columns)).alias(ROW))
+
+
+def _field(name: str) -> Column:
+    return F.col(ROW)[name]
+
+
+def _key() -> Column:
     """What the text is known by."""
-    return F.xxhash64(F.coalesce(docs[TEXT].cast("string"), F.lit("")))
+    return F.xxhash64(F.coalesce(_field(TEXT).cast("string"), F.lit("")))
 
 
 def _without(docs: DataFrame, rows: DataFrame) -> DataFrame:
     """The rows of `docs` whose id and text aren't in the two columns of `rows`."""
     rows = stored(rows.toDF("dropped_id", "dropped_key").distinct(), "pipeline-dropped")
     dropped = small(rows, rows.count(), MOST_SENT)
-    return docs.join(dropped, same(docs[ID], dropped["dropped_id"]) & (_key(docs) == dropped["dropped_key"]), "left_anti")
+    match = same(_field(ID), F.col("dropped_id")) & (_key() == F.col("dropped_key"))
+    return _rows(docs).join(dropped, match, "left_anti").select(f"{ROW}.*")
 
 
 def _one_each(docs: DataFrame) -> DataFrame:
     """One row of those that repeat an id and a text."""
-    again = docs.groupBy(docs[ID].alias("again_id"), _key(docs).alias("again_key")).count().where("count > 1").drop("count")
+    again = _rows(docs).groupBy(_field(ID).alias("again_id"), _key().alias("again_key")).count().where("count > 1").drop("count")
     again = stored(again, "pipeline-repeated")
     n = again.count()
     if not n:
         return docs
     repeated = small(again, n, MOST_SENT)
-    match = same(docs[ID], repeated["again_id"]) & (_key(docs) == repeated["again_key"])
-    document = F.struct(*(docs[c] for c in docs.columns)).alias("document")
-    found = docs.join(repeated, match).select(document, "again_id", "again_key")
-    first = Window.partitionBy("again_id", "again_key").orderBy(F.xxhash64("document"))
-    found = found.withColumn("place", F.row_number().over(first)).where("place = 1").select("document.*")
-    return docs.join(repeated, match, "left_anti").unionByName(found)
+    match = same(_field(ID), F.col("again_id")) & (_key() == F.col("again_key"))
+    first = Window.partitionBy("again_id", "again_key").orderBy(F.xxhash64(ROW))
+    found = _rows(docs).join(repeated, match).withColumn("place", F.row_number().over(first)).where("place = 1").select(ROW)
+    return _rows(docs).join(repeated, match, "left_anti").unionByName(found).select(f"{ROW}.*")
 
 
 def quality_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that break no rule of the standard policy."""
-    rows = docs.select(F.struct(*docs.columns).alias("document"), TEXT)
-    book = quality_rules.ledger(quality_rules.measurements(rows, carry="document"))
-    return book.where(~quality_rules.fails(quality_rules.STANDARD)).select("document.*")
+    rows = _rows(docs).select(ROW, _field(TEXT).alias("text"))
+    book = quality_rules.ledger(quality_rules.measurements(rows, carry=ROW))
+    return book.where(~quality_rules.fails(quality_rules.STANDARD)).select(f"{ROW}.*")
 
 
 def exact_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -64,14 +76,14 @@ def exact_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def near_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document, that of the smallest id, of each group linked by pairs that share 80 % of their
-    different five-word shingles."""
+    different five-word shingles; candidates come from the SimHash trees and from minima of shingles."""
     return _one_each(_without(docs, near_text.near_rows(docs, ID, TEXT, words=5, tenths=8)))
 
 
 def mixing_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Every row as often as the mix of the sources takes it."""
-    source = docs["source"].cast("string")
-    known = docs.select(F.struct(docs[ID].alias("id"), _key(docs).alias("key")).alias("row"), docs[TEXT].alias("text"), source.alias("source"))
+    source = _field("source").cast("string")
+    known = _rows(docs).select(F.struct(_field(ID).alias("id"), _key().alias("key")).alias("row"), _field(TEXT).alias("text"), source.alias("source"))
     mixed = mixing.mix(mixing.sizes(known, "row", "text"))
     # Rows that repeat an id, a text and a source get `least` copies, and `more` of them one more.
     copies = mixed.groupBy(
@@ -82,14 +94,13 @@ def mixing_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame
     ).where("least <> 1 OR most <> 1").drop("most")
     copies = stored(copies, "pipeline-copies")
     given = small(copies, copies.count(), MOST_SENT)
-    match = same(docs[ID], given["mixed_id"]) & (_key(docs) == given["mixed_key"]) & same(source, given["mixed_source"])
-    document = F.struct(*(docs[c] for c in docs.columns)).alias("document")
-    rows = docs.join(given, match, "left").select(document, *given.columns)
-    place = Window.partitionBy("mixed_id", "mixed_key", "mixed_source").orderBy(F.xxhash64("document"))
+    match = same(_field(ID), F.col("mixed_id")) & (_key() == F.col("mixed_key")) & same(source, F.col("mixed_source"))
+    rows = _rows(docs).join(given, match, "left")
+    place = Window.partitionBy("mixed_id", "mixed_key", "mixed_source").orderBy(F.xxhash64(ROW))
     uneven = rows.where("more > 0").withColumn("least", F.col("least") + (F.row_number().over(place) <= F.col("more")).cast("int"))
     taken = rows.where("more IS NULL OR more = 0").unionByName(uneven)
     times = F.array_repeat(F.lit(0), F.coalesce("least", F.lit(1)))
-    return taken.select("document", F.explode(times)).select("document.*")
+    return taken.select(ROW, F.explode(times)).select(f"{ROW}.*")
 
 
 def packing_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

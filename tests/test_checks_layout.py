@@ -218,6 +218,6 @@ def test_distinct_bitmaps_of_any_key(spark):
     assert count(["g", "h"]) == {("a", "x"): 2, ("a", "y"): 1, ("b", None): 1, (None, "x"): 1}
     assert count(["g"]) == {("a",): 2, ("b",): 1, (None,): 1} and count([]) == {(): 3}
     assert distinct.counted(distinct.group_bitmaps(df.limit(0), ["g"], "k"), []).collect()[0][0] == 0
-    many = spark.range(100_000).select((F.col("id") % 3).alias("g"), (F.col("id") % 40_000).alias("k"))
+    many = spark.range(100_000).select((F.col("id") % 3).alias("g"), (F.col("id") % 40_000 + 1).alias("k"))
     numbers = distinct.key_bitmaps(many, ["g"], "k")
     assert numbers.count() == 6 and distinct.counted(numbers, []).first()[0] == 40_000
