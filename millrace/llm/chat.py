@@ -107,21 +107,23 @@ def unescape(text: Column, template: Template) -> Column:
     return F.when(F.contains(text, F.lit(ESCAPE)), F.array_join(parts, ESCAPE)).otherwise(text)
 
 
-def _segment(text: Column, loss: bool) -> Column:
-    return F.struct(text.alias("text"), F.lit(loss).alias("loss"))
+def _segment(text: Column, loss: bool, taken: Column) -> Column:
+    return F.struct(text.alias("text"), F.lit(loss).alias("loss"), taken.alias("taken"))
 
 
-def _segments(turn: Column, template: Template) -> Column:
-    """The segments of one turn."""
+def _segments(turn: Column, taken: Column, template: Template) -> Column:
+    """The segments of one turn; `taken` says whether the machine took it."""
     text = escape(turn["text"], template)
     before, between, after = template.other
     out = F.array(
-        _segment(F.concat(F.lit(before), escape(turn["role"], template), F.lit(between)), False),
-        _segment(text, False),
-        _segment(F.lit(after), False),
+        _segment(F.concat(F.lit(before), escape(turn["role"], template), F.lit(between)), False, taken),
+        _segment(text, False, taken),
+        _segment(F.lit(after), False, taken),
     )
     for t in template.turns:
-        own = F.array(_segment(F.lit(t.opening), False), _segment(text, t.loss), _segment(F.lit(t.closing), False))
+        own = F.array(
+            _segment(F.lit(t.opening), False, taken), _segment(text, t.loss, taken), _segment(F.lit(t.closing), False, taken)
+        )
         out = F.when(turn["role"] == t.role, own).otherwise(out)
     return out
 
@@ -140,10 +142,11 @@ def _walk(turns: Column, template: Template) -> Column:
 
 
 def format_conversations(turns: DataFrame, template: Template = INSTRUCT) -> DataFrame:
-    """`conv_id`, `n_turns`, `valid`, `error_turn` and `segments` (text, loss) of every conversation.
+    """`conv_id`, `n_turns`, `valid`, `error_turn` and `segments` (text, loss, taken) of every conversation.
 
     `error_turn` is the first turn (from 0) out of order, or the number of turns if the conversation
-    only ends too early; null if it is valid.
+    only ends too early; null if it is valid. A segment is `taken` if its turn comes before the first one out
+    of order: what follows can't be an answer to what the machine knows, so a strict loss leaves it out.
     """
     row = F.struct(
         "turn", F.coalesce(F.col("role").cast("string"), F.lit("")).alias("role"),
@@ -158,7 +161,9 @@ def format_conversations(turns: DataFrame, template: Template = INSTRUCT) -> Dat
         n.cast("long").alias("n_turns"),
         valid.alias("valid"),
         F.when(~valid, F.coalesce(F.col("walk.bad"), n)).alias("error_turn"),
-        F.flatten(F.transform("turns", lambda t: _segments(t, template))).alias("segments"),
+        F.flatten(
+            F.transform("turns", lambda t, i: _segments(t, i < F.coalesce(F.col("walk.bad"), F.size("turns")), template))
+        ).alias("segments"),
     )
 
 
@@ -167,9 +172,10 @@ def joined(segments: Column) -> Column:
     return F.array_join(F.transform(segments, lambda s: s["text"]), "")
 
 
-def loss_text(segments: Column, template: Template = INSTRUCT) -> Column:
-    """All text under the loss mask, unescaped."""
-    return F.array_join(F.transform(F.filter(segments, lambda s: s["loss"]), lambda s: unescape(s["text"], template)), "")
+def loss_text(segments: Column, template: Template = INSTRUCT, strict: bool = False) -> Column:
+    """All text under the loss mask, unescaped; strictly, only that of turns the machine took."""
+    counted = F.filter(segments, lambda s: (s["loss"] & s["taken"]) if strict else s["loss"])
+    return F.array_join(F.transform(counted, lambda s: unescape(s["text"], template)), "")
 
 
 def read_turns(formatted: Column, template: Template = INSTRUCT) -> Column:

@@ -19,6 +19,7 @@ gives no rows. Only id, text and source are read by `sizes`; `mix` keeps no othe
 
 from __future__ import annotations
 
+import logging
 import math
 from collections.abc import Sequence
 
@@ -33,8 +34,10 @@ from millrace.llm.common import WORD, same, stored
 STEPS = 1 << 30
 #: Documents of one size counted together, about.
 GROUP_ROWS = 2_000
-#: Newton iterations at most; the bracket halves where a step leaves it.
+#: Newton iterations at most; the bracket halves where a step leaves it. Sources that aren't balanced by then are
+#: reported by a warning.
 MOST_ROUNDS = 60
+log = logging.getLogger(__name__)
 
 
 def sizes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source") -> DataFrame:
@@ -118,6 +121,8 @@ def balance(counts: DataFrame, goal: dict[str | None, tuple[int, float, float]],
             if step == found[s]:
                 open_.discard(s)
             found[s] = step
+    if open_:
+        log.warning("not balanced after %d rounds: %s", MOST_ROUNDS, sorted(map(str, open_)))
     return found
 
 

@@ -40,6 +40,8 @@ LETTERS = r"[^\p{L}]+"
 SHORTEST_TERM = 3
 #: Terms and texts sent to every task at most (about 100 bytes each).
 MOST_SENT = 500_000
+#: Bytes of marked texts sent to every task at most; a row holds all terms of a text.
+MOST_BYTES = 64 << 20
 #: Values summed one by one; longer arrays are summed in blocks of this size.
 BLOCK = 128
 
@@ -77,7 +79,7 @@ def sums_before(values: Column) -> Column:
     return let(values, whole)
 
 
-def matches(text: Column, pattern: Column, there: Column) -> Column:
+def matches(text: Column, pattern: Column, there: Column, near_chars: int = NEAR_CHARS) -> Column:
     """Matches with start, end, value and the text on both sides; none where `there` is false."""
 
     def located(found: Column) -> Column:
@@ -90,8 +92,8 @@ def matches(text: Column, pattern: Column, there: Column) -> Column:
                 (a["before"] + F.length(b["left"])).alias("start"),
                 (a["before"] + F.length(b["left"]) + F.length(a["hit"])).alias("end"),
                 a["hit"].alias("value"),
-                F.right(b["left"], F.lit(NEAR_CHARS)).alias("left"),
-                F.left(b["right"], F.lit(NEAR_CHARS)).alias("right"),
+                F.right(b["left"], F.lit(near_chars)).alias("left"),
+                F.left(b["right"], F.lit(near_chars)).alias("right"),
             ),
         )
 
@@ -133,12 +135,12 @@ def _valid_phone(value: Column) -> Column:
     return F.length(_digits(value)).between(10, 15)
 
 
-def base_matches(text: Column) -> dict[str, Column]:
+def base_matches(text: Column, near_chars: int = NEAR_CHARS) -> dict[str, Column]:
     """Per kind the valid matches of the fixed patterns."""
-    email = matches(text, F.lit(EMAIL), F.contains(text, F.lit("@")))
-    ip = matches(text, F.lit(IP), F.rlike(text, F.lit(r"[0-9]\.[0-9]++\.[0-9]++\.[0-9]")))
-    card = matches(text, F.lit(CARD), F.rlike(text, F.lit(r"[0-9](?:[\x20-]?[0-9]){13}")))
-    phone = matches(text, F.lit(PHONE), F.contains(text, F.lit("+")))
+    email = matches(text, F.lit(EMAIL), F.contains(text, F.lit("@")), near_chars)
+    ip = matches(text, F.lit(IP), F.rlike(text, F.lit(r"[0-9]\.[0-9]++\.[0-9]++\.[0-9]")), near_chars)
+    card = matches(text, F.lit(CARD), F.rlike(text, F.lit(r"[0-9](?:[\x20-]?[0-9]){13}")), near_chars)
+    phone = matches(text, F.lit(PHONE), F.contains(text, F.lit("+")), near_chars)
     return {
         "email": email,
         "ip": F.filter(ip, lambda m: _valid_ip(m["value"])),
@@ -152,13 +154,16 @@ def texts_of(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
     return docs.select(F.col(id_col).alias("id"), text.alias("text"), F.xxhash64(text).alias("text_key"))
 
 
-def with_matches(texts: DataFrame) -> DataFrame:
+def with_matches(texts: DataFrame, near_chars: int = NEAR_CHARS) -> DataFrame:
     """`texts` with a column of matches per kind."""
-    return texts.select("*", *(m.alias(kind) for kind, m in base_matches(F.col("text")).items()))
+    return texts.select("*", *(m.alias(kind) for kind, m in base_matches(F.col("text"), near_chars).items()))
 
 
-def neighbourhoods(found: DataFrame) -> DataFrame:
+def neighbourhoods(
+    found: DataFrame, near_chars: int = NEAR_CHARS, near_terms: int = NEAR_TERMS, shortest_term: int = SHORTEST_TERM
+) -> DataFrame:
     """`entity`, `term`, `near` (a hash of the neighbourhood) and `text_key`, each once."""
+
     def entities(kind: str) -> Column:
         value = F.lower if kind in ("email", "ip") else _digits
         return F.transform(
@@ -172,13 +177,13 @@ def neighbourhoods(found: DataFrame) -> DataFrame:
     rows = found.where(" OR ".join(f"size({k}) > 0" for k in KINDS[:4])).select("text_key", F.inline(every))
 
     def terms(side: str) -> Column:
-        cut = F.filter(F.split(F.lower(F.col(side)), LETTERS), lambda t: F.length(t) >= SHORTEST_TERM)
-        whole = F.col("n_cut") < NEAR_CHARS  # else the outermost term may be cut off
+        cut = F.filter(F.split(F.lower(F.col(side)), LETTERS), lambda t: F.length(t) >= shortest_term)
+        whole = F.col("n_cut") < near_chars  # else the outermost term may be cut off
         if side == "left":
             cut = let(cut, lambda c: F.when(whole, c).otherwise(F.slice(c, F.lit(2), F.greatest(F.size(c) - 1, F.lit(0)))))
-            return let(cut, lambda c: F.slice(c, F.greatest(F.size(c) - NEAR_TERMS + 1, F.lit(1)), F.lit(NEAR_TERMS)))
+            return let(cut, lambda c: F.slice(c, F.greatest(F.size(c) - near_terms + 1, F.lit(1)), F.lit(near_terms)))
         cut = let(cut, lambda c: F.when(whole, c).otherwise(F.slice(c, F.lit(1), F.greatest(F.size(c) - 1, F.lit(0)))))
-        return let(cut, lambda c: F.slice(c, F.lit(1), F.lit(NEAR_TERMS)))
+        return let(cut, lambda c: F.slice(c, F.lit(1), F.lit(near_terms)))
 
     left = rows.withColumn("n_cut", F.length("left")).withColumn("before", terms("left"))
     both = left.withColumn("n_cut", F.length("right")).withColumn("after", terms("right"))
@@ -189,11 +194,13 @@ def neighbourhoods(found: DataFrame) -> DataFrame:
 
 
 def disclosures(
-    texts: DataFrame, support: int = 3, generalise: float = 0.8, remove: float = 0.95, most_sent: int = MOST_SENT
+    texts: DataFrame, support: int = 3, generalise: float = 0.8, remove: float = 0.95, most_sent: int = MOST_SENT,
+    near_chars: int = NEAR_CHARS, near_terms: int = NEAR_TERMS, shortest_term: int = SHORTEST_TERM,
 ) -> tuple[DataFrame, DataFrame] | None:
     """Terms that reveal an entity (`term`, `disclosure`, `action`) and where they occur (`text_key`,
     `term`); None if there is none."""
-    near = stored(neighbourhoods(with_matches(texts)), "pii-near")
+    found = with_matches(texts, near_chars)
+    near = stored(neighbourhoods(found, near_chars, near_terms, shortest_term), "pii-near")
     n_entity = near.groupBy("entity").agg(F.count_distinct("text_key").alias("n_entity"))
     n_near = near.groupBy("term").agg(F.count_distinct("text_key").alias("n_near"))
     pairs = near.groupBy("entity", "term").agg(
@@ -237,20 +244,27 @@ def disclosures(
 
 def find(
     docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", support: int = 3, generalise: float = 0.8,
-    remove: float = 0.95, most_sent: int = MOST_SENT,
+    remove: float = 0.95, most_sent: int = MOST_SENT, near_chars: int = NEAR_CHARS, near_terms: int = NEAR_TERMS,
+    shortest_term: int = SHORTEST_TERM, most_bytes: int = MOST_BYTES,
 ) -> DataFrame:
-    """`id`, `text` and the matches per kind; those of terms have their action in `left`."""
+    """`id`, `text` and the matches per kind; those of terms have their action in `left`.
+
+    A term is near an entity if it is among the `near_terms` terms of at least `shortest_term` letters on
+    one side of it, within `near_chars` characters. It is marked if it is near one entity in `support`
+    different neighbourhoods and discloses at least `generalise` of it, and removed from `remove` on.
+    """
     texts = texts_of(docs, id_col, text_col)
-    found = with_matches(texts)
+    found = with_matches(texts, near_chars)
     terms = F.array().cast("array<struct<start:int,end:int,value:string,left:string,right:string>>")
-    revealed = disclosures(texts, support, generalise, remove, most_sent)
+    revealed = disclosures(texts, support, generalise, remove, most_sent, near_chars, near_terms, shortest_term)
     if revealed is not None:
         marks = revealed[1].groupBy("text_key").agg(
             F.array_join(F.array_sort(F.collect_list("term")), "|").alias("marked"),
             F.map_from_entries(F.collect_list(F.struct("term", "action"))).alias("actions"),
         ).withColumnRenamed("text_key", "marked_key")
         marks = stored(marks, "pii-marks")
-        marks = small(marks, marks.count(), most_sent)
+        width = F.octet_length("marked") * 4 + 200  # the terms twice, with their actions and the row
+        marks = small(marks, marks.agg(F.coalesce(F.sum(width), F.lit(0))).first()[0], most_bytes)
         found = found.join(marks, F.col("text_key") == F.col("marked_key"), "left")
         pattern = F.concat(F.lit(r"(?iu)(?<!\p{L})(?:"), F.coalesce("marked", F.lit("-")), F.lit(r")(?!\p{L})"))
         terms = F.transform(

@@ -138,6 +138,15 @@ def fails(policy: Policy, rules: Sequence[Rule] = RULES) -> Column:
     return F.col("failed_bits").bitwiseAND(F.lit(policy.mask(rules)).cast("long")) != 0
 
 
+def only_rule(policy: Policy, rules: Sequence[Rule] = RULES) -> Column:
+    """The rule without which the policy would keep the document, where there is one."""
+    hit = F.col("failed_bits").bitwiseAND(F.lit(policy.mask(rules)).cast("long"))
+    out = F.lit(None).cast("string")
+    for name in dict.fromkeys(policy.rules):
+        out = F.when(hit == Policy("", (name,)).mask(rules), name).otherwise(out)
+    return out
+
+
 def ablations(book: DataFrame, policies: Sequence[Policy], rules: Sequence[Rule] = RULES) -> DataFrame:
     """Per policy and rule: documents failing the rule, and those that only this rule rejects.
 

@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 from millrace.llm import (
     chat, exact_dedup, licences, lm_scoring, mixing, packing, periodic_runs, pii, quality_rules, simhash, token_counts, warc, whitening,
 )
-from millrace.llm.common import table
+from millrace.llm.common import stored, table
 from millrace.sources.shared import fresh_path
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -44,8 +44,10 @@ def op1(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query("op2_token_counts")
 def op2(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = table(spark, sf_dir, "documents")
-    counted = token_counts.count_tokens(docs, tokenizer(), fresh_path(spark, "token-cache"))
+    """A cache filled by some of the sources, then all documents: what it holds is joined, the rest encoded."""
+    docs, cache = table(spark, sf_dir, "documents"), fresh_path(spark, "token-cache")
+    token_counts.count_tokens(docs.where(F.pmod(F.xxhash64("source"), F.lit(2)) == 0), tokenizer(), cache)
+    counted = token_counts.count_tokens(docs, tokenizer(), cache)
     return counted.withColumn("over_limit", F.col("n_tokens") > 1024)
 
 
@@ -101,16 +103,24 @@ SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words,
        (n_words < 50 OR 100 * n_repeat_words > 50 * n_words) AS base_failed,
        NOT (n_words < 50 OR 100 * n_repeat_words > 50 * n_words OR 10 * n_symbols > n_words
             OR 10 * n_dup_lines > 3 * n_lines OR word_chars < 3 * n_words OR word_chars > 10 * n_words
-            OR 10 * n_alpha < 8 * n_words) AS kept
-FROM m
+            OR 10 * n_alpha < 8 * n_words) AS kept,
+       failed_bits, 'standard-1' AS policy,
+       CASE failed_bits WHEN 1 THEN 'few_words' WHEN 2 THEN 'repeated_words' WHEN 4 THEN 'symbols' WHEN 8 THEN 'repeated_lines'
+         WHEN 16 THEN 'word_length' WHEN 32 THEN 'few_letters' END AS only_rule
+FROM (SELECT *, ((n_words < 50)::BIGINT + 2 * (100 * n_repeat_words > 50 * n_words)::BIGINT + 4 * (10 * n_symbols > n_words)::BIGINT
+      + 8 * (10 * n_dup_lines > 3 * n_lines)::BIGINT + 16 * (word_chars < 3 * n_words OR word_chars > 10 * n_words)::BIGINT
+      + 32 * (10 * n_alpha < 8 * n_words)::BIGINT)::BIGINT AS failed_bits FROM m)
 """,
 )
 def op5(spark: SparkSession, sf_dir: str) -> DataFrame:
-    book = quality_rules.ledger(quality_rules.measurements(table(spark, sf_dir, "documents")))
+    """The ledger is stored; verdicts and the rule that alone rejects a document are read off its bits."""
+    book = stored(quality_rules.ledger(quality_rules.measurements(table(spark, sf_dir, "documents"))), "quality-ledger")
     return book.select(
         "doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words",
         quality_rules.fails(quality_rules.BASE).alias("base_failed"),
         (~quality_rules.fails(quality_rules.STANDARD)).alias("kept"),
+        "failed_bits", F.lit(quality_rules.STANDARD.version).alias("policy"),
+        quality_rules.only_rule(quality_rules.STANDARD).alias("only_rule"),
     )
 
 
@@ -134,16 +144,25 @@ m AS (
          CASE WHEN role IN ('system', 'user', 'assistant') THEN '' ELSE replace(role, chr(92), repeat(chr(92), 2)) END AS r1
   FROM t),
 e AS (
-  SELECT *, regexp_replace(e1, '<<SYS>>|<</SYS>>|\[INST\]|\[/INST\]|<s>|</s>|\[ROLE\]|\[TEXT\]|\[/ROLE\]', '##', 'g') AS escaped,
+  SELECT *, row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST, role, text) - 1 AS place,
+         lag(role) OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST, role, text) AS previous,
+         regexp_replace(e1, '<<SYS>>|<</SYS>>|\[INST\]|\[/INST\]|<s>|</s>|\[ROLE\]|\[TEXT\]|\[/ROLE\]', '##', 'g') AS escaped,
          regexp_replace(r1, '<<SYS>>|<</SYS>>|\[INST\]|\[/INST\]|<s>|</s>|\[ROLE\]|\[TEXT\]|\[/ROLE\]', '##', 'g') AS named
   FROM m),
+o AS (
+  SELECT *, min(place) FILTER (NOT ((previous IS NULL AND place = 0 AND role IN ('system', 'user'))
+      OR (previous = 'system' AND role = 'user') OR (previous = 'user' AND role = 'assistant')
+      OR (previous = 'assistant' AND role = 'user'))) OVER (PARTITION BY conv_id) AS bad FROM e),
 g AS (
-  SELECT conv_id, count(*) AS n_turns,
+  SELECT conv_id, count(*) AS n_turns, min(bad) AS bad, arg_max(role, place) AS last_role,
+         coalesce(sum(length(text)) FILTER (role = 'assistant' AND place < coalesce(bad, place + 1)), 0) AS strict_loss_chars,
          string_agg(role || chr(10) || text || chr(10), '' ORDER BY turn NULLS FIRST, role, text) AS turns,
          coalesce(string_agg(text, '' ORDER BY turn NULLS FIRST, role, text) FILTER (role = 'assistant'), '') AS loss,
          sum(marks + length(escaped) + length(named)) AS formatted_chars
-  FROM e GROUP BY conv_id)
-SELECT conv_id, n_turns, sha256(turns) AS turns_sha256, length(loss)::BIGINT AS loss_chars, sha256(loss) AS loss_sha256,
+  FROM o GROUP BY conv_id)
+SELECT conv_id, n_turns, bad IS NULL AND last_role = 'assistant' AS valid,
+       CASE WHEN bad IS NOT NULL THEN bad WHEN last_role <> 'assistant' THEN n_turns END::INTEGER AS error_turn,
+       strict_loss_chars::BIGINT AS strict_loss_chars, sha256(turns) AS turns_sha256, length(loss)::BIGINT AS loss_chars, sha256(loss) AS loss_sha256,
        formatted_chars::BIGINT AS formatted_chars
 FROM g
 """,
@@ -156,7 +175,7 @@ def op7(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.lit("</s>[INST] ok [/INST]").alias("text"),
     )
     out = chat.format_conversations(turns.unionByName(extra))
-    back = out.select("conv_id", chat.joined(F.col("segments")).alias("formatted"), "segments")
+    back = out.select("conv_id", "valid", "error_turn", chat.joined(F.col("segments")).alias("formatted"), "segments")
     back = back.withColumn("turns", chat.read_turns(F.col("formatted"))).withColumn("loss", chat.loss_text(F.col("segments")))
     lines = F.transform("turns", lambda t: F.concat(t["role"], F.lit("\n"), t["text"], F.lit("\n")))
     return back.select(
@@ -166,6 +185,9 @@ def op7(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.length("loss").cast("long").alias("loss_chars"),
         F.sha2(F.col("loss").cast("binary"), 256).alias("loss_sha256"),
         F.length("formatted").cast("long").alias("formatted_chars"),
+        "valid",
+        "error_turn",
+        F.length(chat.loss_text(F.col("segments"), strict=True)).cast("long").alias("strict_loss_chars"),
     )
 
 

@@ -27,7 +27,7 @@ from urllib.parse import quote, unquote
 
 import pyarrow as pa
 from pyarrow import fs
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from millrace.llm.common import batch_of, field_type, in_arrow, same, small, stored
@@ -105,6 +105,10 @@ def decided(records: DataFrame, least_bytes: int) -> DataFrame:
     return records.join(groups, ["digest", "n_bytes"], "left").withColumn("refers_to", other).drop("response")
 
 
+#: What Hadoop calls a file system and what Arrow calls it, where the names differ.
+ARROW_SCHEMES = {"s3a": "s3", "s3n": "s3", "abfss": "abfs"}
+
+
 def record_id(value: str) -> str:
     return f"<urn:x-record:{quote(value, safe='')}>"
 
@@ -113,6 +117,23 @@ def id_of(urn: str) -> str:
     return unquote(urn[len("<urn:x-record:") : -1])
 
 
+def arrow_uri(spark: SparkSession, folder: str) -> str:
+    """The folder as tasks open it: qualified by Spark's file systems, so that a path without a scheme means the
+    same place for both, and in the terms of Arrow, which writes the files.
+
+    Raises for a file system that Arrow doesn't know here.
+    """
+    path = spark._jvm.org.apache.hadoop.fs.Path(folder)
+    whole = path.getFileSystem(spark._jsc.hadoopConfiguration()).makeQualified(path).toString()
+    scheme, rest = whole.split(":", 1)
+    uri = f"file://{'/' + rest.lstrip('/')}" if scheme == "file" else f"{ARROW_SCHEMES.get(scheme, scheme)}:{rest}"
+    try:
+        fs.FileSystem.from_uri(uri)
+    except (pa.ArrowException, OSError, ValueError) as problem:
+        raise ValueError(f"archives can't be kept at {whole}: tasks open file, hdfs, s3, gs and abfs paths ({problem})") from problem
+    return uri
+
+
 class _Files:
     """The archive files of one task."""
 
@@ -198,6 +219,7 @@ def write_archives(
     )
     path = spark._jvm.org.apache.hadoop.fs.Path(folder)
     path.getFileSystem(spark._jsc.hadoopConfiguration()).mkdirs(path)
+    folder = arrow_uri(spark, folder)
 
     def each(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         files = _Files(folder, level, file_bytes)

@@ -352,3 +352,47 @@ def test_reader_takes_what_other_tools_write():
     assert [(r[6], r[7], r[8]) for r in rows] == [(0, False, 100_000), (1, False, 200_000), (2, True, 300_000), (0, True, 0)]
     with pytest.raises(ValueError):
         list(warc.records_of(io.BytesIO(archive[: len(archive) // 2]), 1000))
+
+
+def test_the_machine_decides_what_a_strict_loss_counts(spark):
+    turns = {
+        1: ["user", "assistant", "user", "assistant"], 2: ["user", "assistant", "assistant", "user", "assistant"], 3: ["assistant", "user"],
+        4: ["user"], 5: ["system", "user", "assistant"], 6: ["user", "narrator", "assistant"],
+    }
+    rows = [(c, i, role, f"{role}{i}") for c, roles in turns.items() for i, role in enumerate(roles)]
+    out = chat.format_conversations(spark.createDataFrame(rows, "conv_id long, turn long, role string, text string"))
+    strict, every = (chat.loss_text(F.col("segments"), strict=s).alias(str(s)) for s in (True, False))
+    found = {r.conv_id: (r.valid, r.error_turn, r["True"], r["False"]) for r in out.select("conv_id", "valid", "error_turn", strict, every).collect()}
+    assert found == {
+        1: (True, None, "assistant1assistant3", "assistant1assistant3"), 2: (False, 2, "assistant1", "assistant1assistant2assistant4"),
+        3: (False, 0, "", "assistant0"), 4: (False, 1, "", ""), 5: (True, None, "assistant2", "assistant2"), 6: (False, 1, "", "assistant2"),
+    }
+
+
+def test_the_rule_that_alone_rejects(spark):
+    masks = [0, 1, 2, 3, 32, 33]
+    book = spark.createDataFrame([(m,) for m in masks], "failed_bits long")
+    found = {r[0]: (r[1], r[2]) for r in book.select("failed_bits", quality_rules.only_rule(quality_rules.STANDARD), quality_rules.only_rule(quality_rules.BASE)).collect()}
+    assert found == {0: (None, None), 1: ("few_words",) * 2, 2: ("repeated_words",) * 2, 3: (None, None), 32: ("few_letters", None), 33: (None, "few_words")}
+
+
+def test_archive_folders_are_qualified(spark, tmp_path):
+    assert warc.arrow_uri(spark, str(tmp_path)) == f"file://{tmp_path}" == warc.arrow_uri(spark, f"file:{tmp_path}")
+    pages = spark.createDataFrame([(1, "a", "u"), (2, "a", "u")], "page_id long, html string, url string")
+    listed = warc.write_archives(pages, str(tmp_path / "no-scheme"))
+    assert all(r.path.startswith("file:///") for r in listed.collect())
+    assert sorted((r.id, r.record_type) for r in warc.records_read(warc.read_archives(listed)).collect()) == [(1, "revisit"), (2, "response")]
+    spark._jsc.hadoopConfiguration().set("fs.viewfs.mounttable.odd.link./in", f"file://{tmp_path}")
+    with pytest.raises(ValueError, match="can't be kept"):
+        warc.arrow_uri(spark, "viewfs://odd/in")
+
+
+def test_marked_texts_are_joined_either_way(spark):
+    odd = ["apple", "berry", "cherry", "damson", "elder", "figs"]
+    texts = [(i, f"{odd[i]} {odd[-1 - i]} secretname a@b.cc {odd[(i + 2) % 6]}") for i in range(6)]
+    texts += [(10 + i, f"{odd[i % 6]} {odd[(i + 1) % 6]} plain words") for i in range(40)]
+    docs = spark.createDataFrame(texts, "doc_id long, text string")
+    marked = lambda **given: {(r.id, m.value) for r in pii.find(docs, **given).collect() for m in r.term}
+    found = marked(most_bytes=0)
+    assert found == marked(most_bytes=1 << 30) and {(i, "secretname") for i in range(6)} <= found
+    assert marked(shortest_term=20) == set() and marked(near_chars=3) == set() and marked(support=7) == set()
