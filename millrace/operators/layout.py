@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import logging
 import math
+import re
 from collections.abc import Iterator, Mapping, Sequence
 from contextlib import contextmanager
 from typing import Any
@@ -43,14 +44,21 @@ def broadcast_if_small(df: DataFrame, limit_mb: float = BROADCAST_LIMIT_MB) -> D
     """`df` with a broadcast hint when its estimate is within the limit, else unchanged.
 
     Without table statistics the estimate of a filter or aggregate is the size of its input,
-    so it errs on the large side and an unhinted join is still open to adaptive execution.
+    so it errs on the large side and an unhinted join is still open to adaptive execution, which goes by
+    measured sizes. The estimate bounds nothing where rows are made, by an explode: such a frame is left to it.
     """
     size = estimated_bytes(df)
-    if size is not None and size <= limit_mb * MEGABYTE:
+    if size is not None and size <= limit_mb * MEGABYTE and not _makes_rows(df):
         return F.broadcast(df)
     return df
 
 
+def _makes_rows(df: DataFrame) -> bool:
+    """Whether the plan turns rows into several."""
+    plan = df._jdf.queryExecution().optimizedPlan().toString()
+    return re.search(r"^[\s:+-]*(Generate|Expand)\b", plan, re.MULTILINE) is not None
+
+
 def output_bytes(df: DataFrame) -> int | None:
     """Expected size of a result for cutting it into files, None where nothing is known.
 

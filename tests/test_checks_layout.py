@@ -221,3 +221,11 @@ def test_distinct_bitmaps_of_any_key(spark):
     many = spark.range(100_000).select((F.col("id") % 3).alias("g"), (F.col("id") % 40_000 + 1).alias("k"))
     numbers = distinct.key_bitmaps(many, ["g"], "k")
     assert numbers.count() == 6 and distinct.counted(numbers, []).first()[0] == 40_000
+
+
+def test_exploded_rows_are_not_taken_for_small(spark):
+    one = spark.range(3).select(F.col("id").alias("k"), F.col("id").cast("int").alias("n"))
+    hinted = lambda df: "ResolvedHint" in layout.broadcast_if_small(df)._jdf.queryExecution().analyzed().toString()
+    assert hinted(one) and hinted(one.groupBy("k").count())
+    assert not hinted(one.select("k", F.explode(F.sequence(F.lit(1), F.col("n") * 1_000_000))))
+    assert not hinted(one.select("k", F.explode(F.sequence(F.lit(1), F.col("n")))).groupBy("k").count())
