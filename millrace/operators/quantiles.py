@@ -14,6 +14,9 @@ QUINTILES = (0.2, 0.4, 0.6, 0.8)
 # Rank error of the sketch is 1 / ACCURACY of the rows; its state does not grow beyond that.
 ACCURACY = 10_000
 
+# Parts of a bracket that are counted before one of them is ranked.
+BINS = 1024
+
 
 def quantile_points(
     df: DataFrame,
@@ -28,9 +31,10 @@ def quantile_points(
 
     `exact=False` takes the sketch's answer, off by at most n / accuracy ranks. `exact=True`
     uses the sketch only to bracket every point and then counts: values outside all brackets
-    collapse to one row per gap while they are read, and only the few different values inside
-    a bracket (about n / 1000 at the default accuracy) are ranked, one task per column. Should a
-    point lie outside its bracket, the query fails instead of giving a wrong one.
+    collapse to one row per gap while they are read, and the few different values inside a bracket
+    (about n / 1000 at the default accuracy) are counted per bin, of which a bracket has about a thousand.
+    Only the bins that hold a point are ranked, each on its own. Should a point lie outside its bracket, the
+    query fails instead of giving a wrong one.
     """
     if not exact:
         return df.agg(
@@ -40,16 +44,16 @@ def quantile_points(
             ]
         )
     counted = _counted_values(df, columns, _brackets(df, columns, probabilities, accuracy), probabilities)
-    by_value = Window.partitionBy("metric").orderBy(
-        F.col("value").asc_nulls_first(), F.col("inside").desc()
-    )
-    ranked = counted.select(
-        "metric",
-        "inside",
-        "value",
-        "rows",
-        F.sum("rows").over(by_value).alias("upto"),
-        F.sum("rows").over(Window.partitionBy("metric")).alias("total"),
+    sizes = counted.groupBy("metric", "bin").agg(F.sum("rows").alias("size"))
+    # A few thousand bins per column; only those that hold a point go on.
+    upto = F.sum("size").over(Window.partitionBy("metric").orderBy("bin"))
+    total = F.sum("size").over(Window.partitionBy("metric"))
+    ends = sizes.select("metric", "bin", "size", upto.alias("upto"), total.alias("total"))
+    held = " OR ".join(f"({_hit(p, 'size')})" for p in probabilities)
+    touched = ends.where(held).select("metric", "bin", (F.col("upto") - F.col("size")).alias("before"), "total")
+    by_value = Window.partitionBy("metric", "bin").orderBy(F.col("value").asc_nulls_first(), F.col("inside").desc())
+    ranked = counted.join(F.broadcast(touched), ["metric", "bin"]).select(
+        "metric", "inside", "value", "rows", (F.col("before") + F.sum("rows").over(by_value)).alias("upto"), "total"
     )
     hits = ranked.withColumn("hits", F.expr(f"array({', '.join(map(_hit, probabilities))})"))
     points = [", ".join(_point(i, j) for j in range(len(probabilities))) for i in range(len(columns))]
@@ -77,8 +81,9 @@ def _brackets(
 def _counted_values(
     df: DataFrame, columns: Sequence[str], ends: Column, probabilities: Sequence[float]
 ) -> DataFrame:
-    """(metric, inside, value, rows): inside a bracket the value itself, outside the nearest
-    bracket end below it, NULL when there is none."""
+    """(metric, bin, inside, value, rows): inside a bracket the value itself, outside the nearest
+    bracket end below it, NULL when there is none. Bins cut the brackets evenly and follow the order of
+    the values."""
     k = len(probabilities)
     entries = ", ".join(
         f"struct('{i}' AS metric, double({quoted(c)}) AS value, _ends.c{i} AS ends)"
@@ -86,6 +91,11 @@ def _counted_values(
     )
     inside = " OR ".join(f"value BETWEEN ends[{j}] AND ends[{k + j}]" for j in range(k))
     below = ", ".join(f"CASE WHEN ends[{k + j}] < value THEN ends[{k + j}] END" for j in range(k))
+    steps = " + ".join(
+        f"CASE WHEN coalesce(value < ends[{j}], true) THEN 0 WHEN value >= ends[{k + j}] THEN {BINS + 1} "
+        f"ELSE coalesce(width_bucket(value, ends[{j}], ends[{k + j}], {BINS}), 1) END"
+        for j in range(k)
+    )
     return (
         df.withColumn("_ends", ends)
         .selectExpr(f"inline(array({entries}))")
@@ -94,17 +104,19 @@ def _counted_values(
         .selectExpr(
             "metric",
             "inside",
+            "ends",
             f"CASE WHEN inside THEN value ELSE greatest(double(NULL), {below}) END AS value",
         )
-        .groupBy("metric", "inside", "value")
+        .withColumn("bin", F.expr(steps))
+        .groupBy("metric", "bin", "inside", "value")
         .agg(F.count(F.lit(1)).alias("rows"))
     )
 
 
-def _hit(probability: float) -> str:
+def _hit(probability: float, size: str = "rows") -> str:
     # Decimal arithmetic: 0.2 * 35 must be 7, not a hair above it.
     wanted = f"greatest(ceil({probability!r}BD * total), 1)"
-    return f"upto >= {wanted} AND upto - rows < {wanted}"
+    return f"upto >= {wanted} AND upto - {size} < {wanted}"
 
 
 def _point(metric: int, index: int) -> str:
