@@ -70,7 +70,7 @@ def test_a_group_is_cut_into_units(spark, monkeypatch):
     pairs = [(i, j) for i in range(300) for j in range(i) if similar(sets[i], sets[j])]
     lowest = parts(300, pairs)
     assert gone == {i for i in range(300) if lowest[i] != i} and 60 < len(gone)
-    members = docs.select(F.lit("r").alias("root"), F.col("doc_id").cast("string").alias("node"), F.lit(b"x").alias("set"), F.lit(b"y").alias("marks"))
+    members = docs.select(F.lit("r").alias("root"), F.col("doc_id").cast("string").alias("name"), F.lit(b"x").alias("set"), F.lit(b"y").alias("marks"))
     units = near_text._units(members).groupBy("low", "high").agg(F.count(F.lit(1)).alias("n"), F.count_distinct("side").alias("sides")).collect()
     assert len(units) == 15 * 16 // 2 and max(u.n for u in units) < 80
     assert all(u.sides == (1 if u.low == u.high else 2) for u in units)
