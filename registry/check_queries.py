@@ -227,7 +227,9 @@ def story_rules(spark: SparkSession, folder: str) -> DataFrame:
 
 @query(
     "v5_v8_analytics_checks",
-    """SELECT "check", true AS passed FROM (VALUES ('range:r_score'), ('range:f_score'), ('range:m_score'),
+    """SELECT "check", true AS passed,
+      CASE "check" WHEN 'one_row_per:customer_id' THEN (SELECT count(DISTINCT o_custkey) FROM orders) ELSE 0 END AS observed
+    FROM (VALUES ('range:r_score'), ('range:f_score'), ('range:m_score'),
       ('range:rfm_score'), ('allowed:rfm_segment'), ('range:intent_score'), ('allowed:intent_segment'),
       ('allowed:campaign_grade'), ('not_empty'), ('one_row_per:customer_id')) AS t("check")""",
 )
@@ -261,4 +263,4 @@ def analytics_checks(spark: SparkSession, folder: str) -> DataFrame:
             checks.all_keys_kept(scored, bought, ["customer_id"]),
         ]
     )
-    return found.select("check", "passed")
+    return found.select("check", "passed", "observed")

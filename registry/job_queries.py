@@ -844,13 +844,15 @@ def rfm_double(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def _report(spark: SparkSession, label: str, job: dict) -> DataFrame:
-    """The acceptance checks of a run as rows (run, check, passed)."""
-    told = run(spark, job_of(job))["checks"]
-    return spark.createDataFrame([(label, c["check"], c["passed"]) for c in told], "run string, check string, passed boolean")
+    """The acceptance checks of a run as rows (run, check, passed, rows), with the rows it wrote."""
+    told = run(spark, job_of(job))
+    rows = told["validation"]["row_count"]
+    found = [(label, c["check"], c["passed"], rows) for c in told["checks"]]
+    return spark.createDataFrame(found, "run string, check string, passed boolean, rows long")
 
 
-@query("v2_schema_check", """SELECT * FROM (VALUES ('strict', 'schema', true), ('lenient', 'schema', true),
-    ('more columns', 'schema', false)) AS t(run, "check", passed)""")
+@query("v2_schema_check", """SELECT *, (SELECT count(*) FROM nation) AS rows FROM (VALUES ('strict', 'schema', true),
+    ('lenient', 'schema', true), ('more columns', 'schema', false)) AS t(run, "check", passed)""")
 def schema_check(spark: SparkSession, folder: str) -> DataFrame:
     whole = [{"name": f.name, "type": f.dataType.simpleString()} for f in table(spark, folder, "nation").schema.fields]
     found = None
@@ -895,7 +897,7 @@ def digest(spark: SparkSession, folder: str) -> DataFrame:
     return spark.createDataFrame([(what, d[0], d == wanted) for what, d in found.items()], "what string, rows long, same boolean")
 
 
-@query("r1_append_checks", """SELECT run, "check", true AS passed FROM (VALUES ('first'), ('second'), ('merge')) AS r(run),
+@query("r1_append_checks", """SELECT run, "check", true AS passed, (SELECT count(*) FROM orders) AS rows FROM (VALUES ('first'), ('second'), ('merge')) AS r(run),
     (VALUES ('not_more_rows'), ('same_total:o_shippriority'), ('rerun')) AS c("check")""")
 def append_checks(spark: SparkSession, folder: str) -> DataFrame:
     """Checks of appends and merges are about the rows of the run, not about the table."""
