@@ -108,28 +108,30 @@ def _units(members: DataFrame) -> DataFrame:
     cut = sizes.select("root", F.ceil(F.greatest(F.col("n") / SHARE, F.col("bytes") / SHARE_BYTES)).cast("int").alias("shares"))
     cut = cut.where("shares > 1")
     shared = members.join(cut, "root", "left").withColumn("shares", F.coalesce("shares", F.lit(1)))
-    own = F.pmod(F.xxhash64("node"), F.col("shares")).cast("int")
+    own = F.pmod(F.xxhash64("name"), F.col("shares")).cast("int")
     spread = shared.withColumn("own", own).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("shares") - 1)))
     low, high = F.least("own", "other").alias("low"), F.greatest("own", "other").alias("high")
     side = (F.col("own") > F.col("other")).cast("int").alias("side")
-    return spread.select("root", low, high, side, "node", "set", "marks")
+    return spread.select("root", low, high, side, "name", "set", "marks")
 
 
 def near_rows(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", words: int = 5, tenths: int = 8) -> DataFrame:
     """`id` and `text_key` of every row that isn't the first (by id, null last) of its linked texts."""
     text = F.coalesce(F.col(text_col).cast("string"), F.lit(""))
     rows = docs.select(F.col(id_col).alias("id"), text.alias("text"))
-    name = F.concat_ws("\n", F.coalesce(F.col("id").cast("string"), F.lit("null")), F.col("id").isNull().cast("string"), "text")
-    rows = rows.withColumn("text_key", F.xxhash64("text")).withColumn("node", F.unhex(F.md5(name.cast("binary"))))
+    # Candidates are known by a 64-bit hash of the row: should two rows have one, more candidates are compared. What is
+    # linked is known by 128 bits.
+    whole = F.concat_ws("\n", F.coalesce(F.col("id").cast("string"), F.lit("null")), F.col("id").isNull().cast("string"), "text")
+    rows = rows.withColumn("text_key", F.xxhash64("text")).withColumn("node", F.xxhash64("id", "text"))
 
     def marked(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        schema = pa.schema([("node", pa.binary()), ("band", pa.int64())])
+        schema = pa.schema([("node", pa.int64()), ("band", pa.int64())])
         for batch in batches:
             found = [bands(minima(shingles(t, words))) for t in text_bytes(batch.column(1))]
-            node = batch.column(0).take(pa.array(np.repeat(np.arange(len(found)), BANDS)))
-            yield batch_of(schema, node, pa.array(np.concatenate(found) if found else np.zeros(0, np.int64)))
+            node = np.repeat(batch.column(0).to_numpy(), BANDS)
+            yield batch_of(schema, pa.array(node), pa.array(np.concatenate(found) if found else np.zeros(0, np.int64)))
 
-    marks = stored(in_arrow(rows.select("node", "text"), marked, "node binary, band long"), "near-bands")
+    marks = stored(in_arrow(rows.select("node", "text"), marked, "node long, band long"), "near-bands")
     stars = marks.groupBy("band").agg(F.min("node").alias("a"), F.max("node").alias("b")).where("a < b").drop("b")
     links = marks.join(stars, "band").select("a", F.col("node").alias("b"))
     trees = near_groups(rows.select("node", "text"), "node", "text", words=words)
@@ -137,39 +139,39 @@ def near_rows(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", w
     sent = small(groups, groups.count(), MOST_SENT)
 
     def described(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        names = ["root", "node", "id", "text_key"]
+        names = ["root", "name", "id", "text_key"]
         for batch in batches:
             schema = pa.schema([*(batch.schema.field(n) for n in names), ("set", pa.binary()), ("marks", pa.binary())])
             sets = [shingles(t, words) for t in text_bytes(batch.column("text"))]
             least = [minima(found).astype(np.uint8).tobytes() for found in sets]
             yield batch_of(schema, *(batch.column(n) for n in names), [found.tobytes() for found in sets], least)
 
-    kind = f"root binary, node binary, id {field_type(rows, 'id')}, text_key long, set binary, marks binary"
-    chosen = rows.join(sent, "node").select("root", "node", "id", "text_key", "text")
+    kind = f"root long, name binary, id {field_type(rows, 'id')}, text_key long, set binary, marks binary"
+    chosen = rows.join(sent, "node").select("root", F.unhex(F.md5(whole.cast("binary"))).alias("name"), "id", "text_key", "text")
     members = stored(in_arrow(chosen, described, kind), "near-members")
-    texts = members.dropDuplicates(["node"])  # rows that repeat an id and a text
+    texts = members.dropDuplicates(["name"])  # rows that repeat an id and a text
 
     def meet(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         schema = pa.schema([("a", pa.binary()), ("b", pa.binary())])
 
         def each():
             for batch in batches:
-                yield from zip(*(batch.column(n).to_pylist() for n in ("root", "low", "high", "side", "node", "set", "marks")))
+                yield from zip(*(batch.column(n).to_pylist() for n in ("root", "low", "high", "side", "name", "set", "marks")))
 
         for (_, low, high), unit in groupby(each(), lambda row: row[:3]):
-            sides, nodes, sets, least = zip(*(row[3:] for row in unit))
+            sides, names, sets, least = zip(*(row[3:] for row in unit))
             pairs = links_of(
                 [np.frombuffer(found, np.uint64) for found in sets],
                 np.frombuffer(b"".join(least), np.uint8).reshape(len(least), -1), tenths,
                 np.array(sides) if low != high else None,
             )
             if pairs:
-                yield batch_of(schema, [nodes[i] for i, _ in pairs], [nodes[j] for _, j in pairs])
+                yield batch_of(schema, [names[i] for i, _ in pairs], [names[j] for _, j in pairs])
 
     unit = ["root", "low", "high"]
     stream = _units(texts).repartition(*unit).sortWithinPartitions(*unit)
     linked = components(in_arrow(stream, meet, "a binary, b binary"))
-    named = members.select("node", "id", "text_key").join(linked, "node")
+    named = members.select("name", "id", "text_key").join(linked.withColumnRenamed("node", "name"), "name")
     rank = F.struct(F.col("id").isNull(), "id", "text_key")
     first = named.groupBy("root").agg(F.min(rank).alias("first"))
     later = ~(F.col("id").eqNullSafe(F.col("first.id")) & (F.col("text_key") == F.col("first.text_key")))
