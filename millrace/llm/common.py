@@ -18,7 +18,7 @@ WHITE = b" \t\n\x0b\x0c\r"
 #: A word, in the same terms.
 WORD = r"[^\x20\x09-\x0D]+"
 #: Size of an Arrow batch, and the setting for it.
-BATCH_MB = 16
+BATCH_MB = 8
 BATCH_CONF = "spark.sql.execution.arrow.maxBytesPerBatch"
 
 
