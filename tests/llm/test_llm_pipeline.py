@@ -105,8 +105,13 @@ def test_run_is_the_stages_in_a_row(spark):
     assert found.count() > 0
 
 
-def jaccard(a, b, words=5):
-    a, b = ({tuple(t.lower().split()[i : i + words]) for i in range(len(t.split()) - words + 1)} for t in (a, b))
+def shingled(text, words=5):
+    own = text.lower().split()
+    return {tuple(own[i : i + words]) for i in range(len(own) - words + 1)}
+
+
+def jaccard(a, b):
+    a, b = shingled(a), shingled(b)
     return len(a & b) / len(a | b)
 
 
