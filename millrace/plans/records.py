@@ -8,7 +8,7 @@ from decimal import Decimal
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from millrace.functions.columns import col
+from millrace.functions.columns import col, round_half_up
 from millrace.functions.text import first_number, json_payload
 from millrace.operators.layout import broadcast_if_small
 from millrace.operators.ordering import latest_by, page, running_total
@@ -96,7 +96,7 @@ def usage_rollup(costed: DataFrame, max_tokens: int = 0) -> DataFrame:
         F.round(F.sum("cost_usd"), 4).cast("double").alias("total_cost_usd"),
         F.count(F.lit(1)).alias("steps"),
     )
-    return totals.withColumn("budget_pct", F.round(budget_pct(F.col("total_tokens"), max_tokens), 1))
+    return totals.withColumn("budget_pct", round_half_up(budget_pct(F.col("total_tokens"), max_tokens), 1))
 
 
 def budget_pct(tokens: Column, max_tokens: int) -> Column:

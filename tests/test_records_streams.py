@@ -1,9 +1,11 @@
 import datetime
 import json
 
+import duckdb
 from conftest import rows
 from pyspark.sql import functions as F
 
+import __spark_entry__ as entry
 from millrace.plans import records
 from millrace.streaming import audit, intake
 
@@ -48,6 +50,23 @@ def test_usage_cost_rollup_and_flags(spark):
     assert steps == {("r1", 1): 1_100_000, ("r1", 2): 1_101_000, ("r2", 1): 10}
 
 
+def test_budget_share_at_half_a_tenth(spark, folder):
+    """Totals whose share of the budget ends in exactly 5 hundredths, as the SQL of the three queries rounds them."""
+    tokens = [13_186_200, 13_186_199, *(400 * k + 200 for k in range(700))]
+    events = spark.createDataFrame([(i, i, "view", t / 100, '{"k": 0}') for i, t in enumerate(tokens)], "event_id long, user_id long, event_type string, value double, props string")
+    events.write.parquet(f"{folder}/events.parquet")
+    con = duckdb.connect()
+    con.execute(f"CREATE VIEW events AS SELECT * FROM '{folder}/events.parquet/*.parquet'")
+    for name, columns in (
+        ("g2_usage_rollup", "run_id, total_tokens, budget_pct"),
+        ("g3_budget_flags", "run_id, total_tokens, budget_pct, exceeded, needs_approval"),
+        ("g4_approval_gate", "run_id, approval_required, reasons, next_status"),
+    ):
+        wanted = con.execute(f"SELECT {columns} FROM ({entry.oracle_sql()[name]})").fetchall()
+        assert rows(entry.queries()[name](spark, folder).select(*columns.split(", "))) == sorted(wanted, key=repr)
+    assert ("budget_pct=3296.6%",) in con.execute(f"SELECT reasons FROM ({entry.oracle_sql()['g4_approval_gate']})").fetchall()
+
+
 def test_approval_gate(spark):
     runs = spark.createDataFrame([("r1", "restricted"), ("r2", "public"), ("r3", None)], "run_id string, data_classification string")
     flags = spark.createDataFrame([("r1", True, 81.25), ("r2", True, 75.0)], "run_id string, needs_approval boolean, budget_pct double")
