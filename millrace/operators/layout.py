@@ -32,6 +32,9 @@ BROADCAST_LIMIT_MB = 10
 TARGET_FILE_MB = 128
 SMALL_OUTPUT_PARTITIONS = 10
 
+# Estimated bytes of both sides that one task of a dealt join sorts; rows take several times that in memory.
+JOIN_TASK_MB = 16
+
 
 def estimated_bytes(df: DataFrame) -> int | None:
     """Size the optimizer expects after pruning, None where no estimate can be had."""
@@ -81,6 +84,18 @@ def file_count(df: DataFrame, target_mb: float = TARGET_FILE_MB) -> int | None:
     return None if size is None else max(1, math.ceil(size / (target_mb * MEGABYTE)))
 
 
+def join_tasks(left: DataFrame, right: DataFrame, task_mb: float = JOIN_TASK_MB) -> int | None:
+    """Tasks for a join of two large frames, so that what one of them sorts stays the same at any scale.
+
+    None where adaptive execution is to choose: the right side is small enough to be broadcast, or a
+    size isn't known, or rows are made.
+    """
+    sizes = [output_bytes(left), output_bytes(right)]
+    if None in sizes or sizes[1] <= BROADCAST_LIMIT_MB * MEGABYTE or _makes_rows(left) or _makes_rows(right):
+        return None
+    return max(1, math.ceil(sum(sizes) / (task_mb * MEGABYTE)))
+
+
 def repartition_for_write(
     df: DataFrame, target_mb: float = TARGET_FILE_MB, partition_by: Sequence[str] = ()
 ) -> DataFrame:

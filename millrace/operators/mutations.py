@@ -8,8 +8,10 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from millrace.functions.columns import col, quoted
+from millrace.operators import layout
 
 _HIT = "_hit"
+_SLOT = "_slot"
 
 
 class MergeConflict(ValueError):
@@ -84,8 +86,8 @@ def merge_rows(
     `keep_old_when_null` leaves a column alone where the source holds NULL.
 
     The target is joined from the left and never needs a full outer join: a small source is
-    broadcast and the target is not shuffled at all, and where it is, adaptive execution can
-    split a key that holds many target rows.
+    broadcast and the target is not shuffled at all. Two large sides are dealt to as many tasks as
+    their size asks for, rows without a key to all of them; all rows of one key are sorted in one task.
     """
     missing = [c for c in source.columns if c not in target.columns]
     if missing and not evolve:
@@ -95,12 +97,29 @@ def merge_rows(
     for name in missing:
         target = target.withColumn(name, F.lit(None).cast(source.schema[name].dataType))
     updated = set(update_columns_of(source, keys, update_columns))
+    same_types = all(target.schema[k].dataType == source.schema[k].dataType for k in keys)
+    tasks = layout.join_tasks(target, source) if same_types else None
+    if tasks is not None:
+        target, source = _dealt(target, keys, tasks), _dealt(source, keys, tasks)
+        keys = [*keys, _SLOT]
     kept = _updated_target(target, source, keys, updated, delete_unmatched, keep_old_when_null)
     if not insert_all:
-        return kept
-    present = target.select(*keys).join(source.select(*keys), list(keys), "left_semi").distinct()
-    inserts = source.join(present, list(keys), "left_anti")
-    return kept.unionByName(inserts, allowMissingColumns=True)
+        return kept.drop(_SLOT)
+    if tasks is None:
+        present = target.select(*keys).join(source.select(*keys), list(keys), "left_semi").distinct()
+        inserts = source.join(present, list(keys), "left_anti")
+    else:  # the optimizer would move a semi or an anti join before the dealing
+        present = target.select(*keys).join(source.select(*keys), list(keys)).distinct().withColumn(_HIT, F.lit(True))
+        inserts = source.join(present, list(keys), "left").where(col(_HIT).isNull()).drop(_HIT)
+    return kept.unionByName(inserts, allowMissingColumns=True).drop(_SLOT)
+
+
+def _dealt(df: DataFrame, keys: Sequence[str], tasks: int) -> DataFrame:
+    """`df` in so many partitions by its keys and `_slot`, which is 0 but for rows without a key: these match
+    nothing, so a hash of the row spreads them."""
+    keyless = F.expr(" OR ".join(f"{quoted(k)} IS NULL" for k in keys))
+    slotted = df.withColumn(_SLOT, F.when(keyless, layout.row_hash(df)).otherwise(F.lit(0).cast("long")))
+    return slotted.repartition(tasks, *[col(k) for k in keys], F.col(_SLOT))
 
 
 def _updated_target(

@@ -4,7 +4,7 @@ import pytest
 from conftest import plan, rows
 from pyspark.sql import functions as F
 
-from millrace.operators import mutations
+from millrace.operators import layout, mutations
 from millrace.operators.mutations import MergeConflict
 
 SCHEMA = "k1 int, k2 string, v int, w string"
@@ -77,6 +77,32 @@ def test_merge_against_a_model(spark, seed):
         assert rows(call()) == expected
 
 
+@pytest.mark.parametrize("seed", range(16))
+def test_merge_of_dealt_rows_against_a_model(spark, seed, monkeypatch):
+    monkeypatch.setattr(layout, "join_tasks", lambda left, right: 3)
+    test_merge_against_a_model(spark, seed)
+
+
+def test_a_large_merge_has_tasks_by_its_size(spark, folder, monkeypatch):
+    """Twice the rows are twice the tasks, whatever the session's number of partitions."""
+    monkeypatch.setattr(layout, "BROADCAST_LIMIT_MB", 0)
+    monkeypatch.setattr(layout.join_tasks, "__defaults__", (0.1,))
+    shuffles = []
+    for n in (40_000, 80_000):
+        numbered = spark.range(n).select(F.when(F.col("id") % 4 > 0, F.xxhash64("id")).alias("k"), F.col("id").alias("v"))
+        for side in ("t", "s"):
+            numbered.write.parquet(f"{folder}/{side}{n}")
+        sides = [spark.read.parquet(f"{folder}/{side}{n}") for side in ("t", "s")]
+        merged = mutations.merge_rows(*sides, ["k"])
+        found = plan(merged)
+        assert "ENSURE_REQUIREMENTS" not in found
+        shuffles.append(layout.join_tasks(*sides))
+        assert f", {shuffles[-1]}), REPARTITION_BY_NUM" in found
+        merged = merged.withColumn("task", F.spark_partition_id())
+        assert (merged.count(), merged.where("k IS NULL").select("task").distinct().count()) == (n + n // 4, 2 * shuffles[-1])
+    assert shuffles[0] > 4 and abs(shuffles[1] - 2 * shuffles[0]) <= 2
+
+
 def test_repeated_unmatched_source_rows_all_insert(spark):
     target = spark.createDataFrame([(1, "a")], "k int, v string")
     source = spark.createDataFrame([(2, "x"), (2, "y"), (None, "n"), (None, "n")], "k int, v string")
