@@ -1,5 +1,6 @@
 import datetime
 import json
+from pathlib import Path
 
 import duckdb
 from conftest import rows
@@ -7,6 +8,7 @@ from pyspark.sql import functions as F
 
 import __spark_entry__ as entry
 from millrace.plans import records
+from millrace.sources import shared
 from millrace.streaming import audit, intake
 
 LOGS = [
@@ -254,6 +256,26 @@ def test_intake_records_and_replays(spark, folder):
     assert {r[0]: r[3] for r in runs} == {"ok": t[0], "bad": None, "both": t[1], "other": None} and {r[4] for r in runs} == {"kept"}
 
 
+def test_a_batch_stores_its_texts_once(spark, folder, monkeypatch):
+    """Beside the sink of lines no copy of the texts is written."""
+    story = F.struct(
+        F.col("id").cast("string").alias("id"), F.lit("a title").alias("title"), F.array_join(F.transform(F.sequence(F.lit(1), F.lit(40)), lambda i: F.sha2(F.concat_ws(" ", "id", i), 256)), " ").alias("description"),
+        F.array(F.lit("x")).alias("acceptance_criteria"), F.lit("public").alias("data_classification"),
+    )
+    message = F.to_json(F.struct(F.col("id").cast("string").alias("run_id"), story.alias("story")))
+    lines = spark.range(200).select(message.alias("value"), F.lit(datetime.datetime(2024, 1, 1)).alias("received_at"))
+    copies = []
+
+    def size(path):
+        return sum(p.stat().st_size for p in Path(path.removeprefix("file:")).rglob("*.parquet"))
+
+    monkeypatch.setattr(shared, "delete_folder", lambda session, path: copies.append(size(path)))
+    sinks = intake.IntakeSinks(*[f"{folder}/{name}" for name in ("lines", "audit", "runs")])
+    intake.apply_batch(lines, 0, sinks, "s")
+    assert intake.read_lines(spark, sinks).count() == audit.read_audit_log(spark, sinks.audit).count() == 200
+    assert 2 * sum(copies) < size(sinks.lines)
+
+
 def test_an_empty_batch_leaves_no_trace(spark, folder):
     from millrace.sources import versioned
 
