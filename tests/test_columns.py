@@ -1,13 +1,17 @@
 import datetime
+import unicodedata
 
+import duckdb
 import pytest
 from conftest import rows
 from pyspark.sql import functions as F
 
+import registry
 from millrace.functions import columns as C
 from millrace.functions import text
 from millrace.operators import columns as ops
 from millrace.sources import schema
+from registry import column_queries
 
 
 def test_pick_column_takes_the_first_present(spark):
@@ -117,6 +121,35 @@ def test_trim_touches_strings_only(spark):
     assert rows(ops.trim_strings(df)) == [("a", 1)]
 
 
+def test_trim_removes_every_space_separator(spark):
+    edges = "".join(chr(c) for c in range(0x10000) if unicodedata.category(chr(c)) == "Zs")
+    kept = ["\ta\n", "a\u00a0 \u3000b", "\u200ba", "\u65e5", "", None]
+    padded = [(i, None if s is None else edges + s + edges[::-1]) for i, s in enumerate(kept)]
+    df = spark.createDataFrame([*padded, (9, edges)], "i int, s string")
+    assert rows(ops.trim_strings(df)) == [*enumerate(kept), (9, "")]
+
+
+def test_string_trim_gives_the_rows_of_its_sql(spark, folder):
+    texts = [
+        (1, "\u00a0 whole text, not its first word \u3000", " en"),
+        (2, "\u2003one", "\u00a0de\u00a0"),
+        (2, "\ttwo\n", "fr"),
+        (None, None, None),
+    ]
+    df = spark.createDataFrame(texts, "doc_id bigint, text string, lang string")
+    df.write.parquet(f"{folder}/documents.parquet")
+    con = duckdb.connect()
+    con.execute(f"CREATE VIEW documents AS SELECT * FROM '{folder}/documents.parquet/*.parquet'")
+    wanted = [
+        (1, "whole text, not its first word", "en"),
+        (2, "\ttwo\n", "fr"),
+        (2, "one", "de"),
+        (None, None, None),
+    ]
+    assert rows(column_queries.string_trim(spark, folder)) == wanted
+    assert sorted(con.execute(registry.ORACLES["p15_string_trim"]).fetchall(), key=repr) == wanted
+
+
 def test_standard_types(spark):
     df = spark.createDataFrame(
         [("1.23456", "2024-02-29", "2024-02-29 10:11:12"), ("x", "2023-02-29", "10:11")],
